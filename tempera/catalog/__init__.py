@@ -1 +1,6 @@
+"""Importing the package registers every query."""
 
+from tempera.catalog import binning  # noqa: F401
+from tempera.catalog.registry import QUERIES
+
+__all__ = ["QUERIES"]
