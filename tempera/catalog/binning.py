@@ -404,8 +404,8 @@ def empty_levels(spark, sf_dir):
     "tempered_log_ratio",
     f"""WITH {SAMPLES}, t(level, temp) AS (VALUES {', '.join(f'({i}, {a!r}::DOUBLE)' for i, a in enumerate(LADDER))}),
     m AS (SELECT level, min(energy) AS best FROM s GROUP BY level)
-    SELECT s.id, CAST(s.level AS BIGINT) AS level, round(s.weight / temp, 6) AS tempered,
-           round((best - s.energy) / temp, 6) AS log_ratio
+    SELECT s.id, CAST(s.level AS BIGINT) AS level, round(s.weight / temp, 9) AS tempered,
+           round((best - s.energy) / temp, 9) AS log_ratio
     FROM s JOIN t ON s.level = t.level JOIN m ON m.level = s.level""",
 )
 def tempered_log_ratio(spark, sf_dir):
@@ -416,6 +416,6 @@ def tempered_log_ratio(spark, sf_dir):
     best = small_side(samples.groupBy("level").agg(F.min(-F.col("weight")).alias("best")))
     t = F.element_at(F.array(*[F.lit(v) for v in LADDER]), F.col("level") + 1)
     return samples.join(best, "level").select(
-        "id", F.col("level").cast("long"), rounded(energy.tempered(F.col("weight"), t)).alias("tempered"),
-        rounded(energy.log_ratio(-F.col("weight"), F.col("best"), t)).alias("log_ratio"),
+        "id", F.col("level").cast("long"), rounded(energy.tempered(F.col("weight"), t), 9).alias("tempered"),
+        rounded(energy.log_ratio(-F.col("weight"), F.col("best"), t), 9).alias("log_ratio"),
     )
