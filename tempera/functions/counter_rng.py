@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # 32-bit mask, integer-hash multiplier, Weyl increment, seed stride.
@@ -20,26 +20,33 @@ WEYL = 2654435769
 SEED_STRIDE = 7919
 
 
-def _mix_column(x: Column) -> Column:
-    for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK))
-    return F.shiftright(x, 16).bitwiseXOR(x)
+def _mix_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """Hash columns in place; one projection per round keeps each expression small."""
 
+    def scramble(name: str) -> Column:
+        return F.shiftright(name, 16).bitwiseXOR(F.col(name))
 
-def uniform_column(key: Column, counter: Column | int, seed: int) -> Column:
-    """Uniform on (0, 1) from integer columns; counters must stay below 2**31."""
-    counter = F.lit(counter) if isinstance(counter, int) else counter
-    start = (key.cast("long") + F.lit(seed * SEED_STRIDE).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
-    h = _mix_column(start)
-    h = _mix_column((h + counter.cast("long") * F.lit(WEYL)).bitwiseAND(F.lit(MASK)))
-    return (h.cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    for _ in range(2):
+        df = df.withColumns({n: (scramble(n) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK)) for n in names})
+    return df.withColumns({n: scramble(n) for n in names})
 
 
-def box_muller_column(key: Column, counter: Column, seed: int, sine: bool = False) -> Column:
-    """Standard normal from uniforms number 2*counter and 2*counter + 1."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(uniform_column(key, counter * 2, seed)))
-    angle = F.lit(2.0 * math.pi) * uniform_column(key, counter * 2 + 1, seed)
-    return radius * (F.sin(angle) if sine else F.cos(angle))
+def with_uniforms(df: DataFrame, key: Column, counters: dict[str, Column | int], seed: int) -> DataFrame:
+    """Add uniforms on (0, 1), one per named counter; counters must stay below 2**31."""
+    start = (key.cast("long") + F.lit(seed * SEED_STRIDE).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
+    df = _mix_columns(df.withColumn("_hash", start), ["_hash"])
+    lanes = {
+        n: (F.col("_hash") + (F.lit(c) if isinstance(c, int) else c).cast("long") * F.lit(WEYL)).bitwiseAND(F.lit(MASK))
+        for n, c in counters.items()
+    }
+    df = _mix_columns(df.withColumns(lanes).drop("_hash"), list(lanes))
+    return df.withColumns({n: (F.col(n).cast("double") + F.lit(0.5)) / F.lit(4294967296.0) for n in lanes})
+
+
+def box_muller(u: Column, v: Column) -> tuple[Column, Column]:
+    """Two standard normals from two uniforms."""
+    radius, angle = F.sqrt(F.lit(-2.0) * F.log(u)), F.lit(2.0 * math.pi) * v
+    return radius * F.cos(angle), radius * F.sin(angle)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -174,10 +174,3 @@ def simulate(
 
     return tasks.mapInPandas(run, CHAIN_DRAW)
 
-
-def metropolis_hastings_step(
-    x: np.ndarray, log_ratio: np.ndarray, y: np.ndarray, log_ratio_y: np.ndarray, u: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Independent-proposal step on (log kernel - log proposal); ties accept."""
-    ok = log_ratio_y - log_ratio >= np.log(u)
-    return np.where(ok[:, None], y, x), np.where(ok, log_ratio_y, log_ratio)

@@ -47,9 +47,16 @@ def minimise_batch(
     def project(y: np.ndarray) -> np.ndarray:
         return y if box is None else np.clip(y, *box)
 
+    def gradient(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Slope of f; a coordinate held at its bound by the slope does not count."""
+        slope = numeric_gradient(f, at, value, step)
+        if box is not None:
+            slope[((at <= box[0]) & (slope > 0)) | ((at >= box[1]) & (slope < 0))] = 0.0
+        return slope
+
     x = project(x.astype(float))
     fx = f(x)
-    g = numeric_gradient(f, x, fx, step)
+    g = gradient(x, fx)
     inv = np.repeat(h0 * np.eye(d)[None], n, axis=0)
     iters = np.zeros(n, dtype=int)
     code = np.full(n, OUT_OF_ITERATIONS)
@@ -60,6 +67,8 @@ def minimise_batch(
             break
         iters[live] += 1
         p = -np.einsum("nij,nj->ni", inv, g)
+        if box is not None:
+            p[g == 0.0] = 0.0
         slope = np.einsum("ni,ni->n", p, g)
         uphill = slope >= 0
         p[uphill], slope[uphill] = -g[uphill], -np.einsum("ni,ni->n", g[uphill], g[uphill])
@@ -74,7 +83,7 @@ def minimise_batch(
             better = fy < best_f
             best_x[better], best_f[better] = y[better], fy[better]
         gain = fx - best_f
-        new_g = numeric_gradient(f, best_x, best_f, step)
+        new_g = gradient(best_x, best_f)
         dx, dg = best_x - x, new_g - g
         curvature = np.einsum("ni,ni->n", dx, dg)
         good = curvature > 1.0 / _MAX_CURVATURE

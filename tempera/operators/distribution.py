@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempera.functions.counter_rng import box_muller_column, uniform_column
+from tempera.functions.counter_rng import box_muller, with_uniforms
 from tempera.plans.sizing import small_side
 
 # Coefficients of Acklam's rational approximation of the inverse normal CDF.
@@ -78,23 +78,31 @@ def _horner(coefficients: list[float], x: Column) -> Column:
     return out
 
 
-def inverse_normal(p: Column) -> Column:
-    q = p - 0.5
-    r = q * q
-    central = _horner(CENTRAL_NUM, r) * q / _horner(CENTRAL_DEN, r)
-    t = F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
-    tail = _horner(TAIL_NUM, t) / _horner(TAIL_DEN, t)
-    return F.when(p < TAIL_FROM, tail).when(p > 1.0 - TAIL_FROM, -tail).otherwise(central)
+def with_inverse_normal(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Normal quantile of column ``p``; intermediate columns keep the polynomials small."""
+    df = df.withColumns(
+        {
+            "_q": F.col(p) - 0.5,
+            "_r": (F.col(p) - 0.5) * (F.col(p) - 0.5),
+            "_t": F.sqrt(F.lit(-2.0) * F.log(F.least(F.col(p), F.lit(1.0) - F.col(p)))),
+        }
+    )
+    central = _horner(CENTRAL_NUM, F.col("_r")) * F.col("_q") / _horner(CENTRAL_DEN, F.col("_r"))
+    tail = _horner(TAIL_NUM, F.col("_t")) / _horner(TAIL_DEN, F.col("_t"))
+    value = F.when(F.col(p) < TAIL_FROM, tail).when(F.col(p) > 1.0 - TAIL_FROM, -tail).otherwise(central)
+    return df.withColumn(out, value).drop("_q", "_r", "_t")
 
 
 def normal_draws(df: DataFrame, key: str, mu: float, sigma: float, seed: int) -> DataFrame:
     """Three normal generators side by side, one draw of each per row."""
-    k = F.col(key)
-    return df.select(
-        k,
-        (F.lit(mu) + F.lit(sigma) * inverse_normal(uniform_column(k, 0, seed))).alias("inverse_cdf"),
-        (F.lit(mu) + F.lit(sigma) * box_muller_column(k, F.lit(1), seed)).alias("box_muller_cos"),
-        (F.lit(mu) + F.lit(sigma) * box_muller_column(k, F.lit(1), seed, sine=True)).alias("box_muller_sin"),
+    u = with_uniforms(df.select(key), F.col(key), {"_a": 0, "_b": 2, "_c": 3}, seed)
+    u = with_inverse_normal(u, "_a", "_z")
+    cosine, sine = box_muller(F.col("_b"), F.col("_c"))
+    return u.select(
+        key,
+        (F.lit(mu) + F.lit(sigma) * F.col("_z")).alias("inverse_cdf"),
+        (F.lit(mu) + F.lit(sigma) * cosine).alias("box_muller_cos"),
+        (F.lit(mu) + F.lit(sigma) * sine).alias("box_muller_sin"),
     )
 
 

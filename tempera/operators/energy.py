@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempera.functions.counter_rng import uniform_column
+from tempera.functions.counter_rng import with_uniforms
 
 
 def geometric_points(n: int, start: float, end: float) -> list[float]:
@@ -55,6 +55,11 @@ def jump_log_ratio(w_x: Column, w_y: Column, t_here: Column, t_above: Column) ->
     return log_ratio(-w_y, -w_x, t_here) + log_ratio(-w_x, -w_y, t_above)
 
 
+def mh_accept(log_ratio_new: Column, log_ratio_old: Column, u: Column) -> Column:
+    """Accept on (log kernel - log proposal) of the new and the old point; ties accept."""
+    return log_ratio_new - log_ratio_old >= F.log(u)
+
+
 def propose_jumps(
     binned: DataFrame, bounds: DataFrame, ladder: list[float], p_no_jump: float, seed: int
 ) -> DataFrame:
@@ -81,8 +86,9 @@ def propose_jumps(
         (F.col("bin").cast("long") * F.col("chunk")).alias("_start"),
     )
     x = x.join(small_side(sizes), (x["level"] + 1 == F.col("_level")) & (x["bin"] == F.col("_bin")))
-    x = x.withColumn("attempt", uniform_column(F.col("id"), 0, seed) > p_no_jump).withColumn(
-        "pick", F.col("_start") + F.floor(uniform_column(F.col("id"), 1, seed) * F.col("_n"))
+    x = with_uniforms(x, F.col("id"), {"_gate": 0, "_which": 1, "_luck": 2}, seed)
+    x = x.withColumn("attempt", F.col("_gate") > p_no_jump).withColumn(
+        "pick", F.col("_start") + F.floor(F.col("_which") * F.col("_n"))
     )
     y = binned.select(
         F.col("level").alias("level_above"), F.col("rn").alias("pick"), F.col("energy").alias("energy_y"),
@@ -95,7 +101,7 @@ def propose_jumps(
         F.element_at(temps, F.col("level") + 1),
         F.element_at(temps, F.col("level") + 2),
     )
-    accept = F.log(uniform_column(F.col("id"), 2, seed)) <= ratio
+    accept = F.log("_luck") <= ratio
     return pairs.select(
         "level", "id", "bin", "energy", "id_y", "energy_y", "attempt",
         (F.col("attempt") & accept).alias("accepted"),

@@ -121,45 +121,61 @@ class BridgeDraws:
         The term falls monotonically in its argument, so the extreme ratios
         give each sum's exact maximum and hence a safe shift.
         """
-        sums, shifts = [], []
-        for i, r in enumerate(trials):
+        lanes, shifts = [], []
+        for r in trials:
             top_p = _bridge_term_scalar(self._low_proposal + r, self.rho_proposal)
             top_q = _bridge_term_scalar(-self._high_posterior - r, self.rho_posterior)
-            up = F.exp(_bridge_term(F.col("d") + r, self.rho_proposal) - top_p)
-            down = F.exp(_bridge_term(-F.col("d") - r, self.rho_posterior) - top_q)
-            sums += [F.sum(F.when(F.col("p"), up)).alias(f"p{i}"), F.sum(F.when(~F.col("p"), down)).alias(f"q{i}")]
+            lanes.append(F.struct(F.lit(float(r)).alias("r"), F.lit(top_p).alias("tp"), F.lit(top_q).alias("tq")))
             shifts.append((top_p, top_q))
-        row = self.table.agg(*sums).first()
+        # Trials ride along as a constant array, so every call runs the same compiled plan.
+        each = self.table.select("p", "d", F.posexplode(F.array(*lanes)).alias("i", "t"))
+        r, d = F.col("t.r"), F.col("d")
+        up = F.exp(_bridge_term(d + r, self.rho_proposal) - F.col("t.tp"))
+        down = F.exp(_bridge_term(-d - r, self.rho_posterior) - F.col("t.tq"))
+        sums = each.groupBy("i", "p").agg(F.sum(F.when(F.col("p"), up).otherwise(down)).alias("s")).collect()
+        s = {(row["i"], row["p"]): row["s"] for row in sums}
         return [
-            tp + math.log(row[f"p{i}"]) - tq - math.log(row[f"q{i}"]) for i, (tp, tq) in enumerate(shifts)
+            tp + math.log(s[i, True]) - tq - math.log(s[i, False]) for i, (tp, tq) in enumerate(shifts)
         ]
 
-    def root(self, tolerance: float = BRIDGE_TOLERANCE, sections: int = 16, max_rounds: int = 50) -> float:
-        """Trial value with zero residual; each scan cuts the bracket ``sections``-fold."""
+    def root(self, tolerance: float = BRIDGE_TOLERANCE, max_rounds: int = 50) -> float:
+        """Trial value with zero residual.
+
+        Decades bracket the sign change; then each scan tries the midpoint and
+        points close around the interpolated root, which mostly cuts the
+        bracket a thousandfold.
+        """
+        decades = [10.0**e for e in range(51)]
         at_zero = self.residual([0.0])[0]
         sign = -1.0 if at_zero < 0 else 1.0
-        inner, outer, found = 0.0, None, False
-        for first in range(0, 51, 10):
-            decades = [sign * 10.0**e for e in range(first, min(first + 10, 51))]
-            for value, res in zip(decades, self.residual(decades)):
-                if sign * res < 0:
-                    outer, found = value, True
+        inner, outer = (0.0, at_zero), None
+        for first in range(0, 51, 17):
+            tried = [sign * v for v in decades[first : first + 17]]
+            for point in zip(tried, self.residual(tried)):
+                if sign * point[1] < 0:
+                    outer = point
                     break
-                inner = value
-            if found:
+                inner = point
+            if outer:
                 break
-        if not found:
+        if outer is None:
             return sign * BRIDGE_LIMIT
-        low, high = sorted((inner, outer))
-        best = 0.5 * (low + high)
+        (low, f_low), (high, f_high) = sorted((inner, outer))
+        best, miss = min((inner, outer), key=lambda t: abs(t[1]))
         for _ in range(max_rounds):
-            grid = [low + (high - low) * k / sections for k in range(1, sections)]
-            values = self.residual(grid)
-            best, miss = min(zip(grid, values), key=lambda t: abs(t[1]))
-            if abs(miss) < tolerance:
-                break
-            low = max([low] + [g for g, v in zip(grid, values) if v > 0])
-            high = min([high] + [g for g, v in zip(grid, values) if v <= 0])
-            if high - low <= 1e-15 * max(1.0, abs(best)):
+            width = high - low
+            if abs(miss) < tolerance or width <= 1e-15 * max(1.0, abs(best)):
                 break
+            guess = low + width * f_low / (f_low - f_high)
+            grid = [0.5 * (low + high), guess]
+            grid += [guess + side * width * share for side in (-1, 1) for share in (0.05, 0.0005)]
+            grid = sorted({g for g in grid if low < g < high})
+            points = list(zip(grid, self.residual(grid)))
+            best, miss = min([(best, miss), *points], key=lambda t: abs(t[1]))
+            for g, v in points:
+                if v > 0:
+                    low, f_low = g, v
+            for g, v in reversed(points):
+                if v <= 0 and g > low:
+                    high, f_high = g, v
         return best

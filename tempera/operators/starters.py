@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempera.functions.counter_rng import uniform_column
+from tempera.functions.counter_rng import uniform, with_uniforms
 from tempera.functions.logmath import squared_distance, vector_literal
 from tempera.operators.ranking import global_rank, k_most_weight, rows_at_ranks
 
@@ -34,7 +36,8 @@ def kth_best_sample(samples: DataFrame, k: int) -> DataFrame:
 
 def pick_from_k_best(samples: DataFrame, k: int, seed: int) -> DataFrame:
     """One uniform pick among the k best: the smallest of k independent uniforms wins."""
-    return k_most_weight(samples, k).orderBy(uniform_column(F.col("id"), 0, seed), "id").limit(1)
+    best = with_uniforms(k_most_weight(samples, k), F.col("id"), {"_u": 0}, seed)
+    return best.orderBy("_u", "id").limit(1).drop("_u")
 
 
 def best_share(samples: DataFrame, k: int, share: float) -> tuple[DataFrame, int, int]:
@@ -116,7 +119,7 @@ def draw_pool(samples: DataFrame, capacity: int, seed: int, by: str = "bin") ->
     sizes = ranked.groupBy(F.col(by).alias("_bin")).agg(F.max("n").alias("_n"))
     picks = sizes.select("_bin", "_n", F.explode(F.sequence(F.lit(0), F.lit(capacity - 1))).alias("pick"))
     key = F.col("_bin").cast("long") * F.lit(1_000_003) + F.col("pick")
-    picks = picks.withColumn("_row", F.floor(uniform_column(key, 0, seed) * F.col("_n")))
+    picks = with_uniforms(picks, key, {"_u": 0}, seed).withColumn("_row", F.floor(F.col("_u") * F.col("_n")))
     joined = ranked.join(picks, (ranked[by] == picks["_bin"]) & (ranked["rn"] == picks["_row"]))
     return joined.select("pick", *samples.columns)
 
@@ -128,15 +131,13 @@ def start_from_pool(samples: DataFrame, pool: int, seed: int) -> DataFrame:
     """
     counts = sorted((r["bin"], r["count"]) for r in samples.groupBy("bin").count().collect())
     total = sum(c for _, c in counts)
-    draw = samples.sparkSession.range(1).select(
-        uniform_column(F.lit(0), 0, seed).alias("a"), uniform_column(F.lit(0), 1, seed).alias("b")
-    ).first()
-    rank = int(draw["a"] * min(pool, total))
+    u_rank, u_row = (float(uniform(np.zeros(1), c, seed)[0]) for c in (0, 1))
+    rank = int(u_rank * min(pool, total))
     for b, c in counts:
         if rank < c:
             break
         rank -= c
     inside = samples.where(F.col("bin") == b)
     ranked = global_rank(inside.select("bin", "id"), [], ["id"], label="start")
-    chosen = ranked.where(F.col("rn") == int(draw["b"] * c)).select("id")
+    chosen = ranked.where(F.col("rn") == int(u_row * c)).select("id")
     return inside.join(F.broadcast(chosen), "id")

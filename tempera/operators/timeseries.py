@@ -143,6 +143,16 @@ def log_likelihood(by_period: DataFrame, lags: int = 0) -> DataFrame:
     return by_period.where(F.col("t") >= lags).groupBy("series").agg(F.sum("loglik").alias("loglik"))
 
 
+def as_series(df: DataFrame, key: str, quarter: str, value: str, first: int, periods: int) -> DataFrame:
+    """One row per key: (series, y), y running over the whole calendar with zeros where nothing happened."""
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col(quarter), F.col(value))))
+    filled = F.transform(
+        F.sequence(F.lit(first), F.lit(first + periods - 1)),
+        lambda q: F.coalesce(F.element_at(F.col("_m"), q.cast("long")), F.lit(0.0)),
+    )
+    return df.groupBy(F.col(key).cast("long").alias("series")).agg(entries.alias("_m")).select("series", filled.alias("y"))
+
+
 def base_regime_probability(probabilities: DataFrame, keys: list[str], base: list[str], p: str) -> DataFrame:
     """Marginal of a base regime variable: grand-regime probabilities summed."""
     return probabilities.groupBy(*keys, *base).agg(F.sum(p).alias("probability"))

@@ -20,23 +20,18 @@ from tempera.operators.climb import WALL, hill_climb
 from tempera.operators.energy import temperatures
 from tempera.operators.starters import draw_pool, farthest_first
 from tempera.operators.store import SampleStore
-from tempera.operators.tuning import TuneSettings, one_pass_after, one_pass_before
+from tempera.operators.tuning import TuneSettings, one_pass_after, one_pass_before, sample_blocks, tuned_blocks
 from tempera.plans.settings import RunSettings
 from tempera.plans.staging import materialize
 
 
-def collect_pool(store: SampleStore, level: int, bounds: list, temperature: float, settings: RunSettings) -> JumpPool:
-    """Jump candidates of a level: ``pool_capacity`` uniform picks per bin, never more."""
-    rows = (
-        draw_pool(store.scan(level).select("bin", "id", "data", "weight"), settings.pool_capacity, settings.seed + level)
-        .select("bin", "pick", "data", "weight")
-        .toPandas()
-        .sort_values(["bin", "pick"])
-    )
-    sizes = rows.groupby("bin").size().reindex(range(len(bounds)), fill_value=0).to_numpy()
+def pool_from_rows(picks: DataFrame, lower_bounds: list[float], temperature: float) -> JumpPool:
+    """Pack drawn picks (bin, pick, data, weight) for the chains; bins x capacity rows by construction."""
+    rows = picks.select("bin", "pick", "data", "weight").toPandas().sort_values(["bin", "pick"])
+    sizes = rows.groupby("bin").size().reindex(range(len(lower_bounds)), fill_value=0).to_numpy()
     return JumpPool(
         temperature=temperature,
-        lower=np.array(bounds),
+        lower=np.array(lower_bounds),
         start=np.concatenate([[0], np.cumsum(sizes)[:-1]]),
         size=sizes,
         x=np.stack(rows["data"].to_numpy()),
@@ -46,10 +41,9 @@ def collect_pool(store: SampleStore, level: int, bounds: list, temperature: floa
 
 def _deposit(store: SampleStore, draws: DataFrame, level: int, offset: int, chain_count: int) -> None:
     """New draws wait in bin 0 until the level is binned."""
-    ident = F.lit(offset) + F.col("iter") * chain_count + F.col("_order")
-    numbered = draws.withColumn("_order", F.col("chain"))
+    ident = F.lit(offset) + F.col("iter") * chain_count + F.col("chain")
     store.deposit(
-        numbered.select(ident.alias("id"), "data", "weight", F.lit(level).alias("level"), F.lit(0).alias("bin"))
+        draws.select(ident.alias("id"), "data", "weight", F.lit(level).alias("level"), F.lit(0).alias("bin"))
     )
 
 
@@ -109,8 +103,6 @@ def run_ladder(
             blocks = one_pass_before(leads, groups, density, dim, tuning, pool, scheme)
         else:
             shared = pooled_samples.withColumn("_all", F.lit(0))
-            from tempera.operators.tuning import sample_blocks, tuned_blocks
-
             common = sample_blocks(shared, "_all", dim, scheme)[0]
             blocks = tuned_blocks(leads, density, {g: common for g in groups}, tuning, pool)
 
@@ -140,7 +132,10 @@ def run_ladder(
         rows = bin_bounds(binned).orderBy("bin").collect()
         out += rows
         store.rebin(level, spark.createDataFrame(rows, binned_schema()))
-        pool = collect_pool(store, level, [r["lo"] for r in rows], t, settings)
+        picks = draw_pool(
+            store.scan(level).select("bin", "id", "data", "weight"), settings.pool_capacity, settings.seed + level
+        )
+        pool = pool_from_rows(picks, [r["lo"] for r in rows], t)
         if settings.save_space and level + 2 <= settings.top:
             store.drop_level(level + 2)
     return spark.createDataFrame(out, binned_schema()) if out else spark.createDataFrame([], binned_schema())
