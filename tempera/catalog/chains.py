@@ -240,13 +240,16 @@ def _fit_starts(spark, sf_dir):
 
 @query(
     "hill_climb",
-    """SELECT user_id AS id, round(avg(value / 10), 3) AS mean, round(0.5 * ln(var_pop(value / 10)), 3) AS log_sd
-    FROM events GROUP BY user_id HAVING var_pop(value) > 0""",
+    """WITH m AS (SELECT user_id AS id, avg(value / 10) AS mean, stddev_pop(value / 10) AS sd FROM events GROUP BY user_id HAVING var_pop(value) > 0)
+    SELECT id, round(mean / sd, 4) AS mean_to_sd, round(ln(sd), 4) AS log_sd FROM m""",
 )
 def hill_climb(spark, sf_dir):
     """A quasi-Newton climb per user to the normal fit of that user's values."""
     ends = climb.hill_climb(_fit_starts(spark, sf_dir), _normal_fit_objective, crit=1e-13, max_iter=200)
-    return ends.select("id", rounded(F.col("data")[0], 3).alias("mean"), rounded(F.col("data")[1], 3).alias("log_sd"))
+    mean, log_sd = F.col("data")[0], F.col("data")[1]
+    return ends.select(
+        "id", rounded(mean / F.exp(log_sd), 4).alias("mean_to_sd"), rounded(log_sd, 4).alias("log_sd")
+    )
 
 
 @query(

@@ -16,6 +16,10 @@ from tempera.functions.logmath import squared_distance, vector_literal
 from tempera.operators.ranking import global_rank, k_most_weight, rows_at_ranks
 
 
+class TooFewSamples(ValueError):
+    pass
+
+
 def _best_first() -> list[Column]:
     return [F.col("weight").desc(), F.col("id").asc()]
 
@@ -44,7 +48,7 @@ def best_share(samples: DataFrame, k: int, share: float) -> tuple[DataFrame, int
     """Samples in the best ``share`` (at least k of them), with that count and the total."""
     n = samples.count()
     if n < k:
-        raise ValueError(f"{n} samples cannot give {k} starters")
+        raise TooFewSamples(f"{n} samples cannot give {k} starters")
     take = max(k, math.ceil(share * n))
     if take >= n:
         return samples, n, n
@@ -54,9 +58,8 @@ def best_share(samples: DataFrame, k: int, share: float) -> tuple[DataFrame, int
 
 def _farthest(candidates: DataFrame, chosen: list) -> list:
     """Candidate with the largest summed squared distance to the chosen ones."""
-    total = F.lit(0.0)
-    for row in chosen:
-        total = total + squared_distance(F.col("data"), vector_literal(row["data"]))
+    centres = F.array(*[vector_literal(row["data"]) for row in chosen])
+    total = F.aggregate(centres, F.lit(0.0), lambda acc, c: acc + squared_distance(F.col("data"), c))
     best = candidates.agg(
         F.max_by(F.struct("id", "weight", "data"), F.struct(F.round(total, 9), -F.col("id"))).alias("b")
     ).first()["b"]

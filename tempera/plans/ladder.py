@@ -18,7 +18,7 @@ from tempera.operators.binning import bin_bounds, equal_count_ranked
 from tempera.operators.chains import JumpPool, LogDensity, Schedule, simulate
 from tempera.operators.climb import WALL, hill_climb
 from tempera.operators.energy import temperatures
-from tempera.operators.starters import draw_pool, farthest_first
+from tempera.operators.starters import TooFewSamples, draw_pool, farthest_first
 from tempera.operators.store import SampleStore
 from tempera.operators.tuning import TuneSettings, one_pass_after, one_pass_before, sample_blocks, tuned_blocks
 from tempera.plans.settings import RunSettings
@@ -39,12 +39,9 @@ def pool_from_rows(picks: DataFrame, lower_bounds: list[float], temperature: flo
     )
 
 
-def _deposit(store: SampleStore, draws: DataFrame, level: int, offset: int, chain_count: int) -> None:
-    """New draws wait in bin 0 until the level is binned."""
+def _numbered(draws: DataFrame, level: int, offset: int, chain_count: int) -> DataFrame:
     ident = F.lit(offset) + F.col("iter") * chain_count + F.col("chain")
-    store.deposit(
-        draws.select(ident.alias("id"), "data", "weight", F.lit(level).alias("level"), F.lit(0).alias("bin"))
-    )
+    return draws.select(ident.alias("id"), "data", "weight", F.lit(level).alias("level"))
 
 
 def seed_level(starts: DataFrame, density: LogDensity, store: SampleStore, level: int) -> int:
@@ -81,7 +78,7 @@ def run_ladder(
     if climb_starts is not None:
         seed_level(climb_starts, density, store, settings.levels)
 
-    pool, pooled_samples, out, offsets = None, None, [], {}
+    pool, pooled_samples, out = None, None, []
     for level in range(settings.top, settings.level_low - 1, -1):
         t = ladder[level]
         starts = [list(mode)] * len(groups)
@@ -89,8 +86,11 @@ def run_ladder(
         has_above = (climb_starts is not None or above <= settings.top) and not store.is_empty(above)
         if has_above:
             upper = store.scan(above).select("id", "data", "weight")
-            if upper.count() >= len(groups):
-                starts = [r["data"] for r in farthest_first(upper, len(groups), settings.start_share).orderBy("pick").collect()]
+            try:
+                picked = farthest_first(upper, len(groups), settings.start_share)
+                starts = [r["data"] for r in picked.orderBy("pick").collect()]
+            except TooFewSamples:
+                pass  # all groups start from the mode
         leads = spark.createDataFrame(
             [(g, level, t, [float(v) for v in s], g) for g, s in zip(groups, starts)],
             "chain long, level int, temperature double, start array<double>, grp long",
@@ -119,19 +119,21 @@ def run_ladder(
         blocks = one_pass_after(leads, within, "grp", density, dim, tuning, pool, scheme)
 
         main = replace(base, draws=math.ceil(settings.draws / total), seed=base.seed + 5)
-        draws = simulate(tasks, density, main, blocks, pool)
-        _deposit(store, draws, level, 0, total)
-        offsets[level] = main.draws * total
+        drawn = _numbered(simulate(tasks, density, main, blocks, pool), level, 0, total)
         if level == 0:
+            store.deposit(drawn.withColumn("bin", F.lit(0)))
             continue
+        drawn = materialize(drawn, "level")
         second = replace(base, draws=math.ceil(settings.covariance_draws / total), seed=base.seed + 7)
-        pooled_samples = materialize(simulate(tasks, density, second, blocks, pool), "covariance-pooled")
-        _deposit(store, pooled_samples, level, offsets[level], total)
-
-        binned = equal_count_ranked(store.scan(level).select("level", "id", "weight"), settings.levels)
+        pooled_samples = materialize(
+            _numbered(simulate(tasks, density, second, blocks, pool), level, main.draws * total, total),
+            "covariance-pooled",
+        )
+        samples = drawn.unionByName(pooled_samples)
+        binned = equal_count_ranked(samples.select("level", "id", "weight"), settings.levels)
         rows = bin_bounds(binned).orderBy("bin").collect()
         out += rows
-        store.rebin(level, spark.createDataFrame(rows, binned_schema()))
+        store.deposit_by_energy(samples, spark.createDataFrame(rows, binned_schema()))
         picks = draw_pool(
             store.scan(level).select("bin", "id", "data", "weight"), settings.pool_capacity, settings.seed + level
         )
