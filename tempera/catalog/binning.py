@@ -54,7 +54,7 @@ def uniforms(name: str, source: str, key: str, counter: str, seed: int, out: str
 def bin_equal_count(spark, sf_dir):
     from tempera.operators.evidence import log_sum_exp
 
-    binned = binning.equal_count_ranked(order_samples(spark, sf_dir), BINS)
+    binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS).withColumn("energy", -F.col("weight"))
     by = ["level", "bin"]
     bounds = binned.groupBy(*by).agg(
         F.min("energy").alias("lo"), F.max("energy").alias("hi"), F.count(F.lit(1)).alias("n"),
@@ -80,7 +80,7 @@ def bin_equal_count(spark, sf_dir):
 def bin_lookup(spark, sf_dir):
     """Every sample's bin among the bounds of the level above; without bounds it is bin 0."""
     samples = order_samples(spark, sf_dir)
-    bounds = binning.bin_bounds(binning.equal_count_ranked(samples, BINS))
+    bounds = binning.equal_count_bounds(samples, BINS)
     looked = binning.attach_bounds(samples, bounds, F.col("level") + 1).select(
         "level", (-F.col("weight")).alias("energy"),
         binning.bin_index(-F.col("weight"), F.col("lower_bounds")).alias("bin"),
@@ -313,9 +313,8 @@ def random_start_from_k_best(spark, sf_dir):
     FROM inside JOIN chosen ON inside.k = chosen.pick""",
 )
 def random_start_from_pool(spark, sf_dir):
-    level = binning.equal_count_ranked(order_samples(spark, sf_dir), BINS).where("level = 2").select(
-        "id", "bin", (-F.col("energy")).alias("weight")
-    )
+    samples = order_samples(spark, sf_dir).where("level = 2")
+    level = binning.equal_count_bins(samples, BINS).select("id", "bin", "weight")
     return starters.start_from_pool(level, 1000, 23).select("id", F.col("bin").cast("long"), rounded("weight").alias("weight"))
 
 
@@ -331,9 +330,8 @@ def random_start_from_pool(spark, sf_dir):
 )
 def random_draw_pool(spark, sf_dir):
     """500 uniform picks with replacement from every bin of one level."""
-    level = binning.equal_count_ranked(order_samples(spark, sf_dir), BINS).where("level = 1").select(
-        "id", "bin", (-F.col("energy")).alias("weight")
-    )
+    samples = order_samples(spark, sf_dir).where("level = 1")
+    level = binning.equal_count_bins(samples, BINS).select("id", "bin", "weight")
     return starters.draw_pool(level, 500, 29).select(
         F.col("bin").cast("long"), F.col("pick").cast("long"), "id", rounded("weight").alias("weight")
     )
@@ -346,7 +344,7 @@ def random_draw_pool(spark, sf_dir):
 )
 def level_bin_counts(spark, sf_dir):
     """Counts of a store filled by bin, read back from its partitions after compaction."""
-    store, _ = _filled_store(spark, sf_dir)
+    store = _filled_store(spark, sf_dir)
     store.compact(0)
     return store.counts().select(F.col("level").cast("long"), F.col("bin").cast("long"), "n")
 
@@ -355,11 +353,9 @@ def _filled_store(spark, sf_dir):
     import uuid
 
     store = SampleStore.in_shared_folder(spark, f"orders-{uuid.uuid4().hex}", capacity=1000)
-    binned = binning.equal_count_ranked(order_samples(spark, sf_dir), BINS)
-    store.deposit(
-        binned.select("id", F.array("energy").alias("data"), (-F.col("energy")).alias("weight"), "level", "bin")
-    )
-    return store, binned
+    binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS)
+    store.deposit(binned.select("id", F.array(-F.col("weight")).alias("data"), "weight", "level", "bin"))
+    return store
 
 
 @query(
@@ -368,7 +364,7 @@ def _filled_store(spark, sf_dir):
     FROM binned WHERE level = 3""",
 )
 def store_level_scan(spark, sf_dir):
-    store, _ = _filled_store(spark, sf_dir)
+    store = _filled_store(spark, sf_dir)
     return store.scan(3).select("id", F.col("bin").cast("long"), rounded(F.col("data")[0]).alias("x"), rounded("weight").alias("weight"))
 
 
@@ -379,7 +375,7 @@ def store_level_scan(spark, sf_dir):
 )
 def store_after_drop(spark, sf_dir):
     """Bins and samples per level once the hottest level has been freed."""
-    store, _ = _filled_store(spark, sf_dir)
+    store = _filled_store(spark, sf_dir)
     store.drop_level(4)
     return store.scan().groupBy(F.col("level").cast("long")).agg(
         F.countDistinct("bin").alias("bins"), F.count(F.lit(1)).alias("n")

@@ -182,7 +182,7 @@ def equi_energy_ladder(spark, sf_dir):
     n = roster.count()
     settings = RunSettings(
         levels=3, t_low=1.0, t_high=30.0, thin=2, sweeps_per_draw=4, draws=10 * n, burn_in=20,
-        covariance_draws=10 * n, period=20, max_period=40, pool_capacity=500, seed=5,
+        covariance_draws=2 * n, period=20, max_period=40, pool_capacity=500, seed=5,
     )
     store = SampleStore.in_shared_folder(spark, f"ladder-{uuid.uuid4().hex}")
     run_ladder(roster, density, [float(v) for v in mu.mean(axis=0)], store, settings)
@@ -203,7 +203,7 @@ def hybrid_jump_counts(spark, sf_dir):
     )
     hot = tasks.withColumn("level", F.lit(1)).withColumn("temperature", F.lit(20.0))
     above = chains.simulate(hot, density, chains.Schedule(draws=20, burn_in=20, seed=61), [0.1 * np.eye(2)])
-    from tempera.operators.binning import bin_bounds, equal_count_ranked
+    from tempera.operators.binning import assign_equal_count, equal_count_bounds
     from tempera.operators.starters import draw_pool
     from tempera.plans.ladder import pool_from_rows
     from tempera.plans.staging import materialize
@@ -214,9 +214,9 @@ def hybrid_jump_counts(spark, sf_dir):
         ),
         "hot",
     )
-    binned = equal_count_ranked(stored, 5)
-    lows = [r["lo"] for r in bin_bounds(binned).orderBy("bin").collect()]
-    picks = draw_pool(stored.join(binned.select("id", "bin"), "id").select("bin", "id", "data", "weight"), 400, 67)
+    bounds = equal_count_bounds(stored, 5)
+    lows = [r["lo"] for r in bounds.orderBy("bin").collect()]
+    picks = draw_pool(assign_equal_count(stored, bounds).select("bin", "id", "data", "weight"), 400, 67)
     pool = pool_from_rows(picks, lows, 20.0)
     plan = chains.Schedule(draws=20, thin=3, burn_in=10, seed=71)
     draws = chains.simulate(tasks, density, plan, [0.03 * np.eye(2)], pool)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tempera.catalog.registry import query, rounded, table
 from tempera.functions import logmath
 from tempera.functions.logmath import HALF_LOG_2PI
-from tempera.operators import evidence, ranking
+from tempera.operators import evidence, selection
 from tempera.plans.adapters import evidence_draws
 
 DRAWS = f"""
@@ -151,12 +151,14 @@ def evidence_bridge(spark, sf_dir):
     f"""WITH {DRAWS} SELECT round({_TOP30}, 9) AS best30, round({_DECILE}, 9) AS decile""",
 )
 def kth_largest_kernel(spark, sf_dir):
-    """The 30th best proposal kernel and the top-decile posterior kernel, the latter by exact rank."""
+    """The 30th best proposal kernel and the top-decile posterior kernel, the latter by rank selection."""
     draws = evidence_draws(spark, sf_dir)
     posterior = draws.where("src = 'posterior'")
     m = posterior.count()
-    cut = ranking.rows_at_ranks(posterior, [F.col("ln_k").desc(), F.col("id").asc()], [m // 10 - 1], ["ln_k", "id"])
-    pair = (ranking.kth_largest(draws.where("src = 'proposal'"), "ln_k", "id", 30), cut[m // 10 - 1][0])
+    pair = (
+        selection.kth_largest(draws.where("src = 'proposal'"), "ln_k", "id", 30),
+        selection.kth_largest(posterior, "ln_k", "id", m // 10),
+    )
     return spark.createDataFrame([pair], "best30 double, decile double").select(
         rounded("best30", 9).alias("best30"), rounded("decile", 9).alias("decile")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tempera.catalog.binning import BINS, RANKED
 from tempera.catalog.registry import query, rounded, table
-from tempera.operators.binning import bin_bounds, equal_count_ranked
+from tempera.operators.binning import equal_count_bounds
 from tempera.operators.store import SampleStore
 from tempera.plans.adapters import order_samples, vector_samples
 from tempera.plans.staging import staged_path
@@ -101,7 +101,7 @@ def tagged_sections(spark, sf_dir):
 def streamed_deposits(spark, sf_dir):
     """Orders streamed into the store, each batch binned by the energy bounds of its level."""
     samples = order_samples(spark, sf_dir)
-    bounds = bin_bounds(equal_count_ranked(samples, BINS))
+    bounds = equal_count_bounds(samples, BINS)
     schema = table(spark, sf_dir, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     arriving = stream.select(

@@ -11,7 +11,7 @@ from tempera.catalog.binning import SAMPLES, uniforms
 from tempera.catalog.registry import query, rounded, table
 from tempera.functions import logmath
 from tempera.functions.logmath import HALF_LOG_2PI
-from tempera.operators import distribution, moments, ranking, starters
+from tempera.operators import distribution, moments, selection, starters
 from tempera.plans.adapters import order_samples, vector_samples
 from tempera.schema import NEG_INF
 
@@ -260,7 +260,7 @@ def forecast_percentiles(spark, sf_dir):
     paths = table(spark, sf_dir, "orders").select(
         quarter_of(F.col("o_orderdate")).alias("dt"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("id")
     )
-    out = ranking.exact_percentiles(paths, ["dt"], "v", "id", [0.16, 0.5, 0.84])
+    out = selection.exact_percentiles(paths, ["dt"], "v", "id", [0.16, 0.5, 0.84])
     return out.select("dt", "p", rounded("value").alias("value"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tempera.operators.energy import geometric_points
 from tempera.operators.ranking import global_rank
+from tempera.operators.selection import select_ranks
 from tempera.plans.sizing import small_side
+from tempera.plans.staging import materialize
 
 
 def bin_index(energy: Column, lower_bounds: Column) -> Column:
@@ -38,6 +41,43 @@ def assign_bins(df: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
+def _equal_chunks(n: int, bins: int) -> list[tuple[int, int]]:
+    """First and last rank of every chunk of ceil(n / bins); a lone leftover joins the chunk before it."""
+    size = -(-n // bins)
+    starts = list(range(0, n, size))
+    if len(starts) > 1 and starts[-1] == n - 1:
+        starts.pop()
+    return list(zip(starts, [s - 1 for s in starts[1:]] + [n - 1]))
+
+
+def equal_count_bounds(df: DataFrame, bins: int) -> DataFrame:
+    """Bounds of equal-count bins: (level, bin, lo, lo_id, hi, n), by rank selection, without a sort."""
+    slim = df.select("level", (-F.col("weight")).alias("energy"), "id")
+    edges = select_ranks(slim, ["level"], "energy", "id", lambda n: [r for c in _equal_chunks(n, bins) for r in c])
+    at = {(r["level"], r["rank"]): r for r in edges.collect()}
+    rows = []
+    for level, n in {(r["level"], r["n"]) for r in at.values()}:
+        for b, (first, last) in enumerate(_equal_chunks(n, bins)):
+            lo, hi = at[level, first], at[level, last]
+            rows.append((level, b, lo["energy"], lo["id"], hi["energy"], last - first + 1))
+    return df.sparkSession.createDataFrame(sorted(rows), "level int, bin int, lo double, lo_id long, hi double, n long")
+
+
+def assign_equal_count(df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Bin of every sample by its (energy, id) against the bins' first samples."""
+    packed = bounds.groupBy(F.col("level").alias("_level")).agg(
+        F.collect_list(F.struct("lo", "lo_id")).alias("_firsts")
+    )
+    joined = df.join(small_side(packed), F.col("level") == F.col("_level"))
+    here = F.struct((-F.col("weight")).alias("lo"), F.col("id").cast("long").alias("lo_id"))
+    reached = F.size(F.filter("_firsts", lambda b: b <= here))
+    return joined.withColumn("bin", (reached - 1).cast("int")).drop("_level", "_firsts")
+
+
+def equal_count_bins(df: DataFrame, bins: int) -> DataFrame:
+    return assign_equal_count(df, equal_count_bounds(df, bins))
+
+
 def equal_count_ranked(df: DataFrame, bins: int) -> DataFrame:
     """Every (level, id) with its energy rank ``rn``, level size ``n``, chunk size and bin.
 
@@ -79,8 +119,6 @@ def geometric_bounds(df: DataFrame, bins: int) -> DataFrame:
 
 def width_for_acceptance(t_here: float, t_above: float, accept: float) -> float:
     """Widest bin that keeps the worst-case jump acceptance at or above ``accept``."""
-    import math
-
     return -math.log(accept) / (1.0 / t_here - 1.0 / t_above)
 
 
@@ -108,8 +146,6 @@ def adaptive_bounds(df: DataFrame, min_bins: int, max_width: float) -> DataFrame
     round looks up, for all levels at once, the candidate ranks of the next
     bin (n/2**j positions), so the driver holds one cursor per level.
     """
-    from tempera.plans.staging import materialize
-
     slim = df.select("level", (-F.col("weight")).alias("energy"), "id")
     ranked = materialize(
         global_rank(slim, ["level"], ["energy", "id"], label="adaptive").select("level", "rn", "energy", "n"),

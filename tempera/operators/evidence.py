@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempera.operators.ranking import kth_largest
+from tempera.operators.selection import kth_largest
 from tempera.plans.staging import materialize
 from tempera.schema import NEG_INF, POS_INF
 

@@ -71,38 +71,3 @@ def global_rank(
     return placed.join(fragments, same).select(
         *df.columns, (F.col(pos) + F.col("_shift")).alias(out), F.col(total)
     )
-
-
-def rows_at_ranks(df: DataFrame, order: list, ranks: list[int], keep: list[str]) -> dict[int, tuple]:
-    """The rows at a handful of ranks of the whole frame; only those rows reach the driver."""
-    ranked = global_rank(df.select(*keep), [], order, label="cut")
-    found = ranked.where(F.col("rn").isin([int(r) for r in ranks])).collect()
-    return {r["rn"]: tuple(r[c] for c in keep) for r in found}
-
-
-def kth_largest(df: DataFrame, value: str, tie: str, k: int) -> float:
-    """k-th largest (1-based). Small k is a bounded top-k; otherwise exact ranks."""
-    if k <= 10_000:
-        row = (
-            df.select(value).orderBy(F.col(value).desc()).limit(k).agg(F.min(value).alias("v")).first()
-        )
-        return row["v"]
-    rows = rows_at_ranks(df, [F.col(value).desc(), F.col(tie).asc()], [k - 1], [value, tie])
-    return rows[k - 1][0]
-
-
-def exact_percentiles(df: DataFrame, by: list[str], value: str, tie: str, levels: list[float]) -> DataFrame:
-    """Linearly interpolated percentiles from exact ranks."""
-    ranked = global_rank(df.select(*by, value, tie), by, [value, tie], label="percentile")
-    points = F.array(*[F.lit(float(p)) for p in levels])
-    near = ranked.select(*by, value, "rn", "n", F.explode(points).alias("p")).withColumn(
-        "h", F.col("p") * (F.col("n") - 1)
-    )
-    # A row takes part in percentile p only when it sits right below or above position h.
-    near = near.where((F.col("rn") >= F.floor("h")) & (F.col("rn") <= F.ceil("h")))
-    lower = F.max(F.when(F.col("rn") == F.floor("h"), F.col(value)))
-    upper = F.max(F.when(F.col("rn") == F.ceil("h"), F.col(value)))
-    out = near.groupBy(*by, "p").agg(
-        lower.alias("_lo"), upper.alias("_hi"), F.max(F.col("h") - F.floor("h")).alias("_w")
-    )
-    return out.select(*by, "p", (F.col("_lo") + F.col("_w") * (F.col("_hi") - F.col("_lo"))).alias("value"))

@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 
 from tempera.functions.counter_rng import uniform, with_uniforms
 from tempera.functions.logmath import squared_distance, vector_literal
-from tempera.operators.ranking import global_rank, k_most_weight, rows_at_ranks
+from tempera.operators.ranking import global_rank, k_most_weight
+from tempera.operators.selection import select_ranks
 
 
 class TooFewSamples(ValueError):
     pass
 
 
-def _best_first() -> list[Column]:
-    return [F.col("weight").desc(), F.col("id").asc()]
+def _best_at(samples: DataFrame, ranks: list[int]) -> dict[int, tuple]:
+    """(weight, id) of the samples at the given ranks, best first."""
+    slim = samples.select((-F.col("weight")).alias("energy"), "id")
+    rows = select_ranks(slim, [], "energy", "id", lambda n: ranks).collect()
+    return {r["rank"]: (-r["energy"], r["id"]) for r in rows}
 
 
 def _not_after(cut: tuple) -> Column:
@@ -52,8 +56,7 @@ def best_share(samples: DataFrame, k: int, share: float) -> tuple[DataFrame, int
     take = max(k, math.ceil(share * n))
     if take >= n:
         return samples, n, n
-    cut = rows_at_ranks(samples, _best_first(), [take - 1], ["weight", "id"])[take - 1]
-    return samples.where(_not_after(cut)), take, n
+    return samples.where(_not_after(_best_at(samples, [take - 1])[take - 1])), take, n
 
 
 def _farthest(candidates: DataFrame, chosen: list) -> list:
@@ -83,7 +86,7 @@ def farthest_in_bands(samples: DataFrame, k: int, share: float = 0.20) -> DataFr
     if take == k:
         return _as_frame(samples, k_most_weight(samples, k).select("id", "weight", "data").collect())
     ends = [take * i // k for i in range(1, k)]
-    edges = rows_at_ranks(pool, _best_first(), [0] + [max(e - 1, 0) for e in ends], ["weight", "id"])
+    edges = _best_at(pool, [0] + [max(e - 1, 0) for e in ends])
     chosen = k_most_weight(pool, 1).select("id", "weight", "data").collect()
     begin = 1
     for end in ends:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.operators.binning import bin_bounds, equal_count_ranked
+from tempera.operators.binning import equal_count_bounds
 from tempera.operators.chains import JumpPool, LogDensity, Schedule, simulate
 from tempera.operators.climb import WALL, hill_climb
 from tempera.operators.energy import temperatures
@@ -130,8 +130,7 @@ def run_ladder(
             "covariance-pooled",
         )
         samples = drawn.unionByName(pooled_samples)
-        binned = equal_count_ranked(samples.select("level", "id", "weight"), settings.levels)
-        rows = bin_bounds(binned).orderBy("bin").collect()
+        rows = equal_count_bounds(samples, settings.levels).orderBy("bin").drop("lo_id").collect()
         out += rows
         store.deposit_by_energy(samples, spark.createDataFrame(rows, binned_schema()))
         picks = draw_pool(
