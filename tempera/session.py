@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    Jobs submitted with ``--py-files`` do not need it; shipping twice does no harm.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tempera-py-"), "tempera.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tempera", os.path.relpath(full, root)))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
 
 def get_session(app: str = "tempera", cores: str = "*", checkpoint_dir: str | None = None) -> SparkSession:
     builder = (
@@ -21,4 +47,5 @@ def get_session(app: str = "tempera", cores: str = "*", checkpoint_dir: str | No
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
