@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempera.catalog.registry import query, rounded
 from tempera.operators import binning, energy, ranking, starters
+from tempera.operators.evidence import log_sum_exp
 from tempera.operators.store import SampleStore
 from tempera.plans.adapters import LEVELS, order_samples
 
@@ -52,18 +53,14 @@ def uniforms(name: str, source: str, key: str, counter: str, seed: int, out: str
     FROM bounds JOIN top USING (level, bin) JOIN l USING (level, bin)""",
 )
 def bin_equal_count(spark, sf_dir):
-    from tempera.operators.evidence import log_sum_exp
-
-    binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS).withColumn("energy", -F.col("weight"))
-    by = ["level", "bin"]
-    bounds = binned.groupBy(*by).agg(
-        F.min("energy").alias("lo"), F.max("energy").alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.min_by("id", F.struct("energy", "id")).alias("best_id"),
-    )
-    lse = log_sum_exp(binned, by, -F.col("energy")).drop("n")
-    return bounds.join(lse, by).select(
-        F.col("level").cast("long"), F.col("bin").cast("long"), "n",
-        rounded("lo").alias("lo"), rounded("hi").alias("hi"), "best_id", rounded("lse").alias("lse"),
+    samples = order_samples(spark, sf_dir)
+    bounds = binning.equal_count_bounds(samples, BINS)
+    binned = binning.assign_equal_count(samples, bounds)
+    lse = log_sum_exp(binned, ["level", "bin"], F.col("weight")).drop("n")
+    # A bin's first sample in energy order is its best one.
+    return lse.join(F.broadcast(bounds), ["level", "bin"]).select(
+        F.col("level").cast("long"), F.col("bin").cast("long"), "n", rounded("lo").alias("lo"),
+        rounded("hi").alias("hi"), F.col("lo_id").alias("best_id"), rounded("lse").alias("lse"),
     )
 
 

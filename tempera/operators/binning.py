@@ -169,7 +169,8 @@ def adaptive_bounds(df: DataFrame, min_bins: int, max_width: float) -> DataFrame
             wanted += [(level, start + s) for s in {0, *steps}]
         probes = F.broadcast(spark.createDataFrame(wanted, "level int, rn long"))
         energy = {
-            (r["level"], r["rn"]): r["energy"] for r in ranked.join(probes, ["level", "rn"]).collect()
+            (r["level"], r["rn"]): r["energy"]
+            for r in ranked.where(F.col("rn").isin(sorted({w[1] for w in wanted}))).join(probes, ["level", "rn"]).collect()
         }
         for level, steps in steps_of.items():
             start, n = cursor[level], sizes[level]

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tempera.functions import counter_rng
@@ -122,6 +123,24 @@ def _blocks_for(pdf: pd.DataFrame, blocks) -> list[np.ndarray]:
     return [np.stack([b[i] for b in per_chain]) for i in range(len(per_chain[0]))]
 
 
+def _pack(pdf: pd.DataFrame, held: list[tuple]) -> pa.RecordBatch:
+    """Held draws of one batch of chains as Arrow columns."""
+    times, points, weights, ee, mh = zip(*held)
+    n, dim = points[0].shape
+    flat = pa.array(np.concatenate(points).ravel())
+    ends = pa.array(np.arange(0, (len(held) * n + 1) * dim, dim, dtype=np.int32))
+    columns = {
+        "chain": np.tile(pdf["chain"].to_numpy(dtype=np.int64), len(held)),
+        "level": np.tile(pdf["level"].to_numpy(dtype=np.int32), len(held)),
+        "iter": np.repeat(np.array(times, dtype=np.int64), n),
+        "data": pa.ListArray.from_arrays(ends, flat, type=pa.list_(pa.field("element", pa.float64(), nullable=False))),
+        "weight": np.concatenate(weights),
+        "ee_jumps": np.concatenate(ee),
+        "mh_jumps": np.concatenate(mh),
+    }
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+
+
 def simulate(
     tasks: DataFrame,
     density: LogDensity,
@@ -137,15 +156,16 @@ def simulate(
     """
     shared = tasks.sparkSession.sparkContext.broadcast(pool) if pool is not None else None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = shared.value if shared is not None else None
-        for pdf in frames:
-            if pdf.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
+            pdf = batch.to_pandas()
             walkers = _Walkers(pdf, density, _blocks_for(pdf, blocks), schedule.seed)
             for _ in range(schedule.burn_in):
                 walkers.sweep()
-            held: list[pd.DataFrame] = []
+            held: list[tuple] = []
             for t in range(schedule.draws):
                 ee = np.zeros(len(pdf), dtype=np.int64)
                 mh = np.zeros(len(pdf), dtype=np.int64)
@@ -153,24 +173,10 @@ def simulate(
                     jumped, moved = walkers.hybrid(above, schedule)
                     ee += jumped
                     mh += moved
-                held.append(
-                    pd.DataFrame(
-                        {
-                            "chain": walkers.keys,
-                            "level": pdf["level"].to_numpy(),
-                            "iter": t,
-                            "data": list(walkers.x.copy()),
-                            "weight": walkers.w.copy(),
-                            "ee_jumps": ee,
-                            "mh_jumps": mh,
-                        }
-                    )
-                )
-                if sum(len(h) for h in held) >= _EMIT_ROWS:
-                    yield pd.concat(held, ignore_index=True)
+                held.append((t, walkers.x.copy(), walkers.w.copy(), ee, mh))
+                if len(held) * len(pdf) >= _EMIT_ROWS or t == schedule.draws - 1:
+                    yield _pack(pdf, held)
                     held = []
-            if held:
-                yield pd.concat(held, ignore_index=True)
 
-    return tasks.mapInPandas(run, CHAIN_DRAW)
+    return tasks.mapInArrow(run, CHAIN_DRAW)
 

@@ -74,6 +74,7 @@ def propose_jumps(
     from tempera.plans.sizing import small_side
 
     temps = F.array(*[F.lit(float(t)) for t in ladder])
+    bounds = small_side(bounds)
     x = attach_bounds(
         binned.select("level", "id", "energy"),
         bounds.select("level", "bin", "lo"),

@@ -15,6 +15,7 @@ from tempera.functions.counter_rng import uniform, with_uniforms
 from tempera.functions.logmath import squared_distance, vector_literal
 from tempera.operators.ranking import global_rank, k_most_weight
 from tempera.operators.selection import select_ranks
+from tempera.plans.sizing import staged_side
 
 
 class TooFewSamples(ValueError):
@@ -119,14 +120,19 @@ def kmeans_centres(samples: DataFrame, k: int, seed: int, max_iter: int = 100, r
 def draw_pool(samples: DataFrame, capacity: int, seed: int, by: str = "bin") -> DataFrame:
     """``capacity`` uniform picks with replacement from every bin.
 
-    Picks are row numbers, so the large side is only probed on (bin, row).
+    Picks are row numbers, so the large side is only probed on (bin, row);
+    there are (bins x capacity) of them.
     """
-    ranked = global_rank(samples, [by], ["id"], label="pool")
+    ranked = global_rank(samples.select(by, "id"), [by], ["id"], label="pool")
     sizes = ranked.groupBy(F.col(by).alias("_bin")).agg(F.max("n").alias("_n"))
     picks = sizes.select("_bin", "_n", F.explode(F.sequence(F.lit(0), F.lit(capacity - 1))).alias("pick"))
     key = F.col("_bin").cast("long") * F.lit(1_000_003) + F.col("pick")
     picks = with_uniforms(picks, key, {"_u": 0}, seed).withColumn("_row", F.floor(F.col("_u") * F.col("_n")))
-    joined = ranked.join(picks, (ranked[by] == picks["_bin"]) & (ranked["rn"] == picks["_row"]))
+    picks = staged_side(picks.select("_bin", "_row", "pick"), "picks")
+    chosen = ranked.join(picks, (ranked[by] == picks["_bin"]) & (ranked["rn"] == picks["_row"]))
+    # Only now the wide rows: each is read once and kept if one of the few picks names it.
+    chosen = staged_side(chosen.select(F.col(by).alias("_bin"), F.col("id").alias("_id"), "pick"), "chosen")
+    joined = samples.join(chosen, (samples[by] == chosen["_bin"]) & (samples["id"] == chosen["_id"]))
     return joined.select("pick", *samples.columns)
 
 

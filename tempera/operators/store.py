@@ -21,10 +21,12 @@ class SampleStore:
     def in_shared_folder(cls, spark: SparkSession, run_id: str, capacity: int = CAPACITY) -> SampleStore:
         return cls(spark, f"{staging_root(spark)}/tempera/store/{run_id}", capacity)
 
-    def _write(self, df: DataFrame, mode: str) -> None:
+    def _write(self, df: DataFrame, mode: str, placed: bool = False) -> None:
+        # Rebalancing gathers each bin into few files yet splits a bin that is too large for one task.
+        rows = df.select("id", "data", "weight", "level", "bin")
+        rows = rows if placed else rows.hint("rebalance", "level", "bin")
         (
-            df.select("id", "data", "weight", "level", "bin")
-            .write.mode(mode)
+            rows.write.mode(mode)
             .option("maxRecordsPerFile", self.capacity)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("level", "bin")
@@ -61,10 +63,6 @@ class SampleStore:
             "full", F.col("n") >= self.capacity
         )
 
-    def _rewrite(self, df: DataFrame) -> None:
-        staged = materialize(df, "store-rewrite")
-        self._write(staged, "overwrite")
-
     def compact(self, level: int) -> None:
         """Rewrite a level into files of ``capacity`` samples.
 
@@ -74,7 +72,8 @@ class SampleStore:
         """
         ranked = global_rank(self.scan(level).select("level", "bin", "id", "data", "weight"), ["bin"], ["id"])
         sliced = ranked.withColumn("_slice", F.floor(F.col("rn") / self.capacity))
-        self._rewrite(sliced.repartition("bin", "_slice"))
+        staged = materialize(sliced, "compact")  # the files read are about to be replaced
+        self._write(staged.repartition("bin", "_slice"), "overwrite", placed=True)
 
     def rebin(self, level: int, bounds_df: DataFrame) -> None:
         """Move a level's samples into the bins of new bounds."""

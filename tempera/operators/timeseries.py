@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,27 +115,36 @@ def period_log_likelihood(series: DataFrame, model: StateSpace, periods: int) ->
     """
     ny = model.measure.shape[0]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = gains(model, periods)
-        for pdf in frames:
-            if pdf.empty:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            y = np.stack(pdf["y"].to_numpy()).astype(float).reshape(len(pdf), periods, ny)
-            z = np.repeat(model.z0[None], len(pdf), axis=0)
+            y = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float)
+            y = y.reshape(n, periods, ny)
+            z = np.repeat(model.z0[None], n, axis=0)
+            errors, loglik = np.empty((n, periods, ny)), np.empty((n, periods))
             for t, (k, inverse, log_det) in enumerate(steps):
                 e = y[:, t] - model.intercept - z @ model.measure.T
                 quad = np.einsum("ni,ij,nj->n", e, inverse, e)
                 z = z @ model.transition.T + e @ k.T
-                yield pd.DataFrame(
-                    {
-                        "series": pdf["series"],
-                        "t": t,
-                        "loglik": -0.5 * (ny * math.log(2.0 * math.pi) + log_det + quad),
-                        "error": list(e),
-                    }
-                )
-
-    return series.select("series", "y").mapInPandas(run, "series long, t int, loglik double, error array<double>")
+                errors[:, t] = e
+                loglik[:, t] = -0.5 * (ny * math.log(2.0 * math.pi) + log_det + quad)
+            ends = pa.array(np.arange(0, (n * periods + 1) * ny, ny, dtype=np.int32))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(keys, periods)),
+                    pa.array(np.tile(np.arange(periods, dtype=np.int32), n)),
+                    pa.array(loglik.ravel()),
+                    pa.ListArray.from_arrays(ends, pa.array(errors.ravel())),
+                ],
+                names=["series", "t", "loglik", "error"],
+            )
+
+    schema = "series long, t int, loglik double, error array<double>"
+    return series.select("series", "y").mapInArrow(run, schema)
 
 
 def log_likelihood(by_period: DataFrame, lags: int = 0) -> DataFrame:
