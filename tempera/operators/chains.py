@@ -119,7 +119,7 @@ class _Walkers:
 def _blocks_for(pdf: pd.DataFrame, blocks) -> list[np.ndarray]:
     if not isinstance(blocks, dict):
         return blocks
-    per_chain = [blocks[g] for g in pdf["grp"]]
+    per_chain = [blocks[g] for g in pdf["grp" if "grp" in pdf.columns else "chain"]]
     return [np.stack([b[i] for b in per_chain]) for i in range(len(per_chain[0]))]
 
 
