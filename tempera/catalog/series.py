@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tempera.catalog.registry import query, rounded, table
-from tempera.operators import prior, timeseries
+from tempera.operators import prior, target, timeseries
 from tempera.operators.prior import CALIBRATION as CAL
-from tempera.plans.adapters import quarterly_orders
+from tempera.plans.adapters import quarterly_orders, vector_samples
 from tempera.schema import NEG_INF
 
 QUARTER = "year(o_orderdate) + (quarter(o_orderdate) - 1) / 4.0::DOUBLE"
@@ -221,3 +222,60 @@ def feasible_prior_start(spark, sf_dir):
     return ok.select("id", F.posexplode("data").alias("pos", "x"), "log_prior").select(
         "id", F.col("pos").cast("long"), rounded("x").alias("x"), rounded("log_prior").alias("log_prior")
     )
+
+
+# ---- likelihood of one panel at many parameter rows ---------------------------------------------
+_PANEL = f"""b AS (SELECT {QUARTER} AS dt, ln(sum(o_totalprice)) AS y FROM orders GROUP BY 1),
+    y AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS t, y - avg(y) OVER () AS y FROM b),
+    th AS (SELECT vec_id AS id, exp(2 * embedding[1]::DOUBLE - 3) AS lv, exp(2 * embedding[2]::DOUBLE - 3) AS nv,
+                  0.5::DOUBLE + embedding[3]::DOUBLE AS rho, embedding[3] < 0.25 AS ok FROM embeddings),
+    f(id, t, z, p, ll) AS (
+      SELECT id, -1::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM th WHERE ok
+      UNION ALL
+      SELECT f.id, f.t + 1, th.rho * f.z + th.rho * f.p / (f.p + th.nv) * (y.y - f.z),
+             th.rho * th.rho * (f.p - f.p * f.p / (f.p + th.nv)) + th.lv,
+             -0.5 * ({math.log(2 * math.pi)!r}::DOUBLE + ln(f.p + th.nv) + (y.y - f.z) * (y.y - f.z) / (f.p + th.nv))
+      FROM f JOIN th ON th.id = f.id JOIN y ON y.t = f.t + 1)"""
+
+
+def ar_model(x: np.ndarray) -> timeseries.StateSpace:
+    """Autoregressive state observed with noise: log variances and persistence from the first three parameters."""
+    n = len(x)
+
+    def square(v) -> np.ndarray:
+        return np.broadcast_to(v, (n,)).reshape(n, 1, 1).astype(float)
+
+    return timeseries.StateSpace(
+        transition=square(0.5 + x[:, 2]), state_noise=square(np.exp(2 * x[:, 0] - 3)), measure=square(1.0),
+        measure_noise=square(np.exp(2 * x[:, 1] - 3)), intercept=np.zeros((n, 1)), z0=np.zeros((n, 1)), p0=square(1.0),
+    )
+
+
+@query(
+    "parameter_log_likelihood",
+    f"""WITH RECURSIVE {_PANEL}
+    SELECT th.id, CASE WHEN th.ok THEN round((SELECT sum(ll) FROM f WHERE f.id = th.id AND f.t >= {LAGS}), 6) ELSE {NEG_INF!r}::DOUBLE END AS loglik FROM th""",
+)
+def parameter_log_likelihood(spark, sf_dir):
+    """Likelihood of the quarterly log order volume at every embedding read as a parameter row."""
+    total = quarterly_orders(spark, sf_dir, "o_orderpriority").groupBy("dt").agg(F.log(F.sum("value")).alias("y"))
+    y = np.array([r["y"] for r in total.orderBy("dt").collect()])  # as long as the calendar
+    params = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("data"),
+        (F.col("embedding")[2] < 0.25).alias("valid"),
+    )
+    out = timeseries.parameter_log_likelihood(params, ar_model, (y - y.mean())[:, None], LAGS)
+    value = F.when(F.col("loglik") > NEG_INF / 10, rounded("loglik")).otherwise(F.lit(NEG_INF))
+    return out.select("id", value.alias("loglik"))
+
+
+@query(
+    "refreshed_weights",
+    """SELECT vec_id AS id, round(CASE WHEN vec_id % 3 = 0 THEN -100.0::DOUBLE * embedding[1]::DOUBLE * embedding[1]::DOUBLE
+         ELSE -0.5 * list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * embedding[i]::DOUBLE)) END, 9) AS weight FROM embeddings""",
+)
+def refreshed_weights(spark, sf_dir):
+    """Stored weights kept where current, log posterior recomputed where the vector has changed."""
+    samples = vector_samples(spark, sf_dir).select("id", "data", "weight", (F.col("id") % 3 == 0).alias("calculated"))
+    fresh = target.refresh_weights(samples, lambda x, p: -0.5 * np.sum(x * x, axis=1))
+    return fresh.select("id", rounded("weight", 9).alias("weight"))

@@ -50,6 +50,11 @@ CALIBRATION = {
     "lambda_q": 1.01375, "lambda_star": 1.00375, "beta": 0.98, "eta": 0.0, "alpha": 0.3, "theta": 0.75,
 }
 RATE_PARAMETERS = {"lambda_q", "lambda_star", "R"}  # stored as percentage points over one
+# ---- Fixed values: section names of the calibrated values in parameter files --------------------
+SECTIONS = {
+    "R": "R", "by": "by", "ky": "ky", "ik": "ik", "land_e": "qlLeOY", "land_h": "qlLhOY", "lambda_q": "glambdaq",
+    "lambda_star": "glambdastar", "beta": "gbeta", "eta": "geta", "alpha": "galpha", "theta": "gtheta",
+}
 EPSILON = math.sqrt(2.220446049250313e-16)
 
 
@@ -62,9 +67,16 @@ def n_free(code: int) -> int:
     return len(deep_names(code)) + 2 * shocks
 
 
-def structural(x: Column, code: int) -> dict[str, Column]:
+def calibration_from(sections: DataFrame) -> dict[str, float]:
+    """Calibrated values found in a parsed parameter file, defaults for the rest."""
+    rows = sections.where((F.col("ordinal") == 0) & F.col("section").isin(list(SECTIONS.values()))).collect()
+    found = {r["section"]: r["value"] for r in rows}
+    return {k: found.get(SECTIONS[k], v) for k, v in CALIBRATION.items()}
+
+
+def structural(x: Column, code: int, calibration: dict[str, float] = CALIBRATION) -> dict[str, Column]:
     """Free vector to structural parameters; the rest keep their calibrated value."""
-    out = {k: F.lit(v) for k, v in CALIBRATION.items()}
+    out = {k: F.lit(v) for k, v in calibration.items()}
     for i, name in enumerate(deep_names(code)):
         v = F.element_at(x, i + 1)
         if name == "beta":
@@ -75,22 +87,41 @@ def structural(x: Column, code: int) -> dict[str, Column]:
     return out
 
 
-def derived(p: dict[str, Column]) -> dict[str, Column]:
-    """Steady state of the variant with fixed collateral share, in dependency order."""
+def derived(p: dict[str, Column], code: int = 203) -> dict[str, Column]:
+    """Steady state in dependency order.
+
+    Codes from 100 fix the collateral share and derive the debt ratio, lower
+    ones the other way round; codes up to 2 take the discount factor as given
+    and derive the capital share instead.
+    """
     d = dict(p)
+    assets = p["lambda_star"] * p["land_e"] + p["ky"] / p["lambda_q"]
+    if code >= 100:
+        d["by"] = p["theta"] * assets
+    else:
+        d["theta"] = p["by"] / assets
     d["lambda_K"] = p["lambda_q"] * p["lambda_star"]
-    d["by"] = p["theta"] * (p["lambda_star"] * p["land_e"] + p["ky"] / p["lambda_q"])
     d["delta"] = 1.0 - (1.0 - p["ik"]) * d["lambda_K"]
     d["iy"] = p["ik"] * p["ky"]
-    d["C_h"] = 1.0 - p["alpha"] + (1.0 / p["lambda_star"] - 1.0 / p["R"]) * d["by"]
-    d["C_e"] = 1.0 - d["C_h"] - d["iy"]
-    land = p["land_e"] * (1.0 - p["lambda_star"] * p["theta"] / p["R"])
-    capital = p["ky"] * (1.0 - p["lambda_star"] * p["theta"] / (d["lambda_K"] * p["R"]))
-    yields = p["land_e"] * (1.0 - p["theta"]) + p["ky"] * (1.0 - d["delta"] - p["theta"]) / d["lambda_K"]
-    d["beta"] = (land + capital) / (p["alpha"] + yields)
-    d["lambda_a"] = p["lambda_star"] / (d["beta"] * p["R"]) - 1.0
-    d["phi"] = p["land_e"] * (1.0 - d["beta"] * (1.0 + d["lambda_a"] * p["theta"])) / (d["beta"] * p["alpha"])
-    share = (1.0 - d["phi"]) * p["alpha"]
+    if code <= 2:
+        d["lambda_a"] = p["lambda_star"] / (p["beta"] * p["R"]) - 1.0
+        pledge = p["beta"] * d["lambda_a"] * d["theta"]
+        d["alpha"] = (
+            (1.0 - p["beta"] - pledge) * p["land_e"]
+            + (1.0 - (pledge + p["beta"] * (1.0 - d["delta"])) / d["lambda_K"]) * p["ky"]
+        ) / p["beta"]
+        d["C_e"] = d["alpha"] - d["iy"] - d["by"] * (1.0 - p["beta"] * (1.0 + d["lambda_a"])) / p["lambda_star"]
+        d["C_h"] = 1.0 - d["C_e"] - d["iy"]
+    else:
+        d["C_h"] = 1.0 - p["alpha"] + (1.0 / p["lambda_star"] - 1.0 / p["R"]) * d["by"]
+        d["C_e"] = 1.0 - d["C_h"] - d["iy"]
+        land = p["land_e"] * (1.0 - p["lambda_star"] * d["theta"] / p["R"])
+        capital = p["ky"] * (1.0 - p["lambda_star"] * d["theta"] / (d["lambda_K"] * p["R"]))
+        yields = p["land_e"] * (1.0 - d["theta"]) + p["ky"] * (1.0 - d["delta"] - d["theta"]) / d["lambda_K"]
+        d["beta"] = (land + capital) / (p["alpha"] + yields)
+        d["lambda_a"] = p["lambda_star"] / (d["beta"] * p["R"]) - 1.0
+    d["phi"] = p["land_e"] * (1.0 - d["beta"] * (1.0 + d["lambda_a"] * d["theta"])) / (d["beta"] * d["alpha"])
+    share = (1.0 - d["phi"]) * d["alpha"]
     d["lambda_z"] = F.pow(p["lambda_star"], 1.0 - share) * F.pow(p["lambda_q"], -share)
     return d
 
@@ -140,13 +171,17 @@ def log_prior(x: Column, code: int) -> Column:
     return total
 
 
-def evaluate(params: DataFrame, code: int = 203, vector: str = "data") -> DataFrame:
+def evaluate(
+    params: DataFrame, code: int = 203, vector: str = "data", calibration: dict[str, float] = CALIBRATION
+) -> DataFrame:
     """Structural and derived values, validity and log prior (impossible when invalid)."""
     x = F.col(vector)
-    d = derived(structural(x, code))
-    keep = ["lambda_q", "lambda_star", "beta", "lambda_a", "phi", "lambda_z", "C_h", "C_e", "by", "delta"]
+    d = derived(structural(x, code, calibration), code)
+    keep = [
+        "lambda_q", "lambda_star", "R", "beta", "alpha", "theta", "lambda_a", "phi", "lambda_z", "C_h", "C_e", "by", "delta",
+    ]
     wide = params.select("*", *[d[k].alias(k) for k in keep])
-    seen = {**d, **{k: F.col(k) for k in keep}}
+    seen = {k: F.col(k) for k in keep}
     wide = wide.withColumn("valid", F.coalesce(valid(x, code, seen), F.lit(False)))
     return wide.withColumn("log_prior", F.when(F.col("valid"), log_prior(x, code)).otherwise(F.lit(NEG_INF)))
 

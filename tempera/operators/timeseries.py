@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempera.schema import NEG_INF
+
 MISSING_BELOW = -1.0e299
 
 
@@ -66,7 +68,10 @@ def log_difference(panel: DataFrame, by: list[str], value: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class StateSpace:
-    """z' = c + F z + v, y = a + H z + e, v ~ N(0, V), e ~ N(0, R); z0, P0 start the filter."""
+    """z' = F z + v, y = a + H z + e, v ~ N(0, V), e ~ N(0, R); z0, P0 start the filter.
+
+    Every array may carry a leading axis, one model per row.
+    """
 
     transition: np.ndarray
     state_noise: np.ndarray
@@ -76,6 +81,17 @@ class StateSpace:
     z0: np.ndarray
     p0: np.ndarray
 
+    def __post_init__(self):
+        nz, ny = self.transition.shape[-1], self.measure.shape[-2]
+        wanted = {
+            "transition": (nz, nz), "state_noise": (nz, nz), "p0": (nz, nz), "measure": (ny, nz), "measure_noise": (ny, ny),
+        }
+        for name, shape in wanted.items():
+            if getattr(self, name).shape[-2:] != shape:
+                raise ValueError(f"{name} has shape {getattr(self, name).shape}, expected {shape}")
+        if self.intercept.shape[-1] != ny or self.z0.shape[-1] != nz:
+            raise ValueError("intercept or z0 has the wrong length")
+
     @classmethod
     def local_level(cls, level_var: float, noise_var: float, p0: float) -> StateSpace:
         one = np.ones((1, 1))
@@ -92,45 +108,60 @@ class StateSpace:
         return StateSpace(f, v, h, self.measure_noise, self.intercept, np.append(self.z0, np.zeros(k)), p)
 
 
+def _t(m: np.ndarray) -> np.ndarray:
+    return np.swapaxes(m, -1, -2)
+
+
 def gains(model: StateSpace, periods: int) -> list[tuple]:
     """(gain, inverse forecast variance, log determinant) per period; they do not depend on data."""
     p, out = model.p0, []
     for _ in range(periods):
-        d = model.measure @ p @ model.measure.T + model.measure_noise
+        d = model.measure @ p @ _t(model.measure) + model.measure_noise
         inverse = np.linalg.inv(d)
-        k = model.transition @ p @ model.measure.T @ inverse
+        k = model.transition @ p @ _t(model.measure) @ inverse
         out.append((k, inverse, np.linalg.slogdet(d)[1]))
         m = model.transition - k @ model.measure
-        p = model.transition @ p @ m.T + model.state_noise
-        p = 0.5 * (p + p.T)
+        p = model.transition @ p @ _t(m) + model.state_noise
+        p = 0.5 * (p + _t(p))
     return out
 
 
+def _apply(matrix: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """matrix @ vector for rows of vectors, with one matrix or one per row."""
+    return np.matmul(matrix, vectors[..., None])[..., 0]
+
+
+def filter_rows(model: StateSpace, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forecast errors [n, T, ny] and log likelihoods [n, T] of n rows of observations [n, T, ny]."""
+    n, periods, ny = y.shape
+    z = np.broadcast_to(model.z0, (n, model.z0.shape[-1]))
+    errors, loglik = np.empty((n, periods, ny)), np.empty((n, periods))
+    for t, (k, inverse, log_det) in enumerate(gains(model, periods)):
+        e = y[:, t] - model.intercept - _apply(model.measure, z)
+        quad = np.sum(e * _apply(inverse, e), axis=1)
+        z = _apply(model.transition, z) + _apply(k, e)
+        errors[:, t] = e
+        loglik[:, t] = -0.5 * (ny * math.log(2.0 * math.pi) + log_det + quad)
+    return errors, loglik
+
+
 def period_log_likelihood(series: DataFrame, model: StateSpace, periods: int) -> DataFrame:
     """Kalman forecast errors and conditional log likelihoods, one row per (series, period).
 
     ``series`` holds one row per series: ``series`` (bigint) and ``y``, its
     periods x ny observations flattened in time order. Series filter together,
-    an Arrow batch at a time; the gain recursion is done once per task.
+    an Arrow batch at a time, sharing the gain recursion.
     """
     ny = model.measure.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = gains(model, periods)
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
             y = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float)
             y = y.reshape(n, periods, ny)
-            z = np.repeat(model.z0[None], n, axis=0)
-            errors, loglik = np.empty((n, periods, ny)), np.empty((n, periods))
-            for t, (k, inverse, log_det) in enumerate(steps):
-                e = y[:, t] - model.intercept - z @ model.measure.T
-                quad = np.einsum("ni,ij,nj->n", e, inverse, e)
-                z = z @ model.transition.T + e @ k.T
-                errors[:, t] = e
-                loglik[:, t] = -0.5 * (ny * math.log(2.0 * math.pi) + log_det + quad)
+            errors, loglik = filter_rows(model, y)
             ends = pa.array(np.arange(0, (n * periods + 1) * ny, ny, dtype=np.int32))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
@@ -152,6 +183,34 @@ def log_likelihood(by_period: DataFrame, lags: int = 0) -> DataFrame:
     return by_period.where(F.col("t") >= lags).groupBy("series").agg(F.sum("loglik").alias("loglik"))
 
 
+def parameter_log_likelihood(
+    params: DataFrame, build: Callable[[np.ndarray], StateSpace], panel: np.ndarray, lags: int = 0
+) -> DataFrame:
+    """Log likelihood of one panel at every parameter row: (id, loglik).
+
+    ``params`` has id, data and valid; ``build`` turns parameter rows [n, d]
+    into one model per row. Invalid rows cost nothing: they are impossible.
+    The panel (periods x ny) is as long as the calendar, so it travels with
+    the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ok = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float)
+            x = x.reshape(batch.num_rows, -1)[ok]
+            out = np.full(batch.num_rows, NEG_INF)
+            if ok.any():
+                _, loglik = filter_rows(build(x), np.broadcast_to(panel, (len(x), *panel.shape)))
+                out[ok] = np.nan_to_num(loglik[:, lags:].sum(axis=1), nan=NEG_INF, neginf=NEG_INF)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["id", "loglik"])
+
+    slim = params.select(F.col("id").cast("long"), "data", F.coalesce("valid", F.lit(False)).alias("valid"))
+    return slim.mapInArrow(run, "id long, loglik double")
+
+
 def as_series(df: DataFrame, key: str, quarter: str, value: str, first: int, periods: int) -> DataFrame:
     """One row per key: (series, y), y running over the whole calendar with zeros where nothing happened."""
     entries = F.map_from_entries(F.collect_list(F.struct(F.col(quarter), F.col(value))))

@@ -23,7 +23,7 @@ def parse_sections(texts: DataFrame) -> DataFrame:
         F.regexp_extract("part", NAME, 1).alias("section"),
         F.regexp_replace("part", r"^[^\n]*\n?", "").alias("body"),
     )
-    first = named.groupBy("file", "section").agg(F.min_by("body", "place").alias("body"))
+    first = named.where("section <> ''").groupBy("file", "section").agg(F.min_by("body", "place").alias("body"))
     clean = F.regexp_replace("body", r"(?m)(//|%|\*\*).*$", " ")
     words = F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) > 0)
     values = first.select("file", "section", F.transform(words, lambda w: w.try_cast("double")).alias("v"))
@@ -64,3 +64,15 @@ def panel_section(sections: DataFrame, name: str, columns: list[str]) -> DataFra
         ]
     )
     return wide.drop("row")
+
+
+def regime_flags(sections: DataFrame) -> DataFrame:
+    """Per file: independent regime variables, grand regimes, and whether anything switches at all."""
+    states = sections.where(
+        F.col("section").startswith("Number of states for state_variable[") & (F.col("ordinal") == 0)
+    )
+    return states.groupBy("file").agg(
+        F.count(F.lit(1)).alias("variables"),
+        F.product("value").cast("long").alias("grand_regimes"),
+        (F.max("value") <= 1).alias("constant"),
+    )

@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempera.operators import prior, timeseries
+from tempera.operators import prior, target, timeseries
+from tempera.plans import starting
+from tempera.schema import SAMPLE
+from tempera.sources import config
+from tempera.sources.record import SampleRecordSource
 
 
 def dense_log_likelihood(model, y):
@@ -86,6 +90,57 @@ def test_log_densities_integrate_to_one(spark, family, a, b):
     assert total == pytest.approx(1.0, abs=2e-3)
 
 
+@pytest.mark.parametrize("code", [0, 1, 2, 3, 4, 5])
+def test_steady_state_identities(spark, code):
+    """Whatever is fixed and whatever is derived, the same steady-state conditions hold."""
+    n = len(prior.deep_names(code))
+    x = [0.5] * n + [0.5] * (prior.n_free(code) - n)
+    if code == 5:
+        x[5] = 1.0
+    df = spark.createDataFrame([(x,)], "data array<double>")
+    r = prior.evaluate(df, code).first()
+    c = prior.CALIBRATION
+    assert r["by"] == pytest.approx(r["theta"] * (r["lambda_star"] * c["land_e"] + c["ky"] / r["lambda_q"]))
+    assert (1 + r["lambda_a"]) * r["beta"] * r["R"] == pytest.approx(r["lambda_star"])
+    assert r["C_h"] + r["C_e"] + c["ik"] * c["ky"] == pytest.approx(1.0)
+    income = 1.0 - r["alpha"] + (1.0 / r["lambda_star"] - 1.0 / r["R"]) * r["by"]
+    assert r["C_h"] == pytest.approx(income)
+
+
+def test_calibration_from_a_file(spark):
+    text = "//== ky ==//\n4.0\n//== glambdastar ==// % note\n1.01\n//== other ==//\n9\n"
+    sections = config.parse_sections(spark.createDataFrame([("f", text)], "file string, text string"))
+    made = prior.calibration_from(sections)
+    assert made["ky"] == 4.0 and made["lambda_star"] == 1.01 and made["ik"] == prior.CALIBRATION["ik"]
+
+
+def test_regime_flags(spark):
+    def file(name, *states):
+        return name, "".join(f"//== Number of states for state_variable[{i}] ==//\n{n}\n" for i, n in enumerate(states))
+
+    texts = spark.createDataFrame([file("one", 1, 1), file("two", 2, 3)], "file string, text string")
+    got = {r["file"]: (r["variables"], r["grand_regimes"], r["constant"]) for r in config.regime_flags(config.parse_sections(texts)).collect()}
+    assert got == {"one": (2, 1, True), "two": (2, 6, False)}
+
+
+def test_starting_points(spark, tmp_path):
+    (tmp_path / "mode.txt").write_text("\n 1.5 2.5 -3 \n")
+    assert starting.from_text(spark, str(tmp_path / "mode.txt")) == [1.5, 2.5, -3.0]
+    sections = config.parse_sections(spark.createDataFrame([("f", "//== x ==//\n2\n4 5\n")], "file string, text string"))
+    assert starting.from_sections(sections, "x") == [4.0, 5.0]
+    assert len(starting.from_prior(spark, 203, seed=1)) == 21
+    (tmp_path / "draws.txt").write_text("-1 -2 7 8\n-1 -2 9 10\n")
+    assert starting.from_draws(spark, str(tmp_path / "draws.txt"), 3) in ([7.0, 8.0], [9.0, 10.0])
+
+
+def test_start_from_record_file(spark, tmp_path):
+    spark.dataSource.register(SampleRecordSource)
+    df = spark.createDataFrame([([1.0, 2.0], 0, -99.0, True)], SAMPLE)
+    df.write.format("sample_record").mode("append").save(str(tmp_path / "s"))
+    row = target.start_from_file(spark, str(tmp_path / "s"), lambda x, p: -x.sum(axis=1)).first()
+    assert row["weight"] == -3.0 and row["calculated"]
+
+
 @pytest.mark.parametrize("code", [203, 205, 207, 103])
 def test_restrictions_by_code(spark, code):
     n = len(prior.deep_names(code))
