@@ -80,30 +80,45 @@ def _by_full_rank(slim, by, value, tie, wanted) -> DataFrame:
 
 
 def _regions(slim: DataFrame, by: list[str], targets: list[_Target], column: str, fixed: str | None):
-    """Rows joined to the distinct intervals that hold targets, labelled ``_rid``, and the labels."""
+    """Rows inside the distinct intervals that hold targets, labelled ``_rid``, and the labels.
+
+    The intervals ride along as one small array per group (a constant for the
+    whole frame), so the data are filtered where they are read.
+    """
     spark = slim.sparkSession
-    distinct = {(t.group, t.low, t.high, t.value): None for t in targets}
-    rows = [(i, *g, lo, hi, v) for i, (g, lo, hi, v) in enumerate(distinct)]
+    labels = {k: i for i, k in enumerate({(t.group, t.low, t.high, t.value): None for t in targets})}
     kind = slim.schema[column].dataType.simpleString()
-    fixed_kind = slim.schema[fixed or column].dataType.simpleString()
-    names = ", ".join(
-        ["_rid int"] + [f"`_g_{c}` {slim.schema[c].dataType.simpleString()}" for c in by]
-        + [f"_lo {kind}", f"_hi {kind}", f"_v {fixed_kind}"]
-    )
-    regions = F.broadcast(spark.createDataFrame(rows, names))
-    inside = F.lit(True)
-    for c in by:
-        inside = inside & slim[c].eqNullSafe(F.col(f"_g_{c}"))
+    value_kind = slim.schema[fixed or column].dataType.simpleString()
+    region = f"struct<rid:int,lo:{kind},hi:{kind},v:{value_kind}>"
+    packed: dict[tuple, list] = {}
+    for (group, lo, hi, v), i in labels.items():
+        packed.setdefault(group, []).append((i, lo, hi, v))
     x = F.col(column)
-    inside = inside & (F.col("_lo").isNull() | ((x >= F.col("_lo")) & (x <= F.col("_hi"))))
-    if fixed:
-        inside = inside & (F.col(fixed) == F.col("_v"))
-    elif by == []:
-        # One group: a plain range filter keeps this a scan with pushed-down bounds.
-        lows = [t.low for t in targets]
-        if all(v is not None for v in lows):
-            slim = slim.where((x >= min(lows)) & (x <= max(t.high for t in targets)))
-    return slim.join(regions, inside), {k: i for i, k in enumerate(distinct)}
+
+    def holds(r):
+        ok = r["lo"].isNull() | ((x >= r["lo"]) & (x <= r["hi"]))
+        return ok & (F.col(fixed) == r["v"]) if fixed else ok
+
+    if by:
+        keys = ", ".join(f"`_g_{c}` {slim.schema[c].dataType.simpleString()}" for c in by)
+        rows = [(*g, regions) for g, regions in packed.items()]
+        table = F.broadcast(spark.createDataFrame(rows, f"{keys}, _regions array<{region}>"))
+        same = F.lit(True)
+        for c in by:
+            same = same & slim[c].eqNullSafe(F.col(f"_g_{c}"))
+        tagged = slim.join(table, same)
+    else:
+        bounded = [t for t in targets if t.low is not None]
+        if len(bounded) == len(targets):
+            slim = slim.where((x >= min(t.low for t in bounded)) & (x <= max(t.high for t in bounded)))
+        if fixed:
+            slim = slim.where(F.col(fixed).isin(sorted({t.value for t in targets})))
+        literal = F.array(
+            *[F.struct(*[F.lit(f).alias(n) for f, n in zip(r, ("rid", "lo", "hi", "v"))]) for r in packed[()]]
+        )
+        tagged = slim.withColumn("_regions", literal.cast(f"array<{region}>"))
+    inside = tagged.withColumn("_rid", F.explode(F.transform(F.filter("_regions", holds), lambda r: r["rid"])))
+    return inside.select("_rid", *[c for c in slim.columns if c not in by]), labels
 
 
 def _narrow(slim, by, column, targets, small, fixed=None) -> list[_Target]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempera.operators.binning import assign_bins
 from tempera.operators.ranking import global_rank
-from tempera.plans.staging import materialize, staging_root
+from tempera.plans.staging import delete_path, materialize, staging_root
 from tempera.schema import STORED
 
 CAPACITY = 10_000  # samples per file
@@ -83,7 +83,12 @@ class SampleStore:
         self.deposit(staged)
 
     def drop_level(self, level: int) -> None:
-        """Delete a level's samples through the Hadoop file system the path belongs to."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/level={int(level)}")
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        """Delete a level's samples."""
+        delete_path(self.spark, f"{self.path}/level={int(level)}")
+
+    def save_table(self, name: str, df: DataFrame) -> None:
+        """A small table of the run (bounds, proposal blocks) kept beside the samples."""
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.path}.tables/{name}")
+
+    def load_table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}.tables/{name}")

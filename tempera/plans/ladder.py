@@ -22,7 +22,9 @@ from tempera.operators.starters import TooFewSamples, draw_pool, farthest_first
 from tempera.operators.store import SampleStore
 from tempera.operators.tuning import TuneSettings, one_pass_after, one_pass_before, sample_blocks, tuned_blocks
 from tempera.plans.settings import RunSettings
+from tempera.plans.sizing import small_side
 from tempera.plans.staging import materialize
+from tempera.sources.blocks import blocks_from_table, blocks_table
 
 
 def pool_from_rows(picks: DataFrame, lower_bounds: list[float], temperature: float) -> JumpPool:
@@ -114,9 +116,11 @@ def run_ladder(
         smallest = min(by_group.values())
         first = replace(base, draws=math.ceil(settings.covariance_draws / smallest), seed=base.seed + 3)
         within = materialize(
-            simulate(tasks, density, first, blocks).join(F.broadcast(roster), "chain"), "covariance-group"
+            simulate(tasks, density, first, blocks).join(small_side(roster), "chain"), "covariance-group"
         )
         blocks = one_pass_after(leads, within, "grp", density, dim, tuning, pool, scheme)
+        store.save_table(f"blocks-{level}", blocks_table(spark, blocks))
+        store.save_table(f"starts-{level}", heads)
 
         main = replace(base, draws=math.ceil(settings.draws / total), seed=base.seed + 5)
         drawn = _numbered(simulate(tasks, density, main, blocks, pool), level, 0, total)
@@ -132,7 +136,9 @@ def run_ladder(
         samples = drawn.unionByName(pooled_samples)
         rows = equal_count_bounds(samples, settings.levels).orderBy("bin").drop("lo_id").collect()
         out += rows
-        store.deposit_by_energy(samples, spark.createDataFrame(rows, binned_schema()))
+        level_bounds = spark.createDataFrame(rows, binned_schema())
+        store.save_table(f"bounds-{level}", level_bounds)
+        store.deposit_by_energy(samples, level_bounds)
         picks = draw_pool(
             store.scan(level).select("bin", "id", "data", "weight"), settings.pool_capacity, settings.seed + level
         )
@@ -142,5 +148,34 @@ def run_ladder(
     return spark.createDataFrame(out, binned_schema()) if out else spark.createDataFrame([], binned_schema())
 
 
+def continue_ladder(chains: DataFrame, density: LogDensity, store: SampleStore, settings: RunSettings) -> None:
+    """More draws for a run whose tuning is done: saved blocks, starts and bounds are used as they are."""
+    ladder = temperatures(settings.levels, settings.t_low, settings.t_high)
+    roster = materialize(chains.select("chain", "grp"), "chains")
+    total = roster.count()
+    pool = None
+    for level in range(settings.top, settings.level_low - 1, -1):
+        tasks = roster.join(F.broadcast(store.load_table(f"starts-{level}")), "grp").select(
+            "chain", "level", "temperature", "start", "grp"
+        )
+        last = store.scan(level).agg(F.max("id")).first()[0]
+        plan = Schedule(
+            draws=math.ceil(settings.draws / total), burn_in=settings.burn_in, thin=settings.thin,
+            sweeps=max(1, settings.sweeps_per_draw // settings.thin), p_no_jump=settings.p_no_jump,
+            seed=settings.seed + 10 * level + last % 1_000_003,  # another stretch of the random stream
+        )
+        blocks = blocks_from_table(store.load_table(f"blocks-{level}"))
+        draws = materialize(_numbered(simulate(tasks, density, plan, blocks, pool), level, last + 1, total), "more")
+        if level == 0:
+            store.deposit(draws.withColumn("bin", F.lit(0)))
+            continue
+        bounds = store.load_table(f"bounds-{level}")
+        store.deposit_by_energy(draws, bounds)
+        picks = draw_pool(
+            store.scan(level).select("bin", "id", "data", "weight"), settings.pool_capacity, plan.seed
+        )
+        pool = pool_from_rows(picks, [r["lo"] for r in bounds.orderBy("bin").collect()], ladder[level])
+
+
 def binned_schema() -> str:
     return "level int, bin int, lo double, hi double, n long"

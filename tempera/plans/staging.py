@@ -25,7 +25,18 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/tempera/{label}-{uuid.uuid4().hex}"
+    return f"{staging_root(spark)}/tempera/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the Hadoop file system it belongs to."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete every table this application staged; call it when no result depends on them any more."""
+    delete_path(spark, f"{staging_root(spark)}/tempera/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

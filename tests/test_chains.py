@@ -10,7 +10,7 @@ from tempera.operators import chains, climb, energy, tuning
 from tempera.operators.binning import assign_equal_count, equal_count_bounds
 from tempera.operators.starters import draw_pool
 from tempera.operators.store import SampleStore
-from tempera.plans.ladder import pool_from_rows, run_ladder
+from tempera.plans.ladder import continue_ladder, pool_from_rows, run_ladder
 from tempera.plans.settings import RunSettings, parse_settings
 from tempera.plans.staging import materialize
 
@@ -111,6 +111,29 @@ def test_full_ladder(spark, tmp_path):
     assert 0.2 < below < 0.8
     ids = store.scan(1)
     assert ids.select("id").distinct().count() == ids.count()
+    points = store.scan(0).select("data").distinct().count()
+    continue_ladder(roster, two_wells, store, settings)
+    assert store.scan(0).count() == 4000 and store.scan(0).select("id").distinct().count() == 4000
+    assert store.scan(0).select("data").distinct().count() > 1.2 * points
+
+
+def test_command_runs_a_ladder(spark, tmp_path, monkeypatch):
+    from tempera import run
+
+    (tmp_path / "wells.py").write_text(
+        "import numpy as np\n\ndef log_posterior(x, p):\n    return np.logaddexp(*(-2.0 * (x[:, 0] - m) ** 2 for m in (-5.0, 5.0)))\n"
+    )
+    (tmp_path / "mode.txt").write_text("5.0\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "wells.py"))
+    monkeypatch.setattr(run, "release_staged", lambda s: None)
+    run.main(
+        ["--target", "wells:log_posterior", "--mode", str(tmp_path / "mode.txt"), "--store", str(tmp_path), "--RunID", "t",
+         "--nLevel", "2", "--TK", "20", "--ndraws", "200", "--nburnin", "20", "--THIN", "2", "--nInitial", "2",
+         "--chains", "4", "--HillClimb", "3", "--pr", "10", "--mpr", "20"]
+    )
+    store = SampleStore(spark, str(tmp_path / "t"))
+    assert store.scan(0).count() == 200 and store.scan(2).count() == 3
 
 
 def test_climb_respects_walls(spark):
