@@ -238,6 +238,13 @@ def _fit_starts(spark, sf_dir):
     return events.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("start"), "mean", "var")
 
 
+def _fit_summary(ends):
+    mean, log_sd = F.col("data")[0], F.col("data")[1]
+    return ends.select(
+        "id", rounded(mean / F.exp(log_sd), 4).alias("mean_to_sd"), rounded(log_sd, 4).alias("log_sd")
+    )
+
+
 @query(
     "hill_climb",
     """WITH m AS (SELECT user_id AS id, avg(value / 10) AS mean, stddev_pop(value / 10) AS sd FROM events GROUP BY user_id HAVING var_pop(value) > 0)
@@ -246,21 +253,18 @@ def _fit_starts(spark, sf_dir):
 def hill_climb(spark, sf_dir):
     """A quasi-Newton climb per user to the normal fit of that user's values."""
     ends = climb.hill_climb(_fit_starts(spark, sf_dir), _normal_fit_objective, crit=1e-13, max_iter=200)
-    mean, log_sd = F.col("data")[0], F.col("data")[1]
-    return ends.select(
-        "id", rounded(mean / F.exp(log_sd), 4).alias("mean_to_sd"), rounded(log_sd, 4).alias("log_sd")
-    )
+    return _fit_summary(ends)
 
 
 @query(
     "hill_climb_in_box",
-    """WITH m AS (SELECT user_id AS id, avg(value / 10) AS mean, var_pop(value / 10) AS v FROM events GROUP BY user_id HAVING var_pop(value) > 0)
-    SELECT id, round(least(mean, 5.0), 3) AS mean,
-           round(greatest(0, 0.5 * ln(v + pow(mean - least(mean, 5.0), 2))), 3) AS log_sd FROM m""",
+    """WITH m AS (SELECT user_id AS id, avg(value / 10) AS mean, var_pop(value / 10) AS v FROM events GROUP BY user_id HAVING var_pop(value) > 0),
+    b AS (SELECT id, least(mean, 5.0) AS mean, greatest(0, 0.5 * ln(v + pow(mean - least(mean, 5.0), 2))) AS log_sd FROM m)
+    SELECT id, round(mean / exp(log_sd), 4) AS mean_to_sd, round(log_sd, 4) AS log_sd FROM b""",
 )
 def hill_climb_in_box(spark, sf_dir):
     """The same climb kept inside the box [0, 5]."""
     ends = climb.hill_climb(
         _fit_starts(spark, sf_dir), _normal_fit_objective, crit=1e-13, max_iter=200, box=(0.0, 5.0)
     )
-    return ends.select("id", rounded(F.col("data")[0], 3).alias("mean"), rounded(F.col("data")[1], 3).alias("log_sd"))
+    return _fit_summary(ends)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tempera.functions import counter_rng
+from tempera.plans.sizing import spread
 from tempera.schema import CHAIN_DRAW, NEG_INF
 
 # (points [n, d], per-chain parameter arrays) -> log posterior [n]
@@ -178,5 +179,5 @@ def simulate(
                     yield _pack(pdf, held)
                     held = []
 
-    return tasks.mapInArrow(run, CHAIN_DRAW)
+    return spread(tasks, "chain").mapInArrow(run, CHAIN_DRAW)
 

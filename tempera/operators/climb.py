@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tempera.plans.sizing import spread
+
 WALL = 1.0e300  # objective value of an infeasible point
 _BAD_GRADIENT = 1.0e15
 _MAX_CURVATURE = 1.0e12
@@ -128,4 +130,4 @@ def hill_climb(
             out = pd.DataFrame({"id": pdf["id"], "data": list(x), "objective": fx, "iterations": iters, "code": code})
             yield out[fx < WALL]
 
-    return starts.mapInPandas(run, "id long, data array<double>, objective double, iterations int, code int")
+    return spread(starts, "id").mapInPandas(run, "id long, data array<double>, objective double, iterations int, code int")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempera.functions import counter_rng
+from tempera.plans.sizing import spread
 from tempera.schema import NEG_INF
 
 # ---- Fixed values: deep parameters in order, per restriction code -------------------------
@@ -227,7 +228,8 @@ def draw_from_prior(keys: DataFrame, key: str, code: int = 203, seed: int = 7) -
             columns = [one(lane, *family, k) for lane, family in enumerate(families)]
             yield pd.DataFrame({"id": k, "data": list(np.stack(columns, axis=1))})
 
-    return keys.select(F.col(key).cast("long").alias("id")).mapInPandas(run, "id long, data array<double>")
+    ids = keys.select(F.col(key).cast("long").alias("id"))
+    return spread(ids, "id").mapInPandas(run, "id long, data array<double>")
 
 
 def prior_scale(draws: DataFrame, code: int = 203) -> DataFrame:

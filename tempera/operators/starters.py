@@ -150,6 +150,6 @@ def start_from_pool(samples: DataFrame, pool: int, seed: int) -> DataFrame:
             break
         rank -= c
     inside = samples.where(F.col("bin") == b)
-    ranked = global_rank(inside.select("bin", "id"), [], ["id"], label="start")
-    chosen = ranked.where(F.col("rn") == int(u_row * c)).select("id")
-    return inside.join(F.broadcast(chosen), "id")
+    ids = inside.select(F.col("id").alias("key"), "id")
+    chosen = select_ranks(ids, [], "key", "id", lambda n: [int(u_row * n)]).first()["id"]
+    return inside.where(F.col("id") == chosen)

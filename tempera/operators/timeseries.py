@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempera.plans.sizing import spread
 from tempera.schema import NEG_INF
 
 MISSING_BELOW = -1.0e299
@@ -175,7 +176,7 @@ def period_log_likelihood(series: DataFrame, model: StateSpace, periods: int) ->
             )
 
     schema = "series long, t int, loglik double, error array<double>"
-    return series.select("series", "y").mapInArrow(run, schema)
+    return spread(series.select("series", "y"), "series").mapInArrow(run, schema)
 
 
 def log_likelihood(by_period: DataFrame, lags: int = 0) -> DataFrame:
@@ -208,7 +209,7 @@ def parameter_log_likelihood(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["id", "loglik"])
 
     slim = params.select(F.col("id").cast("long"), "data", F.coalesce("valid", F.lit(False)).alias("valid"))
-    return slim.mapInArrow(run, "id long, loglik double")
+    return spread(slim, "id").mapInArrow(run, "id long, loglik double")
 
 
 def as_series(df: DataFrame, key: str, quarter: str, value: str, first: int, periods: int) -> DataFrame:

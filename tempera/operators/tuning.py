@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from tempera.operators.chains import JumpPool, LogDensity, Schedule, _blocks_for, _Walkers, simulate
 from tempera.operators.moments import covariance, covariance_factor, scale_blocks
+from tempera.plans.sizing import spread
 
 ONE_PASS_TARGET = 0.234
 MULTI_PASS_TARGET = 0.25
@@ -116,7 +117,7 @@ def tune_scales(
                 }
             )
 
-    return tasks.mapInPandas(run, "chain long, block int, scale double, rate double")
+    return spread(tasks, "chain").mapInPandas(run, "chain long, block int, scale double, rate double")
 
 
 def unit_blocks(dim: int, scheme: list[list[int]] | None = None) -> list[np.ndarray]:

@@ -96,10 +96,9 @@ def run_ladder(
         leads = spark.createDataFrame(
             [(g, level, t, [float(v) for v in s], g) for g, s in zip(groups, starts)],
             "chain long, level int, temperature double, start array<double>, grp long",
-        ).repartition(max(1, min(len(groups), spark.sparkContext.defaultParallelism)))
+        )
         heads = leads.drop("chain")
         tasks = roster.join(F.broadcast(heads), "grp").select("chain", "level", "temperature", "start", "grp")
-        tasks = tasks.repartition(max(1, min(total, spark.sparkContext.defaultParallelism * 4)))
 
         if pooled_samples is None:
             blocks = one_pass_before(leads, groups, density, dim, tuning, pool, scheme)

@@ -26,3 +26,11 @@ def staged_side(df: DataFrame, label: str, max_rows: int = 1_000_000) -> DataFra
     """As ``small_side`` for narrow frames too long for the driver: written, counted, then marked."""
     staged = materialize(df, label)
     return F.broadcast(staged) if staged.count() <= max_rows else staged
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows that each cost a lot of computing: as many tasks as the session's shuffle setting.
+
+    Left alone they would be grouped by their (few) bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
