@@ -135,14 +135,65 @@ def metropolis_hastings_step(spark, sf_dir):
     return k.select("id", ok.alias("accepted"), rounded(F.when(ok, F.col("y")).otherwise(F.col("mu"))).alias("x"))
 
 
-@query("adaptive_scale_tuning")
+def _nested_uniform(source: str, key: str, counter: str, seed: int, out: str) -> str:
+    """The counter generator as nested subqueries, for use inside a recursive step."""
+    mask, mult, weyl = 4294967295, 73244475, 2654435769
+    sql = f"SELECT *, ({key} + {seed * 7919}) & {mask} AS h FROM {source}"
+    for _ in range(2):
+        sql = f"SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM ({sql})"
+    sql = f"SELECT * REPLACE ((xor(h >> 16, h) + CAST({counter} AS BIGINT) * {weyl}) & {mask} AS h) FROM ({sql})"
+    for _ in range(2):
+        sql = f"SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM ({sql})"
+    return f"(SELECT * EXCLUDE (h), (xor(h >> 16, h) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS {out} FROM ({sql}))"
+
+
+TUNE = tuning.TuneSettings(period=25, max_period=200)
+
+
+def _tuning_sql() -> str:
+    target, p0 = TUNE.target, TUNE.period
+    draws = _nested_uniform("w", "chain", "2 * n", TUNE.seed, "a")
+    draws = _nested_uniform(draws, "chain", "2 * n + 1", TUNE.seed, "b")
+    draws = _nested_uniform(draws, "chain", "n", TUNE.seed + 1, "c")
+    return f"""WITH RECURSIVE p AS (SELECT user_id AS chain, avg(value) AS mu, stddev_pop(value) / sqrt(count(value)) AS s
+        FROM events GROUP BY user_id HAVING stddev_pop(value) > 0),
+    w(chain, n, mu, s, x, scale, best, ls, lr, hs, hr, per, due, since, acc, rate, live) AS (
+      SELECT chain, 0::BIGINT, mu, s, mu, 1.0::DOUBLE, 1.0::DOUBLE, -1.0::DOUBLE, -1.0::DOUBLE, -1.0::DOUBLE, -1.0::DOUBLE,
+             {p0}::BIGINT, {p0}::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, TRUE FROM p
+      UNION ALL
+      SELECT chain, n, mu, s, x, scale, best, ls, CASE WHEN boxed THEN -1.0 ELSE lr END, hs, CASE WHEN boxed THEN -1.0 ELSE hr END,
+             per, CASE WHEN chk THEN n + per ELSE due END, CASE WHEN chk THEN n ELSE since END, CASE WHEN chk THEN 0 ELSE acc END, rate,
+             n % {p0} <> 0 OR per <= {TUNE.max_period}
+      FROM (SELECT * REPLACE (
+              CASE WHEN boxed THEN inside WHEN chk THEN scale ELSE best END AS best,
+              CASE WHEN boxed THEN inside
+                   WHEN chk AND lr < 0 THEN hs * CASE WHEN rate > pow({target}, 0.2) THEN 5.0 ELSE ln({target}) / ln(rate) END
+                   WHEN chk THEN ls * CASE WHEN rate < pow({target}, 5) THEN 0.2 ELSE ln({target}) / ln(rate) END
+                   ELSE scale END AS scale,
+              CASE WHEN boxed THEN 2 * per ELSE per END AS per)
+            FROM (SELECT *, chk AND lr >= 0 AND hr >= 0 AS boxed,
+                    CASE WHEN hr - lr > 1e-6 THEN ls + ({target} - lr) / (hr - lr) * (hs - ls) ELSE 0.5 * (ls + hs) END AS inside
+                  FROM (SELECT * REPLACE (
+                          CASE WHEN chk AND rate < {target} THEN scale ELSE ls END AS ls, CASE WHEN chk AND rate < {target} THEN rate ELSE lr END AS lr,
+                          CASE WHEN chk AND rate >= {target} THEN scale ELSE hs END AS hs, CASE WHEN chk AND rate >= {target} THEN rate ELSE hr END AS hr)
+                        FROM (SELECT * REPLACE (CASE WHEN chk THEN acc / (n - since)::DOUBLE ELSE rate END AS rate)
+                              FROM (SELECT *, n % {p0} = 0 AND due <= n AS chk
+                                    FROM (SELECT * REPLACE (n + 1 AS n, CASE WHEN ok THEN y ELSE x END AS x, acc + CAST(ok AS BIGINT) AS acc)
+                                          FROM (SELECT *, -0.5 * ((y - mu) / s) * ((y - mu) / s) + 0.5 * ((x - mu) / s) * ((x - mu) / s) >= ln(c) AS ok
+                                                FROM (SELECT *, x + sqrt(-2.0 * ln(a)) * cos({2 * math.pi!r}::DOUBLE * b) * scale AS y
+                                                      FROM {draws} WHERE live)))))))))
+    SELECT chain, 0::BIGINT AS block, round(best, 6) AS scale, round(rate, 6) AS rate, round(best / s, 6) AS relative_scale
+    FROM w WHERE NOT live"""
+
+
+@query("adaptive_scale_tuning", _tuning_sql())
 def adaptive_scale_tuning(spark, sf_dir):
     """Tuned proposal scale for every user's posterior, from unit scale."""
     posteriors = user_posteriors(spark, sf_dir)
     tasks = posteriors.select(
         "chain", F.lit(0).alias("level"), F.lit(1.0).alias("temperature"), F.array("mu").alias("start"), "mu", "s"
     )
-    out = tuning.tune_scales(tasks, normal_density, [np.eye(1)], tuning.TuneSettings(period=25, max_period=200))
+    out = tuning.tune_scales(tasks, normal_density, [np.eye(1)], TUNE)
     return out.join(posteriors, "chain").select(
         "chain", F.col("block").cast("long"), rounded("scale").alias("scale"), rounded("rate").alias("rate"),
         rounded(F.col("scale") / F.col("s")).alias("relative_scale"),
