@@ -244,6 +244,75 @@ def equi_energy_ladder(spark, sf_dir):
     )
 
 
+# ---- hybrid chains with an exact SQL form: the pool is drawn from the event values themselves ----
+POOL_BINS, POOL_CAPACITY, CALLS, T_COLD, T_HOT = 5, 200, 40, 1.0, 12.0
+CENTRE, WIDTH = 50.0, 8.0
+
+
+def centred_density(x: np.ndarray, p: dict) -> np.ndarray:
+    z = (x[:, 0] - 50.0) / 8.0
+    return -0.5 * z * z
+
+
+def _hybrid_sql() -> str:
+    step = "w"
+    for counter, name in (("3 * n", "g"), ("3 * n + 1", "k"), ("3 * n + 2", "l")):
+        step = _nested_uniform(step, "chain", counter, 83 + 2, name)
+    for counter, seed, name in (("2 * n", 83, "a"), ("2 * n + 1", 83, "b"), ("n", 84, "c")):
+        step = _nested_uniform(step, "chain", counter, seed, name)
+    energy = f"0.5 * ((x - {CENTRE}) / {WIDTH}) * ((x - {CENTRE}) / {WIDTH})"
+    return f"""WITH RECURSIVE v AS (SELECT event_id AS id, value AS x FROM events),
+    r AS (SELECT id, x, {energy} AS energy FROM v),
+    q AS (SELECT *, row_number() OVER (ORDER BY energy, id) - 1 AS rn, count(*) OVER () AS n FROM r),
+    q2 AS (SELECT *, CAST(ceil(n / {POOL_BINS}.0::DOUBLE) AS BIGINT) AS chunk FROM q),
+    q3 AS (SELECT *, least(rn // chunk, (CASE WHEN (n - 1) % chunk = 0 AND n - 1 >= chunk THEN (n - 1) // chunk
+                     ELSE CAST(ceil(n / chunk::DOUBLE) AS BIGINT) END) - 1) AS bin FROM q2),
+    low AS (SELECT bin, min(energy) AS lo, count(*) AS m FROM q3 GROUP BY bin),
+    numbered AS (SELECT bin, x, energy, row_number() OVER (PARTITION BY bin ORDER BY id) - 1 AS row FROM q3),
+    picks AS (SELECT bin, m, pick, bin * 1000003 + pick AS k FROM low, range({POOL_CAPACITY}) t(pick)),
+    {uniforms('pu', 'picks', 'k', '0', 79, 'a')},
+    pool AS (SELECT pu.bin * {POOL_CAPACITY} + pu.pick AS idx, nb.x AS px, -nb.energy AS pw
+             FROM pu JOIN numbered nb ON nb.bin = pu.bin AND nb.row = CAST(floor(pu.a * pu.m) AS BIGINT)),
+    bounds AS (SELECT list(lo ORDER BY bin) AS lows FROM low),
+    w(chain, n, x, w, ee, mh) AS (
+      SELECT user_id, 0::BIGINT, avg(value), -0.5 * ((avg(value) - {CENTRE}) / {WIDTH}) * ((avg(value) - {CENTRE}) / {WIDTH}), 0::BIGINT, 0::BIGINT
+      FROM events GROUP BY user_id
+      UNION ALL
+      SELECT chain, n + 1, CASE WHEN j THEN px WHEN ok THEN y ELSE x END, CASE WHEN j THEN pw WHEN ok THEN wy ELSE w END,
+             CAST(j AS BIGINT), CAST(NOT j AND ok AS BIGINT)
+      FROM (SELECT *, g > 0.3 AND ln(l) <= (pw - w) * ({1.0 / T_COLD!r}::DOUBLE - {1.0 / T_HOT!r}::DOUBLE) AS j,
+                   (wy - CASE WHEN g > 0.3 AND ln(l) <= (pw - w) * ({1.0 / T_COLD!r}::DOUBLE - {1.0 / T_HOT!r}::DOUBLE) THEN pw ELSE w END) / {T_COLD} >= ln(c) AS ok
+            FROM (SELECT *, -0.5 * ((y - {CENTRE}) / {WIDTH}) * ((y - {CENTRE}) / {WIDTH}) AS wy
+                  FROM (SELECT s.*, pool.px, pool.pw, x + 6.0 * (sqrt(-2.0 * ln(a)) * cos({2 * math.pi!r}::DOUBLE * b)) AS y
+                        FROM (SELECT *, greatest(len(list_filter(lows, lambda t: t <= -w)) - 1, 0) * {POOL_CAPACITY}
+                                       + CAST(floor(k * {POOL_CAPACITY}) AS BIGINT) AS idx
+                              FROM {step}, bounds WHERE n < {CALLS}) s JOIN pool ON pool.idx = s.idx))))
+    SELECT chain, n - 1 AS iter, round(x, 6) AS x, round(w, 6) AS weight, ee, mh FROM w WHERE n > 0"""
+
+
+@query("equi_energy_chains", _hybrid_sql())
+def equi_energy_chains(spark, sf_dir):
+    """Cross-level chains, one per user: jumps into a pool of event values, else a Metropolis move."""
+    from tempera.operators.binning import assign_equal_count, equal_count_bounds
+    from tempera.operators.starters import draw_pool
+    from tempera.plans.ladder import pool_from_rows
+
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "value")
+    z = (F.col("value") - CENTRE) / WIDTH
+    above = events.select("id", F.lit(1).alias("level"), F.array("value").alias("data"), (-(0.5 * z * z)).alias("weight"))
+    bounds = equal_count_bounds(above, POOL_BINS)
+    picks = draw_pool(assign_equal_count(above, bounds).select("bin", "id", "data", "weight"), POOL_CAPACITY, 79)
+    pool = pool_from_rows(picks, [r["lo"] for r in bounds.orderBy("bin").collect()], T_HOT)
+    tasks = events.groupBy(F.col("user_id").alias("chain")).agg(F.avg("value").alias("m")).select(
+        "chain", F.lit(0).alias("level"), F.lit(T_COLD).alias("temperature"), F.array("m").alias("start")
+    )
+    draws = chains.simulate(tasks, centred_density, chains.Schedule(draws=CALLS, seed=83), [np.array([[6.0]])], pool)
+    return draws.select(
+        "chain", "iter", rounded(F.col("data")[0]).alias("x"), rounded("weight").alias("weight"),
+        F.col("ee_jumps").alias("ee"), F.col("mh_jumps").alias("mh"),
+    )
+
+
 @query("hybrid_jump_counts")
 def hybrid_jump_counts(spark, sf_dir):
     """Cross-level chains below a pool of hot samples: how often they jumped, moved or stayed."""
