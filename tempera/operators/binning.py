@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempera.operators.energy import geometric_points
 from tempera.operators.ranking import global_rank
-from tempera.operators.selection import select_ranks
+from tempera.operators.selection import selected_rows
 from tempera.plans.sizing import small_side
 from tempera.plans.staging import materialize
 
@@ -53,13 +53,14 @@ def _equal_chunks(n: int, bins: int) -> list[tuple[int, int]]:
 def equal_count_bounds(df: DataFrame, bins: int) -> DataFrame:
     """Bounds of equal-count bins: (level, bin, lo, lo_id, hi, n), by rank selection, without a sort."""
     slim = df.select("level", (-F.col("weight")).alias("energy"), "id")
-    edges = select_ranks(slim, ["level"], "energy", "id", lambda n: [r for c in _equal_chunks(n, bins) for r in c])
-    at = {(r["level"], r["rank"]): r for r in edges.collect()}
+    edges = selected_rows(slim, ["level"], "energy", "id", lambda n: [r for c in _equal_chunks(n, bins) for r in c])
+    if edges is None:
+        raise ValueError("too many levels")
+    at = {(level, rank): (energy, ident) for level, rank, energy, ident, _ in edges}
     rows = []
-    for level, n in {(r["level"], r["n"]) for r in at.values()}:
+    for level, n in {(e[0], e[-1]) for e in edges}:
         for b, (first, last) in enumerate(_equal_chunks(n, bins)):
-            lo, hi = at[level, first], at[level, last]
-            rows.append((level, b, lo["energy"], lo["id"], hi["energy"], last - first + 1))
+            rows.append((level, b, *at[level, first], at[level, last][0], last - first + 1))
     return df.sparkSession.createDataFrame(sorted(rows), "level int, bin int, lo double, lo_id long, hi double, n long")
 
 

@@ -43,13 +43,24 @@ def select_ranks(
     Order is ascending in ``value`` then in the unique ``tie``. Groups and
     ranks must be few; with very many groups exact ranks are used instead.
     """
-    spark = df.sparkSession
+    slim = df.select(*by, value, tie)
+    rows = selected_rows(slim, by, value, tie, wanted, small)
+    if rows is None:
+        return _by_full_rank(slim, by, value, tie, wanted)
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    fields = [(c, kinds[c]) for c in by] + [("rank", "long"), (value, kinds[value]), (tie, kinds[tie]), ("n", "long")]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in fields))
+
+
+def selected_rows(
+    df: DataFrame, by: list[str], value: str, tie: str, wanted: Callable[[int], list[int]], small: int = SMALL
+) -> list[tuple] | None:
+    """The same rows on the driver (a few per group), or None when there are too many groups."""
     slim = df.select(*by, value, tie)
     sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).take(MAX_GROUPS + 1)
-    keys = slim.select(*by).schema.fields
-    n_of = {tuple(r[c] for c in by): r["n"] for r in sizes}
     if len(sizes) > MAX_GROUPS:
-        return _by_full_rank(slim, by, value, tie, wanted)
+        return None
+    n_of = {tuple(r[c] for c in by): r["n"] for r in sizes}
     targets = [
         _Target(group, int(rank), int(rank), n)
         for group, n in n_of.items()
@@ -58,18 +69,11 @@ def select_ranks(
     ]
     targets = _narrow(slim, by, value, targets, small)
     stuck = [t for t in targets if t.value is not None and t.size > small]
-    done = [t for t in targets if not (t.value is not None and t.size > small)]
-    ties = [replace(t, low=None, high=None) for t in stuck]
-    found = _finish(slim, by, value, tie, done, on_tie=False)
-    if ties:
-        found += _finish(slim, by, value, tie, _narrow(slim, by, tie, ties, small, value), on_tie=True)
-    rows = [(*t.group, t.rank, v, i, n_of[t.group]) for t, v, i in found]
-    fields = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in keys]
-        + ["rank long", f"`{value}` {slim.schema[value].dataType.simpleString()}"]
-        + [f"`{tie}` {slim.schema[tie].dataType.simpleString()}", "n long"]
-    )
-    return spark.createDataFrame(rows, fields)
+    found = _finish(slim, by, value, tie, [t for t in targets if t not in stuck], on_tie=False)
+    if stuck:
+        ties = _narrow(slim, by, tie, [replace(t, low=None, high=None) for t in stuck], small, value)
+        found += _finish(slim, by, value, tie, ties, on_tie=True)
+    return [(*t.group, t.rank, v, i, n_of[t.group]) for t, v, i in found]
 
 
 def _by_full_rank(slim, by, value, tie, wanted) -> DataFrame:
@@ -187,8 +191,8 @@ def kth_largest(df: DataFrame, value: str, tie: str, k: int) -> float:
         best = df.select(value).orderBy(F.col(value).desc()).limit(k)
         return best.agg(F.min(value).alias("v")).first()["v"]
     negated = df.select((-F.col(value)).alias("v"), tie)
-    rows = select_ranks(negated, [], "v", tie, lambda n: [min(k, n) - 1]).collect()
-    return -rows[0]["v"]
+    ((_, v, _, _),) = selected_rows(negated, [], "v", tie, lambda n: [min(k, n) - 1])
+    return -v
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, tie: str, levels: list[float]) -> DataFrame:

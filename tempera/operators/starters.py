@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tempera.functions.counter_rng import uniform, with_uniforms
 from tempera.functions.logmath import squared_distance, vector_literal
 from tempera.operators.ranking import global_rank, k_most_weight
-from tempera.operators.selection import select_ranks
-from tempera.plans.sizing import staged_side
+from tempera.operators.selection import selected_rows
+
+
+POOL_BROADCAST_ROWS = 1_000_000  # picks beyond this many are joined by shuffle
 
 
 class TooFewSamples(ValueError):
@@ -25,8 +27,8 @@ class TooFewSamples(ValueError):
 def _best_at(samples: DataFrame, ranks: list[int]) -> dict[int, tuple]:
     """(weight, id) of the samples at the given ranks, best first."""
     slim = samples.select((-F.col("weight")).alias("energy"), "id")
-    rows = select_ranks(slim, [], "energy", "id", lambda n: ranks).collect()
-    return {r["rank"]: (-r["energy"], r["id"]) for r in rows}
+    rows = selected_rows(slim, [], "energy", "id", lambda n: ranks)
+    return {rank: (-energy, ident) for rank, energy, ident, _ in rows}
 
 
 def _not_after(cut: tuple) -> Column:
@@ -123,15 +125,22 @@ def draw_pool(samples: DataFrame, capacity: int, seed: int, by: str = "bin") ->
     Picks are row numbers, so the large side is only probed on (bin, row);
     there are (bins x capacity) of them.
     """
+    spark = samples.sparkSession
     ranked = global_rank(samples.select(by, "id"), [by], ["id"], label="pool")
     sizes = ranked.groupBy(F.col(by).alias("_bin")).agg(F.max("n").alias("_n"))
-    picks = sizes.select("_bin", "_n", F.explode(F.sequence(F.lit(0), F.lit(capacity - 1))).alias("pick"))
+    rows = sizes.collect()
+    fits = len(rows) * capacity <= POOL_BROADCAST_ROWS
+    picks = spark.createDataFrame(rows, sizes.schema).select(
+        "_bin", "_n", F.explode(F.sequence(F.lit(0), F.lit(capacity - 1))).alias("pick")
+    )
     key = F.col("_bin").cast("long") * F.lit(1_000_003) + F.col("pick")
     picks = with_uniforms(picks, key, {"_u": 0}, seed).withColumn("_row", F.floor(F.col("_u") * F.col("_n")))
-    picks = staged_side(picks.select("_bin", "_row", "pick"), "picks")
+    picks = picks.select("_bin", "_row", "pick")
+    picks = F.broadcast(picks) if fits else picks
     chosen = ranked.join(picks, (ranked[by] == picks["_bin"]) & (ranked["rn"] == picks["_row"]))
+    chosen = chosen.select(F.col(by).alias("_bin"), F.col("id").alias("_id"), "pick")
     # Only now the wide rows: each is read once and kept if one of the few picks names it.
-    chosen = staged_side(chosen.select(F.col(by).alias("_bin"), F.col("id").alias("_id"), "pick"), "chosen")
+    chosen = F.broadcast(chosen) if fits else chosen
     joined = samples.join(chosen, (samples[by] == chosen["_bin"]) & (samples["id"] == chosen["_id"]))
     return joined.select("pick", *samples.columns)
 
@@ -151,5 +160,5 @@ def start_from_pool(samples: DataFrame, pool: int, seed: int) -> DataFrame:
         rank -= c
     inside = samples.where(F.col("bin") == b)
     ids = inside.select(F.col("id").alias("key"), "id")
-    chosen = select_ranks(ids, [], "key", "id", lambda n: [int(u_row * n)]).first()["id"]
+    ((_, chosen, _, _),) = selected_rows(ids, [], "key", "id", lambda n: [int(u_row * n)])
     return inside.where(F.col("id") == chosen)

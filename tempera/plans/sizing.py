@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.plans.staging import materialize
-
 BROADCAST_ROWS = 50_000
 
 
@@ -22,12 +20,6 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def staged_side(df: DataFrame, label: str, max_rows: int = 1_000_000) -> DataFrame:
-    """As ``small_side`` for narrow frames too long for the driver: written, counted, then marked."""
-    staged = materialize(df, label)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows that each cost a lot of computing: as many tasks as the session's shuffle setting.
 
