@@ -169,11 +169,11 @@ def kth_largest_kernel(spark, sf_dir):
     """SELECT event_id AS id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best FROM events""",
 )
 def running_max(spark, sf_dir):
-    """Best value each chain has seen so far; long chains are walked in daily pieces."""
+    """Best value each chain has seen so far."""
     from tempera.operators.walks import running_max as walk
 
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return walk(events, "user_id", ["ts", "event_id"], F.to_date("ts"), "value").select(
+    return walk(events, "user_id", ["ts", "event_id"], "value").select(
         F.col("event_id").alias("id"), F.col("running").alias("best")
     )
 
@@ -189,7 +189,7 @@ def burn_in_and_thin(spark, sf_dir):
     from tempera.operators.walks import thin
 
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    kept = thin(events, "user_id", ["ts", "event_id"], F.to_date("ts"), burn_in=10, every=3)
+    kept = thin(events, "user_id", ["ts", "event_id"], burn_in=10, every=3)
     return kept.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("chain"), "draw", rounded("value").alias("value")
     )
@@ -206,6 +206,6 @@ def acceptance_rate(spark, sf_dir):
     from tempera.operators.walks import acceptance
 
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return acceptance(events, "user_id", ["ts", "event_id"], F.to_date("ts"), "value").select(
+    return acceptance(events, "user_id", ["ts", "event_id"], "value").select(
         F.col("user_id").alias("chain"), rounded("rate", 9).alias("rate"), "n"
     )

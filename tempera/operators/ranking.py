@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempera.plans.sizing import small_side
 from tempera.plans.staging import materialize
 
+POSITION, PIECE = "_position", "_piece"
 _OFFSET_BITS = 33  # monotonically_increasing_id: partition number above, row offset below
 
 
@@ -42,19 +43,27 @@ def least_weight(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
+def sorted_pieces(df: DataFrame, by: list[str], order: list, label: str) -> DataFrame:
+    """Rows range-sorted over ``by`` and ``order`` and written once, with their position and piece.
+
+    Pieces are the sort's balanced partitions, numbered in order. ``order``
+    must end in a unique key, so neither a huge group nor a huge run of equal
+    values has to fit one piece.
+    """
+    spread = df.orderBy(*by, *[_key(o) for o in order]).withColumn(POSITION, F.monotonically_increasing_id())
+    return materialize(spread, label).withColumn(PIECE, F.shiftright(POSITION, _OFFSET_BITS))
+
+
 def global_rank(
     df: DataFrame, by: list[str], order: list, out: str = "rn", total: str = "n", label: str = "rank"
 ) -> DataFrame:
     """Exact 0-based rank ``out`` and group size ``total`` for every row.
 
-    A range-partitioned sort spreads even one huge group (or one huge run of
-    equal values) over all tasks, because ``order`` ends in a unique key. The
-    sorted rows are written once with their position; the only other exchange
-    is over one small row per (group, partition).
+    The sorted rows are written once with their position; the only other
+    exchange is over one small row per (group, piece).
     """
-    pos, part = "_position", "_part"
-    spread = df.orderBy(*by, *[_key(o) for o in order]).withColumn(pos, F.monotonically_increasing_id())
-    placed = materialize(spread, label).withColumn(part, F.shiftright(pos, _OFFSET_BITS))
+    pos, part = POSITION, PIECE
+    placed = sorted_pieces(df, by, order, label)
     fragments = placed.groupBy(*by, part).agg(
         F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_size")
     )

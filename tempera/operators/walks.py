@@ -1,8 +1,9 @@
 """Operators along stored chains that may each be arbitrarily long.
 
-A chain is cut into pieces by a monotone function of its order (a day, a block
-of iterations). Windows run inside pieces; what crosses pieces is one summary
-row per piece. So one chain holding most of the data still spreads over tasks.
+Chains are laid out by one range sort over (chain, order), so a chain holding
+most of the data spans many balanced pieces. Windows run inside pieces. What a
+piece needs from earlier ones is one carried value, and only the pieces that
+continue a chain (at most one per partition boundary) need it.
 """
 
 from __future__ import annotations
@@ -10,62 +11,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PIECE = "_piece"
+from tempera.operators.ranking import PIECE, global_rank, sorted_pieces
+from tempera.plans.sizing import small_side
 
 
-def _pieces(df: DataFrame, chain: str, piece: Column, carried: dict[str, Column]) -> DataFrame:
-    """One row per (chain, piece) with the aggregates named in ``carried``."""
-    cut = df.withColumn(_PIECE, piece)
-    return cut.groupBy(F.col(chain).alias("_chain"), F.col(_PIECE).alias("_at")).agg(
-        *[v.alias(k) for k, v in carried.items()]
-    )
-
-
-def _rejoin(df: DataFrame, chain: str, piece: Column, summary: DataFrame) -> DataFrame:
-    cut = df.withColumn(_PIECE, piece)
-    same = (cut[chain] == summary["_chain"]) & (cut[_PIECE] == summary["_at"])
-    return cut.join(summary, same).drop("_chain", "_at")
-
-
-def _earlier(kind: Column) -> Column:
-    w = Window.partitionBy("_chain").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return kind.over(w)
+def thin(df: DataFrame, chain: str, order: list[str], burn_in: int, every: int) -> DataFrame:
+    """Stored draws after burn-in: the last of each run of ``every`` draws."""
+    placed = global_rank(df, [chain], order, "_k", "_n", "thin").withColumn("_k", F.col("_k") - burn_in)
+    kept = placed.where((F.col("_k") >= 0) & (F.col("_k") % every == every - 1))
+    return kept.withColumn("draw", F.floor(F.col("_k") / every)).drop("_k", "_n")
 
 
-def positions(df: DataFrame, chain: str, order: list[str], piece: Column, out: str = "position") -> DataFrame:
-    """0-based position of every draw in its chain."""
-    summary = _pieces(df, chain, piece, {"_n": F.count(F.lit(1))}).withColumn(
-        "_before", F.coalesce(_earlier(F.sum("_n")), F.lit(0))
+def _with_carried(pieces: DataFrame, chain: str, summary: Column, carry) -> DataFrame:
+    """Add ``_before``: what earlier pieces of the same chain hand on, null in a chain's first piece."""
+    per_piece = pieces.groupBy(F.col(chain).alias("_chain"), F.col(PIECE).alias("_at")).agg(summary.alias("_own"))
+    along = Window.partitionBy("_chain").orderBy("_at")
+    carried = per_piece.select(
+        "_chain", "_at", carry(F.col("_own"), along).alias("_before"), F.row_number().over(along).alias("_nth")
     )
-    joined = _rejoin(df, chain, piece, summary)
-    local = Window.partitionBy(chain, _PIECE).orderBy(*order)
-    return joined.withColumn(out, F.col("_before") + F.row_number().over(local) - 1).drop("_n", "_before", _PIECE)
-
-
-def thin(df: DataFrame, chain: str, order: list[str], piece: Column, burn_in: int, every: int) -> DataFrame:
-    """Stored draws after burn-in: the last of each run of ``every`` draws."""
-    placed = positions(df, chain, order, piece).withColumn("_k", F.col("position") - burn_in)
-    kept = placed.where((F.col("_k") >= 0) & (F.col("_k") % every == every - 1))
-    return kept.withColumn("draw", F.floor(F.col("_k") / every)).drop("_k", "position")
+    carried = small_side(carried.where("_nth > 1").drop("_nth"))
+    same = (pieces[chain] == carried["_chain"]) & (pieces[PIECE] == carried["_at"])
+    return pieces.join(carried, same, "left").drop("_chain", "_at")
 
 
-def running_max(df: DataFrame, chain: str, order: list[str], piece: Column, value: str) -> DataFrame:
-    summary = _pieces(df, chain, piece, {"_top": F.max(value)}).withColumn("_before", _earlier(F.max("_top")))
-    joined = _rejoin(df, chain, piece, summary)
-    local = Window.partitionBy(chain, _PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def running_max(df: DataFrame, chain: str, order: list[str], value: str) -> DataFrame:
+    """Best value each chain has seen so far."""
+    pieces = sorted_pieces(df, [chain], order, "running-max")
+    earlier = lambda own, w: F.max(own).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = _with_carried(pieces, chain, F.max(value), earlier)
+    local = Window.partitionBy(chain, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     best = F.greatest(F.max(value).over(local), F.col("_before"))
-    return joined.withColumn("running", best).drop("_top", "_before", _PIECE)
+    return carried.select(*df.columns, best.alias("running"))
 
 
-def acceptance(df: DataFrame, chain: str, order: list[str], piece: Column, value: str) -> DataFrame:
+def acceptance(df: DataFrame, chain: str, order: list[str], value: str) -> DataFrame:
     """Share of steps at which the stored value changed, per chain."""
+    pieces = sorted_pieces(df, [chain], order, "acceptance")
     last = F.max_by(value, F.struct(*order))
-    summary = _pieces(df, chain, piece, {"_last": last}).withColumn(
-        "_before", F.lag("_last").over(Window.partitionBy("_chain").orderBy("_at"))
-    )
-    joined = _rejoin(df, chain, piece, summary)
-    local = Window.partitionBy(chain, _PIECE).orderBy(*order)
+    carried = _with_carried(pieces, chain, last, lambda own, w: F.lag(own).over(w))
+    local = Window.partitionBy(chain, PIECE).orderBy(*order)
     previous = F.coalesce(F.lag(value).over(local), F.col("_before"))
-    steps = joined.withColumn("_previous", previous).where(F.col("_previous").isNotNull())
+    steps = carried.withColumn("_previous", previous).where(F.col("_previous").isNotNull())
     moved = (F.col(value) != F.col("_previous")).cast("double")
     return steps.groupBy(chain).agg(F.avg(moved).alias("rate"), F.count(F.lit(1)).alias("n"))
