@@ -72,8 +72,8 @@ class SampleStore:
         """
         ranked = global_rank(self.scan(level).select("level", "bin", "id", "data", "weight"), ["bin"], ["id"])
         sliced = ranked.withColumn("_slice", F.floor(F.col("rn") / self.capacity))
-        staged = materialize(sliced, "compact")  # the files read are about to be replaced
-        self._write(staged.repartition("bin", "_slice"), "overwrite", placed=True)
+        # Ranks come from a written copy, so the files being replaced are no longer read.
+        self._write(sliced.repartition("bin", "_slice"), "overwrite", placed=True)
 
     def rebin(self, level: int, bounds_df: DataFrame) -> None:
         """Move a level's samples into the bins of new bounds."""

@@ -52,6 +52,14 @@ def test_selection_over_a_whole_frame(skewed):
     assert [tuple(full.loc[k, ["v", "id"]]) for k in got["rank"]] == list(zip(got["v"], got["id"]))
 
 
+def test_selection_with_too_many_groups_uses_full_ranks(skewed, monkeypatch):
+    few = selection.select_ranks(skewed, ["g"], "v", "id", lambda n: [3, n - 1]).toPandas()
+    monkeypatch.setattr(selection, "MAX_GROUPS", 2)
+    many = selection.select_ranks(skewed, ["g"], "v", "id", lambda n: [3, n - 1]).toPandas()
+    key = ["g", "rank"]
+    assert few.sort_values(key).values.tolist() == many.sort_values(key).values.tolist()
+
+
 def _chunks_by_walking(n, bins):
     size, start, out = math.ceil(n / bins), 0, []
     while start < n:
