@@ -11,7 +11,7 @@ from tempera.catalog.registry import Query
 
 QUERIES: dict[str, Query] = {}
 
-_MODULES = ("slack_packing", "warc", "ball_tree", "rule_quality", "bayes_dedup")
+_MODULES = ("slack_packing", "warc", "ball_tree", "rule_quality", "bayes_dedup", "disclosure")
 
 
 def llm_query(name: str, sql: str | None = None):
