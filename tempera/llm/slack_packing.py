@@ -12,6 +12,8 @@ over all tasks) and the number picks the sequence and the place in it.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +31,10 @@ from tempera.plans.staging import materialize
 
 WINDOW = 2048
 END_OF_DOCUMENT = 1
-#: Words a worker remembers with their ids; beyond it the memory starts anew. Changes no result.
-REMEMBERED_WORDS = 400_000
+#: Words a worker remembers with their ids, and as many plain forms; further ones are encoded anew. Changes no result.
+REMEMBERED_WORDS = 600_000
+#: Letters whose lower case is one letter, with at most one full stop or comma behind.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -45,7 +49,8 @@ class WordIds(dict):
     """Ids of a word as little-endian bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in a row; each distinct word is encoded once.
+    text are those of its words in a row. It also lower-cases, and it parts letters from a full stop
+    or comma behind them, so the plain form of a word is what has to be encoded.
     """
 
     def __init__(self, path: str):
@@ -53,13 +58,29 @@ class WordIds(dict):
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._plain: dict[str, bytes] = {}
+
+    def _encode(self, word: str) -> bytes:
+        ids = self._tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+    def _plain_ids(self, word: str) -> bytes:
+        out = self._plain.get(word)
+        if out is None:
+            out = self._encode(word)
+            if len(self._plain) < REMEMBERED_WORDS and len(word) <= 64:
+                self._plain[word] = out
+        return out
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self._tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        out = np.asarray(ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED_WORDS:
-                self.clear()
+        text = word.decode("utf-8")
+        if m := _PLAIN.fullmatch(text):
+            out = self._plain_ids(m[1].lower())
+            if m[2]:
+                out += self._plain_ids(m[2])
+        else:
+            out = self._encode(text)
+        if len(self) < REMEMBERED_WORDS and len(word) <= 64:
             self[word] = out
         return out
 
@@ -67,12 +88,18 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8").split()))
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One memory for all tasks of a worker process."""
+    return WordIds(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END_OF_DOCUMENT) -> DataFrame:
     """One row per piece: full windows of a document and its remainder, with the CRC of the piece's ids."""
     path, tail = tokenizer or default_tokenizer(), np.asarray([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
         for batch in batches:
             rows = []
