@@ -33,6 +33,9 @@ STATISTICS = (
 )
 
 
+_HELPERS = tuple(f"_q_{x}" for x in ("text", "rest", "rest2", "rest3", "rest4", "words", "lines", "n"))
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the statistics of the whole text, prefixed ``q_``; null and empty texts have 0 everywhere.
 
@@ -71,7 +74,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "stop_share": share(size("_q_rest4") - size(F.replace("_q_rest4", F.lit("."), F.lit(""))), words),
     }
     body = body.withColumns({f"q_{k}": values[k].cast("double") for k in STATISTICS})
-    return body.drop(*(c for c in body.columns if c.startswith("_q_")))
+    return body.drop(*_HELPERS)
 
 
 @dataclass(frozen=True)
