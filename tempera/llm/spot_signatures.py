@@ -70,6 +70,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def size_partition(size: Column, threshold: float = THRESHOLD) -> Column:
     """Partition of a set size; sets as alike as the threshold are in the same or in neighbouring partitions."""
+    if threshold >= 1:
+        return size.cast("int")
     return F.floor(F.log(size.cast("double")) / F.lit(math.log(1 / threshold)) + F.lit(1e-9)).cast("int")
 
 
