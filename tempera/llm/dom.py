@@ -131,7 +131,11 @@ class Page:
                 at = len(source) if end < 0 else end
                 continue
             if name in ("html", "body"):
+                if len(stack) > 1 and stack[1][0] == "head":
+                    leave(1)
                 continue
+            if stack[-1][0] == "head":
+                leave(len(stack) - 1)
             if name in CLOSES_P:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == "p":
@@ -277,16 +281,22 @@ class Page:
         gain = np.log(p / (1 - p)) * (1 + np.log1p(np.asarray(own)))
         best = gain.tolist()  # of keeping a node, against dropping its subtree
         some = [o > 0 for o in own]
+        least = [(-math.inf, 0)] * n  # the child that costs least, for nodes without text or a child worth keeping
         for i in range(n - 1, 0, -1):
-            if self.dropped[i] or not some[i]:
+            p = self.parent[i]
+            if not some[i]:
+                best[i] += least[i][0]
+            if self.dropped[i]:
                 best[i] = -math.inf
             elif best[i] > 0:
-                best[self.parent[i]] += best[i]
-                some[self.parent[i]] = True
+                best[p] += best[i]
+                some[p] = True
+            least[p] = max(least[p], (best[i], i))
         kept = [False] * n
         kept[0] = True
         for i in range(1, n):
-            kept[i] = kept[self.parent[i]] and best[i] > 0
+            p = self.parent[i]
+            kept[i] = kept[p] and (best[i] > 0 or (p > 0 and not some[p] and least[p][1] == i))
         return kept
 
     def main_text(self, chance: np.ndarray) -> str:
