@@ -28,17 +28,33 @@ binned AS (SELECT *, least(rn // chunk,
 bounds AS (SELECT level, bin, min(energy) AS lo, max(energy) AS hi, count(*) AS n, max(chunk) AS chunk
            FROM binned GROUP BY level, bin)"""
 
-# The counter generator in SQL: q(key, counter) rows get uniform u.
+def threefry_steps(key: str, counter: str, seed: int, out: str) -> list[str]:
+    """The counter generator in SQL: select lists, each over the rows of the one before."""
+    # Fixed values of the published cipher.
+    mask, parity, rotations, rounds = 4294967295, 466688986, (13, 15, 26, 6, 17, 29, 16, 24), 13
+    k, c = f"CAST({key} AS BIGINT)", f"CAST({counter} AS BIGINT)"
+    steps = [
+        f"SELECT *, {k} & {mask} AS k0_, ({k} >> 32) & {mask} AS k1_, {c} AS c_",
+        f"SELECT * EXCLUDE (c_), xor(xor(k0_, k1_), {parity}) AS k2_, ((c_ & {mask}) + k0_) & {mask} AS x_, "
+        f"(((c_ >> 32) & {mask}) * 65536 + {seed} + k1_) & {mask} AS y_",
+    ]
+    for i in range(rounds):
+        r = rotations[i % 8]
+        x = f"((x_ + y_) & {mask})"
+        y = f"xor(((y_ << {r}) & {mask}) | (y_ >> {32 - r}), {x})"
+        if i % 4 == 3:
+            j = i // 4 + 1
+            x, y = f"(({x} + k{j % 3}_) & {mask})", f"(({y} + k{(j + 1) % 3}_ + {j}) & {mask})"
+        steps.append(f"SELECT * REPLACE ({x} AS x_, {y} AS y_)")
+    last = f"SELECT * EXCLUDE (k0_, k1_, k2_, x_, y_), ((x_ * 1048576 + (y_ >> 12)) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS {out}"
+    return [*steps, last]
+
+
 def uniforms(name: str, source: str, key: str, counter: str, seed: int, out: str) -> str:
-    mask, mult, weyl = 4294967295, 73244475, 2654435769
-    return f"""
-{name}_0 AS (SELECT *, ({key} + {seed * 7919}) & {mask} AS h FROM {source}),
-{name}_1 AS (SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM {name}_0),
-{name}_2 AS (SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM {name}_1),
-{name}_3 AS (SELECT * REPLACE ((xor(h >> 16, h) + CAST({counter} AS BIGINT) * {weyl}) & {mask} AS h) FROM {name}_2),
-{name}_4 AS (SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM {name}_3),
-{name}_5 AS (SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM {name}_4),
-{name} AS (SELECT * EXCLUDE (h), (xor(h >> 16, h) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS {out} FROM {name}_5)"""
+    """The generator as a chain of common table expressions: rows of ``source`` get a uniform ``out``."""
+    steps = threefry_steps(key, counter, seed, out)
+    names = [f"{name}_{i}" for i in range(len(steps) - 1)] + [name]
+    return ",\n".join(f"{n} AS ({s} FROM {f})" for n, s, f in zip(names, steps, [source, *names]))
 
 
 @query(
@@ -297,40 +313,42 @@ def random_start_from_k_best(spark, sf_dir):
 
 @query(
     "random_start_from_pool",
-    f"""WITH {RANKED}, z(k) AS (VALUES (0::BIGINT)),
-    {uniforms('u0', 'z', 'k', '0', 23, 'a')}, {uniforms('u1', 'u0', 'k', '1', 23, 'b')},
-    lv AS (SELECT * FROM binned WHERE level = 2),
-    c AS (SELECT bin, count(*) AS c, coalesce(sum(count(*)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-          FROM lv GROUP BY bin),
-    chosen AS (SELECT c.bin, CAST(floor(u1.b * c.c) AS BIGINT) AS pick FROM c, u1
-               WHERE floor(u1.a * least(1000, (SELECT count(*) FROM lv))) >= before
-                 AND floor(u1.a * least(1000, (SELECT count(*) FROM lv))) < before + c),
-    inside AS (SELECT lv.*, row_number() OVER (ORDER BY id) - 1 AS k FROM lv JOIN chosen ON lv.bin = chosen.bin)
-    SELECT id, CAST(inside.bin AS BIGINT) AS bin, round(weight, 6) AS weight
-    FROM inside JOIN chosen ON inside.k = chosen.pick""",
+    f"""WITH {RANKED}, z AS (SELECT DISTINCT level FROM binned),
+    {uniforms('u0', 'z', 'level', '0', 23, 'a')}, {uniforms('u1', 'u0', 'level', '1', 23, 'b')},
+    c AS (SELECT level, bin, count(*) AS c,
+                 coalesce(sum(count(*)) OVER (PARTITION BY level ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                 sum(count(*)) OVER (PARTITION BY level) AS total
+          FROM binned GROUP BY level, bin),
+    chosen AS (SELECT c.level, c.bin, CAST(floor(u1.b * c.c) AS BIGINT) AS pick FROM c JOIN u1 ON u1.level = c.level
+               WHERE floor(u1.a * least(1000, total)) >= before AND floor(u1.a * least(1000, total)) < before + c),
+    inside AS (SELECT b.*, row_number() OVER (PARTITION BY b.level ORDER BY id) - 1 AS k
+               FROM binned b JOIN chosen ON b.level = chosen.level AND b.bin = chosen.bin)
+    SELECT id, CAST(inside.level AS BIGINT) AS level, CAST(inside.bin AS BIGINT) AS bin, round(weight, 6) AS weight
+    FROM inside JOIN chosen ON inside.level = chosen.level AND inside.k = chosen.pick""",
 )
 def random_start_from_pool(spark, sf_dir):
-    samples = order_samples(spark, sf_dir).where("level = 2")
-    level = binning.equal_count_bins(samples, BINS).select("id", "bin", "weight")
-    return starters.start_from_pool(level, 1000, 23).select("id", F.col("bin").cast("long"), rounded("weight").alias("weight"))
+    """A start for every level."""
+    binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS).select("level", "bin", "id", "weight")
+    return starters.start_from_pool(binned, 1000, 23, ["level"]).select(
+        "id", F.col("level").cast("long"), F.col("bin").cast("long"), rounded("weight").alias("weight")
+    )
 
 
 @query(
     "random_draw_pool",
     f"""WITH {RANKED},
-    b AS (SELECT bin, max(n) AS n FROM (SELECT bin, count(*) AS n FROM binned WHERE level = 1 GROUP BY bin) GROUP BY bin),
-    picks AS (SELECT bin, n, pick, bin * 1000003 + pick AS k FROM b, range(500) t(pick)),
-    {uniforms('u', 'picks', 'k', '0', 29, 'a')},
-    inside AS (SELECT bin, id, weight, row_number() OVER (PARTITION BY bin ORDER BY id) - 1 AS row FROM binned WHERE level = 1)
-    SELECT CAST(u.bin AS BIGINT) AS bin, u.pick, i.id, round(i.weight, 6) AS weight
-    FROM u JOIN inside i ON i.bin = u.bin AND i.row = CAST(floor(u.a * u.n) AS BIGINT)""",
+    b AS (SELECT level, bin, count(*) AS n FROM binned GROUP BY level, bin),
+    picks AS (SELECT level, bin, n, pick, (CAST(level AS BIGINT) << 32) | bin AS k FROM b, range(500) t(pick)),
+    {uniforms('u', 'picks', 'k', 'pick', 29, 'a')},
+    inside AS (SELECT level, bin, id, weight, row_number() OVER (PARTITION BY level, bin ORDER BY id) - 1 AS row FROM binned)
+    SELECT CAST(u.level AS BIGINT) AS level, CAST(u.bin AS BIGINT) AS bin, u.pick, i.id, round(i.weight, 6) AS weight
+    FROM u JOIN inside i ON i.level = u.level AND i.bin = u.bin AND i.row = CAST(floor(u.a * u.n) AS BIGINT)""",
 )
 def random_draw_pool(spark, sf_dir):
-    """500 uniform picks with replacement from every bin of one level."""
-    samples = order_samples(spark, sf_dir).where("level = 1")
-    level = binning.equal_count_bins(samples, BINS).select("id", "bin", "weight")
-    return starters.draw_pool(level, 500, 29).select(
-        F.col("bin").cast("long"), F.col("pick").cast("long"), "id", rounded("weight").alias("weight")
+    """500 uniform picks with replacement from every bin of every level."""
+    binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS).select("level", "bin", "id", "weight")
+    return starters.draw_pool(binned, 500, 29, ["level", "bin"]).select(
+        F.col("level").cast("long"), F.col("bin").cast("long"), F.col("pick").cast("long"), "id", rounded("weight").alias("weight")
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from tempera.catalog.binning import uniforms
+from tempera.catalog.binning import threefry_steps, uniforms
 from tempera.catalog.registry import query, rounded, table
 from tempera.operators import chains, climb, tuning
 from tempera.operators.store import SampleStore
@@ -137,14 +137,10 @@ def metropolis_hastings_step(spark, sf_dir):
 
 def _nested_uniform(source: str, key: str, counter: str, seed: int, out: str) -> str:
     """The counter generator as nested subqueries, for use inside a recursive step."""
-    mask, mult, weyl = 4294967295, 73244475, 2654435769
-    sql = f"SELECT *, ({key} + {seed * 7919}) & {mask} AS h FROM {source}"
-    for _ in range(2):
-        sql = f"SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM ({sql})"
-    sql = f"SELECT * REPLACE ((xor(h >> 16, h) + CAST({counter} AS BIGINT) * {weyl}) & {mask} AS h) FROM ({sql})"
-    for _ in range(2):
-        sql = f"SELECT * REPLACE ((xor(h >> 16, h) * {mult}) & {mask} AS h) FROM ({sql})"
-    return f"(SELECT * EXCLUDE (h), (xor(h >> 16, h) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS {out} FROM ({sql}))"
+    sql = source
+    for step in threefry_steps(key, counter, seed, out):
+        sql = f"({step} FROM {sql})"
+    return sql
 
 
 TUNE = tuning.TuneSettings(period=25, max_period=200)
@@ -269,8 +265,8 @@ def _hybrid_sql() -> str:
                      ELSE CAST(ceil(n / chunk::DOUBLE) AS BIGINT) END) - 1) AS bin FROM q2),
     low AS (SELECT bin, min(energy) AS lo, count(*) AS m FROM q3 GROUP BY bin),
     numbered AS (SELECT bin, x, energy, row_number() OVER (PARTITION BY bin ORDER BY id) - 1 AS row FROM q3),
-    picks AS (SELECT bin, m, pick, bin * 1000003 + pick AS k FROM low, range({POOL_CAPACITY}) t(pick)),
-    {uniforms('pu', 'picks', 'k', '0', 79, 'a')},
+    picks AS (SELECT bin, m, pick, pick AS k FROM low, range({POOL_CAPACITY}) t(pick)),
+    {uniforms('pu', 'picks', 'bin', 'pick', 79, 'a')},
     pool AS (SELECT pu.bin * {POOL_CAPACITY} + pu.pick AS idx, nb.x AS px, -nb.energy AS pw
              FROM pu JOIN numbered nb ON nb.bin = pu.bin AND nb.row = CAST(floor(pu.a * pu.m) AS BIGINT)),
     bounds AS (SELECT list(lo ORDER BY bin) AS lows FROM low),

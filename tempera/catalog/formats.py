@@ -13,7 +13,7 @@ from tempera.operators.store import SampleStore
 from tempera.plans.adapters import order_samples, vector_samples
 from tempera.plans.staging import staged_path
 from tempera.sources import config, text
-from tempera.sources.record import SampleRecordSource
+from tempera.sources.record import read_records, write_records
 from tempera.streaming.deposit import stream_deposits
 
 _SAMPLES = """SELECT vec_id AS id, len(embedding) AS dim,
@@ -35,21 +35,19 @@ def _summary(samples):
 
 @query("binary_record_roundtrip", _SAMPLES)
 def binary_record_roundtrip(spark, sf_dir):
-    spark.dataSource.register(SampleRecordSource)
     path = staged_path(spark, "records")
-    interchange_samples(spark, sf_dir).write.format("sample_record").mode("append").save(path)
-    return _summary(spark.read.format("sample_record").load(path))
+    write_records(interchange_samples(spark, sf_dir), path)
+    return _summary(read_records(spark, path))
 
 
 @query("text_record_roundtrip", _SAMPLES)
 def text_record_roundtrip(spark, sf_dir):
     """Binary to text and back to binary."""
-    spark.dataSource.register(SampleRecordSource)
     binary, lines, again = (staged_path(spark, n) for n in ("records", "lines", "records"))
-    interchange_samples(spark, sf_dir).write.format("sample_record").mode("append").save(binary)
+    write_records(interchange_samples(spark, sf_dir), binary)
     text.binary_to_text(spark, binary, lines)
     text.text_to_binary(spark, lines, again)
-    return _summary(spark.read.format("sample_record").load(again))
+    return _summary(read_records(spark, again))
 
 
 @query("posterior_draw_text", _SAMPLES.replace("vec_id AS id, ", ""))

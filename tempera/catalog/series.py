@@ -192,14 +192,16 @@ def structural_parameters(spark, sf_dir):
     )
 
 
-@query(
-    "log_prior",
-    f"""WITH {_PARAMS} SELECT id, CASE WHEN NOT valid THEN {NEG_INF!r}::DOUBLE ELSE round(
-        {_GAMMA('x[1]', 1.8611, 3.0112)} + {_GAMMA('x[2]', 1.8611, 3.0112)} + {_GAMMA('x[5]', 1.0, 0.5)}
+_LOG_PRIOR = f"""        {_GAMMA('x[1]', 1.8611, 3.0112)} + {_GAMMA('x[2]', 1.8611, 3.0112)} + {_GAMMA('x[5]', 1.0, 0.5)}
         + list_sum(list_transform(x[3:4], lambda t: {math.log(2.0)!r}::DOUBLE + ln(1 - t)))
         + list_sum(list_transform(x[6:13], lambda t: {math.log(2.0)!r}::DOUBLE + ln(1 - t)))
         + list_sum(list_transform(x[14:21], lambda t: {_PRIOR_A * math.log(_PRIOR_B) - math.lgamma(_PRIOR_A)!r}::DOUBLE
-                   - {_PRIOR_A + 1.0!r}::DOUBLE * ln(t) - {_PRIOR_B!r}::DOUBLE / t)), 6) END AS log_prior FROM v""",
+                   - {_PRIOR_A + 1.0!r}::DOUBLE * ln(t) - {_PRIOR_B!r}::DOUBLE / t))"""
+
+
+@query(
+    "log_prior",
+    f"""WITH {_PARAMS} SELECT id, CASE WHEN NOT valid THEN {NEG_INF!r}::DOUBLE ELSE round({_LOG_PRIOR}, 6) END AS log_prior FROM v""",
 )
 def log_prior(spark, sf_dir):
     out = prior.evaluate(parameter_rows(spark, sf_dir), CODE)
@@ -258,15 +260,37 @@ def ar_model(x: np.ndarray) -> timeseries.StateSpace:
 )
 def parameter_log_likelihood(spark, sf_dir):
     """Likelihood of the quarterly log order volume at every embedding read as a parameter row."""
+    value = F.when(F.col("loglik") > NEG_INF / 10, rounded("loglik")).otherwise(F.lit(NEG_INF))
+    return panel_log_likelihood(spark, sf_dir).select("id", value.alias("loglik"))
+
+
+def panel_log_likelihood(spark, sf_dir):
     total = quarterly_orders(spark, sf_dir, "o_orderpriority").groupBy("dt").agg(F.log(F.sum("value")).alias("y"))
     y = np.array([r["y"] for r in total.orderBy("dt").collect()])  # as long as the calendar
     params = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("data"),
         (F.col("embedding")[2] < 0.25).alias("valid"),
     )
-    out = timeseries.parameter_log_likelihood(params, ar_model, (y - y.mean())[:, None], LAGS)
-    value = F.when(F.col("loglik") > NEG_INF / 10, rounded("loglik")).otherwise(F.lit(NEG_INF))
-    return out.select("id", value.alias("loglik"))
+    return timeseries.parameter_log_likelihood(params, ar_model, (y - y.mean())[:, None], LAGS)
+
+
+# Log scale of the prior normaliser as published for this model.
+LOG_SCALE = 0.36140037694606386
+
+
+@query(
+    "log_posterior_kernel",
+    f"""WITH RECURSIVE {_PANEL.replace("b AS (", "pb AS (").replace("FROM b)", "FROM pb)")}, {_PARAMS},
+    l AS (SELECT id, sum(ll) AS loglik FROM f WHERE t >= {LAGS} GROUP BY id)
+    SELECT v.id, CASE WHEN v.valid AND l.loglik IS NOT NULL THEN round(l.loglik + {_LOG_PRIOR} + {LOG_SCALE!r}::DOUBLE, 6)
+      ELSE {NEG_INF!r}::DOUBLE END AS log_posterior FROM v LEFT JOIN l ON l.id = v.id""",
+)
+def log_posterior_kernel(spark, sf_dir):
+    """Likelihood of the quarterly order volume plus log prior plus scale, at every embedding read as parameters."""
+    priors = prior.evaluate(parameter_rows(spark, sf_dir), CODE)
+    out = prior.log_posterior(priors, panel_log_likelihood(spark, sf_dir), LOG_SCALE)
+    value = F.when(F.col("log_posterior") > NEG_INF / 10, rounded("log_posterior")).otherwise(F.lit(NEG_INF))
+    return out.select("id", value.alias("log_posterior"))
 
 
 @query(

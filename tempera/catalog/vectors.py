@@ -48,13 +48,11 @@ def covariance_matrix(spark, sf_dir):
 
 @query(
     "covariance_factor",
-    f"""WITH {_COV} SELECT CAST(label AS BIGINT) AS label, i, j, round(cov, 9) AS cov FROM cov WHERE i < 8 AND j < 8"""
-    .replace(f"range({DIM})", "range(8)"),
+    f"""WITH {_COV} SELECT CAST(label AS BIGINT) AS label, i, j, round(cov, 9) AS cov FROM cov""",
 )
 def covariance_factor(spark, sf_dir):
-    """B B' of each label's proposal directions B = U sqrt(D), for the block of the first eight dimensions."""
-    block = vector_samples(spark, sf_dir).withColumn("data", F.slice("data", 1, 8))
-    factor = moments.covariance_factor(moments.covariance(block, "label", 8))
+    """B B' of each label's proposal directions B = U sqrt(D)."""
+    factor = moments.covariance_factor(moments.covariance(vector_samples(spark, sf_dir), "label", DIM))
     left = factor.select("grp", "i", F.col("j").alias("k"), F.col("value").alias("a"))
     right = factor.select("grp", F.col("i").alias("j"), F.col("j").alias("k"), F.col("value").alias("b"))
     product = left.join(right, ["grp", "k"]).groupBy("grp", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("cov"))
@@ -63,16 +61,19 @@ def covariance_factor(spark, sf_dir):
 
 @query(
     "sample_covariance_and_mode",
-    """SELECT CAST(label AS BIGINT) AS label, round(covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 9) AS cov,
-       arg_max(vec_id, (round(-100.0::DOUBLE * embedding[1]::DOUBLE * embedding[1]::DOUBLE, 9), -vec_id)) AS mode_id, count(*) AS n
-    FROM embeddings GROUP BY label""",
+    f"""WITH {_COV}, m AS (SELECT label, arg_max(id, (round(weight, 9), -id)) AS mode_id, count(*) AS n FROM v GROUP BY label)
+    SELECT CAST(cov.label AS BIGINT) AS label, i, j, round(cov * n / (n - 1), 9) AS cov, mode_id, n
+    FROM cov JOIN m ON m.label = cov.label WHERE n > 1""",
 )
 def sample_covariance_and_mode(spark, sf_dir):
     v = vector_samples(spark, sf_dir)
-    return v.groupBy(F.col("label").cast("long").alias("label")).agg(
-        rounded(F.covar_samp(F.col("data")[0], F.col("data")[1]), 9).alias("cov"),
-        F.max_by("id", F.struct(F.round("weight", 9), -F.col("id"))).alias("mode_id"),
-        F.count(F.lit(1)).alias("n"),
+    mode = v.groupBy(F.col("label").cast("long").alias("grp")).agg(
+        F.max_by("id", F.struct(F.round("weight", 9), -F.col("id"))).alias("mode_id")
+    )
+    cov = moments.covariance(v, "label", DIM).where("n > 1").join(mode, "grp")
+    return cov.select(
+        F.col("grp").alias("label"), F.col("i").cast("long"), F.col("j").cast("long"),
+        rounded(F.col("cov") * F.col("n") / (F.col("n") - 1), 9).alias("cov"), "mode_id", "n",
     )
 
 
@@ -136,7 +137,7 @@ def farthest_starts_in_bands(spark, sf_dir):
 @query("kmeans_starts")
 def kmeans_starts(spark, sf_dir):
     """Cluster centres of all vectors, as chain starts."""
-    centres = starters.kmeans_centres(vector_samples(spark, sf_dir), 5, seed=3, restarts=2)
+    centres = starters.kmeans_centres(vector_samples(spark, sf_dir), 5, seed=3)
     return centres.select(F.col("pick").cast("long"), F.posexplode("data").alias("pos", "x")).select(
         "pick", F.col("pos").cast("long"), rounded("x").alias("x")
     )

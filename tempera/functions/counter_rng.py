@@ -1,8 +1,9 @@
-"""Counter-based pseudo-random numbers.
+"""Counter-based pseudo-random numbers: the Threefry cipher on two 32-bit lanes.
 
-A draw depends only on (seed, key, counter), never on partitioning, so a task
-that is re-run after an executor loss repeats exactly the same numbers. The
-Column and the NumPy form agree bit for bit.
+The key is the 64-bit id of a row or chain; the block holds a 48-bit counter and a 16-bit seed. The
+cipher maps blocks of a key one to one, so no two (seed, counter) of a key give the same block, and
+keys are not offsets into a common cycle. A draw never depends on partitioning: a task that
+is run again after an executor loss repeats exactly the same numbers. The Column and the NumPy form agree bit for bit.
 """
 
 from __future__ import annotations
@@ -13,34 +14,60 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# 32-bit mask, integer-hash multiplier, Weyl increment, seed stride.
+# Fixed values of the published cipher: lane mask, key parity, rotations; 13 rounds is its crush-resistant form.
 MASK = 0xFFFFFFFF
-MULTIPLIER = 0x45D9F3B
-WEYL = 2654435769
-SEED_STRIDE = 7919
+PARITY = 0x1BD11BDA
+ROTATIONS = (13, 15, 26, 6, 17, 29, 16, 24)
+ROUNDS = 13
 
+MAX_SEED = 1 << 16
+MAX_COUNTER = 1 << 48
 
-def _mix_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Hash columns in place; one projection per round keeps each expression small."""
 
-    def scramble(name: str) -> Column:
-        return F.shiftright(name, 16).bitwiseXOR(F.col(name))
+def _checked(seed: int) -> int:
+    if not 0 <= seed < MAX_SEED:
+        raise ValueError(f"a seed lies between 0 and {MAX_SEED - 1}")
+    return seed
 
-    for _ in range(2):
-        df = df.withColumns({n: (scramble(n) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK)) for n in names})
-    return df.withColumns({n: scramble(n) for n in names})
+
+def _low(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(MASK).cast("long"))
+
+
+def uniform_column(key: Column, counter: Column | int, seed: int) -> Column:
+    """A uniform on (0, 1) with 52 random bits; counters must stay below 2**48.
+
+    The rounds are a fold over their constants, so the expression stays small
+    wherever the optimizer copies it to.
+    """
+    key, counter = key.cast("long"), (F.lit(counter) if isinstance(counter, int) else counter).cast("long")
+    k0, k1 = _low(key), _low(F.shiftright(key, 32))
+    ks = (k0, k1, k0.bitwiseXOR(k1).bitwiseXOR(F.lit(PARITY).cast("long")))
+    zero = F.lit(0).cast("long")
+    rounds = []
+    for i in range(ROUNDS):
+        j = i // 4 + 1
+        added = (ks[j % 3], ks[(j + 1) % 3] + F.lit(j)) if i % 4 == 3 else (zero, zero)
+        rounds.append(F.struct(F.lit(ROTATIONS[i % 8]).alias("r"), added[0].alias("a"), added[1].alias("b")))
+    high = _low(F.shiftright(counter, 32)) * F.lit(MAX_SEED) + F.lit(_checked(seed))
+    start = F.struct(_low(_low(counter) + k0).alias("x"), _low(high + k1).alias("y"))
+
+    def turn(block: Column, step: Column) -> Column:
+        x, y = _low(block["x"] + block["y"]), block["y"]
+        left = _low(F.call_function("shiftleft", y, step["r"]))
+        y = left.bitwiseOR(F.call_function("shiftright", y, F.lit(32) - step["r"])).bitwiseXOR(x)
+        return F.struct(_low(x + step["a"]).alias("x"), _low(y + step["b"]).alias("y"))
+
+    def scaled(block: Column) -> Column:
+        bits = block["x"] * F.lit(1 << 20) + F.shiftright(block["y"], 12)
+        return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+    return F.aggregate(F.array(*rounds), start, turn, scaled)
 
 
 def with_uniforms(df: DataFrame, key: Column, counters: dict[str, Column | int], seed: int) -> DataFrame:
-    """Add uniforms on (0, 1), one per named counter; counters must stay below 2**31."""
-    start = (key.cast("long") + F.lit(seed * SEED_STRIDE).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
-    df = _mix_columns(df.withColumn("_hash", start), ["_hash"])
-    lanes = {
-        n: (F.col("_hash") + (F.lit(c) if isinstance(c, int) else c).cast("long") * F.lit(WEYL)).bitwiseAND(F.lit(MASK))
-        for n, c in counters.items()
-    }
-    df = _mix_columns(df.withColumns(lanes).drop("_hash"), list(lanes))
-    return df.withColumns({n: (F.col(n).cast("double") + F.lit(0.5)) / F.lit(4294967296.0) for n in lanes})
+    """Add uniforms, one per named counter."""
+    return df.withColumns({n: uniform_column(key, c, seed) for n, c in counters.items()})
 
 
 def box_muller(u: Column, v: Column) -> tuple[Column, Column]:
@@ -49,16 +76,27 @@ def box_muller(u: Column, v: Column) -> tuple[Column, Column]:
     return radius * F.cos(angle), radius * F.sin(angle)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    for _ in range(2):
-        x = (((x >> 16) ^ x) * MULTIPLIER) & MASK
-    return (x >> 16) ^ x
+def cipher(k0, k1, c0, c1, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The two lanes of encrypted blocks; all arguments are 32-bit lanes."""
+    k0, k1, x, y = np.broadcast_arrays(*(np.asarray(v, dtype=np.uint32) for v in (k0, k1, c0, c1)))
+    ks = (k0, k1, k0 ^ k1 ^ np.uint32(PARITY))
+    with np.errstate(over="ignore"):
+        x, y = x + ks[0], y + ks[1]
+        for i in range(rounds):
+            r = ROTATIONS[i % 8]
+            x = x + y
+            y = (y << np.uint32(r) | y >> np.uint32(32 - r)) ^ x
+            if i % 4 == 3:
+                j = i // 4 + 1
+                x, y = x + ks[j % 3], y + ks[(j + 1) % 3] + np.uint32(j)
+    return x, y
 
 
 def uniform(keys: np.ndarray, counter, seed: int) -> np.ndarray:
-    h = _mix((np.asarray(keys, dtype=np.int64) + seed * SEED_STRIDE) & MASK)
-    h = _mix((h + np.asarray(counter, dtype=np.int64) * WEYL) & MASK)
-    return (h + 0.5) / 4294967296.0
+    keys, counter = np.asarray(keys, dtype=np.int64), np.asarray(counter, dtype=np.int64)
+    high = (counter >> 32 & MASK) * MAX_SEED + _checked(seed)
+    x, y = cipher(*((v & MASK).astype(np.uint32) for v in (keys, keys >> 32, counter, high)))
+    return ((x.astype(np.int64) << 20 | y.astype(np.int64) >> 12) + 0.5) / float(1 << 52)
 
 
 def normal(keys: np.ndarray, counter, seed: int) -> np.ndarray:

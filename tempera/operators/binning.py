@@ -54,8 +54,13 @@ def equal_count_bounds(df: DataFrame, bins: int) -> DataFrame:
     """Bounds of equal-count bins: (level, bin, lo, lo_id, hi, n), by rank selection, without a sort."""
     slim = df.select("level", (-F.col("weight")).alias("energy"), "id")
     edges = selected_rows(slim, ["level"], "energy", "id", lambda n: [r for c in _equal_chunks(n, bins) for r in c])
-    if edges is None:
-        raise ValueError("too many levels")
+    if edges is None:  # very many levels: from exact ranks
+        ranked = equal_count_ranked(df, bins).groupBy("level", "bin").agg(
+            F.min(F.struct("energy", "id")).alias("first"), F.max("energy").alias("hi"), F.count(F.lit(1)).alias("n")
+        )
+        return ranked.select(
+            "level", "bin", F.col("first.energy").alias("lo"), F.col("first.id").cast("long").alias("lo_id"), "hi", "n"
+        )
     at = {(level, rank): (energy, ident) for level, rank, energy, ident, _ in edges}
     rows = []
     for level, n in {(e[0], e[-1]) for e in edges}:

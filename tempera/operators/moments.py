@@ -56,8 +56,9 @@ def _partial_sums(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def mean_vector(df: DataFrame, group: str, vector: str = "data") -> DataFrame:
-    parts = df.select(F.col(group).cast("long").alias("grp"), F.posexplode(F.col(vector)).alias("pos", "v"))
-    return parts.groupBy("grp", "pos").agg(F.avg(F.col("v").cast("double")).alias("mean"))
+    """Mean of each coordinate; a task ships one sum per group, not a row per coordinate."""
+    parts = _partial_sums(df, group, vector).select("grp", "n", F.posexplode("s").alias("pos", "v"))
+    return parts.groupBy("grp", "pos").agg((F.sum("v") / F.sum("n")).alias("mean"))
 
 
 def covariance(df: DataFrame, group: str, dim: int, vector: str = "data") -> DataFrame:

@@ -187,6 +187,17 @@ def evaluate(
     return wide.withColumn("log_prior", F.when(F.col("valid"), log_prior(x, code)).otherwise(F.lit(NEG_INF)))
 
 
+def log_posterior(priors: DataFrame, likelihoods: DataFrame, log_scale: float = 0.0) -> DataFrame:
+    """(id, log_posterior): likelihood plus prior plus the normaliser's scale; impossible if either part is.
+
+    ``priors`` is (id, valid, log_prior), ``likelihoods`` is (id, loglik).
+    """
+    both = priors.select("id", "valid", "log_prior").join(likelihoods.select("id", "loglik"), "id")
+    possible = F.col("valid") & (F.col("loglik") > NEG_INF / 10)
+    total = F.col("loglik") + F.col("log_prior") + F.lit(float(log_scale))
+    return both.select("id", F.when(possible, total).otherwise(F.lit(NEG_INF)).alias("log_posterior"))
+
+
 def _gamma_draws(shape: float, keys: np.ndarray, lane: int, seed: int) -> np.ndarray:
     """Unit-rate Gamma variates by squeeze rejection, retrying only the rejected keys."""
     boost = shape < 1.0
@@ -196,7 +207,7 @@ def _gamma_draws(shape: float, keys: np.ndarray, lane: int, seed: int) -> np.nda
     todo = np.arange(len(keys))
     attempt = 0
     while len(todo):
-        counter = lane * 1000 + attempt
+        counter = (lane << 20) + attempt
         z = counter_rng.normal(keys[todo], counter, seed)
         u = counter_rng.uniform(keys[todo], counter, seed + 1)
         v = (1.0 + c * z) ** 3

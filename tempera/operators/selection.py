@@ -14,6 +14,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,10 @@ def selected_rows(
 
 
 def _by_full_rank(slim, by, value, tie, wanted) -> DataFrame:
-    pick = F.udf(lambda n: [int(r) for r in wanted(n)], "array<long>")
+    def ranks(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: [int(r) for r in wanted(int(x))])
+
+    pick = F.pandas_udf(ranks, "array<long>")
     ranked = global_rank(slim, by, [value, tie])
     asked = ranked.where("rn = 0").select(*by, F.explode(pick("n")).alias("rn"))
     return ranked.join(asked, [*by, "rn"]).select(*by, F.col("rn").alias("rank"), value, tie, "n")

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempera.functions.counter_rng import uniform, with_uniforms
+from tempera.functions.counter_rng import with_uniforms
 from tempera.functions.logmath import squared_distance, vector_literal
 from tempera.operators.ranking import global_rank, k_most_weight
 from tempera.operators.selection import selected_rows
 
 
-POOL_BROADCAST_ROWS = 1_000_000  # picks beyond this many are joined by shuffle
-
 
 class TooFewSamples(ValueError):
     pass
@@ -105,12 +101,12 @@ def _as_frame(samples: DataFrame, rows: list) -> DataFrame:
     return samples.sparkSession.createDataFrame(ranked, "pick int, id long, weight double, data array<double>")
 
 
-def kmeans_centres(samples: DataFrame, k: int, seed: int, max_iter: int = 100, restarts: int = 5) -> DataFrame:
-    """Cluster centres from the best of several seeded runs."""
+def kmeans_centres(samples: DataFrame, k: int, seed: int, restarts: int = 5) -> DataFrame:
+    """Cluster centres from the best of several seeded runs, each run until the centres stand still."""
     vectors = samples.select(array_to_vector(F.col("data")).alias("features"))
     best = None
     for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=0.0).fit(vectors)
+        model = KMeans(k=k, seed=seed + r, maxIter=2**31 - 1, tol=0.0).fit(vectors)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     centres = sorted([float(v) for v in c] for c in best.clusterCenters())
@@ -119,46 +115,42 @@ def kmeans_centres(samples: DataFrame, k: int, seed: int, max_iter: int = 100, r
     )
 
 
-def draw_pool(samples: DataFrame, capacity: int, seed: int, by: str = "bin") -> DataFrame:
-    """``capacity`` uniform picks with replacement from every bin.
+def _bin_key(by: list[str]) -> Column:
+    """A key of its own for every bin, or for every (level, bin)."""
+    key = F.col(by[-1]).cast("long")
+    return key if len(by) == 1 else F.shiftleft(F.col(by[0]).cast("long"), 32).bitwiseOR(key)
+
+
+def draw_pool(samples: DataFrame, capacity: int, seed: int, by: str | list[str] = "bin") -> DataFrame:
+    """``capacity`` uniform picks with replacement from every bin, or from every (level, bin).
 
     Picks are row numbers, so the large side is only probed on (bin, row);
     there are (bins x capacity) of them.
     """
-    spark = samples.sparkSession
-    ranked = global_rank(samples.select(by, "id"), [by], ["id"], label="pool")
-    sizes = ranked.groupBy(F.col(by).alias("_bin")).agg(F.max("n").alias("_n"))
-    rows = sizes.collect()
-    fits = len(rows) * capacity <= POOL_BROADCAST_ROWS
-    picks = spark.createDataFrame(rows, sizes.schema).select(
-        "_bin", "_n", F.explode(F.sequence(F.lit(0), F.lit(capacity - 1))).alias("pick")
-    )
-    key = F.col("_bin").cast("long") * F.lit(1_000_003) + F.col("pick")
-    picks = with_uniforms(picks, key, {"_u": 0}, seed).withColumn("_row", F.floor(F.col("_u") * F.col("_n")))
-    picks = picks.select("_bin", "_row", "pick")
-    picks = F.broadcast(picks) if fits else picks
-    chosen = ranked.join(picks, (ranked[by] == picks["_bin"]) & (ranked["rn"] == picks["_row"]))
-    chosen = chosen.select(F.col(by).alias("_bin"), F.col("id").alias("_id"), "pick")
+    by = [by] if isinstance(by, str) else by
+    ranked = global_rank(samples.select(*by, "id"), by, ["id"], label="pool")
+    sizes = ranked.groupBy(*by).agg(F.max("n").alias("_n"))
+    picks = sizes.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(capacity - 1))))
+    picks = with_uniforms(picks, _bin_key(by), {"_u": F.col("pick")}, seed)
+    picks = picks.select(*by, F.floor(F.col("_u") * F.col("_n")).alias("rn"), "pick")
+    chosen = ranked.join(picks, [*by, "rn"]).select(*by, "id", "pick")
     # Only now the wide rows: each is read once and kept if one of the few picks names it.
-    chosen = F.broadcast(chosen) if fits else chosen
-    joined = samples.join(chosen, (samples[by] == chosen["_bin"]) & (samples["id"] == chosen["_id"]))
-    return joined.select("pick", *samples.columns)
+    return samples.join(chosen, [*by, "id"]).select("pick", *samples.columns)
 
 
-def start_from_pool(samples: DataFrame, pool: int, seed: int) -> DataFrame:
-    """A bin chosen by a random rank among the best ``pool`` rows, then a uniform row of that bin.
+def start_from_pool(samples: DataFrame, pool: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """A bin chosen by a random rank among the best ``pool`` rows, then a uniform row of that bin; one row per ``by``.
 
-    Bins are ordered by energy; ``samples`` carries a ``bin`` column.
+    Bins are ordered by energy; ``samples`` carries a ``bin`` column. ``by`` names at most the level.
     """
-    counts = sorted((r["bin"], r["count"]) for r in samples.groupBy("bin").count().collect())
-    total = sum(c for _, c in counts)
-    u_rank, u_row = (float(uniform(np.zeros(1), c, seed)[0]) for c in (0, 1))
-    rank = int(u_rank * min(pool, total))
-    for b, c in counts:
-        if rank < c:
-            break
-        rank -= c
-    inside = samples.where(F.col("bin") == b)
-    ids = inside.select(F.col("id").alias("key"), "id")
-    ((_, chosen, _, _),) = selected_rows(ids, [], "key", "id", lambda n: [int(u_row * n)])
-    return inside.where(F.col("id") == chosen)
+    by = by or []
+    counts = samples.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*by).orderBy("bin") if by else Window.orderBy("bin")
+    counts = counts.withColumns({"_end": F.sum("_c").over(order), "_total": F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    drawn = with_uniforms(counts, F.col(by[0]) if by else F.lit(0), {"_a": 0, "_b": 1}, seed)
+    rank = F.floor(F.col("_a") * F.least(F.lit(pool), F.col("_total")))
+    bins = drawn.where((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")))
+    bins = bins.select(*by, "bin", F.floor(F.col("_b") * F.col("_c")).alias("rn"))
+    inside = samples.join(bins.drop("rn"), [*by, "bin"], "left_semi")
+    ranked = global_rank(inside.select(*by, "bin", "id"), [*by, "bin"], ["id"], label="pool-start")
+    return samples.join(ranked.join(bins, [*by, "bin", "rn"]).select(*by, "bin", "id"), [*by, "bin", "id"], "left_semi")

@@ -19,7 +19,8 @@ class SampleStore:
 
     @classmethod
     def in_shared_folder(cls, spark: SparkSession, run_id: str, capacity: int = CAPACITY) -> SampleStore:
-        return cls(spark, f"{staging_root(spark)}/tempera/store/{run_id}", capacity)
+        """A store among the staged tables, so it goes with them when they are released."""
+        return cls(spark, f"{staging_root(spark)}/tempera/{spark.sparkContext.applicationId}/store-{run_id}", capacity)
 
     def _write(self, df: DataFrame, mode: str, placed: bool = False) -> None:
         # Rebalancing gathers each bin into few files yet splits a bin that is too large for one task.
@@ -77,10 +78,13 @@ class SampleStore:
 
     def rebin(self, level: int, bounds_df: DataFrame) -> None:
         """Move a level's samples into the bins of new bounds."""
-        moved = assign_bins(self.scan(level).drop("bin"), bounds_df)
-        staged = materialize(moved, "store-rebin")
-        self.drop_level(level)
-        self.deposit(staged)
+        staged = materialize(assign_bins(self.scan(level).drop("bin"), bounds_df), "store-rebin")
+        before = {r["bin"] for r in self.scan(level).select("bin").distinct().collect()}
+        after = {r["bin"] for r in staged.select("bin").distinct().collect()}
+        # New bins take the place of old ones first; a bin that no longer exists goes once all samples are in place.
+        self._write(staged, "overwrite")
+        for gone in sorted(before - after):
+            delete_path(self.spark, f"{self.path}/level={int(level)}/bin={int(gone)}")
 
     def drop_level(self, level: int) -> None:
         """Delete a level's samples."""

@@ -18,6 +18,7 @@ from tempera.operators.binning import equal_count_bounds
 from tempera.operators.chains import JumpPool, LogDensity, Schedule, simulate
 from tempera.operators.climb import WALL, hill_climb
 from tempera.operators.energy import temperatures
+from tempera.functions.counter_rng import MAX_SEED
 from tempera.operators.starters import TooFewSamples, draw_pool, farthest_first
 from tempera.operators.store import SampleStore
 from tempera.operators.tuning import TuneSettings, one_pass_after, one_pass_before, sample_blocks, tuned_blocks
@@ -161,7 +162,7 @@ def continue_ladder(chains: DataFrame, density: LogDensity, store: SampleStore,
         plan = Schedule(
             draws=math.ceil(settings.draws / total), burn_in=settings.burn_in, thin=settings.thin,
             sweeps=max(1, settings.sweeps_per_draw // settings.thin), p_no_jump=settings.p_no_jump,
-            seed=settings.seed + 10 * level + last % 1_000_003,  # another stretch of the random stream
+            seed=(settings.seed + 10 * level + last) % MAX_SEED,  # another stream of random numbers
         )
         blocks = blocks_from_table(store.load_table(f"blocks-{level}"))
         draws = materialize(_numbered(simulate(tasks, density, plan, blocks, pool), level, last + 1, total), "more")

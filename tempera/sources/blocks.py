@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,23 +43,45 @@ def decode_scheme(raw: bytes) -> list[list[int]]:
     return out
 
 
-def _binary_files(spark: SparkSession, path: str) -> list[bytes]:
-    return [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+def _one_file(spark: SparkSession, path: str) -> bytes | None:
+    found = spark.read.format("binaryFile").load(path).select("content").take(2)
+    if len(found) > 1:
+        raise ValueError(f"{path} holds several files; read them with block_files")
+    return bytes(found[0]["content"]) if found else None
 
 
 def read_blocks(spark: SparkSession, path: str) -> list[np.ndarray]:
-    return decode_blocks(_binary_files(spark, path)[0])
+    """The blocks of one file."""
+    raw = _one_file(spark, path)
+    if raw is None:
+        raise FileNotFoundError(path)
+    return decode_blocks(raw)
+
+
+def block_files(spark: SparkSession, path: str) -> DataFrame:
+    """All block files under a path as rows (path, block, col, vec), decoded where they are read."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = [(name, i, c, b[:, c].tolist()) for i, b in enumerate(decode_blocks(raw.as_py())) for c in range(b.shape[1])]
+                if rows:
+                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["path", "block", "col", "vec"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(decode, "path string, block int, col int, vec array<double>")
 
 
 def read_scheme(spark: SparkSession, path: str) -> list[list[int]]:
     """An absent file means one block of all dimensions, told by an empty list."""
     try:
-        found = _binary_files(spark, path)
+        found = _one_file(spark, path)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return []
         raise
-    return decode_scheme(found[0]) if found else []
+    return decode_scheme(found) if found else []
 
 
 def blocks_table(spark: SparkSession, blocks: dict[int, list[np.ndarray]]) -> DataFrame:

@@ -2,21 +2,27 @@
 
 A record is int32 dimension, that many float64 values, int32 id, float64
 weight and one flag byte, unpadded little-endian. All records of a file have
-the same size, so large files are read in slices by many tasks.
+the same size, so large files are read in byte ranges by many tasks; a task learns the dimension
+from the file's first record, and planning only lists names and sizes.
+
+``read_records`` and ``write_records`` give a path the scheme that the session's default file system
+stands for. The data source itself takes paths with a scheme; one without is local.
 
     spark.dataSource.register(SampleRecordSource)
-    spark.read.format("sample_record").load(path)
-    df.write.format("sample_record").mode("append").save(path)
+    spark.read.format("sample_record").load("file:///tmp/run")
+    df.write.format("sample_record").mode("append").save("s3a://bucket/run")
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -38,10 +44,27 @@ def record_type(dim: int) -> np.dtype:
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
+        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
     return pafs.LocalFileSystem(), path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Hadoop's default file system has it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(folder).toString()
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(SampleRecordSource)
+    return spark.read.format("sample_record").load(qualified(spark, path))
+
+
+def write_records(samples: DataFrame, path: str, mode: str = "append") -> None:
+    samples.sparkSession.dataSource.register(SampleRecordSource)
+    samples.write.format("sample_record").mode(mode).save(qualified(samples.sparkSession, path))
+
+
 def _list(path: str) -> list[pafs.FileInfo]:
     system, root = _open(path)
     info = system.get_file_info(root)
@@ -55,8 +78,10 @@ def _list(path: str) -> list[pafs.FileInfo]:
 
 
 class _Slice(InputPartition):
-    def __init__(self, path: str, dim: int, first: int, count: int):
-        self.path, self.dim, self.first, self.count = path, dim, first, count
+    """Records that start in a byte range of a file."""
+
+    def __init__(self, path: str, size: int, start: int, stop: int):
+        self.path, self.size, self.start, self.stop = path, size, start, stop
 
 
 def to_batch(records: np.ndarray) -> pa.RecordBatch:
@@ -81,33 +106,28 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        system, _ = _open(self.path)
-        for info in _list(self.path):
-            with system.open_input_file(info.path) as f:
-                dim = int(np.frombuffer(f.read(4), "<i4")[0])
-            size = record_type(dim).itemsize
-            if info.size % size:
-                raise ValueError(f"{info.path}: {info.size} bytes are no whole number of {size}-byte records")
-            per_slice = max(1, SLICE_BYTES // size)
-            total = info.size // size
-            out += [
-                _Slice(info.path, dim, first, min(per_slice, total - first)) for first in range(0, total, per_slice)
-            ]
-        return out
+        return [
+            _Slice(info.path, info.size, start, min(start + SLICE_BYTES, info.size))
+            for info in _list(self.path)
+            for start in range(0, info.size, SLICE_BYTES)
+        ]
 
     def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         system, _ = _open(self.path)
-        kind = record_type(partition.dim)
         with system.open_input_file(partition.path) as f:
-            f.seek(partition.first * kind.itemsize)
-            left = partition.count
+            dim = int(np.frombuffer(f.read(4), "<i4")[0])
+            kind = record_type(dim)
+            if partition.size % kind.itemsize:
+                raise ValueError(f"{partition.path}: {partition.size} bytes are no whole number of {kind.itemsize}-byte records")
+            first, last = -(-partition.start // kind.itemsize), -(-partition.stop // kind.itemsize)
+            f.seek(first * kind.itemsize)
+            left = last - first
             while left:
                 take = min(left, BATCH_RECORDS)
                 records = np.frombuffer(f.read(take * kind.itemsize), kind)
-                if (records["dim"] != partition.dim).any():
+                if (records["dim"] != dim).any():
                     raise ValueError(f"{partition.path}: records of different dimension")
                 yield to_batch(records)
                 left -= take

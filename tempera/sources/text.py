@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempera.sources.record import SampleRecordSource, read_records, write_records
+
 FIELD_SEPARATOR = "\t"
 
 
@@ -44,26 +48,39 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_posterior_draws(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """Lines 'log posterior, log likelihood, x...' to samples; the likelihood is dropped."""
+    """Lines 'log posterior, log likelihood, x...' to samples; the likelihood is dropped.
+
+    Every line has an id of its own, rising with file and line as they are read.
+    """
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     p = F.split(F.trim("value"), r"\s+")
     width = F.lit(dim) if dim else F.size(p) - 2
     return lines.select(
         F.slice(p, F.lit(3), width).cast("array<double>").alias("data"),
-        F.lit(0).alias("id"),
+        F.monotonically_increasing_id().alias("id"),
         p[0].cast("double").alias("weight"),
         F.lit(True).alias("calculated"),
     )
 
 
 def binary_to_text(spark: SparkSession, source: str, target: str) -> None:
-    write_samples(spark.read.format("sample_record").load(source), target)
+    write_samples(read_records(spark, source), target)
 
 
 def text_to_binary(spark: SparkSession, source: str, target: str) -> None:
-    read_samples(spark, source).write.format("sample_record").mode("append").save(target)
+    write_records(read_samples(spark, source), target)
 
 
 def run_to_text(spark: SparkSession, source: str, target: str) -> None:
-    """Every record file of a run as text."""
-    write_samples(spark.read.format("sample_record").load(source), target)
+    """Every record file of a run as text, a folder for each level and bin.
+
+    Files are named ``<level>.<bin>.<dump>.<node>.record``; others go to level and bin -1.
+    """
+    spark.dataSource.register(SampleRecordSource)
+    named = r"/(\d+)\.(\d+)\.\d+\.\d+\.record$"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.record")
+    level, bin_ = (F.when(F.rlike("path", F.lit(named)), F.regexp_extract("path", named, i).cast("int")).otherwise(-1) for i in (1, 2))
+    places = files.load(source).select("path", level.alias("level"), bin_.alias("bin"))
+    for r in places.groupBy("level", "bin").agg(F.collect_list("path").alias("paths")).collect():  # names only, one row a bin
+        lines = reduce(DataFrame.unionAll, [read_records(spark, p) for p in sorted(r["paths"])])
+        write_samples(lines, f"{target}/level={r['level']}/bin={r['bin']}")

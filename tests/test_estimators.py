@@ -156,3 +156,28 @@ def test_uniform_draws_cover_the_bin(spark):
     df = spark.range(40).select((F.col("id") % 2).alias("bin"), "id", F.col("id").cast("double").alias("weight"))
     drawn = starters.draw_pool(df, 4000, 9).groupBy("bin", "id").count().toPandas()
     assert len(drawn) == 40 and drawn["count"].between(120, 290).all()
+
+
+def test_cipher_gives_the_published_answers():
+    ones = 0xFFFFFFFF
+    lanes = lambda *a: tuple(int(v) for v in counter_rng.cipher(*a))
+    assert lanes(0, 0, 0, 0, 20) == (0x6B200159, 0x99BA4EFE)
+    assert lanes(ones, ones, ones, ones, 20) == (0x1CB996FC, 0xBB002BE7)
+    assert lanes(0, 0, 0, 0, 13) == (0x9D1C5EC6, 0x8BD50731)
+
+
+def test_streams_neither_alias_nor_overlap():
+    keys = np.arange(4096)
+    u = np.stack([counter_rng.uniform(keys, c, 1) for c in range(64)], axis=1)
+    windows = np.lib.stride_tricks.sliding_window_view(u, 8, axis=1).reshape(-1, 8)
+    assert len(np.unique(windows, axis=0)) == len(windows)
+    first = {counter_rng.uniform(np.array([k]), 0, s)[0] for k in (0, 1, 7919, 2**32, 2**33 + 1, -1) for s in (0, 1, 2)}
+    assert len(first) == 18
+    assert counter_rng.uniform(np.array([3]), 2**40, 1)[0] != counter_rng.uniform(np.array([3]), 0, 1)[0]
+
+
+def test_column_form_with_large_ids_and_counters(spark):
+    ids = [0, 5, 2**33 + 5, -7, 2**62]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = [r.u for r in counter_rng.with_uniforms(df, F.col("id"), {"u": F.lit(2**41 + 3)}, 9).collect()]
+    assert got == counter_rng.uniform(np.array(ids), 2**41 + 3, 9).tolist()
