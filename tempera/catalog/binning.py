@@ -421,10 +421,8 @@ def empty_levels(spark, sf_dir):
 )
 def tempered_log_ratio(spark, sf_dir):
     """Tempered log posterior of every sample, and its log ratio to the level's best."""
-    from tempera.plans.sizing import small_side
-
     samples = order_samples(spark, sf_dir)
-    best = small_side(samples.groupBy("level").agg(F.min(-F.col("weight")).alias("best")))
+    best = samples.groupBy("level").agg(F.min(-F.col("weight")).alias("best"))
     t = F.element_at(F.array(*[F.lit(v) for v in LADDER]), F.col("level") + 1)
     return samples.join(best, "level").select(
         "id", F.col("level").cast("long"), rounded(energy.tempered(F.col("weight"), t), 9).alias("tempered"),

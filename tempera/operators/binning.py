@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tempera.operators.energy import geometric_points
 from tempera.operators.ranking import global_rank
 from tempera.operators.selection import selected_rows
-from tempera.plans.sizing import small_side
 from tempera.plans.staging import materialize
 
 
@@ -30,7 +29,7 @@ def attach_bounds(df: DataFrame, bounds: DataFrame, level: Column | None = None)
         F.sort_array(F.collect_list("lo")).alias("lower_bounds")
     )
     wanted = F.col("level") if level is None else level
-    return df.join(small_side(packed), wanted == F.col("_level"), "left").drop("_level")
+    return df.join(materialize(packed, "bounds"), wanted == F.col("_level"), "left").drop("_level")
 
 
 def assign_bins(df: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def assign_equal_count(df: DataFrame, bounds: DataFrame) -> DataFrame:
     packed = bounds.groupBy(F.col("level").alias("_level")).agg(
         F.collect_list(F.struct("lo", "lo_id")).alias("_firsts")
     )
-    joined = df.join(small_side(packed), F.col("level") == F.col("_level"))
+    joined = df.join(materialize(packed, "bounds"), F.col("level") == F.col("_level"))
     here = F.struct((-F.col("weight")).alias("lo"), F.col("id").cast("long").alias("lo_id"))
     reached = F.size(F.filter("_firsts", lambda b: b <= here))
     return joined.withColumn("bin", (reached - 1).cast("int")).drop("_level", "_firsts")
@@ -136,7 +135,7 @@ def width_rule_bins(df: DataFrame, ladder: list[float], accept: float) -> DataFr
     )
     lows = df.groupBy(F.col("level").alias("_level")).agg(F.min(-F.col("weight")).alias("low"))
     joined = df.where(F.col("level") >= 1).join(
-        small_side(lows), F.col("level") == F.col("_level")
+        materialize(lows, "lows"), F.col("level") == F.col("_level")
     )
     width = F.element_at(widths, F.col("level") + 1)
     return joined.withColumn("energy", -F.col("weight")).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempera.functions.counter_rng import box_muller, with_uniforms
-from tempera.plans.sizing import small_side
+from tempera.plans.staging import materialize
 
 # Coefficients of Acklam's rational approximation of the inverse normal CDF.
 CENTRAL_NUM = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
@@ -29,7 +29,7 @@ def ecdf_grid(df: DataFrame, by: list[str], value: str, points: int = 100) -> Da
     data meet the grid through a partial count per point, not through a join.
     """
     edges = df.groupBy(*by).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(value).alias("_n"))
-    edges = small_side(edges.withColumn("_inc", (F.col("_max") - F.col("_min")) / (points - 1)))
+    edges = materialize(edges.withColumn("_inc", (F.col("_max") - F.col("_min")) / (points - 1)), "edges")
     placed = df.select(*by, value).join(edges, by)
     guess = F.ceil((F.col(value) - F.col("_min")) / F.col("_inc")).cast("int")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempera.functions.counter_rng import with_uniforms
+from tempera.plans.staging import materialize
 
 
 def geometric_points(n: int, start: float, end: float) -> list[float]:
@@ -71,10 +72,8 @@ def propose_jumps(
     the level above are unique on (level, rn), so the join cannot skew.
     """
     from tempera.operators.binning import attach_bounds, bin_index
-    from tempera.plans.sizing import small_side
-
     temps = F.array(*[F.lit(float(t)) for t in ladder])
-    bounds = small_side(bounds)
+    bounds = materialize(bounds, "jump-bounds")  # read three times; its size tells the planner how to join
     x = attach_bounds(
         binned.select("level", "id", "energy"),
         bounds.select("level", "bin", "lo"),
@@ -86,7 +85,7 @@ def propose_jumps(
         F.col("level").alias("_level"), F.col("bin").alias("_bin"), F.col("n").alias("_n"),
         (F.col("bin").cast("long") * F.col("chunk")).alias("_start"),
     )
-    x = x.join(small_side(sizes), (x["level"] + 1 == F.col("_level")) & (x["bin"] == F.col("_bin")))
+    x = x.join(sizes, (x["level"] + 1 == F.col("_level")) & (x["bin"] == F.col("_bin")))
     x = with_uniforms(x, F.col("id"), {"_gate": 0, "_which": 1, "_luck": 2}, seed)
     x = x.withColumn("attempt", F.col("_gate") > p_no_jump).withColumn(
         "pick", F.col("_start") + F.floor(F.col("_which") * F.col("_n"))

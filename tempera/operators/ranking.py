@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempera.plans.sizing import small_side
 from tempera.plans.staging import materialize
 
 POSITION, PIECE = "_position", "_piece"
@@ -75,7 +74,7 @@ def global_rank(
         (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_size").over(group).alias(total),
     )
-    fragments = small_side(fragments)
+    fragments = materialize(fragments, f"{label}-fragments")  # written, so the planner knows its bytes before it joins
     same = placed[part] == fragments["_fragment"]
     for c in by:
         same = same & placed[c].eqNullSafe(fragments[f"_by_{c}"])

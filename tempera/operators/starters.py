@@ -13,6 +13,7 @@ from tempera.functions.counter_rng import with_uniforms
 from tempera.functions.logmath import squared_distance, vector_literal
 from tempera.operators.ranking import global_rank, k_most_weight
 from tempera.operators.selection import selected_rows
+from tempera.plans.staging import materialize
 
 
 
@@ -73,6 +74,8 @@ def farthest_first(samples: DataFrame, k: int, share: float = 0.20) -> DataFrame
     pool, take, _ = best_share(samples, k, share)
     if take == k:
         return _as_frame(samples, k_most_weight(samples, k).select("id", "weight", "data").collect())
+    # Every pick reads the pool once more, so it is cut out of the samples only once.
+    pool = materialize(pool.select("id", "weight", "data"), "starter-pool")
     chosen = k_most_weight(pool, 1).select("id", "weight", "data").collect()
     while len(chosen) < k:
         chosen += _farthest(pool, chosen)

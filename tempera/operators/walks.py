@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempera.operators.ranking import PIECE, global_rank, sorted_pieces
-from tempera.plans.sizing import small_side
-
+from tempera.plans.staging import materialize
 
 def thin(df: DataFrame, chain: str, order: list[str], burn_in: int, every: int) -> DataFrame:
     """Stored draws after burn-in: the last of each run of ``every`` draws."""
@@ -29,7 +28,7 @@ def _with_carried(pieces: DataFrame, chain: str, summary: Column, carry) -> Data
     carried = per_piece.select(
         "_chain", "_at", carry(F.col("_own"), along).alias("_before"), F.row_number().over(along).alias("_nth")
     )
-    carried = small_side(carried.where("_nth > 1").drop("_nth"))
+    carried = materialize(carried.where("_nth > 1").drop("_nth"), "carried")
     same = (pieces[chain] == carried["_chain"]) & (pieces[PIECE] == carried["_at"])
     return pieces.join(carried, same, "left").drop("_chain", "_at")
 

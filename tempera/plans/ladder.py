@@ -23,7 +23,6 @@ from tempera.operators.starters import TooFewSamples, draw_pool, farthest_first
 from tempera.operators.store import SampleStore
 from tempera.operators.tuning import TuneSettings, one_pass_after, one_pass_before, sample_blocks, tuned_blocks
 from tempera.plans.settings import RunSettings
-from tempera.plans.sizing import small_side
 from tempera.plans.staging import materialize
 from tempera.sources.blocks import blocks_from_table, blocks_table
 
@@ -116,7 +115,7 @@ def run_ladder(
         smallest = min(by_group.values())
         first = replace(base, draws=math.ceil(settings.covariance_draws / smallest), seed=base.seed + 3)
         within = materialize(
-            simulate(tasks, density, first, blocks).join(small_side(roster), "chain"), "covariance-group"
+            simulate(tasks, density, first, blocks).join(roster, "chain"), "covariance-group"
         )
         blocks = one_pass_after(leads, within, "grp", density, dim, tuning, pool, scheme)
         store.save_table(f"blocks-{level}", blocks_table(spark, blocks))

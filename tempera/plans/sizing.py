@@ -1,23 +1,8 @@
-"""Size checks in front of broadcasts."""
+"""How compute-heavy rows are spread."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 50_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Run a presumably tiny frame once and mark it for broadcast if it really is tiny.
-
-    Beyond ``max_rows`` the frame is handed back untouched, so the join falls
-    back to whatever shuffle strategy Spark picks.
-    """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
