@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -50,7 +51,9 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
+    return pafs.FileSystem.from_uri(quote(re.sub(r"^s3[an]:", "s3:", uri), safe="/:@?&=%"))
 
 
 def with_record_types(pages: DataFrame) -> DataFrame:
