@@ -10,15 +10,15 @@ from tempera.operators.ranking import global_rank
 from tempera.plans.staging import delete_path, materialize, staging_root
 from tempera.schema import STORED
 
-CAPACITY = 10_000  # samples per file
-
 
 class SampleStore:
-    def __init__(self, spark: SparkSession, path: str, capacity: int = CAPACITY):
+    """Files are sized in bytes by the rebalancing target of the session, or hold ``capacity`` samples if that is given."""
+
+    def __init__(self, spark: SparkSession, path: str, capacity: int | None = None):
         self.spark, self.path, self.capacity = spark, path.rstrip("/"), capacity
 
     @classmethod
-    def in_shared_folder(cls, spark: SparkSession, run_id: str, capacity: int = CAPACITY) -> SampleStore:
+    def in_shared_folder(cls, spark: SparkSession, run_id: str, capacity: int | None = None) -> SampleStore:
         """A store among the staged tables, so it goes with them when they are released."""
         return cls(spark, f"{staging_root(spark)}/tempera/{spark.sparkContext.applicationId}/store-{run_id}", capacity)
 
@@ -26,13 +26,10 @@ class SampleStore:
         # Rebalancing gathers each bin into few files yet splits a bin that is too large for one task.
         rows = df.select("id", "data", "weight", "level", "bin")
         rows = rows if placed else rows.hint("rebalance", "level", "bin")
-        (
-            rows.write.mode(mode)
-            .option("maxRecordsPerFile", self.capacity)
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("level", "bin")
-            .parquet(self.path)
-        )
+        writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("level", "bin")
+        if self.capacity:
+            writer = writer.option("maxRecordsPerFile", self.capacity)
+        writer.parquet(self.path)
 
     def deposit(self, samples: DataFrame) -> None:
         """Append samples that already carry (level, bin)."""
@@ -61,16 +58,19 @@ class SampleStore:
         """Records per data file, and whether the file is filled to capacity."""
         per_file = self.scan().select("level", "bin", F.input_file_name().alias("file"))
         return per_file.groupBy("level", "bin", "file").agg(F.count(F.lit(1)).alias("n")).withColumn(
-            "full", F.col("n") >= self.capacity
+            "full", F.col("n") >= self.capacity if self.capacity else F.lit(False)
         )
 
     def compact(self, level: int) -> None:
-        """Rewrite a level into files of ``capacity`` samples.
+        """Rewrite a level into few files: of ``capacity`` samples if that is given, by bytes otherwise.
 
-        Samples are cut into slices of exactly ``capacity`` by their rank inside
+        With a capacity, samples are cut into slices of exactly ``capacity`` by their rank inside
         the bin, so a bin holding most of the level is still rewritten by many
         tasks and leaves one partial file at most.
         """
+        if not self.capacity:
+            self._write(materialize(self.scan(level), "store-compact"), "overwrite")
+            return
         ranked = global_rank(self.scan(level).select("level", "bin", "id", "data", "weight"), ["bin"], ["id"])
         sliced = ranked.withColumn("_slice", F.floor(F.col("rn") / self.capacity))
         # Ranks come from a written copy, so the files being replaced are no longer read.

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,10 @@ def record_type(dim: int) -> np.dtype:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    if "://" in path:
+        return pafs.FileSystem.from_uri(quote(re.sub(r"^s3[an]:", "s3:", path), safe="/:@?&=%"))
     return pafs.LocalFileSystem(), path
 
 

@@ -178,3 +178,60 @@ def test_settings_and_results(tmp_path, spark):
     wide = results.wide_result(long, ["dt"], "var", "value", ["a", "b"])
     results.write_result(wide, str(tmp_path / "wide"))
     assert [tuple(r) for r in wide.collect()] == [(1.0, 2.0, 3.0)]
+
+
+def test_bare_paths_follow_the_default_file_system(tmp_path, spark, samples):
+    folder = tmp_path / "deep folder"
+    record.write_records(samples.limit(7), str(folder))
+    assert record.qualified(spark, str(folder)).startswith("file:/")
+    assert record.read_records(spark, str(folder)).count() == 7 and list(folder.glob("*.record"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://elsewhere/")
+    conf.set("fs.viewfs.mounttable.elsewhere.link./data", f"file://{tmp_path}")
+    try:
+        assert record.qualified(spark, "/data/x") == "viewfs://elsewhere/data/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_files_of_different_dimension(tmp_path, spark):
+    for name, dim in (("0.0.0.0.record", 2), ("0.0.1.0.record", 3)):
+        raw = np.zeros(4, record.record_type(dim))
+        raw["dim"], raw["id"] = dim, range(4)
+        (tmp_path / name).write_bytes(raw.tobytes())
+    got = record.read_records(spark, str(tmp_path)).groupBy(F.size("data").alias("d")).count().collect()
+    assert sorted((r.d, r["count"]) for r in got) == [(2, 4), (3, 4)]
+
+
+def test_run_as_text_keeps_level_and_bin(tmp_path, spark):
+    for name, ident in (("0.1.0.0.record", 5), ("0.1.1.3.record", 6), ("2.0.0.0.record", 7)):
+        raw = np.zeros(1, record.record_type(2))
+        raw["dim"], raw["id"] = 2, ident
+        (tmp_path / name).write_bytes(raw.tobytes())
+    text.run_to_text(spark, str(tmp_path), str(tmp_path / "out"))
+    ids = lambda place: sorted(r["id"] for r in text.read_samples(spark, str(tmp_path / "out" / place)).collect())
+    assert ids("level=0/bin=1") == [5, 6] and ids("level=2/bin=0") == [7]
+
+
+def test_block_files_are_all_read(tmp_path, spark):
+    for k in range(3):
+        (tmp_path / f"b{k}").write_bytes(blocks.encode_blocks([np.full((2, 2), float(k)), np.ones((2, 1))]))
+    got = blocks.block_files(spark, str(tmp_path)).collect()
+    assert len(got) == 9 and sorted({v for r in got for v in r["vec"]}) == [0.0, 1.0, 2.0]
+    with pytest.raises(ValueError, match="several files"):
+        blocks.read_blocks(spark, str(tmp_path))
+
+
+def test_posterior_draws_have_ids_of_their_own(tmp_path, spark):
+    (tmp_path / "p.txt").write_text("".join(f"-{i} 0 1 2\n" for i in range(50)))
+    assert text.read_posterior_draws(spark, str(tmp_path / "p.txt")).select("id").distinct().count() == 50
+
+
+def test_store_without_capacity_compacts_by_bytes(tmp_path, spark, samples):
+    store = SampleStore(spark, str(tmp_path / "s"))
+    put = samples.select(F.col("id").cast("long").alias("id"), "data", "weight", F.lit(0).alias("level"), F.lit(0).alias("bin"))
+    for part in range(4):
+        store.deposit(put.where(F.col("id") % 4 == part))
+    store.compact(0)
+    assert store.files().count() == 1 and store.scan().select("id").distinct().count() == 250
