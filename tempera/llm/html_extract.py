@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tempera.catalog.registry import table
 from tempera.llm.catalog import llm_query
 from tempera.llm.dom import FEATURES, MARK, Page
+from tempera.llm.support import about
 from tempera.plans.staging import materialize
 
 #: Pages whose words are borrowed for training, and layouts made from them.
@@ -164,8 +165,10 @@ def training_nodes(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, layouts:
     """(label, features) of the nodes of ``layouts`` made pages; the words come from at most ``sample_pages`` pages."""
     spark = pages.sparkSession
     words = F.slice(F.split(F.regexp_replace(F.substring("html", 1, 20_000), "<[^>]*>", " "), r"\s+"), 1, 400)
-    chosen = pages.filter("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample_pages)
-    pool = [w for r in chosen.select(words.alias("w")).collect() for w in r["w"] if w]  # bounded by the parameter
+    some = about(pages.filter("html is not null"), sample_pages, pages.count(), "page_id", "url")
+    some = some.select(F.xxhash64("page_id", "url").alias("h"), "page_id", words.alias("w"))
+    chosen = some.orderBy("h", "page_id").limit(sample_pages)
+    pool = [w for r in chosen.collect() for w in r["w"] if w]  # bounded by the parameter
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,6 +14,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def about(df: DataFrame, rows: int, of: int, *keys: str) -> DataFrame:
+    """Rows picked by a hash of their keys, about twice ``rows`` of the ``of`` there are.
+
+    For drawing a bounded sample: a top-n by hash behind it gets few rows from all tasks together, not n from each.
+    """
+    share = min(1.0, 2.0 * rows / max(1, of))
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
 def id_and_text(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns an operator reads, whatever else the table has; null texts are empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
