@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tempera.catalog.registry import table
 from tempera.llm.catalog import llm_query
-from tempera.llm.support import text_or_empty
+from tempera.llm.support import about, text_or_empty
 from tempera.plans.staging import materialize
 
 #: Most labelled rows a model is fitted on; drawn by hash of the id.
@@ -141,8 +141,9 @@ def fit(
     known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy(F.col("doc_id").cast("long").alias("l_doc_id")).agg(F.min("quality").cast("double").alias("label"))
-        .orderBy(F.xxhash64("l_doc_id"), "l_doc_id").limit(sample_rows)
     )
+    known = about(known, sample_rows, labels.count(), "l_doc_id")
+    known = known.orderBy(F.xxhash64("l_doc_id"), "l_doc_id").limit(sample_rows)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(known), F.col("doc_id") == F.col("l_doc_id")  # at most sample_rows rows of two numbers
     )
