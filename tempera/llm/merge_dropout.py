@@ -29,7 +29,7 @@ SEED = 17
 #: Segmentations a chunk can have under one seed.
 VARIANTS = 4
 #: Chunks a worker remembers for each variant; further ones are merged anew. Changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 
 # The space mark, and multipliers of a 64-bit mixing function.
 SPACE = "▁"
@@ -56,7 +56,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.id: dict[str, int] = {}
-        self.score: dict[str, float] = {}
+        #: Smaller merges first.
+        self.rank: dict[str, float] = {}
         self.raw: list[bytes] = []
         self.byte = [0] * 256
         for i in range(model.get_piece_size()):
@@ -67,34 +68,28 @@ class Pieces:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.raw.append(b"")
             else:
-                self.id[piece], self.score[piece] = i, model.get_score(i)
+                self.id[piece], self.rank[piece] = i, -model.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode("utf-8"))
 
     def segment(self, chunk: str, dropout: float = 0.0, key: int = 0) -> list[str]:
         """Pieces of a chunk whose spaces are plain; a space mark in it is a symbol of its own that never merges."""
         symbols = [SPACE if c == " " else MARK if c == SPACE else c for c in chunk]
-        n = len(symbols)
+        n, rank = len(symbols), self.rank
+        agenda = []
+        for i in range(n - 1):
+            piece = symbols[i] + symbols[i + 1]
+            if piece in rank:
+                agenda.append((rank[piece], i, piece))
+        if not agenda:
+            return symbols
+        heapq.heapify(agenda)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         limit = int(dropout * 2.0**64)
         base = xxhash.xxh64_intdigest(chunk.encode("utf-8"), key & _MASK) if limit else 0
-        agenda: list[tuple[float, int, str]] = []
-        score = self.score
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j < n:
-                piece = symbols[i] + symbols[j]
-                if piece in score:
-                    heapq.heappush(agenda, (-score[piece], i, piece))
-
-        for i in range(n - 1):
-            offer(i)
         while agenda:
             _, i, piece = heapq.heappop(agenda)
-            if not symbols[i]:
-                continue
-            j = right[i]
-            if j >= n or symbols[i] + symbols[j] != piece:
+            own, j = symbols[i], right[i]
+            if not own or j >= n or own + symbols[j] != piece:
                 continue
             if limit:
                 h = (base + i * _MIX[0] + self.id[piece] * _MIX[1]) & _MASK
@@ -103,12 +98,17 @@ class Pieces:
                 if h ^ (h >> 31) < limit:
                     continue
             symbols[i], symbols[j] = piece, ""
-            right[i] = right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            if left[i] >= 0:
-                offer(left[i])
-            offer(i)
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+                wider = piece + symbols[k]
+                if wider in rank:
+                    heapq.heappush(agenda, (rank[wider], i, wider))
+            j = left[i]
+            if j >= 0:
+                wider = symbols[j] + piece
+                if wider in rank:
+                    heapq.heappush(agenda, (rank[wider], j, wider))
         return [s for s in symbols if s]
 
     def ids(self, pieces: list[str]) -> list[int]:

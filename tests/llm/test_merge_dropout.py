@@ -46,7 +46,7 @@ def test_share_of_skipped_merges():
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghij", k=2)) for _ in range(4000)]
     pieces = md._pieces(PATH)
-    pairs = [w for w in words if w in pieces.score]
+    pairs = [w for w in words if w in pieces.rank]
     skipped = sum(len(pieces.segment(w, 0.3, key)) == 2 for key, w in enumerate(pairs))
     assert len(pairs) > 500 and abs(skipped / len(pairs) - 0.3) < 0.06
 
