@@ -1,10 +1,10 @@
 """Personal data and what gives it away: information-theoretic sanitisation in DataFrame expressions.
 
 Emails, addresses, card and phone numbers are found by patterns. Each found value is a protected
-entity. The words near its mentions are candidate terms; from counts over the whole
+entity. All words of the documents that mention it are candidate terms; from counts over the whole
 corpus, a term's disclosure of an entity is its pointwise mutual information with the entity as
 a share of the entity's own information. Terms beyond the lower threshold are
-generalised, beyond the upper one removed, wherever they stand near the entity.
+generalised, beyond the upper one removed, wherever they stand in a document with the entity.
 
 Positions come from the pieces between matches: ``split`` and ``regexp_extract_all`` walk the
 same matches, so lengths of pieces and matches add up to code-point offsets.
@@ -29,15 +29,14 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-CONTEXT_CHARS = 64
-CONTEXT_WORDS = 5
-TERM_CHARS = 4
-#: Different texts in which term and entity stand together before their counts say anything.
+LETTERS = r"[^\p{L}]"
+#: A pair seen in fewer different texts is smoothed: the term counts as if it also stood in the missing ones, without the entity.
 SUPPORT = 3
+#: Words whose places are counted up together; changes no result.
+BLOCK = 100
 GENERALISE, REMOVE = 0.8, 0.95
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
-OCCURRENCE = "array<struct<entity:string,term:string,start:int,end:int>>"
 
 
 def _nothing(kind: str) -> Column:
@@ -112,92 +111,93 @@ def _replaced(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"], s["end"], F.lit(f"[{kind.upper()}]")))
 
 
-def _words(context: Column, base: Column, from_left: bool, cut: Column) -> Column:
-    """Letter words of a short context as (term, start, end); a word the context cuts through is left out."""
-    pieces = F.split(context, r"[^\p{L}]", -1)
-    start = F.struct(base.alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("found"))
+def _terms(text: Column) -> Column:
+    """Distinct letter words of a text in small letters."""
+    words = F.array_distinct(F.split(text, LETTERS + "+"))
+    return F.filter(F.array_distinct(F.transform(words, lambda w: F.lower(w))), lambda w: w != "")
 
-    def step(acc: Column, x: Column) -> Column:
+
+def _word_places(texts: DataFrame) -> DataFrame:
+    """(text_id, term, start, end) of every letter word of (text_id, text), in time linear in the text."""
+    n = F.size("_pieces")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice("_pieces", b * BLOCK + 1, F.lit(BLOCK)))
+    lengths = F.transform("_blocks", lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + F.length(x) + 1))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def next_block(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found"))
+
+    def next_word(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x)
         word = F.struct(F.lower(x).alias("term"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct((end + 1).alias("at"), F.concat(acc["found"], F.array(word)).alias("found"))
-
-    words = F.aggregate(pieces, start, step, lambda acc: acc["found"])
-    n = F.size(words)
-    if from_left:
-        whole = F.when(cut, F.slice(words, 2, F.greatest(n - 1, F.lit(0)))).otherwise(words)
-    else:
-        whole = F.when(cut, F.slice(words, 1, F.greatest(n - 1, F.lit(0)))).otherwise(words)
-    some = F.filter(whole, lambda w: w["end"] > w["start"])
-    k = F.least(F.size(some), F.lit(CONTEXT_WORDS))
-    near = F.slice(some, F.greatest(F.size(some) - k + 1, F.lit(1)), k) if from_left else F.slice(some, 1, k)
-    return F.filter(near, lambda w: w["end"] - w["start"] >= TERM_CHARS)
-
-
-def _near(kind: str, spans: Column, everything: Column, text: Column, n: Column) -> Column:
-    """Terms near each mention of a kind, with the entity; words inside a found value are no terms."""
-
-    def around(s: Column) -> Column:
-        left_at = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        left = F.substring(text, left_at + 1, s["start"] - left_at)
-        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
-        words = F.concat(
-            _words(left, left_at, True, left_at > 0),
-            _words(right, s["end"], False, s["end"] + CONTEXT_CHARS < n),
-        )
-        free = F.filter(
-            words, lambda w: ~F.exists(everything, lambda o: (o["start"] < w["end"]) & (o["end"] > w["start"]))
-        )
-        entity = _entity(kind, s["value"])
-        return F.transform(
-            free,
-            lambda w: F.struct(entity.alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")),
-        )
-
-    return F.flatten(F.transform(spans, around))
+        found = F.when(end > acc["at"], F.concat(acc["found"], F.array(word))).otherwise(acc["found"])
+        return F.struct((end + 1).alias("at"), found.alias("found"))
+
+    first = F.struct(F.col("b._at").alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("found"))
+    return (
+        texts.select("text_id", F.split("text", LETTERS, -1).alias("_pieces"))
+        .select("text_id", blocks.alias("_blocks"))
+        .select("text_id", "_blocks", lengths.alias("_lengths"))
+        .select("text_id", "_blocks", F.aggregate("_lengths", begin, next_block, lambda acc: acc["found"]).alias("_at"))
+        .select("text_id", F.explode(F.arrays_zip("_blocks", "_at")).alias("b"))
+        .select("text_id", F.explode(F.aggregate(F.col("b._blocks"), first, next_word, lambda acc: acc["found"])).alias("w"))
+        .select("text_id", "w.term", "w.start", "w.end")
+    )
 
 
 def found_values(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, a span array per kind and ``near``: the terms around the mentions."""
+    """doc_id, text_key, a span array per kind and ``held``: the text if it has a value, else null."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     out = out.withColumns({"text_key": F.xxhash64("text"), "_digit": F.rlike("text", F.lit("[0-9]"))})
     text = F.col("text")
     out = out.withColumns({k: F.when(_worth(k, text), _spans(k, text)).otherwise(_nothing(SPAN)) for k in KINDS})
-    out = out.withColumn("_all", F.concat(*[F.col(k) for k in KINDS]))
-    near = F.flatten(F.array(*[_near(k, F.col(k), F.col("_all"), text, F.length(text)) for k in KINDS]))
-    out = out.withColumn("near", F.when(F.size("_all") > 0, near).otherwise(_nothing(OCCURRENCE)))
-    return out.select("doc_id", "text_key", *KINDS, "near")
+    some = F.concat(*[F.col(k) for k in KINDS])
+    return out.select("doc_id", "text_key", *KINDS, F.when(F.size(some) > 0, text).alias("held"))
+
+
+def _text_id() -> Column:
+    return F.md5(F.col("held").cast("binary"))
+
+
+def texts_with_values(found: DataFrame) -> DataFrame:
+    """text_id, copies, text and the distinct entities of each different text that has a value."""
+    mentions = F.array_distinct(F.flatten(F.array(*[_entities(k) for k in KINDS])))
+    return (
+        found.filter("held is not null")
+        .select(_text_id().alias("text_id"), F.col("held").alias("text"), mentions.alias("entities"))
+        .groupBy("text_id")
+        .agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
+    )
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    """(text_id, copies, entity, term), each once a text."""
+    words = texts.select("text_id", "copies", "entities", F.explode(_terms(F.col("text"))).alias("term"))
+    return words.select("text_id", "copies", "term", F.explode("entities").alias("entity"))
 
 
 def revealing_terms(
-    docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
+    docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, texts: DataFrame | None = None
 ) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or beyond ``generalise``, from counts over all documents.
 
-    A pair counts once a document; a term counts in every document that has it as a word.
+    A pair counts once a document; a term counts in every document that has it as a word. Copies of a
+    text count as documents but not as further evidence: the texts that a pair lacks to ``support`` are added to the term's
+    count with as many copies as its texts have on average.
     """
-    some = found.filter(F.size("near") > 0)
-    pairs = some.select(
-        "text_key",
-        F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"),
-    ).select("text_key", "p.entity", "p.term")
-    together = pairs.groupBy("entity", "term").agg(
-        F.count("*").alias("n_both"), F.count_distinct("text_key").alias("texts")
-    ).filter(F.col("texts") >= support)
-    mentions = F.flatten(F.array(*[_entities(k) for k in KINDS]))
-    entities = found.select(F.explode(F.array_distinct(mentions)).alias("e")).groupBy("e").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))
-    terms = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n_term"))
+    texts = texts_with_values(found) if texts is None else texts
+    together = _pairs(texts).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
+    entities = texts.select("copies", F.explode("entities").alias("e")).groupBy("e").agg(F.sum("copies").alias("n_entity"))
+    terms = docs.select(F.explode(_terms(text_or_empty())).alias("w")).groupBy("w").agg(F.count("*").alias("n_term"))
     total = found.agg(F.count("*").alias("n"))
-    wanted = together.select("term").distinct()
-    terms = terms.join(wanted, F.col("w") == F.col("term"), "left_semi")
     counted = (
         together.join(entities, F.col("entity") == F.col("e"))
         .join(terms, F.col("term") == F.col("w"))
         .join(F.broadcast(total))  # one row
     )
+    lacking = F.greatest(F.lit(support) - F.col("texts"), F.lit(0)) * F.col("n_both") / F.col("texts")
     own = F.log(F.col("n") / F.col("n_entity"))
-    shared = F.log(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    shared = F.log(F.col("n") * F.col("n_both") / (F.col("n_entity") * (F.col("n_term") + lacking)))
     disclosure = F.when(own > 0, shared / own).otherwise(F.lit(0.0))
     return counted.select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= generalise)
 
@@ -209,23 +209,35 @@ def personal_data(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     found = materialize(found_values(docs), "found")
-    revealing = materialize(revealing_terms(docs, found), "revealing")
+    texts = materialize(texts_with_values(found), "texts-with-values")
+    revealing = materialize(revealing_terms(docs, found, texts=texts), "revealing")
+    hits = (
+        _pairs(texts)
+        .join(revealing, ["entity", "term"])
+        .groupBy("text_id", "term")
+        .agg(F.max("disclosure").alias("disclosure"))
+    )
     marked = (
-        found.filter(F.size("near") > 0)
-        .select("doc_id", "text_key", F.explode("near").alias("x"))
-        .join(revealing, (F.col("x.entity") == F.col("entity")) & (F.col("x.term") == F.col("term")))
-        .groupBy("doc_id", "text_key", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-        .agg(F.first("term").alias("term"), F.max("disclosure").alias("disclosure"))
-        .groupBy(F.col("doc_id").alias("m_doc_id"), F.col("text_key").alias("m_text_key"))
+        _word_places(texts)
+        .join(hits, ["text_id", "term"])
+        .groupBy(F.col("text_id").alias("m_text_id"))
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("start", "end", "term", (F.col("disclosure") >= remove).alias("removed")))
-            ).alias("terms")
+            ).alias("m_terms")
         )
     )
-    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("text_key") == F.col("m_text_key"))
+    everything = F.concat(*[F.col(k) for k in KINDS])
+    # Words inside a found value go with it.
+    free = F.filter("m_terms", lambda w: ~F.exists("_all", lambda o: (o["start"] < w["end"]) & (o["end"] > w["start"])))
     none = F.array().cast("array<struct<start:int,end:int,term:string,removed:boolean>>")
-    return found.join(marked, same, "left").select("doc_id", "text_key", *KINDS, F.coalesce("terms", none).alias("terms"))
+    columns = ["doc_id", "text_key", *KINDS]
+    some = found.filter("held is not null").select(*columns, everything.alias("_all"), _text_id().alias("_text_id"))
+    some = some.join(marked, F.col("_text_id") == F.col("m_text_id"), "left")
+    return (
+        found.filter("held is null").select(*columns, none.alias("terms"))
+        .unionByName(some.select(*columns, F.coalesce(free, none).alias("terms")))
+    )
 
 
 def _listed(kind: str, spans: Column) -> Column:
