@@ -113,3 +113,42 @@ def test_query_columns(spark):
 
 def test_empty_table(spark):
     assert di.personal_data(frame(spark, [])).count() == 0
+
+
+def test_terms_of_a_value_in_one_text(spark):
+    # The value stands once in the corpus; what gives it away stands paragraphs off, twice, or has two letters.
+    far = "wortq " * 40 + "\n\n"
+    docs = [(i, "wortq wortr worts") for i in range(400)]
+    docs += [(500, f"Yo Vandermeer signed.\n\n{far}mail yo.v@mail.example.org now\n\n{far}Later VANDERMEER left, and Yo too.")]
+    docs += [(501, "Vandermeer has no address here")]
+    row = next(r for r in di.personal_data(frame(spark, docs)).collect() if r.doc_id == 500)
+    text = dict(docs)[500]
+    got = [(text[t.start : t.end], t.removed) for t in row.terms]
+    # ln(402 / (2 + 2)) / ln(402) = 0.77 is below generalising for a name that another document has, ln(402 / 3) / ln(402) = 0.82 is not.
+    assert [w for w, _ in got] == ["Yo", "signed", "mail", "now", "Later", "left", "and", "Yo", "too"]
+    assert not any(removed for _, removed in got)
+    more = docs + [(600 + i, f"text {i} of another day") for i in range(3000)]
+    row = next(r for r in di.personal_data(frame(spark, more)).collect() if r.doc_id == 500)
+    assert [text[t.start : t.end] for t in row.terms if t.term == "vandermeer"] == ["Vandermeer", "VANDERMEER"]
+
+
+def test_copies_are_one_text_and_pairs_are_counted_over_whole_documents(spark):
+    import math
+
+    far = " filler" * 60
+    docs = [(i, "filler only") for i in range(300)]
+    docs += [(400 + i, f"Quill{far} reach q@mail.example.org") for i in range(4)]
+    docs += [(500 + i, f"{i} Brandt{far} reach b@mail.example.org{far} here") for i in range(4)] + [(510, "Brandt")]
+    df = frame(spark, docs)
+    got = {(r.entity, r.term): r.disclosure for r in di.revealing_terms(df, di.found_values(df), generalise=-9.0).collect()}
+    n = len(docs)
+    assert abs(got["email:q@mail.example.org", "quill"] - math.log(n * 4 / (4 * (4 + 8))) / math.log(n / 4)) < 1e-9
+    assert abs(got["email:b@mail.example.org", "brandt"] - math.log(n * 4 / (4 * 5)) / math.log(n / 4)) < 1e-9
+
+
+def test_word_places(spark):
+    rng = random.Random(9)
+    texts = ["", "é🙂b", " a ", "x" * 500] + ["".join(rng.choices(["wort", "É", " ", "🙂", ".", "1", "\n"], k=rng.randrange(900))) for _ in range(40)]
+    got = di._word_places(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "text_id string, text string")).collect()
+    want = [(str(i), m[0].lower(), m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(r"[^\W\d_]+", t)]
+    assert sorted((r.text_id, r.term, r.start, r.end) for r in got) == sorted(want)
