@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows with one doc_id one stays. Rows without doc_id stay, one for each text.
     """
     ship_package(spark)
-    kept = bayes_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = bayes_dedup.near_duplicates(docs, NEAR_PERCENT).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
     known = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
@@ -49,6 +49,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return slack_packing.pack(docs)
 
 
+#: Near copies share at least so many hundredths of their word shingles; 85 is op8's own.
+NEAR_PERCENT = 80
+
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packing)]
 
 #: Tokenization and fitted scores have no SQL form; tests compare the stages with brute force.

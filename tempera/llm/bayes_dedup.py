@@ -29,7 +29,7 @@ from tempera.llm.support import id_and_text, shuffle_width
 from tempera.plans.staging import materialize
 
 SHINGLE_WORDS = 5
-#: Link if PERCENT[0] * intersection >= PERCENT[1] * union.
+#: Link if PERCENT[0] * intersection >= PERCENT[1] * union; near_duplicates takes other thresholds than PERCENT[1].
 PERCENT = (100, 85)
 BANDS, BAND_ROWS = 30, 6
 BATCH = 30
@@ -38,11 +38,30 @@ MISS = 1e-6
 CHUNK_ROWS = 768
 CHUNK_SHINGLES = 1_000_000
 
-_rng = np.random.default_rng(20_240_229)
-_FACTORS = (_rng.integers(0, 2**31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_ADDENDS = _rng.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)[:, None]
+SEED = 20_240_229
+
+
+def _drawn(bands: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    factors = rng.integers(0, 2**31, bands * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return factors[:, None], rng.integers(0, 2**32, bands * BAND_ROWS, dtype=np.uint32)[:, None]
+
+
+@functools.cache
+def _family(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of the hash functions of a signature."""
+    return _drawn(bands, np.random.default_rng(SEED))
+
+
+_rng = np.random.default_rng(SEED)
+_drawn(BANDS, _rng)
 _STEPS = _rng.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+
+def bands_for(percent: int) -> int:
+    """Fewest bands that a pair at the threshold escapes with probability below MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / PERCENT[0]) ** BAND_ROWS)))
+
+
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary"
 
 
@@ -65,12 +84,13 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """Minimum of every hash function over a set."""
+    factors, addends = _family(bands)
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    best = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, np.uint32)
+    best = np.full(bands * BAND_ROWS, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(x), 2048):
-        h = x[None, i : i + 2048] * _FACTORS + _ADDENDS
+        h = x[None, i : i + 2048] * factors + addends
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         np.minimum(best, h.min(axis=1), out=best)
@@ -81,7 +101,7 @@ def _set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def signed_documents(docs: DataFrame) -> DataFrame:
+def signed_documents(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """One row per document with its set size, set key and signature; key and signature are null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +111,7 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text.as_py())
                 sizes.append(len(s))
                 keys.append(_set_key(s) if len(s) else None)
-                signatures.append(signature(s).tobytes() if len(s) else None)
+                signatures.append(signature(s, bands).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "signature"],
@@ -101,13 +121,13 @@ def signed_documents(docs: DataFrame) -> DataFrame:
 
 
 @functools.cache
-def least_matches(seen: int) -> int:
+def least_matches(seen: int, percent: int = PERCENT[1]) -> int:
     """Fewest equal signature places of ``seen`` that keep a pair.
 
     From a uniform prior, the similarity has a Beta posterior, and its chance to reach the
     threshold t is that of a binomial of ``seen`` + 1 trials at t not to exceed the matches.
     """
-    t, chance = PERCENT[1] / PERCENT[0], 0.0
+    t, chance = percent / PERCENT[0], 0.0
     for m in range(seen + 1):
         chance += math.comb(seen + 1, m) * t**m * (1 - t) ** (seen + 1 - m)
         if chance >= MISS:
@@ -115,23 +135,26 @@ def least_matches(seen: int) -> int:
     return seen
 
 
-def surviving_pairs(sig: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def surviving_pairs(
+    sig: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT[1]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (left[i], right[j]) that share a band, fit in size and survive the batches; with their matches.
 
     ``left`` and ``right`` are row numbers; where they are the same rows, only i < j.
     """
     same = left is right
+    n_bands = sig.shape[1] // BAND_ROWS
     bands = np.ascontiguousarray(sig).view(f"V{4 * BAND_ROWS}")
-    codes = np.stack([np.unique(bands[:, b], return_inverse=True)[1] for b in range(BANDS)], axis=1).astype(np.int32)
+    codes = np.stack([np.unique(bands[:, b], return_inverse=True)[1] for b in range(n_bands)], axis=1).astype(np.int32)
     xs, ys, ms = [], [], []
     width = len(right)
     for i in range(0, len(left), max(1, 200_000 // max(1, width))):
         rows = left[i : i + max(1, 200_000 // max(1, width))]
         share = np.zeros((len(rows), width), dtype=bool)
-        for b in range(BANDS):
+        for b in range(n_bands):
             share |= codes[rows, b][:, None] == codes[right, b][None, :]
         small, large = np.minimum.outer(sizes[rows], sizes[right]), np.maximum.outer(sizes[rows], sizes[right])
-        share &= PERCENT[0] * small >= PERCENT[1] * large
+        share &= PERCENT[0] * small >= percent * large
         if same:
             share &= np.arange(i, i + len(rows))[:, None] < np.arange(width)[None, :]
         x, y = np.nonzero(share)
@@ -141,7 +164,7 @@ def surviving_pairs(sig: np.ndarray, sizes: np.ndarray, left: np.ndarray, right:
             if not len(x):
                 break
             matches += (sig[x, seen : seen + BATCH] == sig[y, seen : seen + BATCH]).sum(axis=1, dtype=np.int32)
-            on = matches >= least_matches(seen + BATCH)
+            on = matches >= least_matches(min(seen + BATCH, sig.shape[1]), percent)
             x, y, matches = x[on], y[on], matches[on]
         xs.append(x)
         ys.append(y)
@@ -149,18 +172,20 @@ def surviving_pairs(sig: np.ndarray, sizes: np.ndarray, left: np.ndarray, right:
     return np.concatenate(xs or [np.zeros(0, int)]), np.concatenate(ys or [np.zeros(0, int)]), np.concatenate(ms or [np.zeros(0, int)])
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
     at = b.searchsorted(a)
     at[at == len(b)] = 0
     both = int((b[at] == a).sum())
-    return PERCENT[0] * both >= PERCENT[1] * (len(a) + len(b) - both)
+    return PERCENT[0] * both >= percent * (len(a) + len(b) - both)
 
 
-def unit_links(nodes: list[int], texts: list[str], sizes: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def unit_links(
+    nodes: list[int], texts: list[str], sizes: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT[1]
+) -> list[tuple[int, int]]:
     """Exactly verified links that connect what the pairs of a unit connect."""
-    x, y, matches = surviving_pairs(sig, sizes, left, right)
+    x, y, matches = surviving_pairs(sig, sizes, left, right, percent)
     root, sets, links = list(range(len(nodes))), {}, []
 
     def find(i: int) -> int:
@@ -177,7 +202,7 @@ def unit_links(nodes: list[int], texts: list[str], sizes: np.ndarray, sig: np.nd
     for p in np.argsort(-matches, kind="stable"):
         i, j = int(x[p]), int(y[p])
         a, b = find(i), find(j)
-        if a != b and _linked(shingles(i), shingles(j)):
+        if a != b and _linked(shingles(i), shingles(j), percent):
             root[a] = b
             links.append((nodes[i], nodes[j]))
     return links
@@ -190,12 +215,12 @@ def _one_text_each(rows: list[tuple]) -> list[tuple]:
         key = (row[4], row[6])
         if key not in kept:
             kept[key] = row
-        elif kept[key][7] != row[7] and signature(shingle_set(row[7])).tobytes() == row[6]:
+        elif kept[key][7] != row[7] and signature(shingle_set(row[7]), len(row[6]) // (4 * BAND_ROWS)).tobytes() == row[6]:
             kept[key] = row
     return list(kept.values())
 
 
-def _verify_units(units: DataFrame) -> DataFrame:
+def _verify_units(units: DataFrame, percent: int) -> DataFrame:
     """Links of all units; the rows of a unit are neighbours in their partition."""
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +233,7 @@ def _verify_units(units: DataFrame) -> DataFrame:
             chunk = np.asarray([r[3] for r in rows])
             whole = rows[0][1] == first
             left = np.arange(len(rows)) if whole else np.flatnonzero(chunk != first)
-            links = unit_links(nodes, texts, sizes, sig, left, left if whole else np.flatnonzero(chunk == first))
+            links = unit_links(nodes, texts, sizes, sig, left, left if whole else np.flatnonzero(chunk == first), percent)
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -227,16 +252,18 @@ def _verify_units(units: DataFrame) -> DataFrame:
     return units.select(*columns).mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT[1]) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document.
 
+    Sets whose intersection is at least ``percent`` hundredths of their union are linked.
     component_id is the smallest doc_id reachable over links, kept tells whether it is the document's own. Rows
     with one doc_id are one vertex. Documents without words are linked with nothing. A row without
     doc_id takes the component of documents with its shingles; it has none, and is kept, if
     there are no such. An empty table gives no rows; other columns are ignored.
     """
     width = shuffle_width(docs.sparkSession)
-    signed = materialize(signed_documents(docs), "signed")
+    n_bands = bands_for(percent)
+    signed = materialize(signed_documents(docs, n_bands), "signed")
     worded = signed.filter("set_key is not null")
     classes = worded.groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
@@ -248,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "node",
         F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.lit(BANDS - 1)),
+                F.sequence(F.lit(0), F.lit(n_bands - 1)),
                 lambda b: F.xxhash64(b, F.substring("signature", b * size + 1, F.lit(size))),
             )
         ).alias("bucket"),
@@ -274,7 +301,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .repartition(width, "piece", "low", "high")
         .sortWithinPartitions("piece", "low", "high")
     )
-    links = materialize(_verify_units(units), "near-links")
+    links = materialize(_verify_units(units, percent), "near-links")
     components = connected_components(links)
     classed = classes.select("set_key", "node").join(components, "node", "left").select(
         F.col("set_key").alias("c_key"), F.coalesce("component", "node").alias("c_component")
@@ -310,4 +337,4 @@ FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, len(s.s)
 
 @llm_query("op8_bayes_dedup", SQL)
 def op8_bayes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)

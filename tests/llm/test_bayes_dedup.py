@@ -107,3 +107,11 @@ def test_connected_components_on_a_long_path(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1000), (5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == dict.fromkeys(range(n), 0) | {1000: 1000, 1001: 1000}
+
+
+def test_bands_follow_the_threshold():
+    assert bd.bands_for(85) == bd.BANDS and bd.bands_for(80) > bd.BANDS
+    for percent in (70, 80, 85, 95):
+        t = percent / 100
+        assert (1 - t**bd.BAND_ROWS) ** bd.bands_for(percent) < bd.MISS
+    assert bd.least_matches(180, 80) < bd.least_matches(180)

@@ -81,3 +81,11 @@ def test_odd_tables(spark):
             assert clean.columns == df.columns
             assert sorted(repr(r.text) for r in clean.collect()) == (sorted(["None", "None", "''", *["'mail [EMAIL] now'"] * 3]) if rows else [])
             assert corpus_pipeline.packing(spark, kept, SF).count() == kept.count()
+
+
+def test_near_copies_between_80_and_85_go(spark):
+    # 100 shingles each; 90 in common make 90 / 110 = 0.818, 88 in common make 88 / 112 = 0.786.
+    text = lambda own, n: " ".join([f"c{own // 10}x{i}" for i in range(n + 4)] + [f"o{own}x{i}" for i in range(100 - n)])
+    docs = [(i, text(i, 90)) for i in (10, 11)] + [(i, text(i, 88)) for i in (20, 21)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == [10, 20, 21]
