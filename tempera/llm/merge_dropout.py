@@ -2,9 +2,10 @@
 
 A text is cut before each run of spaces (no piece goes on from a letter into a space), and every
 chunk is merged by an agenda: best piece first, leftmost on ties. A candidate taken from
-the agenda is skipped if a keyed hash of (seed, variant, chunk, place, piece) falls below the dropout
-share. The variant of a chunk is a hash of document, position and seed, so a word is segmented in
-different ways across and within documents, while a worker need not merge the same chunk of the same variant twice.
+the agenda is skipped if a keyed hash of (seed, document, position, place, piece) falls below the dropout
+share, so every occurrence of a word is segmented by draws of its own. A worker remembers only what no draw
+changes: the ids of a chunk without dropout and the merges on the way. The draws of these are made for a whole document at
+once; a chunk none of whose merges is skipped has these ids, any other is merged anew.
 """
 
 from __future__ import annotations
@@ -26,9 +27,7 @@ from tempera.llm.support import id_and_text
 
 DROPOUT = 0.1
 SEED = 17
-#: Segmentations a chunk can have under one seed.
-VARIANTS = 4
-#: Chunks a worker remembers for each variant; further ones are merged anew. Changes no result.
+#: Chunks a worker remembers; further ones are merged anew. Changes no result.
 REMEMBERED = 450_000
 
 # The space mark, and multipliers of a 64-bit mixing function.
@@ -71,8 +70,11 @@ class Pieces:
                 self.id[piece], self.rank[piece] = i, -model.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode("utf-8"))
 
-    def segment(self, chunk: str, dropout: float = 0.0, key: int = 0) -> list[str]:
-        """Pieces of a chunk whose spaces are plain; a space mark in it is a symbol of its own that never merges."""
+    def segment(self, chunk: str, dropout: float = 0.0, key: int = 0, taken: list[tuple[int, int]] | None = None) -> list[str]:
+        """Pieces of a chunk whose spaces are plain; a space mark in it is a symbol of its own that never merges.
+
+        ``taken`` gets the place and piece id of every merge done.
+        """
         symbols = [SPACE if c == " " else MARK if c == SPACE else c for c in chunk]
         n, rank = len(symbols), self.rank
         agenda = []
@@ -85,18 +87,19 @@ class Pieces:
         heapq.heapify(agenda)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         limit = int(dropout * 2.0**64)
-        base = xxhash.xxh64_intdigest(chunk.encode("utf-8"), key & _MASK) if limit else 0
         while agenda:
             _, i, piece = heapq.heappop(agenda)
             own, j = symbols[i], right[i]
             if not own or j >= n or own + symbols[j] != piece:
                 continue
             if limit:
-                h = (base + i * _MIX[0] + self.id[piece] * _MIX[1]) & _MASK
+                h = (key + i * _MIX[0] + self.id[piece] * _MIX[1]) & _MASK
                 h = ((h ^ (h >> 30)) * _MIX[1]) & _MASK
                 h = ((h ^ (h >> 27)) * _MIX[2]) & _MASK
                 if h ^ (h >> 31) < limit:
                     continue
+            if taken is not None:
+                taken.append((i, self.id[piece]))
             symbols[i], symbols[j] = piece, ""
             k = right[i] = right[j]
             if k < n:
@@ -122,15 +125,21 @@ class Pieces:
         return out
 
 
-class Segmented(dict):
-    """Ids of chunks under one variant, as little-endian bytes."""
+def _bytes_of(ids: list[int]) -> bytes:
+    return np.asarray(ids, dtype="<u4").tobytes()
+
 
-    def __init__(self, pieces: Pieces, dropout: float, key: int):
-        self.pieces, self.dropout, self.key = pieces, dropout, key
+class Plain(dict):
+    """Ids of chunks without dropout, what their merges add to a key, and the number of merges."""
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.pieces.ids(self.pieces.segment(chunk, self.dropout, self.key))
-        out = np.asarray(ids, dtype="<u4").tobytes()
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes, int]:
+        taken: list[tuple[int, int]] = []
+        ids = _bytes_of(self.pieces.ids(self.pieces.segment(chunk, taken=taken)))
+        adds = np.asarray([(i * _MIX[0] + p * _MIX[1]) & _MASK for i, p in taken], np.uint64).tobytes()
+        out = (ids, adds, len(taken))
         if len(self) < REMEMBERED and len(chunk) <= 64:
             self[chunk] = out
         return out
@@ -142,25 +151,42 @@ def _pieces(path: str) -> Pieces:
 
 
 @functools.cache
-def _variants(path: str, dropout: float, seed: int, variants: int) -> list[Segmented]:
-    return [Segmented(_pieces(path), dropout, (seed * variants + v) & _MASK) for v in range(variants if dropout else 1)]
+def _plain(path: str) -> Plain:
+    return Plain(_pieces(path))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[1])
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(_MIX[2])
+    return h ^ (h >> np.uint64(31))
 
 
-def encode_text(text: str, doc_id: int | None, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> bytes:
+def chunk_keys(n: int, doc_id: int | None, seed: int) -> np.ndarray:
+    """A key for each of the n chunks of a document."""
+    start = xxhash.xxh64_intdigest(str(doc_id).encode(), seed & _MASK)
+    with np.errstate(over="ignore"):
+        return _mixed(np.uint64(start) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_MIX[0]))
+
+
+def encode_text(text: str, doc_id: int | None, path: str, dropout: float = DROPOUT, seed: int = SEED) -> bytes:
     """Ids of a text as little-endian 32-bit words; an empty text has none."""
     if not text:
         return b""
     chunks = _CHUNK.findall(" " + text)
-    memory = _variants(path, dropout, seed, variants)
-    if len(memory) == 1:
-        return b"".join(map(memory[0].__getitem__, chunks))
-    start = xxhash.xxh64_intdigest(str(doc_id).encode(), seed & _MASK)
-    with np.errstate(over="ignore"):
-        h = np.uint64(start) + np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(_MIX[0])
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[1])
-        h ^= h >> np.uint64(29)
-    picks = (h % np.uint64(len(memory))).tolist()
-    return b"".join([memory[v][c] for c, v in zip(chunks, picks)])
+    plain = list(map(_plain(path).__getitem__, chunks))
+    out = [x[0] for x in plain]
+    limit = int(dropout * 2.0**64)
+    if limit:
+        keys = chunk_keys(len(chunks), doc_id, seed)
+        owner = np.repeat(np.arange(len(chunks)), [x[2] for x in plain])
+        with np.errstate(over="ignore"):
+            draws = _mixed(keys[owner] + np.frombuffer(b"".join([x[1] for x in plain]), np.uint64))
+        skipped = owner if limit > _MASK else owner[draws < np.uint64(limit)]
+        pieces = _pieces(path)
+        for i in np.unique(skipped).tolist():
+            out[i] = _bytes_of(pieces.ids(pieces.segment(chunks[i], dropout, int(keys[i]))))
+    return b"".join(out)
 
 
 def decode_ids(ids: bytes, path: str) -> str:
@@ -169,7 +195,7 @@ def decode_ids(ids: bytes, path: str) -> str:
     return b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8")[1:]
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids) of every document.
 
     Null and empty texts have no ids; a null doc_id stays null; rows that repeat are encoded alike; an empty table
@@ -183,7 +209,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
                 ids = [
-                    encode_text(t.as_py(), d, path, dropout, seed, variants)
+                    encode_text(t.as_py(), d, path, dropout, seed)
                     for d, t in zip(some.column(0).to_pylist(), some.column(1))
                 ]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
@@ -206,7 +232,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trips(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def round_trips(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 and whether the ids decode to the text, without handing the ids on."""
     path = model or default_model()
 
@@ -215,7 +241,7 @@ def round_trips(docs: DataFrame, model: str | None = None, dropout: float = DROP
             counts, crcs, same = [], [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = t.as_py()
-                ids = encode_text(text, d, path, dropout, seed, variants)
+                ids = encode_text(text, d, path, dropout, seed)
                 counts.append(len(ids) // 4)
                 crcs.append(zlib.crc32(ids))
                 same.append(decode_ids(ids, path) == text)

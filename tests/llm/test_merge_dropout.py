@@ -61,3 +61,20 @@ def test_frames(spark):
     by = {(r.doc_id, r.ids_crc32) for r in rows if r.doc_id == 4}
     assert len(by) == 1
     assert md.encode(df.limit(0)).count() == md.round_trips(df.limit(0)).count() == 0
+
+
+def test_every_occurrence_draws_for_itself():
+    # Far more ways than four for one long word, each the agenda's own under the key of its place.
+    word, n = " internationalisation", 3000
+    pieces, keys = md._pieces(PATH), md.chunk_keys(n, 8, 17).tolist()
+    ways = [tuple(pieces.ids(pieces.segment(word, 0.1, k))) for k in keys]
+    assert len(set(ways)) > 20
+    assert _ids((word * n)[1:], doc_id=8, dropout=0.1, seed=17) == [i for w in ways for i in w]
+
+
+def test_merges_without_skips_are_remembered_not_drawn():
+    text = "some words that repeat some words that repeat " * 30
+    keys, chunks, pieces = md.chunk_keys(2000, 3, 5).tolist(), md._CHUNK.findall(" " + text), md._pieces(PATH)
+    for dropout in (0.02, 0.5, 1.0):
+        want = [i for c, k in zip(chunks, keys) for i in pieces.ids(pieces.segment(c, dropout, k))]
+        assert _ids(text, doc_id=3, dropout=dropout, seed=5) == want
