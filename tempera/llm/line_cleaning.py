@@ -59,6 +59,10 @@ def _solid(text: Column) -> Column:
     return F.length(_without(text, BLANKS))
 
 
+def _fails(rule: str) -> Callable[[Column], Column]:
+    return lambda x: x["rule"] == rule
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once per row, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -129,8 +133,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     good = F.transform(F.filter("_c_judged", lambda x: x["rule"].isNull()), lambda x: x["line"])
     body = body.withColumn("clean_text", F.array_join(good, "\n"))
     dup = F.size("_c_lines") - F.size("_c_once")
-    lost_by = [F.size(F.filter("_c_judged", lambda x, r=r: x["rule"] == r)) for r in RULES]
-    pairs = [y for r, c in zip(RULES, lost_by) for y in (F.lit(r), c)]
+    pairs = [y for rule in RULES for y in (F.lit(rule), F.size(F.filter("_c_judged", _fails(rule))))]
     body = body.withColumns({
         "word_chars": _solid(F.col("_c_text")).cast("long"),
         "n_symbols": (F.length("_c_text") - F.length(_without(F.col("_c_text"), SYMBOLS))).cast("long"),

@@ -60,7 +60,7 @@ def test_matches_brute_force(spark):
 
 
 def test_rules_act_line_by_line(spark):
-    prose = "\n".join(PROSE.replace("town", f"town{i}").replace("hills", f"hills{i}") for i in range(6))
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(18)) + "." for i in range(6))
     page = f"Home | About | Contact\nlogin\n{prose}\nThis site uses cookies, see below.\nWhat ### is ### this ###.\nno end here\n{PROSE}\n{PROSE}"
     (r,) = rows(spark, [(1, page)])
     assert r.clean_text == f"{prose}\n{PROSE}" and r.kept
