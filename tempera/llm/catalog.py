@@ -11,7 +11,7 @@ from tempera.catalog.registry import Query
 
 QUERIES: dict[str, Query] = {}
 
-_MODULES = ("html_extract", "merge_dropout", "edit_counts", "slack_packing", "warc", "ball_tree", "rule_quality", "bayes_dedup", "disclosure", "spot_signatures", "line_cleaning", "hard_negatives", "pipeline_query")
+_MODULES = ("html_extract", "merge_dropout", "edit_counts", "slack_packing", "warc", "ball_tree", "rule_quality", "bayes_dedup", "disclosure", "spot_signatures", "line_cleaning", "hard_negatives", "merkle_manifest", "pipeline_query")
 
 
 def llm_query(name: str, sql: str | None = None):
