@@ -47,7 +47,8 @@ RULES = ("punctuation", "navigation", "boilerplate")
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, GAP), lambda w: w != "")
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -68,17 +69,20 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def measured(line: Column) -> Column:
-    """What the rules look at: the line, its trimmed and its lower-case form, its words, odd marks and parting words."""
+def measured(line: Column, marked: Column) -> Column:
+    """What the rules look at: the line, its trimmed and its lower-case form, its words, odd marks and parting words.
+
+    Without ``marked`` the line has neither odd marks nor parting words.
+    """
+    marks = F.length(line) - F.length(_without(line, MARKS))
 
     def parts(words: Column) -> Column:
         bare = F.btrim(line, F.lit(BLANKS))
         return F.struct(
             line.alias("line"), bare.alias("bare"),
             F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("low"),
-            F.size(words).alias("words"),
-            (F.length(line) - F.length(_without(line, MARKS))).alias("marks"),
-            F.size(F.filter(words, lambda w: w.isin(*PARTING))).alias("parting"),
+            F.size(words).alias("words"), F.when(marked, marks).otherwise(F.lit(0)).alias("marks"),
+            F.when(marked, F.size(F.filter(words, lambda w: w.isin(*PARTING)))).otherwise(F.lit(0)).alias("parting"),
         )
 
     return _let(words_of(line), parts)
@@ -95,24 +99,32 @@ def failed_rule(m: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that a text has twice or more.
 
-    Windows are sorted, so equal ones are neighbours; places of repeated windows in text
-    order cover 3 words each, less where the next one begins sooner.
+    Where hashes of windows repeat, the windows behind them are sorted by their text, so equal ones are neighbours; places
+    of repeated windows in text order cover 3 words each, less where the next one begins sooner.
     """
 
-    def windows(w: Column) -> Column:
-        every = F.transform(w, lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
-        return F.sort_array(F.slice(every, 1, F.greatest(F.size(w) - 2, F.lit(0))))
+    def beside(a: Column, field: str) -> Callable[[Column, Column], Column]:
+        """The place of an entry that is like the one before or behind it."""
+        like = lambda x, k: F.coalesce(x[field] == F.get(a, k)[field], F.lit(False))
+        return lambda x, k: F.when(like(x, k - 1) | like(x, k + 1), x["i"])
 
-    def places(s: Column) -> Column:
-        like = lambda x, k: F.coalesce(x["w"] == F.get(s, k)["w"], F.lit(False))
-        place = F.transform(s, lambda x, k: F.when(like(x, k - 1) | like(x, k + 1), x["i"]))
-        return F.sort_array(F.filter(place, lambda x: x.isNotNull()))
+    def places(sorted_entries: Column, field: str) -> Column:
+        return F.filter(F.transform(sorted_entries, beside(sorted_entries, field)), lambda i: i.isNotNull())
 
     def covered(p: Column) -> Column:
         each = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
 
-    return _let(_let(_let(words, windows), places), covered)
+    def count(hashes: Column) -> Column:
+        by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        text = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        alike = _let(by_hash, lambda s: places(s, "h"))
+        by_text = F.sort_array(F.transform(alike, lambda i: F.struct(text(i).alias("w"), i.alias("i"))))
+        found = _let(_let(by_text, lambda s: F.sort_array(places(s, "w"))), covered)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(found)
+
+    hashed = F.transform(words, lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)))
+    return _let(F.slice(hashed, 1, F.greatest(F.size(words) - 2, F.lit(0))), count)
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,24 +137,28 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     body = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("_c_text"))
     body = body.withColumn("_c_words", words_of(F.col("_c_text")))
+    odd = _without(F.col("_c_text"), "".join(sorted({*MARKS, *PARTING})))
+    body = body.withColumn("_c_marked", F.length("_c_text") > F.length(odd))
     body = body.withColumns({"n_words": F.size("_c_words").cast("long"), "n_repeat_words": repeated_words(F.col("_c_words"))})
     lines = F.filter(F.split("_c_text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     body = body.withColumn("_c_lines", lines).withColumn("_c_once", F.array_distinct("_c_lines"))
-    body = body.withColumn("_c_measured", F.transform("_c_once", measured))
-    body = body.withColumn("_c_judged", F.transform("_c_measured", lambda m: F.struct(m["line"].alias("line"), failed_rule(m).alias("rule"))))
-    good = F.transform(F.filter("_c_judged", lambda x: x["rule"].isNull()), lambda x: x["line"])
-    body = body.withColumn("clean_text", F.array_join(good, "\n"))
+    body = body.withColumn("_c_measured", F.transform("_c_once", lambda x: measured(x, F.col("_c_marked"))))
+    body = body.withColumn("_c_judged", F.transform("_c_measured", lambda m: F.struct(m["line"].alias("line"), m["words"].alias("words"), failed_rule(m).alias("rule"))))
+    body = body.withColumn("_c_good", F.filter("_c_judged", lambda x: x["rule"].isNull()))
+    body = body.withColumn("clean_text", F.array_join(F.transform("_c_good", lambda x: x["line"]), "\n"))
     dup = F.size("_c_lines") - F.size("_c_once")
+    symbols = F.length("_c_text") - F.length(_without(F.col("_c_text"), SYMBOLS))
     pairs = [y for rule in RULES for y in (F.lit(rule), F.size(F.filter("_c_judged", _fails(rule))))]
     body = body.withColumns({
         "word_chars": _solid(F.col("_c_text")).cast("long"),
-        "n_symbols": (F.length("_c_text") - F.length(_without(F.col("_c_text"), SYMBOLS))).cast("long"),
+        "n_symbols": F.when(F.col("_c_marked"), symbols).otherwise(F.lit(0)).cast("long"),
         "n_dup_lines": dup.cast("long"),
         "lost_lines": F.create_map(*pairs, F.lit("repeated"), dup),
-        "clean_words": F.size(words_of(F.col("clean_text"))).cast("long"),
+        "clean_words": F.aggregate("_c_good", F.lit(0).cast("long"), lambda n, x: n + x["words"]),
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
     })
-    body = body.withColumn("lost_chars", F.col("word_chars") - _solid(F.col("clean_text")))
+    lost = F.when(F.size("_c_good") == F.size("_c_lines"), F.lit(0)).otherwise(F.col("word_chars") - _solid(F.col("clean_text")))
+    body = body.withColumn("lost_chars", lost.cast("long"))
     enough = (100 * F.col("lost_chars") <= MOST_LOST * F.col("word_chars")) & (F.col("clean_words") >= LEAST_WORDS)
     return body.withColumn("kept", ~F.col("base_failed") & enough).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
