@@ -135,8 +135,8 @@ def fit(
 ) -> RuleModel:
     """Fit on at most ``sample_rows`` labelled documents outside the held-out third.
 
-    Labels that are null or not 0 or 1 are skipped; a document labelled twice counts with its
-    smaller label. Without labels every score is 0.5; with labels of one kind it is near that label.
+    The same rows give the same model, however they are partitioned. Labels that are null or not 0 or 1 are skipped; a
+    document labelled twice counts with its smaller label. Without labels every score is 0.5; with labels of one kind it is near that label.
     """
     known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -148,8 +148,10 @@ def fit(
         F.broadcast(known), F.col("doc_id") == F.col("l_doc_id")  # at most sample_rows rows of two numbers
     )
     features = array_to_vector(F.array(*[f"q_{s}" for s in STATISTICS]))
-    narrow = with_statistics(chosen).select("label", *[f"q_{s}" for s in STATISTICS])
-    sample = materialize(narrow.repartition(max(1, sample_rows // 5_000)), "quality-sample")
+    narrow = with_statistics(chosen).select("label", "l_doc_id", *[f"q_{s}" for s in STATISTICS])
+    # A bounded sample in one task and one order, so that the model is a function of the rows and not of how they lie.
+    ordered = narrow.repartition(1).sortWithinPartitions("l_doc_id", *[f"q_{s}" for s in STATISTICS])
+    sample = materialize(ordered.drop("l_doc_id"), "quality-sample")
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
         return RuleModel(0.0 if not counts else 4.0 if 1.0 in counts else -4.0, ())

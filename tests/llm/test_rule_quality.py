@@ -57,3 +57,9 @@ def test_held_out_labels_are_never_used(spark):
     labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     wrong = labels.withColumn("quality", F.when(rq.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
     assert rq.fit(docs, labels) == rq.fit(docs, wrong)
+
+
+def test_the_model_does_not_depend_on_the_layout(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = rq.fit(docs, labels)
+    assert model.rules and model == rq.fit(docs.repartition(7), labels.repartition(5)) == rq.fit(docs.orderBy("n_chars"), labels)
