@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,50 +144,89 @@ def width_rule_bins(df: DataFrame, ladder: list[float], accept: float) -> DataFr
     ).drop("_level")
 
 
+def widest_energy(low: np.ndarray, width: float) -> np.ndarray:
+    """For each lower end the largest double ``x`` with ``x - low <= width`` in double arithmetic.
+
+    Doubles are bisected in their own order, as whole numbers, so the answer agrees with the comparison bit for bit.
+    """
+    low = np.asarray(low, dtype=np.float64)
+
+    def number(x: np.ndarray) -> np.ndarray:
+        bits = np.asarray(x, dtype=np.float64).view(np.int64)
+        return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+    def double(n: np.ndarray) -> np.ndarray:
+        return (n ^ ((n >> 63) & np.int64(2**63 - 1))).view(np.float64)
+
+    fits, fails = np.full(low.shape, -np.inf), np.full(low.shape, np.inf)
+    a, b = number(fits), number(fails)
+    with np.errstate(invalid="ignore"):
+        for _ in range(64):
+            middle = (a >> 1) + (b >> 1) + (a & b & 1)
+            narrow = double(middle) - low <= width
+            a, b = np.where(narrow, middle, a), np.where(narrow, b, middle)
+        return np.where(fails - low <= width, fails, double(a))
+
+
+def next_starts(ranked: DataFrame, min_bins: int, max_width: float) -> DataFrame:
+    """(level, at, to, lo, n): where the bin that starts at rank ``at`` hands over to the next one; ``to >= n`` ends a level.
+
+    Bins have ceil(n / min_bins) samples, halved until their energies are at most ``max_width`` apart. How far a rank
+    reaches is its place in one more sort, of all energies together with the widest energy of every rank.
+    """
+
+    @F.pandas_udf("double")
+    def widest(low: pd.Series) -> pd.Series:
+        return pd.Series(widest_energy(low.to_numpy(), max_width))
+
+    ends = ranked.select("level", F.col("energy").alias("value"), F.lit(0).alias("probe"), "rn", "energy", F.col("n").alias("size"))
+    probes = ranked.select("level", widest("energy").alias("value"), F.lit(1).alias("probe"), "rn", "energy", F.col("n").alias("size"))
+    met = global_rank(ends.unionByName(probes), ["level"], ["value", "probe", "rn"], "_place", "_both", "reach").where("probe = 1")
+    # Before a probe stand the probes of lower ranks and all energies within its reach.
+    room = F.col("_place") - 2 * F.col("rn") - 1
+    full = F.ceil(F.col("size") / F.lit(min_bins))
+    first = F.when(F.col("rn") + full < F.col("size"), full).otherwise(F.col("size") - F.col("rn") - 1)
+    met = met.select("level", "rn", "energy", "size", first.cast("long").alias("first"), room.cast("long").alias("room"))
+    halved = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda j: F.call_function("shiftright", F.col("first"), j))
+    step = F.get(F.filter(halved, lambda s: (s <= 1) | (s <= F.col("room"))), F.lit(0))
+    met = met.withColumn("step", step)
+    whole = F.when(F.col("rn") + F.col("step") == F.col("size") - 1, F.col("step") + 1).otherwise(F.col("step"))
+    return met.select(
+        "level", F.col("rn").alias("at"), (F.col("rn") + F.greatest(whole, F.lit(1))).alias("to"), F.col("energy").alias("lo"), F.col("size").alias("n")
+    )
+
+
+def follow(hops: DataFrame) -> DataFrame:
+    """(level, at): every start met on the way from rank 0, by pointer doubling.
+
+    Round k has pointers that skip 2**k bins, kept only for starts that pointers of the round before lead to; it
+    ends when none is left from rank 0. Then starts are filled in from the longest skip down. Rounds grow with the
+    logarithm of the bins; a start is a row, never a value on the driver.
+    """
+    here = materialize(hops.where("to < n").select("level", "at", "to"), "hops-0")
+    rounds = [here]
+    while not here.where("at = 0").isEmpty():
+        landed = here.select("level", F.col("to").alias("at")).distinct()
+        kept = here.join(landed.union(here.where("at = 0").select("level", "at")).distinct(), ["level", "at"], "left_semi")
+        onward = here.select("level", F.col("at").alias("to"), F.col("to").alias("_end"))
+        here = materialize(kept.join(onward, ["level", "to"]).select("level", "at", F.col("_end").alias("to")), f"hops-{len(rounds)}")
+        rounds.append(here)
+    starts = hops.where("at = 0").select("level", "at")
+    for skip in reversed(rounds[:-1]):
+        met = starts.join(skip, ["level", "at"], "left")
+        starts = met.select("level", F.explode(F.array("at", "to")).alias("at")).where("at is not null")
+    return starts
+
+
 def adaptive_bounds(df: DataFrame, min_bins: int, max_width: float) -> DataFrame:
-    """Bins of at most ceil(n / min_bins) samples, each halved until narrow enough.
+    """(level, bin, lo, n): bins of at most ceil(n / min_bins) samples, each halved until narrow enough.
 
-    Each bin's end depends on where the previous one ended, so the walk is
-    sequential; but it only ever asks for the energy at a few ranks. Every
-    round looks up, for all levels at once, the candidate ranks of the next
-    bin (n/2**j positions), so the driver holds one cursor per level.
+    Where a bin ends depends only on where it starts, so every rank gets its pointer at once and the chain from rank 0 is
+    followed by doubling. A level without samples has no bins; equal energies are ordered by id.
     """
     slim = df.select("level", (-F.col("weight")).alias("energy"), "id")
-    ranked = materialize(
-        global_rank(slim, ["level"], ["energy", "id"], label="adaptive").select("level", "rn", "energy", "n"),
-        "adaptive-ranked",
-    )
-    spark = df.sparkSession
-    sizes = {r["level"]: r["n"] for r in ranked.groupBy("level").agg(F.max("n").alias("n")).collect()}
-    cursor = {level: 0 for level in sizes}
-    out: list[tuple] = []
-    bin_of = dict.fromkeys(sizes, 0)
-    while cursor:
-        wanted, steps_of = [], {}
-        for level, start in cursor.items():
-            n = sizes[level]
-            first = -(-n // min_bins)
-            step = first if start + first < n else n - start - 1
-            steps = [step]
-            while steps[-1] > 1:
-                steps.append(steps[-1] // 2)
-            steps_of[level] = steps
-            wanted += [(level, start + s) for s in {0, *steps}]
-        probes = F.broadcast(spark.createDataFrame(wanted, "level int, rn long"))
-        energy = {
-            (r["level"], r["rn"]): r["energy"]
-            for r in ranked.where(F.col("rn").isin(sorted({w[1] for w in wanted}))).join(probes, ["level", "rn"]).collect()
-        }
-        for level, steps in steps_of.items():
-            start, n = cursor[level], sizes[level]
-            low = energy[level, start]
-            step = next(s for s in steps if s <= 1 or energy[level, start + s] - low <= max_width)
-            step = step + 1 if start + step == n - 1 else step
-            step = max(step, 1)
-            out.append((level, bin_of[level], low, min(step, n - start)))
-            bin_of[level] += 1
-            if start + step >= n:
-                del cursor[level]
-            else:
-                cursor[level] = start + step
-    return spark.createDataFrame(out, "level int, bin int, lo double, n long")
+    ranked = global_rank(slim, ["level"], ["energy", "id"], label="adaptive").select("level", "rn", "energy", "n")
+    hops = materialize(next_starts(ranked, min_bins, max_width), "next-starts")
+    starts = materialize(follow(hops).join(hops, ["level", "at"]), "starts")
+    numbered = global_rank(starts, ["level"], ["at"], "bin", "_bins", "bins")
+    return numbered.select("level", F.col("bin").cast("int").alias("bin"), "lo", (F.least("to", "n") - F.col("at")).alias("n"))

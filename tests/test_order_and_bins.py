@@ -1,6 +1,7 @@
 import math
 
 import pandas as pd
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,6 +105,46 @@ def test_adaptive_bins_respect_the_width(spark, skewed):
     assert (bounds["lo"].diff().dropna() <= 40.0).all()
 
 
+def _walked(energies, min_bins, max_width):
+    """One bin after the other: (lower end, samples)."""
+    e, out, start = sorted(energies), [], 0
+    n = len(e)
+    while start < n:
+        first = -(-n // min_bins)
+        step = first if start + first < n else n - start - 1
+        while step > 1 and e[start + step] - e[start] > max_width:
+            step //= 2
+        step = max(1, step + 1 if start + step == n - 1 else step)
+        out.append((e[start], min(step, n - start)))
+        start += step
+    return out
+
+
+@pytest.mark.parametrize("width", [0.0, 0.3, 5.0, 1e9])
+def test_adaptive_bins_follow_the_walk(spark, width):
+    rng = np.random.default_rng(4)
+    levels = {
+        0: rng.normal(0, 3, 150), 1: np.round(rng.exponential(2, 97), 1), 3: np.zeros(64), 4: np.array([1.5]), 5: np.array([2.0, 2.0]),
+        6: 0.1 * np.arange(80), 7: np.array([-1e-9, 0.0, 0.3, 0.1 + 0.2, 5e-324]),
+    }
+    rows = [(k, i, float(-v)) for k, vs in levels.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "level int, id long, weight double")
+    got = binning.adaptive_bounds(df, 4, width).orderBy("level", "bin").collect()
+    for level, energies in levels.items():
+        mine = [r for r in got if r["level"] == level]
+        assert [r["bin"] for r in mine] == list(range(len(mine)))
+        assert [(r["lo"], r["n"]) for r in mine] == _walked([float(v) for v in energies], 4, width)
+    assert binning.adaptive_bounds(df.limit(0), 4, width).count() == 0
+
+
+def test_widest_energy_is_exact():
+    rng = np.random.default_rng(1)
+    lows = np.concatenate([rng.normal(0, s, 200) for s in (1e-300, 1e-9, 1.0, 1e12)] + [[0.0, -0.3, 1e308, -1e308]])
+    for width in (0.0, 0.1, 0.3, 7.0, 1e-12, 1e300):
+        top = binning.widest_energy(lows, width)
+        assert (top - lows <= width).all() and not (np.nextafter(top, np.inf) - lows <= width).any()
+
+
 def test_lookup_edges(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (1.5,), (2.0,), (99.0,)], "e double")
     bounds = F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0))
