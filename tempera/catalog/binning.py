@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tempera.catalog.registry import query, rounded
@@ -11,6 +13,8 @@ from tempera.operators.store import SampleStore
 from tempera.plans.adapters import LEVELS, order_samples
 
 BINS = 10
+FILE_SAMPLES = 1000
+FREED = 2
 
 SAMPLES = """
 s AS (SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS level,
@@ -345,29 +349,33 @@ def random_start_from_pool(spark, sf_dir):
     FROM u JOIN inside i ON i.level = u.level AND i.bin = u.bin AND i.row = CAST(floor(u.a * u.n) AS BIGINT)""",
 )
 def random_draw_pool(spark, sf_dir):
-    """500 uniform picks with replacement from every bin of every level."""
-    binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS).select("level", "bin", "id", "weight")
-    return starters.draw_pool(binned, 500, 29, ["level", "bin"]).select(
+    """500 uniform picks with replacement from every stored bin of every level, read by file and row."""
+    binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS)
+    store = SampleStore.in_shared_folder(spark, f"pool-{uuid.uuid4().hex}")
+    store.deposit_in_order(binned.select("id", F.array(-F.col("weight")).alias("data"), "weight", "level", "bin"), "id")
+    return store.draw_pool(500, 29).select(
         F.col("level").cast("long"), F.col("bin").cast("long"), F.col("pick").cast("long"), "id", rounded("weight").alias("weight")
     )
 
 
 @query(
     "level_bin_counts",
-    f"""WITH {RANKED} SELECT CAST(level AS BIGINT) AS level, CAST(bin AS BIGINT) AS bin, count(*) AS n
+    f"""WITH {RANKED} SELECT CAST(level AS BIGINT) AS level, CAST(bin AS BIGINT) AS bin, count(*) AS n,
+           CAST(ceil(count(*) / {FILE_SAMPLES}.0::DOUBLE) AS BIGINT) AS files, count(*) // {FILE_SAMPLES} AS full_files
     FROM binned GROUP BY level, bin""",
 )
 def level_bin_counts(spark, sf_dir):
-    """Counts of a store filled by bin, read back from its partitions after compaction."""
+    """Samples, files and files filled to capacity of every bin, from a store after compaction."""
     store = _filled_store(spark, sf_dir)
-    store.compact(0)
-    return store.counts().select(F.col("level").cast("long"), F.col("bin").cast("long"), "n")
+    for level in range(LEVELS):
+        store.compact(level)
+    return store.files().groupBy(F.col("level").cast("long"), F.col("bin").cast("long")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"), F.count_if("full").alias("full_files")
+    )
 
 
 def _filled_store(spark, sf_dir):
-    import uuid
-
-    store = SampleStore.in_shared_folder(spark, f"orders-{uuid.uuid4().hex}", capacity=1000)
+    store = SampleStore.in_shared_folder(spark, f"orders-{uuid.uuid4().hex}", capacity=FILE_SAMPLES)
     binned = binning.equal_count_bins(order_samples(spark, sf_dir), BINS)
     store.deposit(binned.select("id", F.array(-F.col("weight")).alias("data"), "weight", "level", "bin"))
     return store
@@ -399,16 +407,16 @@ def store_after_drop(spark, sf_dir):
 
 @query(
     "empty_levels",
-    f"""WITH {SAMPLES} SELECT CAST(l AS BIGINT) AS level, NOT EXISTS (SELECT 1 FROM s WHERE s.level = l) AS empty
+    f"""WITH {SAMPLES} SELECT CAST(l AS BIGINT) AS level,
+           l = {FREED} OR NOT EXISTS (SELECT 1 FROM s WHERE s.level = l) AS empty
     FROM range({LEVELS + 2}) t(l)""",
 )
 def empty_levels(spark, sf_dir):
-    """Which of the ladder's levels (and the two above it) hold no sample."""
-    present = order_samples(spark, sf_dir).groupBy("level").agg(F.lit(True).alias("has"))
-    levels = spark.range(LEVELS + 2).select(F.col("id").alias("level"))
-    return levels.join(present.withColumn("level", F.col("level").cast("long")), "level", "left").select(
-        "level", F.col("has").isNull().alias("empty")
-    )
+    """Which levels of a store hold no sample: one that has been freed, and the two above the ladder."""
+    store = _filled_store(spark, sf_dir)
+    store.drop_level(FREED)
+    rows = [(level, store.is_empty(level)) for level in range(LEVELS + 2)]
+    return spark.createDataFrame(rows, "level long, empty boolean")
 
 
 @query(

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from tempera.catalog.binning import BINS, RANKED
 from tempera.catalog.registry import query, rounded, table
-from tempera.operators.binning import equal_count_bounds
+from tempera.operators.binning import assign_bins, equal_count_bounds
 from tempera.operators.store import SampleStore
 from tempera.plans.adapters import order_samples, vector_samples
 from tempera.plans.staging import staged_path
 from tempera.sources import config, text
 from tempera.sources.record import read_records, write_records
-from tempera.streaming.deposit import stream_deposits
+from tempera.streaming.deposit import stream_deposits, writer_name
 
 _SAMPLES = """SELECT vec_id AS id, len(embedding) AS dim,
       round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * embedding[i]::DOUBLE)), 9) AS checksum,
@@ -89,15 +89,13 @@ def tagged_sections(spark, sf_dir):
     )
 
 
-@query(
-    "streamed_deposits",
-    f"""WITH {RANKED}, looked AS (SELECT s.level,
+_STREAMED_SQL = f"""WITH {RANKED}, looked AS (SELECT s.level,
         greatest(0, (SELECT count(*) FROM bounds b WHERE b.level = s.level AND b.lo <= s.energy) - 1) AS bin, s.weight FROM s)
     SELECT CAST(level AS BIGINT) AS level, CAST(bin AS BIGINT) AS bin, count(*) AS n, round(max(weight), 6) AS best
-    FROM looked GROUP BY level, bin""",
-)
-def streamed_deposits(spark, sf_dir):
-    """Orders streamed into the store, each batch binned by the energy bounds of its level."""
+    FROM looked GROUP BY level, bin"""
+
+
+def _streamed(spark, sf_dir, broken_off: bool):
     samples = order_samples(spark, sf_dir)
     bounds = equal_count_bounds(samples, BINS)
     schema = table(spark, sf_dir, "orders").schema
@@ -109,7 +107,25 @@ def streamed_deposits(spark, sf_dir):
         (-F.col("o_totalprice") / 10000.0).alias("weight"),
     )
     store = SampleStore.in_shared_folder(spark, f"stream-{uuid.uuid4().hex}")
-    stream_deposits(arriving, bounds, store, staged_path(spark, "stream-checkpoint")).awaitTermination()
+    checkpoint = staged_path(spark, "stream-checkpoint")
+    if broken_off:
+        # An attempt that wrote its rows and died before it was committed, and one that died with half of them.
+        placed = assign_bins(samples.select("level", "id", F.array(-F.col("weight")).alias("data"), "weight"), bounds)
+        store.write_attempt(placed, writer_name(checkpoint), 0)
+        store.write_attempt(placed.where("id % 2 = 0"), writer_name(checkpoint), 0)
+    stream_deposits(arriving, bounds, store, checkpoint).awaitTermination()
     return store.scan().groupBy(F.col("level").cast("long"), F.col("bin").cast("long")).agg(
         F.count(F.lit(1)).alias("n"), rounded(F.max("weight")).alias("best")
     )
+
+
+@query("streamed_deposits", _STREAMED_SQL)
+def streamed_deposits(spark, sf_dir):
+    """Orders streamed into the store, each batch binned by the energy bounds of its level."""
+    return _streamed(spark, sf_dir, broken_off=False)
+
+
+@query("deposits_after_a_crash", _STREAMED_SQL)
+def deposits_after_a_crash(spark, sf_dir):
+    """The same orders, streamed after two attempts at their epoch have broken off before the commit."""
+    return _streamed(spark, sf_dir, broken_off=True)

@@ -28,10 +28,32 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/tempera/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and the Hadoop file system it belongs to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; false, and nothing changed, if there is one already."""
+    place, files = _place(spark, path)
+    if files.exists(place):
+        return False
+    out = files.create(place, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the Hadoop file system it belongs to."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, files = _place(spark, path)
+    files.delete(folder, True)
 
 
 def release_staged(spark: SparkSession) -> None:

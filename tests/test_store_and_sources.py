@@ -168,6 +168,84 @@ def test_streamed_files_are_deposited_once(tmp_path, spark, samples):
     assert store.scan().count() == 150
 
 
+def _binned(spark, n):
+    bins = F.when(F.col("id") % 3 == 0, 1).otherwise(0).cast("int")
+    return spark.range(n).select(
+        "id", F.array(F.col("id").cast("double")).alias("data"), (-F.col("id") / 7.0).alias("weight"),
+        (F.col("id") % 2).cast("int").alias("level"), bins.alias("bin"),
+    )
+
+
+@pytest.mark.parametrize("dies", ["before the rows", "after half of the rows", "before the commit", "after the commit"])
+def test_an_epoch_that_breaks_off_counts_once(tmp_path, spark, monkeypatch, dies):
+    frame = _binned(spark, 120).select("level", "id", "data", "weight")
+    source = str(tmp_path / "in")
+    frame.write.parquet(source)
+    bounds = spark.createDataFrame([(0, 0, 0.0), (0, 1, 5.0), (1, 0, 0.0)], "level int, bin int, lo double")
+    store = SampleStore(spark, str(tmp_path / "store"))
+    write, commit = store.write_attempt, store.commit_attempt
+
+    def failing_write(samples, writer, epoch):
+        if dies == "after half of the rows":
+            write(samples.where("id < 60"), writer, epoch)
+        if dies.startswith(("after half", "before the rows")):
+            raise RuntimeError("executor lost")
+        return write(samples, writer, epoch)
+
+    def failing_commit(writer, epoch, attempt):
+        if dies == "after the commit":
+            commit(writer, epoch, attempt)
+        raise RuntimeError("driver lost")
+
+    def run():
+        stream = spark.readStream.schema(frame.schema).parquet(source)
+        stream_deposits(stream, bounds, store, str(tmp_path / "cp")).awaitTermination()
+
+    monkeypatch.setattr(store, "write_attempt", failing_write)
+    monkeypatch.setattr(store, "commit_attempt", failing_commit)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.undo()
+    for _ in range(2):
+        run()
+        assert sorted(r["id"] for r in store.scan().collect()) == list(range(120))
+    assert store.counts().groupBy().sum("n").first()[0] == 120
+    for level in (0, 1):
+        store.compact(level)
+    stored = spark.read.parquet(store.path)
+    assert stored.count() == 120 and stored.where("deposit IS NOT NULL").count() == 0
+
+
+def test_only_one_of_two_attempts_counts(tmp_path, spark):
+    store = SampleStore(spark, str(tmp_path / "store"))
+    store.deposit(_binned(spark, 10))
+    first, second = (store.write_attempt(_binned(spark, 30).where("id >= 10"), "w", 0) for _ in range(2))
+    assert store.scan().count() == 10 and not store.is_committed("w", 0)
+    assert store.commit_attempt("w", 0, second) and not store.commit_attempt("w", 0, first)
+    assert sorted(r["id"] for r in store.scan().collect()) == list(range(30))
+    store.deposit_once(_binned(spark, 40).where("id >= 30"), "other", 0)
+    assert store.scan().count() == 40
+    pool = store.draw_pool(200, 3)
+    assert pool.count() == 800 and set(r["id"] for r in pool.collect()) <= set(range(40))
+
+
+def test_pool_reads_rows_by_place(tmp_path, spark):
+    from tempera.functions.counter_rng import uniform
+
+    store = SampleStore(spark, str(tmp_path / "store"), capacity=7)
+    store.deposit_in_order(_binned(spark, 101).repartition(5), "id")
+    assert store.files().count() > 10
+    pool = store.draw_pool(60, 5)
+    plan = pool._jdf.queryExecution().executedPlan().toString()  # the samples, and the places they are picked at
+    assert plan.count("FileScan parquet") == 2 and "Sort " not in plan and "SortMergeJoin" not in plan
+    got = {(r["level"], r["bin"], r["pick"]): r["id"] for r in pool.collect()}
+    for level in (0, 1):
+        for b in (0, 1):
+            ids = [i for i in range(101) if i % 2 == level and (i % 3 == 0) == (b == 1)]
+            u = uniform(np.full(60, (level << 32) | b), np.arange(60), 5)
+            assert [got[level, b, k] for k in range(60)] == [ids[int(x * len(ids))] for x in u]
+
+
 def test_settings_and_results(tmp_path, spark):
     made = RunSettings(run_id="abc", levels=4, draws=77)
     results.save_settings(spark, made, str(tmp_path / "settings"))
