@@ -179,3 +179,40 @@ def test_walks_over_one_long_chain(spark):
     assert list(kept.t) == list(range(106, 2000, 7))
     moved = pd.Series(pdf.v).diff().dropna().ne(0).mean()
     assert walks.acceptance(df, "c", ["t"], "v").first()["rate"] == pytest.approx(moved)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_walks_over_many_chains_in_many_batches(spark, batch):
+    rng = np.random.default_rng(batch)
+    lengths = [1, 2, 400, 1, 0, 37, 5, 160, 3]
+    rows = [(None if c == 5 else c, t, None if rng.random() < 0.2 else float(rng.integers(-4, 4)), "w") for c, n in enumerate(lengths) for t in range(n)]
+    df = spark.createDataFrame(rows, "c int, t long, v double, wide string").repartition(4)
+    chains = {}
+    for c, t, v, _ in rows:
+        chains.setdefault(c, []).append(v)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        best = {(r["c"], r["t"]): r["running"] for r in walks.running_max(df, "c", ["t"], "v").collect()}
+        kept = sorted(((r["c"], r["t"], r["draw"]) for r in walks.thin(df, "c", ["t"], 3, 4).collect()), key=str)
+        rates = {r["c"]: (r["rate"], r["n"]) for r in walks.acceptance(df, "c", ["t"], "v").collect()}
+        assert walks.running_max(df.limit(0), "c", ["t"], "v").count() == walks.acceptance(df.limit(0), "c", ["t"], "v").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(best) == len(rows)
+    for c, values in chains.items():
+        for t in range(len(values)):
+            known = [v for v in values[: t + 1] if v is not None]
+            assert best[c, t] == (max(known) if known else None)
+        steps = [(a, b) for a, b in zip(values, values[1:]) if a is not None]
+        known = [a != b for a, b in steps if b is not None]
+        assert (c in rates) == bool(steps)
+        if steps:
+            assert rates[c][1] == len(steps) and rates[c][0] == (pytest.approx(np.mean(known)) if known else None)
+    assert kept == sorted(((c, t, (t - 3) // 4) for c, vs in chains.items() for t in range(3, len(vs)) if (t - 3) % 4 == 3), key=str)
+
+
+def test_wide_rows_move_once(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("c"), F.col("id").alias("t"), F.rand(1).alias("v"))
+    plan = walks.running_max(df, "c", ["t"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan and "Sort" not in plan
