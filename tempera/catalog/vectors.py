@@ -134,10 +134,40 @@ def farthest_starts_in_bands(spark, sf_dir):
     return _picked(starters.farthest_in_bands(vector_samples(spark, sf_dir), STARTS, 0.2))
 
 
-@query("kmeans_starts")
+CENTRES, RUNS = 5, 5
+
+
+def _kmeans_sql() -> str:
+    """Lloyd steps as a recursion: a row holds the centres of one run, and ends it once no vector changes its centre."""
+    far = f"list_transform(centres, lambda c: {_dist('v.data', 'c')})"
+    return f"""WITH RECURSIVE {VECTORS},
+    draws AS (SELECT v.id, v.data, run FROM v, range({RUNS}) t(run)),
+    {uniforms('u', 'draws', 'id', 'run', 3, 'a')},
+    starts AS (SELECT run, list(data ORDER BY a, id) AS centres FROM
+      (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY run ORDER BY a, id) <= {CENTRES}) GROUP BY run),
+    km AS (
+      SELECT run, 0 AS it, centres, '' AS who, FALSE AS still FROM starts
+      UNION ALL
+      SELECT run, it + 1, list_transform(range(len(centres)), lambda j: coalesce(list_filter(means, lambda m: m.j = j)[1].mean, centres[j + 1])),
+             now_who, now_who = who
+      FROM (SELECT run, it, centres, who, list({{'j': j, 'mean': mean}}) AS means, string_agg(ids, ';' ORDER BY j) AS now_who FROM
+        (SELECT run, it, centres, who, j, list(x ORDER BY dim) AS mean, first(ids) AS ids FROM
+          (SELECT run, it, centres, who, j, dim, avg(data[dim]) AS x, j || ':' || count(*) || ':' || sum(hash(id) % 1000000007) AS ids FROM
+            (SELECT run, it, centres, who, id, data, list_position(d, list_min(d)) - 1 AS j, unnest(range(1, {DIM + 1})) AS dim FROM
+              (SELECT km.*, v.id, v.data, {far} AS d FROM km, v WHERE NOT still))
+           GROUP BY run, it, centres, who, j, dim)
+         GROUP BY run, it, centres, who, j)
+       GROUP BY run, it, centres, who)),
+    costs AS (SELECT run, centres, sum(list_min({far})) AS cost FROM km, v WHERE still GROUP BY run, centres),
+    best AS (SELECT unnest(centres) AS c FROM (SELECT * FROM costs ORDER BY round(cost, 9), run LIMIT 1))
+    SELECT pick - 1 AS pick, pos - 1 AS pos, round(c[pos], 6) AS x
+    FROM (SELECT row_number() OVER (ORDER BY c) AS pick, c FROM best), range(1, {DIM + 1}) t(pos)"""
+
+
+@query("kmeans_starts", _kmeans_sql())
 def kmeans_starts(spark, sf_dir):
     """Cluster centres of all vectors, as chain starts."""
-    centres = starters.kmeans_centres(vector_samples(spark, sf_dir), 5, seed=3)
+    centres = starters.kmeans_centres(vector_samples(spark, sf_dir), CENTRES, 3, RUNS)
     return centres.select(F.col("pick").cast("long"), F.posexplode("data").alias("pos", "x")).select(
         "pick", F.col("pos").cast("long"), rounded("x").alias("x")
     )

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempera.functions.counter_rng import with_uniforms
-from tempera.functions.logmath import squared_distance, vector_literal
+from tempera.functions.logmath import dot, squared_distance, vector_literal
 from tempera.operators.ranking import global_rank, k_most_weight
 from tempera.operators.selection import selected_rows
 from tempera.plans.staging import materialize
 
 
-
 class TooFewSamples(ValueError):
     pass
 
@@ -59,14 +59,59 @@ def best_share(samples: DataFrame, k: int, share: float) -> tuple[DataFrame, int
     return samples.where(_not_after(_best_at(samples, [take - 1])[take - 1])), take, n
 
 
-def _farthest(candidates: DataFrame, chosen: list) -> list:
-    """Candidate with the largest summed squared distance to the chosen ones."""
-    centres = F.array(*[vector_literal(row["data"]) for row in chosen])
-    total = F.aggregate(centres, F.lit(0.0), lambda acc, c: acc + squared_distance(F.col("data"), c))
-    best = candidates.agg(
-        F.max_by(F.struct("id", "weight", "data"), F.struct(F.round(total, 9), -F.col("id"))).alias("b")
-    ).first()["b"]
-    return [] if best is None else [best]
+class _Chosen:
+    """Starters picked so far, as the sums that a candidate's distance to all of them needs.
+
+    The summed squared distance of x to m points is m|x|^2 - 2 x.S + Q with S their sum and Q their summed squares, so
+    a pick costs one product per candidate, whatever was picked before.
+    """
+
+    def __init__(self, first: dict):
+        self.rows, self.total, self.squares, self.far = [], np.zeros(len(first["data"])), 0.0, 0.0
+        self.add(first)
+
+    def add(self, row: dict) -> None:
+        x = np.asarray(row["data"], dtype=float)
+        self.rows.append(row)
+        self.total, self.squares = self.total + x, self.squares + float(x @ x)
+
+    def distance(self) -> Column:
+        m = float(len(self.rows))
+        return m * F.col(_NORM) - 2.0 * dot(F.col("data"), vector_literal(self.total)) + F.lit(self.squares)
+
+    def exact(self) -> Column:
+        """The same, one chosen point after the other, for the few candidates that are level within rounding."""
+        centres = F.array(*[vector_literal(r["data"]) for r in self.rows])
+        return F.aggregate(centres, F.lit(0.0), lambda acc, c: acc + squared_distance(F.col("data"), c))
+
+    def least_norm(self, far: float) -> float:
+        """No candidate of smaller squared norm is ``far`` away: m r^2 + 2 r |S| + Q >= far bounds r from below."""
+        m, s = len(self.rows), float(np.linalg.norm(self.total))
+        gap = max(0.0, far - self.squares)
+        r = (math.sqrt(s * s + m * gap) - s) / m
+        return max(0.0, r * r * (1.0 - _SLACK) - _SLACK)
+
+    def take_farthest(self, candidates: DataFrame, at_least: float = 0.0) -> None:
+        """Add the candidate farthest from all chosen ones, smallest id among equals; one of them is ``at_least`` that far."""
+        near = candidates.where(F.col(_NORM) >= self.least_norm(at_least))
+        top = near.agg(F.max(self.distance())).first()[0]
+        if top is None:
+            return
+        room = _SLACK * (1.0 + abs(top) + self.squares + len(self.rows) * float(np.abs(self.total).max(initial=0.0)))
+        level = near.where(F.col(_NORM) >= self.least_norm(top - room)).where(self.distance() >= top - room)
+        best = level.agg(F.max_by(F.struct("id", "weight", "data"), F.struct(F.round(self.exact(), 9), -F.col("id")))).first()[0]
+        self.far = top - room
+        self.add(best)
+
+
+_NORM = "_norm"
+_SLACK = 1e-9
+
+
+def _pool(samples: DataFrame) -> DataFrame:
+    """Candidates with their squared norm, largest first, so that files and row groups of small ones are passed over."""
+    slim = samples.select("id", "weight", "data", dot(F.col("data"), F.col("data")).alias(_NORM))
+    return materialize(slim.orderBy(F.desc(_NORM)), "starter-pool")
 
 
 def farthest_first(samples: DataFrame, k: int, share: float = 0.20) -> DataFrame:
@@ -75,11 +120,12 @@ def farthest_first(samples: DataFrame, k: int, share: float = 0.20) -> DataFrame
     if take == k:
         return _as_frame(samples, k_most_weight(samples, k).select("id", "weight", "data").collect())
     # Every pick reads the pool once more, so it is cut out of the samples only once.
-    pool = materialize(pool.select("id", "weight", "data"), "starter-pool")
-    chosen = k_most_weight(pool, 1).select("id", "weight", "data").collect()
-    while len(chosen) < k:
-        chosen += _farthest(pool, chosen)
-    return _as_frame(samples, chosen)
+    pool = _pool(pool)
+    chosen = _Chosen(k_most_weight(pool, 1).select("id", "weight", "data").first().asDict())
+    while len(chosen.rows) < k:
+        # Distances only grow, so the last pick's is still reached.
+        chosen.take_farthest(pool, chosen.far)
+    return _as_frame(samples, chosen.rows)
 
 
 def farthest_in_bands(samples: DataFrame, k: int, share: float = 0.20) -> DataFrame:
@@ -87,16 +133,16 @@ def farthest_in_bands(samples: DataFrame, k: int, share: float = 0.20) -> DataFr
     pool, take, _ = best_share(samples, k, share)
     if take == k:
         return _as_frame(samples, k_most_weight(samples, k).select("id", "weight", "data").collect())
+    pool = _pool(pool)
     ends = [take * i // k for i in range(1, k)]
     edges = _best_at(pool, [0] + [max(e - 1, 0) for e in ends])
-    chosen = k_most_weight(pool, 1).select("id", "weight", "data").collect()
+    chosen = _Chosen(k_most_weight(pool, 1).select("id", "weight", "data").first().asDict())
     begin = 1
     for end in ends:
         if end > begin:
-            band = pool.where(_not_after(edges[end - 1]) & ~_not_after(edges[begin - 1]))
-            chosen += _farthest(band, chosen)
+            chosen.take_farthest(pool.where(_not_after(edges[end - 1]) & ~_not_after(edges[begin - 1])))
         begin = end
-    return _as_frame(samples, chosen)
+    return _as_frame(samples, chosen.rows)
 
 
 def _as_frame(samples: DataFrame, rows: list) -> DataFrame:
@@ -104,18 +150,64 @@ def _as_frame(samples: DataFrame, rows: list) -> DataFrame:
     return samples.sparkSession.createDataFrame(ranked, "pick int, id long, weight double, data array<double>")
 
 
+def _lloyd_step(vectors: DataFrame, centres: dict[int, np.ndarray]) -> list:
+    """One scan for all runs: per run and centre the number, summed distance, hash and sum of the samples nearest to it.
+
+    A task hands on one row per run and centre; equal distances go to the first centre.
+    """
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            x = np.asarray(batch["data"].flatten()).reshape(batch.num_rows, -1)
+            for run, c in centres.items():
+                far = np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1)
+                near = far.argmin(axis=1)
+                for j in np.unique(near).tolist():
+                    mine = near == j
+                    part = [int(mine.sum()), float(far[mine, j].sum()), int(np.asarray(batch["who"])[mine].sum()), x[mine].sum(axis=0)]
+                    old = sums.get((run, j))
+                    sums[run, j] = part if old is None else [u + v for u, v in zip(old, part)]
+        keys = list(sums)
+        columns = zip(*(sums[k] for k in keys)) if keys else ([],) * 4
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array(list(c), t) for c, t in zip(columns, kinds)],
+            names=["run", "centre", "n", "cost", "who", "sums"],
+        )
+
+    found = vectors.mapInArrow(nearest, "run int, centre int, n long, cost double, who long, sums array<double>")
+    dims = len(next(iter(centres.values()))[0])
+    total = [F.sum(n).alias(n) for n in ("n", "cost", "who")] + [F.sum(F.col("sums")[i]).alias(f"_{i}") for i in range(dims)]
+    return [(r["run"], r["centre"], r["n"], r["cost"], r["who"], np.array(r[5:])) for r in found.groupBy("run", "centre").agg(*total).collect()]
+
+
 def kmeans_centres(samples: DataFrame, k: int, seed: int, restarts: int = 5) -> DataFrame:
-    """Cluster centres from the best of several seeded runs, each run until the centres stand still."""
-    vectors = samples.select(array_to_vector(F.col("data")).alias("features"))
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, maxIter=2**31 - 1, tol=0.0).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    centres = sorted([float(v) for v in c] for c in best.clusterCenters())
-    return samples.sparkSession.createDataFrame(
-        [(i, c) for i, c in enumerate(centres)], "pick int, data array<double>"
-    )
+    """Cluster centres of the cheapest of several runs (the first among equals), in order of their coordinates.
+
+    A run starts from the ``k`` samples with the smallest uniforms of (id, run), so any engine with the generator finds
+    the same; its centres move to the means of the samples nearest to them until no sample changes its centre. A centre
+    without samples stays where it is. Fewer than ``k`` samples give as many centres; none give none.
+    """
+    who = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("who")
+    vectors = materialize(samples.select("id", "data", who), "kmeans-vectors")
+    drawn = with_uniforms(vectors, F.col("id"), {f"_u{r}": r for r in range(restarts)}, seed)
+    first = [drawn.orderBy(f"_u{r}", "id").limit(k).select("data").collect() for r in range(restarts)]
+    centres = {r: np.array([x["data"] for x in rows]) for r, rows in enumerate(first) if rows}
+    held: dict[int, list] = {}
+    done: dict[int, tuple[float, list]] = {}
+    while len(done) < len(centres):
+        found = _lloyd_step(vectors, {r: c for r, c in centres.items() if r not in done})
+        for r in [r for r in centres if r not in done]:
+            mine = sorted((x[1:] for x in found if x[0] == r), key=lambda x: x[0])
+            now = [(j, n, ids) for j, n, _, ids, _ in mine]
+            if now == held.get(r):
+                done[r] = (sum(x[2] for x in mine), centres[r].tolist())
+            held[r] = now
+            for j, n, _, _, total in mine:
+                centres[r][j] = total / n
+    best = min((done[r] for r in sorted(done)), key=lambda b: round(b[0], 9), default=(0.0, []))
+    return samples.sparkSession.createDataFrame([(i, c) for i, c in enumerate(sorted(best[1]))], "pick int, data array<double>")
 
 
 def _bin_key(by: list[str]) -> Column:

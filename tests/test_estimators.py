@@ -144,6 +144,31 @@ def test_farthest_first_against_brute_force(spark):
         starters.farthest_first(df.limit(2), 4)
 
 
+def test_farthest_picks_break_ties_and_prune_by_norm(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(0, 1, (300, 3)), rng.normal(0, 9, (40, 3)), np.tile([20.0, 0, 0], (4, 1)), [[-20.0, 0, 0]] * 3]), 1)
+    w = rng.normal(size=len(x))
+    df = spark.createDataFrame([(i, float(w[i]), [float(v) for v in r]) for i, r in enumerate(x)], "id long, weight double, data array<double>")
+    chosen = [int(max(range(len(x)), key=lambda i: w[i]))]
+    while len(chosen) < 7:
+        far = [round(float(sum(((r - x[c]) ** 2).sum() for c in chosen)), 9) for r in x]
+        chosen.append(max(range(len(x)), key=lambda i: (far[i], -i)))
+    assert [r["id"] for r in starters.farthest_first(df, 7, 1.0).orderBy("pick").collect()] == chosen
+    picked = starters._Chosen({"data": list(x[chosen[0]]), "id": 0, "weight": 0.0})
+    for c in chosen[1:4]:
+        picked.add({"data": list(x[c])})
+    far = np.array([sum(((r - x[c]) ** 2).sum() for c in chosen[:4]) for r in x])
+    for bar in (0.0, far.mean(), far.max()):
+        assert (far[(x**2).sum(axis=1) < picked.least_norm(float(bar))] < bar).all()
+
+
+def test_kmeans_small_inputs(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [2.0, 3.0])], "id long, data array<double>")
+    assert [r["data"] for r in starters.kmeans_centres(df, 5, seed=1).orderBy("pick").collect()] == [[0.0, 1.0], [2.0, 3.0]]
+    assert starters.kmeans_centres(df.limit(0), 3, seed=1).count() == 0
+    assert [r["data"] for r in starters.kmeans_centres(df, 1, seed=1).collect()] == [[1.0, 2.0]]
+
+
 def test_kmeans_finds_separated_centres(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(c, 0.1, size=(60, 2)) for c in (-3.0, 0.0, 3.0)])
