@@ -11,7 +11,7 @@ from tempera.catalog.registry import query, rounded, table
 from tempera.operators.binning import assign_bins, equal_count_bounds
 from tempera.operators.store import SampleStore
 from tempera.plans.adapters import order_samples, vector_samples
-from tempera.plans.staging import staged_path
+from tempera.plans.staging import materialize, staged_path
 from tempera.sources import config, text
 from tempera.sources.record import read_records, write_records
 from tempera.streaming.deposit import stream_deposits, writer_name
@@ -89,6 +89,91 @@ def tagged_sections(spark, sf_dir):
     )
 
 
+CODES = (1, 2, 3, 4, 5, 103, 203, 207)
+NAMES = sorted({n for c in CODES for n in config.fixed_names(c)} | set(config.OPTIONAL_FIXED))
+_NATIONS = f"""bal AS (SELECT n_nationkey AS k, coalesce(round(avg(s_acctbal), 2), 0) / 10000 AS b
+      FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
+    n AS (SELECT *, [{', '.join(map(str, CODES))}][k % {len(CODES)} + 1] AS code, k % 3 + 4 AS c, 1 + k % 3 AS s1, 1 + (k // 3) % 2 AS s2 FROM bal)"""
+
+
+def _nation_files(spark, sf_dir):
+    """A parameter file per nation, with the code, fixed values and regime flags that its key and suppliers give; written and parsed."""
+    balance = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 2).alias("b"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k")).join(balance, "k", "left")
+    n = n.withColumn("b", F.coalesce("b", F.lit(0.0)) / 10000).withColumn("code", F.element_at(F.array(*map(F.lit, CODES)), F.col("k") % len(CODES) + 1))
+    values = [
+        F.when((F.col("k") + i) % 7 != 0, F.concat(F.lit(f"//== {name} ==//\n"), (F.lit(float(i)) + F.col("b")).cast("string"), F.lit("  % fixed\n")))
+        for i, name in enumerate(NAMES)
+    ]
+    m = F.when(F.col("code").between(100, 199), 9).otherwise(8)
+
+    def flags(block: int):
+        def row(p):
+            used = (F.col("k") + p + block) % 3 == 0
+            marks = [F.when(used & ((p + block) % 2 == j), F.lit("1")).otherwise("0") for j in (0, 1)]
+            return F.concat_ws(" ", *marks, F.when(p == 2, "1").otherwise("0"))
+
+        return F.concat(m.cast("string"), F.lit("\n"), F.concat_ws("\n", F.transform(F.sequence(F.lit(0), m - 1), row)), F.lit("\n"))
+
+    number = lambda name, c: F.concat(F.lit(f"//== {name} ==//\n"), c.cast("string"), F.lit("\n"))
+    text_of = F.concat_ws(
+        "\n", number("nation", F.col("k")), number("code", F.col("code")), *values,
+        number("Number of states for state_variable[1]", 1 + F.col("k") % 3),
+        number("Number of states for state_variable[2]", 1 + F.floor(F.col("k") / 3) % 2),
+        number(config.CONSTANT_COUNT, F.col("k") % 3 + 4),
+        *[F.concat(F.lit(f"//== {name} ==//\n"), flags(b)) for b, name in enumerate(config.VARYING.values())],
+    )
+    path = staged_path(spark, "nation-files")
+    n.repartition(n.count(), "k").select(text_of.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    sections = materialize(config.read_sections(spark, path), "nation-sections")
+    head = sections.where("ordinal = 0").groupBy("file").agg(
+        *[F.max(F.when(F.col("section") == c, F.col("value"))).cast("int").alias(c) for c in ("nation", "code")]
+    )
+    return sections, head
+
+
+@query(
+    "fixed_parameters",
+    f"""WITH {_NATIONS}, asked(code, name, otherwise) AS (VALUES {', '.join(
+        f"({c}, '{x}', {config.OPTIONAL_FIXED.get(x, 'NULL')}::DOUBLE)" for c in CODES for x in [*config.fixed_names(c), *config.OPTIONAL_FIXED])}),
+    place(name, i) AS (VALUES {', '.join(f"('{x}', {i})" for i, x in enumerate(NAMES))})
+    SELECT k AS nation, n.code, name, round(coalesce(CASE WHEN (k + i) % 7 <> 0 THEN i + b END, otherwise), 9) AS value,
+           otherwise IS NULL AND (k + i) % 7 = 0 AS missing
+    FROM n JOIN asked USING (code) JOIN place USING (name)""",
+)
+def fixed_parameters(spark, sf_dir):
+    """Fixed parameters that each nation's file holds, takes by default, or lacks under its restriction code."""
+    sections, head = _nation_files(spark, sf_dir)
+    found = config.fixed_parameters(sections, head.select("file", "code")).join(head.select("file", "nation"), "file")
+    return found.select("nation", "code", "name", rounded("value", 9).alias("value"), "missing")
+
+
+@query(
+    "regime_vectors",
+    f"""WITH {_NATIONS}, m AS (SELECT *, CASE WHEN code BETWEEN 100 AND 199 THEN 9 ELSE 8 END AS m FROM n),
+    p AS (SELECT m.*, block, p, (k + p + block) % 3 = 0 AND (p + block) % 2 = 0 AS f1, (k + p + block) % 3 = 0 AND (p + block) % 2 = 1 AS f2
+          FROM m, range(2) t(block), range(9) u(p) WHERE p < m),
+    o AS (SELECT *, CASE WHEN f1 THEN s1 WHEN f2 THEN s2 ELSE 1 END AS r FROM p),
+    q AS (SELECT *, c + row_number() OVER w - 1 AS place, c + coalesce(sum(r) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+          FROM o WINDOW w AS (PARTITION BY k ORDER BY block, p)),
+    g AS (SELECT k, regime, place, CAST(start + CASE WHEN f1 THEN regime // s2 WHEN f2 THEN regime % s2 ELSE 0 END AS BIGINT) AS pos
+          FROM q, range(6) t(regime) WHERE regime < s1 * s2
+          UNION ALL SELECT k, regime, i, i FROM n, range(6) t(regime), range(9) u(i) WHERE regime < s1 * s2 AND i < c)
+    SELECT vec_id AS id, regime, place, round(embedding[pos + 1]::DOUBLE, 9) AS value FROM embeddings JOIN g ON g.k = vec_id % 25""",
+)
+def regime_vectors(spark, sf_dir):
+    """The parameter vector of every embedding in each regime of its nation's file."""
+    sections, head = _nation_files(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), (F.col("vec_id") % 25).cast("int").alias("nation"), F.col("embedding").cast("array<double>").alias("data")
+    )
+    draws = v.join(head.select("file", "nation"), "nation")
+    rows = config.regime_vectors(draws, config.regime_positions(sections))
+    return rows.select("id", F.col("regime").cast("long"), F.posexplode("data").alias("place", "value")).select(
+        "id", "regime", F.col("place").cast("long"), rounded("value", 9).alias("value")
+    )
+
+
 _STREAMED_SQL = f"""WITH {RANKED}, looked AS (SELECT s.level,
         greatest(0, (SELECT count(*) FROM bounds b WHERE b.level = s.level AND b.lo <= s.energy) - 1) AS bin, s.weight FROM s)
     SELECT CAST(level AS BIGINT) AS level, CAST(bin AS BIGINT) AS bin, count(*) AS n, round(max(weight), 6) AS best

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempera.catalog.registry import query, rounded, table
 from tempera.operators import prior, target, timeseries
 from tempera.operators.prior import CALIBRATION as CAL
+from tempera.operators.steady_state import VARIANTS, with_steady_state
 from tempera.plans.adapters import quarterly_orders, vector_samples
 from tempera.schema import NEG_INF
 
@@ -174,6 +177,61 @@ _PARAMS = f"""e AS (SELECT vec_id AS id, list_transform(range(1, {prior.n_free(C
             AND list_min(x[6:13]) >= 0 AND list_min(x[14:21]) > 0 AND ls < r - 1.4901161193847656e-08
             AND th < (1 - beta) / (beta * la) - 1.4901161193847656e-08 AND lz >= 1.4901161193847656e-08, FALSE) AS valid FROM h)"""
 
+#: Values of every variant, as they are named in the result.
+STEADY = (
+    "beta", "theta", "by", "alpha", "lambda_K", "delta", "iy", "lambda_a", "phi", "lambda_z", "C_h", "C_e", "housing_weight", "mu_b_e",
+    "land_to_debt", "land_ratio", "L_e", "L_h", "Omega_h", "Omega_e", "excess_return",
+)
+
+
+def _steady_sql() -> str:
+    """The four variants written out, one after the other."""
+    land, house, ky, ik, r = CAL["land_e"], CAL["land_h"], CAL["ky"], CAL["ik"], CAL["R"]
+    start = f"""SELECT id, 1 + 0.01 * x[1] AS lq, 1 + 0.01 * x[2] AS ls, x[3] AS gh, x[4] AS ge, 1 / (1 + 0.01 * x[5]) AS b0 FROM e"""
+    loan = f"{CAL['by']} / (ls * {land} + {ky} / lq)"
+    household = f"1 - {CAL['alpha']} + (1 / ls - 1 / {r}) * by_"
+    discount = f"""({land} * (1 - ls * th / {r}) + {ky} * (1 - ls * th / (lk * {r})))
+        / ({CAL['alpha']} + {land} * (1 - th) + {ky} * (1 - delta - th) / lk)"""
+    income = f"""((1 - b0 - b0 * (ls / (b0 * {r}) - 1) * th) * {land}
+        + (1 - b0 * (ls / (b0 * {r}) - 1) * th / lk - b0 * (1 - delta) / lk) * {ky}) / b0"""
+    parts = {
+        "given_beta": (loan, f"{CAL['by']}", income, "b0"),
+        "given_debt": (loan, f"{CAL['by']}", f"{CAL['alpha']}", discount),
+        "free_beta": (loan, f"{CAL['by']}", f"{CAL['alpha']}", "b0"),
+        "given_collateral": (f"{CAL['theta']}", f"{CAL['theta']} * (ls * {land} + {ky} / lq)", f"{CAL['alpha']}", discount),
+    }
+    variants = " UNION ALL ".join(
+        f"""SELECT id, '{name}' AS variant, lq, ls, gh, ge, th, by_, lk, delta, {share} AS al, {beta} AS be
+        FROM (SELECT *, {theta} AS th, {debt} AS by_ FROM g0)""" for name, (theta, debt, share, beta) in parts.items()
+    )
+    own = f"al - {ik} * {ky} - by_ * (1 - be * (1 + la)) / ls"
+    return f"""WITH {_PARAMS.split('a AS (SELECT')[0].rstrip().rstrip(',')},
+    g AS ({start}), g0 AS (SELECT *, lq * ls AS lk, 1 - (1 - {ik}) * lq * ls AS delta FROM g),
+    p AS ({variants}),
+    q AS (SELECT *, ls / (be * {r}) - 1 AS la FROM p),
+    c AS (SELECT *, CASE WHEN variant = 'given_beta' THEN 1 - ({own}) - {ik} * {ky} ELSE {household} END AS ch,
+            {land} * (1 - be * (1 + la * th)) / (be * al) AS phi FROM q)
+    SELECT id, variant, {', '.join(f'round({expr}, 9) AS {name}' for name, expr in {
+        'beta': 'be', 'theta': 'th', 'by': 'by_', 'alpha': 'al', 'lambda_K': 'lk', 'delta': 'delta', 'iy': f'{ik} * {ky}', 'lambda_a': 'la',
+        'phi': 'phi', 'lambda_z': 'pow(ls, 1 - (1 - phi) * al) * pow(lq, -(1 - phi) * al)', 'C_h': 'ch', 'C_e': f'1 - ch - {ik} * {ky}',
+        'housing_weight': f'({house} / ch) * ls * (1 - ls / {r}) * (1 - gh / {r}) / (ls - gh)', 'mu_b_e': 'be * la / ls',
+        'land_to_debt': f'{land} / by_', 'land_ratio': f'{house}::DOUBLE / {land}', 'L_e': f'1 / (1 + {house}::DOUBLE / {land})',
+        'L_h': f'1 - 1 / (1 + {house}::DOUBLE / {land})', 'Omega_h': '(ls - be * (1 + la) * gh) * (ls - gh)',
+        'Omega_e': '(ls - be * ge) * (ls - ge)', 'excess_return': 'ls * la / (be * (1 + la))'}.items())} FROM c"""
+
+
+@query("steady_state_variants", _steady_sql())
+def steady_state_variants(spark, sf_dir):
+    """All derived values of every parameter row under each of the four restrictions."""
+    rows = parameter_rows(spark, sf_dir)
+    given = prior.structural(F.col("data"), CODE) | {"beta": 1.0 / (1.0 + 0.01 * F.element_at("data", 5))}
+    parts = [
+        with_steady_state(rows, given, v).select("id", F.lit(v).alias("variant"), *[rounded(f"ss_{n}", 9).alias(n) for n in STEADY])
+        for v in VARIANTS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _GAMMA = lambda x, a, b: f"({a * math.log(b) - math.lgamma(a)!r}::DOUBLE + {a - 1.0!r}::DOUBLE * ln({x}) - {b} * {x})"
 _PRIOR_A, _PRIOR_B = prior.PRIOR_DEVIATION[1:]
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempera.functions import counter_rng
+from tempera.operators.steady_state import VARIANTS, solve, variant_of
 from tempera.plans.sizing import spread
 from tempera.schema import NEG_INF
 
@@ -56,6 +57,8 @@ SECTIONS = {
     "R": "R", "by": "by", "ky": "ky", "ik": "ik", "land_e": "qlLeOY", "land_h": "qlLhOY", "lambda_q": "glambdaq",
     "lambda_star": "glambdastar", "beta": "gbeta", "eta": "geta", "alpha": "galpha", "theta": "gtheta",
 }
+#: Steady-state values that come with an evaluated row.
+VALUES = ("by", "theta", "lambda_K", "delta", "iy", "lambda_a", "alpha", "C_e", "C_h", "beta", "phi", "lambda_z")
 EPSILON = math.sqrt(2.220446049250313e-16)
 
 
@@ -89,42 +92,8 @@ def structural(x: Column, code: int, calibration: dict[str, float] = CALIBRATION
 
 
 def derived(p: dict[str, Column], code: int = 203) -> dict[str, Column]:
-    """Steady state in dependency order.
-
-    Codes from 100 fix the collateral share and derive the debt ratio, lower
-    ones the other way round; codes up to 2 take the discount factor as given
-    and derive the capital share instead.
-    """
-    d = dict(p)
-    assets = p["lambda_star"] * p["land_e"] + p["ky"] / p["lambda_q"]
-    if code >= 100:
-        d["by"] = p["theta"] * assets
-    else:
-        d["theta"] = p["by"] / assets
-    d["lambda_K"] = p["lambda_q"] * p["lambda_star"]
-    d["delta"] = 1.0 - (1.0 - p["ik"]) * d["lambda_K"]
-    d["iy"] = p["ik"] * p["ky"]
-    if code <= 2:
-        d["lambda_a"] = p["lambda_star"] / (p["beta"] * p["R"]) - 1.0
-        pledge = p["beta"] * d["lambda_a"] * d["theta"]
-        d["alpha"] = (
-            (1.0 - p["beta"] - pledge) * p["land_e"]
-            + (1.0 - (pledge + p["beta"] * (1.0 - d["delta"])) / d["lambda_K"]) * p["ky"]
-        ) / p["beta"]
-        d["C_e"] = d["alpha"] - d["iy"] - d["by"] * (1.0 - p["beta"] * (1.0 + d["lambda_a"])) / p["lambda_star"]
-        d["C_h"] = 1.0 - d["C_e"] - d["iy"]
-    else:
-        d["C_h"] = 1.0 - p["alpha"] + (1.0 / p["lambda_star"] - 1.0 / p["R"]) * d["by"]
-        d["C_e"] = 1.0 - d["C_h"] - d["iy"]
-        land = p["land_e"] * (1.0 - p["lambda_star"] * d["theta"] / p["R"])
-        capital = p["ky"] * (1.0 - p["lambda_star"] * d["theta"] / (d["lambda_K"] * p["R"]))
-        yields = p["land_e"] * (1.0 - d["theta"]) + p["ky"] * (1.0 - d["delta"] - d["theta"]) / d["lambda_K"]
-        d["beta"] = (land + capital) / (p["alpha"] + yields)
-        d["lambda_a"] = p["lambda_star"] / (d["beta"] * p["R"]) - 1.0
-    d["phi"] = p["land_e"] * (1.0 - d["beta"] * (1.0 + d["lambda_a"] * d["theta"])) / (d["beta"] * d["alpha"])
-    share = (1.0 - d["phi"]) * d["alpha"]
-    d["lambda_z"] = F.pow(p["lambda_star"], 1.0 - share) * F.pow(p["lambda_q"], -share)
-    return d
+    """Structural parameters with the steady state that follows from them under a restriction code."""
+    return p | solve(p, VARIANTS[variant_of(code)], VALUES)
 
 
 def valid(x: Column, code: int, d: dict[str, Column]) -> Column:

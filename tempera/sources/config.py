@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed value: a section header at the start of a line.
@@ -76,3 +76,101 @@ def regime_flags(sections: DataFrame) -> DataFrame:
         F.product("value").cast("long").alias("grand_regimes"),
         (F.max("value") <= 1).alias("constant"),
     )
+
+
+# ---- Fixed values: sections that fix a parameter, by restriction code; all codes need the first ones ---------------------
+ALWAYS_FIXED = ("ky", "ik", "qlLeOY", "qlLhOY", "nbar")
+FIXED_BY_CODE = {
+    1: ("glambdastar", "geta"), 2: ("gbeta",), 3: ("galpha", "geta"), 5: ("galpha", "geta"), 4: ("galpha", "glambdastar", "geta"),
+    103: ("galpha", "geta", "gtheta"), 105: ("galpha", "geta", "gtheta"), 203: ("galpha", "geta", "gtheta"),
+    205: ("galpha", "geta", "gtheta"), 207: ("galpha", "geta", "gtheta", "glambdaq", "glambdastar"),
+}
+OPTIONAL_FIXED = {"Iql": 1.0, "Iqk": 1.0, "gthetaK": 1.0}
+CONSTANT_COUNT = "Number of free parameters not time varying"
+VARYING = {"coefficient": "Time varying coefficient parameters", "variance": "Time varying variance parameters"}
+STATES = r"^Number of states for state_variable\[(\d+)\]$"
+
+
+def fixed_names(code: int) -> list[str]:
+    """Sections that a parameter file has to have under a restriction code: the gross rate unless it is free (the codes
+    ending in 5), the debt ratio below 100, where it is not derived."""
+    rate = () if code % 100 == 5 else ("R",)
+    debt = ("by",) if code < 100 else ()
+    return [*rate, *debt, *ALWAYS_FIXED, *FIXED_BY_CODE.get(code, ())]
+
+
+def fixed_parameters(sections: DataFrame, codes: DataFrame) -> DataFrame:
+    """(file, code, name, value, missing) of every fixed parameter that the code of a file asks for.
+
+    ``codes`` is (file, code). Optional parameters have their default where the file is silent; required ones are then
+    ``missing`` with a null value, so that a caller can name them.
+    """
+    spark = sections.sparkSession
+    known = sorted({*FIXED_BY_CODE, 0})
+    asked = [(c, n, None) for c in known for n in fixed_names(c)] + [(c, n, v) for c in known for n, v in OPTIONAL_FIXED.items()]
+    wanted = codes.join(spark.createDataFrame(asked, "code int, name string, otherwise double"), "code")
+    found = sections.where("ordinal = 0").select("file", F.col("section").alias("name"), "value")
+    filled = wanted.join(found, ["file", "name"], "left").withColumn("value", F.coalesce("value", "otherwise"))
+    return filled.select("file", "code", "name", "value", F.col("value").isNull().alias("missing"))
+
+
+def regime_layout(sections: DataFrame) -> DataFrame:
+    """(file, place, block, param, uses, regimes, offset): where the values of every parameter lie in the free vector.
+
+    The vector holds the constant parameters, then the values of each coefficient, then those of each variance, one after the
+    other. A parameter has as many values as the state variables that its row of flags names have states together; ``uses``
+    lists these variables with their number of states. Flags beyond the last state variable name none.
+    """
+    states = sections.where(F.rlike("section", F.lit(STATES)) & (F.col("ordinal") == 0)).select(
+        "file", F.regexp_extract("section", STATES, 1).cast("int").alias("variable"), F.col("value").cast("int").alias("states")
+    )
+    blocks = F.create_map(*[x for b, (k, v) in enumerate(VARYING.items()) for x in (F.lit(v), F.struct(F.lit(b).alias("b"), F.lit(k).alias("k")))])
+    cells = sections.where(F.col("section").isin(*VARYING.values()))
+    counts = cells.groupBy("file", "section").agg(
+        F.max(F.when(F.col("ordinal") == 0, F.col("value"))).cast("int").alias("params"), (F.count(F.lit(1)) - 1).alias("cells")
+    )
+    flags = cells.where("ordinal > 0").join(counts, ["file", "section"]).where("params > 0")
+    wide = F.floor(F.col("cells") / F.col("params"))
+    at = F.col("ordinal") - 1
+    flags = flags.select(
+        "file", blocks[F.col("section")].alias("block"), F.floor(at / wide).cast("int").alias("param"), (at % wide + 1).cast("int").alias("variable"),
+        (F.col("value") != 0).alias("used"), "params",
+    ).where(F.col("param") < F.col("params"))
+    met = flags.join(states, ["file", "variable"], "left").withColumn("used", F.col("used") & F.col("states").isNotNull())
+    one = F.when(F.col("used"), F.struct("variable", "states"))
+    rows = met.groupBy("file", "block", "param").agg(F.sort_array(F.collect_list(one)).alias("uses"))
+    regimes = F.aggregate("uses", F.lit(1), lambda n, u: n * u["states"])
+    constant = sections.where((F.col("section") == CONSTANT_COUNT) & (F.col("ordinal") == 0)).select("file", F.col("value").cast("int").alias("constant"))
+    order = Window.partitionBy("file").orderBy("block.b", "param")  # one row a parameter of a file
+    before = F.coalesce(F.sum("regimes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("regimes", regimes).join(constant, "file").select(
+        "file", (F.row_number().over(order) - 1).alias("place"), F.col("block.k").alias("block"), "param", "uses", "regimes",
+        (F.col("constant") + before).cast("int").alias("offset"), "constant",
+    )
+
+
+def regime_positions(sections: DataFrame) -> DataFrame:
+    """(file, regime, take): for every grand regime the positions of its parameters in the free vector, constants first.
+
+    Grand regimes number the combinations of all state variables, the first one changing slowest.
+    """
+    states = sections.where(F.rlike("section", F.lit(STATES)) & (F.col("ordinal") == 0)).select(
+        "file", F.struct(F.regexp_extract("section", STATES, 1).cast("int").alias("variable"), F.col("value").cast("int").alias("states")).alias("s")
+    )
+    grand = states.groupBy("file").agg(F.sort_array(F.collect_list("s")).alias("all"))
+    total = F.aggregate("all", F.lit(1), lambda n, s: n * s["states"])
+    grand = grand.withColumn("regime", F.explode(F.sequence(F.lit(0), total - 1)))
+    # The state of a variable: what is left of the number once the faster variables are taken out.
+    faster = lambda v: F.aggregate(F.filter("all", lambda s: s["variable"] > v), F.lit(1), lambda n, s: n * s["states"])
+    layout = regime_layout(sections).join(grand, "file")
+    state = lambda u: F.floor(F.col("regime") / faster(u["variable"])) % u["states"]
+    own = F.aggregate("uses", F.lit(0).cast("long"), lambda n, u: n * u["states"] + state(u))
+    placed = layout.withColumn("position", (F.col("offset") + own).cast("int"))
+    taken = placed.groupBy("file", "regime", "constant").agg(F.sort_array(F.collect_list(F.struct("place", "position"))).alias("p"))
+    constants = F.when(F.col("constant") > 0, F.sequence(F.lit(0), F.col("constant") - 1)).otherwise(F.array().cast("array<int>"))
+    return taken.select("file", "regime", F.concat(constants, F.transform("p", lambda x: x["position"])).alias("take"))
+
+
+def regime_vectors(draws: DataFrame, positions: DataFrame) -> DataFrame:
+    """One parameter vector per draw (file, id, data) and regime of its file."""
+    return draws.join(positions, "file").select("file", "id", "regime", F.transform("take", lambda p: F.get("data", p)).alias("data"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempera.operators import steady_state as ss
 from tempera.operators import prior, target, timeseries
 from tempera.plans import starting
 from tempera.schema import SAMPLE
@@ -163,3 +164,66 @@ def test_base_regime_and_weighted_error(spark):
     got = {r["u"]: r["probability"] for r in timeseries.base_regime_probability(df, ["t"], ["u"], "p").collect()}
     assert got == pytest.approx({"a": 0.5, "b": 0.5})
     assert timeseries.weighted_error(df, ["t"], "p", "e").first()["error"] == pytest.approx(0.3)
+
+
+def test_formulas_are_ordered_and_checked():
+    formulas = {"c": lambda a, b: a + b, "b": lambda a: a * 2, "d": lambda c, b: c - b}
+    assert ss.layers(formulas, ["a"]) == [["b"], ["c"], ["d"]]
+    assert ss.layers(formulas, ["a"], ["b"]) == [["b"]]
+    with pytest.raises(KeyError, match="a is neither"):
+        ss.layers(formulas, [], ["b"])
+    with pytest.raises(ValueError, match="need each other"):
+        ss.layers({"x": lambda y: y, "y": lambda x: x}, [])
+    assert {ss.variant_of(c) for c in (0, 1, 2)} == {"given_beta"} and ss.variant_of(6) == "free_beta"
+    assert {ss.variant_of(c) for c in (3, 4, 5)} == {"given_debt"} and {ss.variant_of(c) for c in (103, 203, 207)} == {"given_collateral"}
+
+
+@pytest.mark.parametrize("variant", list(ss.VARIANTS))
+def test_columns_and_projections_agree(spark, variant):
+    df = spark.createDataFrame([([0.5, 0.4, 0.3, 0.6, 0.5] + [0.5] * 16,)], "data array<double>")
+    given = prior.structural(F.col("data"), 203) | {"beta": F.lit(0.985)}
+    row = ss.with_steady_state(df, given, variant).first()
+    nested = df.select(*[c.alias(n) for n, c in ss.solve(given, ss.VARIANTS[variant]).items()]).first()
+    assert {n: row[f"ss_{n}"] for n in ss.VARIANTS[variant]} == pytest.approx({n: nested[n] for n in ss.VARIANTS[variant]})
+    assert row["ss_L_e"] + row["ss_L_h"] == pytest.approx(1.0) and row["ss_mu_b_e"] * row["ss_lambda_star"] == pytest.approx(row["ss_beta"] * row["ss_lambda_a"])
+
+
+def test_regime_layout(spark):
+    text = """//== Number of states for state_variable[1] ==//
+2
+//== Number of states for state_variable[2] ==//
+3
+//== Number of free parameters not time varying ==//
+2
+//== Time varying coefficient parameters ==//
+3
+0 0 0
+1 0 0
+1 1 1
+//== Time varying variance parameters ==//
+2
+0 1 0
+0 0 1
+"""
+    files = spark.createDataFrame([("f", text), ("none", text.replace("\n3\n0 0 0\n1 0 0\n1 1 1", "\n0"))], "file string, text string")
+    sections = config.parse_sections(files)
+    layout = {(r["file"], r["place"]): (r["block"], r["param"], r["regimes"], r["offset"]) for r in config.regime_layout(sections).collect()}
+    assert [layout["f", i] for i in range(5)] == [
+        ("coefficient", 0, 1, 2), ("coefficient", 1, 2, 3), ("coefficient", 2, 6, 5), ("variance", 0, 3, 11), ("variance", 1, 1, 14),
+    ]
+    assert [layout["none", i][3] for i in range(2)] == [2, 5]
+    taken = {(r["file"], r["regime"]): r["take"] for r in config.regime_positions(sections).collect()}
+    assert len(taken) == 12
+    for a in range(2):
+        for b in range(3):
+            assert taken["f", 3 * a + b] == [0, 1, 2, 3 + a, 5 + 3 * a + b, 11 + b, 14]
+    draws = spark.createDataFrame([("f", 7, [float(i) for i in range(15)])], "file string, id int, data array<double>")
+    rows = config.regime_vectors(draws, config.regime_positions(sections)).collect()
+    assert sorted(r["regime"] for r in rows) == list(range(6)) and [r["data"] for r in rows if r["regime"] == 4] == [[0.0, 1.0, 2.0, 4.0, 9.0, 12.0, 14.0]]
+
+
+def test_missing_fixed_parameters_are_named(spark):
+    sections = config.parse_sections(spark.createDataFrame([("f", "//== ky ==//\n4.5\n//== Iql ==//\n0\n")], "file string, text string"))
+    got = {r["name"]: (r["value"], r["missing"]) for r in config.fixed_parameters(sections, spark.createDataFrame([("f", 205)], "file string, code int")).collect()}
+    assert got["ky"] == (4.5, False) and got["Iql"] == (0.0, False) and got["Iqk"] == (1.0, False) and got["gtheta"] == (None, True)
+    assert "R" not in got and "by" not in got
