@@ -3,9 +3,9 @@
 A text is cut before each run of spaces (no piece goes on from a letter into a space), and every
 chunk is merged by an agenda: best piece first, leftmost on ties. A candidate taken from
 the agenda is skipped if a keyed hash of (seed, document, position, place, piece) falls below the dropout
-share, so every occurrence of a word is segmented by draws of its own. A worker remembers only what no draw
-changes: the ids of a chunk without dropout and the merges on the way. The draws of these are made for a whole document at
-once; a chunk none of whose merges is skipped has these ids, any other is merged anew.
+share, so every occurrence of a word is segmented by draws of its own. What a chunk becomes depends only on which of its
+candidates are skipped, so a worker remembers, by chunk and skipped candidates, the ids and the candidates that come
+behind the last skip. All chunks of a document draw at once; those with a skip go on, again at once, from the first one.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from tempera.llm.support import id_and_text
 
 DROPOUT = 0.1
 SEED = 17
-#: Chunks a worker remembers; further ones are merged anew. Changes no result.
+#: Chunks, and chunks with skips, that a worker remembers; further ones are merged anew. Changes no result.
 REMEMBERED = 450_000
+#: Skips of a chunk that are merged anew before further ones are remembered, so that rare words don't fill the memory.
+ASKED = 3
 
 # The space mark, and multipliers of a 64-bit mixing function.
 SPACE = "▁"
@@ -47,6 +49,13 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _draw(key: int, place: int, piece: int) -> int:
+    h = (key + place * _MIX[0] + piece * _MIX[1]) & _MASK
+    h = ((h ^ (h >> 30)) * _MIX[1]) & _MASK
+    h = ((h ^ (h >> 27)) * _MIX[2]) & _MASK
+    return h ^ (h >> 31)
+
+
 class Pieces:
     """Vocabulary of a model file: ids and ranks by piece, bytes by id."""
 
@@ -70,36 +79,38 @@ class Pieces:
                 self.id[piece], self.rank[piece] = i, -model.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode("utf-8"))
 
-    def segment(self, chunk: str, dropout: float = 0.0, key: int = 0, taken: list[tuple[int, int]] | None = None) -> list[str]:
-        """Pieces of a chunk whose spaces are plain; a space mark in it is a symbol of its own that never merges.
+    def merge(self, chunk: str, skips: tuple[int, ...] = (), limit: int = 0, key: int = 0) -> tuple[list[str], list[tuple[int, int]]]:
+        """Pieces of a chunk whose spaces are plain, and the (place, piece id) of the candidates behind the last skip.
 
-        ``taken`` gets the place and piece id of every merge done.
+        ``skips`` numbers the candidates to skip in the order in which the agenda hands them out; with a ``limit`` those are
+        skipped instead whose draw under the key is below it. A space mark in the chunk is a symbol of its own that never merges.
         """
         symbols = [SPACE if c == " " else MARK if c == SPACE else c for c in chunk]
         n, rank = len(symbols), self.rank
-        agenda = []
+        agenda, behind = [], []
         for i in range(n - 1):
             piece = symbols[i] + symbols[i + 1]
             if piece in rank:
                 agenda.append((rank[piece], i, piece))
         if not agenda:
-            return symbols
+            return symbols, behind
         heapq.heapify(agenda)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        limit = int(dropout * 2.0**64)
+        met, last = -1, skips[-1] if skips else -1
         while agenda:
             _, i, piece = heapq.heappop(agenda)
             own, j = symbols[i], right[i]
             if not own or j >= n or own + symbols[j] != piece:
                 continue
+            met += 1
             if limit:
-                h = (key + i * _MIX[0] + self.id[piece] * _MIX[1]) & _MASK
-                h = ((h ^ (h >> 30)) * _MIX[1]) & _MASK
-                h = ((h ^ (h >> 27)) * _MIX[2]) & _MASK
-                if h ^ (h >> 31) < limit:
+                if _draw(key, i, self.id[piece]) < limit:
+                    continue
+            elif met <= last:
+                if met in skips:
                     continue
-            if taken is not None:
-                taken.append((i, self.id[piece]))
+            else:
+                behind.append((i, self.id[piece]))
             symbols[i], symbols[j] = piece, ""
             k = right[i] = right[j]
             if k < n:
@@ -112,7 +123,11 @@ class Pieces:
                 wider = symbols[j] + piece
                 if wider in rank:
                     heapq.heappush(agenda, (rank[wider], j, wider))
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], behind
+
+    def segment(self, chunk: str, dropout: float = 0.0, key: int = 0) -> list[str]:
+        """Pieces of a chunk with candidates skipped by their draws under a key."""
+        return self.merge(chunk, (), int(dropout * 2.0**64), key)[0]
 
     def ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -129,19 +144,47 @@ def _bytes_of(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+class Merged:
+    """A chunk merged with certain skips: its ids, what the candidates behind the last skip add to a key, and their number."""
+
+    __slots__ = ("chunk", "skips", "ids", "adds", "count", "further", "asked")
+
+    def __init__(self, pieces: Pieces, chunk: str, skips: tuple[int, ...] = ()):
+        found, behind = pieces.merge(chunk, skips)
+        self.chunk, self.skips, self.ids, self.count = chunk, skips, _bytes_of(pieces.ids(found)), len(behind)
+        self.adds = np.asarray([(i * _MIX[0] + p * _MIX[1]) & _MASK for i, p in behind], np.uint64).tobytes()
+        self.further: dict[int, Merged] | None = None
+        self.asked = 0
+
+
 class Plain(dict):
-    """Ids of chunks without dropout, what their merges add to a key, and the number of merges."""
+    """Chunks met before, without skips, and from each on those with one skip more."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes, int]:
-        taken: list[tuple[int, int]] = []
-        ids = _bytes_of(self.pieces.ids(self.pieces.segment(chunk, taken=taken)))
-        adds = np.asarray([(i * _MIX[0] + p * _MIX[1]) & _MASK for i, p in taken], np.uint64).tobytes()
-        out = (ids, adds, len(taken))
-        if len(self) < REMEMBERED and len(chunk) <= 64:
-            self[chunk] = out
+        self.pieces, self.skipping, self.once = pieces, 0, set()
+
+    def again(self, chunk: str) -> Merged | None:
+        """A chunk to be remembered; none for one that is met for the first time, too long, or has no room."""
+        mark = hash(chunk)
+        if mark in self.once and len(self) < REMEMBERED and len(chunk) <= 64:
+            out = self[chunk] = Merged(self.pieces, chunk)
+            self.once.discard(mark)
+            return out
+        if len(self.once) < REMEMBERED:
+            self.once.add(mark)
+        return None
+
+    def skip(self, merged: Merged, place: int) -> Merged:
+        """What becomes of a chunk if the candidate at ``place`` behind its last skip is skipped as well."""
+        out = merged.further.get(place) if merged.further else None
+        if out is None:
+            first = merged.skips[-1] + 1 if merged.skips else 0
+            out = Merged(self.pieces, merged.chunk, (*merged.skips, first + place))
+            merged.asked += 1
+            if merged.asked > ASKED and self.skipping < REMEMBERED and len(merged.chunk) <= 64:
+                self.skipping += 1
+                merged.further = merged.further or {}
+                merged.further[place] = out
         return out
 
 
@@ -174,19 +217,28 @@ def encode_text(text: str, doc_id: int | None, path: str, dropout: float = DROPO
     if not text:
         return b""
     chunks = _CHUNK.findall(" " + text)
-    plain = list(map(_plain(path).__getitem__, chunks))
-    out = [x[0] for x in plain]
-    limit = int(dropout * 2.0**64)
-    if limit:
-        keys = chunk_keys(len(chunks), doc_id, seed)
-        owner = np.repeat(np.arange(len(chunks)), [x[2] for x in plain])
+    known, limit = _plain(path), int(dropout * 2.0**64)
+    found = [known.get(c) or known.again(c) for c in chunks]
+    keys = chunk_keys(len(chunks), doc_id, seed)
+    new = {
+        i: _bytes_of(known.pieces.ids(known.pieces.merge(chunks[i], (), limit, int(keys[i]))[0])) for i, m in enumerate(found) if m is None
+    }
+    going_on = np.array([i for i, m in enumerate(found) if m is not None and limit], dtype=np.int64)
+    while len(going_on):
+        merged = [found[i] for i in going_on.tolist()]
+        counts = np.array([m.count for m in merged])
+        owner = np.repeat(np.arange(len(merged)), counts)
         with np.errstate(over="ignore"):
-            draws = _mixed(keys[owner] + np.frombuffer(b"".join([x[1] for x in plain]), np.uint64))
-        skipped = owner if limit > _MASK else owner[draws < np.uint64(limit)]
-        pieces = _pieces(path)
-        for i in np.unique(skipped).tolist():
-            out[i] = _bytes_of(pieces.ids(pieces.segment(chunks[i], dropout, int(keys[i]))))
-    return b"".join(out)
+            draws = _mixed(keys[going_on[owner]] + np.frombuffer(b"".join([m.adds for m in merged]), np.uint64))
+        at = np.arange(len(owner)) if limit > _MASK else np.flatnonzero(draws < np.uint64(limit))
+        # Only the first skip of a chunk counts: the candidates behind it are others once it is skipped.
+        first = np.flatnonzero(np.r_[True, owner[at][1:] != owner[at][:-1]]) if len(at) else at
+        mine = owner[at[first]]
+        places = at[first] - (np.cumsum(counts) - counts)[mine]
+        going_on = going_on[mine]
+        for i, m, place in zip(going_on.tolist(), mine.tolist(), places.tolist()):
+            found[i] = known.skip(merged[m], place)
+    return b"".join([new[i] if m is None else m.ids for i, m in enumerate(found)])
 
 
 def decode_ids(ids: bytes, path: str) -> str:

@@ -78,3 +78,40 @@ def test_merges_without_skips_are_remembered_not_drawn():
     for dropout in (0.02, 0.5, 1.0):
         want = [i for c, k in zip(chunks, keys) for i in pieces.ids(pieces.segment(c, dropout, k))]
         assert _ids(text, doc_id=3, dropout=dropout, seed=5) == want
+
+
+def naive(pieces, chunk, dropout, key):
+    """Look at all neighbours anew before every merge; a candidate is the piece that two of them would be."""
+    symbols = [(md.SPACE if c == " " else md.MARK if c == md.SPACE else c, i) for i, c in enumerate(chunk)]
+    gone = set()
+    while True:
+        pairs = [(pieces.rank[a + b], i, a + b, k) for k, ((a, i), (b, _)) in enumerate(zip(symbols, symbols[1:])) if a + b in pieces.rank]
+        pairs = [p for p in pairs if p[1:3] not in gone]
+        if not pairs:
+            return [s for s, _ in symbols]
+        _, i, piece, k = min(pairs)
+        h = (key + i * md._MIX[0] + pieces.id[piece] * md._MIX[1]) % 2**64
+        h = (h ^ (h >> 30)) * md._MIX[1] % 2**64
+        h = (h ^ (h >> 27)) * md._MIX[2] % 2**64
+        if h ^ (h >> 31) < int(dropout * 2.0**64):
+            gone.add((i, piece))
+        else:
+            symbols[k : k + 2] = [(piece, i)]
+
+
+def test_ids_match_a_naive_agenda_whatever_is_remembered(monkeypatch):
+    path = md.default_model()
+    pieces = md._pieces(path)
+    words = "the internationalisation of unbelievable été 12345 aaaaaaa ▁x unbelievable the the of".split()
+    rng = random.Random(1)
+    for remembered in (0, 3, 450_000):
+        monkeypatch.setattr(md, "REMEMBERED", remembered)
+        md._plain.cache_clear()
+        for doc in range(40):
+            text = " ".join(rng.choices(words, k=30))
+            for dropout in (0.0, 0.1, 0.6, 1.0):
+                chunks = md._CHUNK.findall(" " + text)
+                keys = md.chunk_keys(len(chunks), doc, 5).tolist()
+                want = [i for c, k in zip(chunks, keys) for i in pieces.ids(naive(pieces, c, dropout, k))]
+                assert np.frombuffer(md.encode_text(text, doc, path, dropout, 5), "<u4").tolist() == want
+    md._plain.cache_clear()
