@@ -10,8 +10,10 @@ import numpy as np
 
 # HTML's element classes and the tokens that sites commonly use in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg textarea title object canvas math".split())
-DROPPED = RAW | frozenset("head select option datalist button input".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+#: Elements that may be closed by their own "/>".
+SELF_CLOSED = frozenset("svg math object canvas template".split())
+DROPPED = RAW | frozenset("head select option datalist button input svg object canvas template".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
@@ -49,6 +51,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 _NAMED = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -76,7 +79,6 @@ class Page:
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements with the node their text belongs to
         block: list[tuple[int, str]] = []
         in_link = at = 0
-        low = None
 
         def text(upto: int) -> None:
             if upto > at:
@@ -126,9 +128,10 @@ class Page:
                     block.append((stack[-1][1], " "))
                 continue
             if name in RAW:
-                low = source.lower() if low is None else low
-                end = low.find(f"</{name}", at)
-                at = len(source) if end < 0 else end
+                end = _RAW_END[name].search(source, at)
+                at = end.start() if end else len(source)
+                continue
+            if name in SELF_CLOSED and attributes.rstrip().endswith("/"):
                 continue
             if name in ("html", "body"):
                 if len(stack) > 1 and stack[1][0] == "head":

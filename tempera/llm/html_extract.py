@@ -24,8 +24,9 @@ from tempera.llm.dom import FEATURES, MARK, Page
 from tempera.llm.support import about
 from tempera.plans.staging import materialize
 
-#: Pages whose words are borrowed for training, and layouts made from them.
+#: Pages whose words are borrowed for training, words that each gives, and layouts made from them.
 SAMPLE_PAGES = 64
+PAGE_WORDS = 400
 LAYOUTS = 1200
 TREES = 24
 DEPTH = 5
@@ -162,11 +163,13 @@ class _Layouts:
 
 
 def training_nodes(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, layouts: int = LAYOUTS, seed: int = 5) -> DataFrame:
-    """(label, features) of the nodes of ``layouts`` made pages; the words come from at most ``sample_pages`` pages."""
+    """(label, features) of the nodes of ``layouts`` made pages; their words are at most ``PAGE_WORDS`` of each of at most
+    ``sample_pages`` pages, drawn by hash from the whole page."""
     spark = pages.sparkSession
-    words = F.slice(F.split(F.regexp_replace(F.substring("html", 1, 20_000), "<[^>]*>", " "), r"\s+"), 1, 400)
+    words = F.split(F.regexp_replace("html", "<[^>]*>", " "), r"\s+")
+    mixed = F.sort_array(F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("w"))))
     some = about(pages.filter("html is not null"), sample_pages, pages.count(), "page_id", "url")
-    some = some.select(F.xxhash64("page_id", "url").alias("h"), "page_id", words.alias("w"))
+    some = some.select(F.xxhash64("page_id", "url").alias("h"), "page_id", F.transform(F.slice(mixed, 1, PAGE_WORDS), lambda x: x["w"]).alias("w"))
     chosen = some.orderBy("h", "page_id").limit(sample_pages)
     pool = [w for r in chosen.collect() for w in r["w"] if w]  # bounded by the parameter
 

@@ -135,3 +135,44 @@ def test_parts_of_a_page(spark, model):
     whole = f"Market on the hill\n{body}\n{body}"
     assert texts == sorted([(1, ""), (2, ""), (3, whole), (3, whole), (None, "")], key=repr)
     assert he.main_texts(spark.createDataFrame([], PAGES), model).count() == 0
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><p>Before.</p><svg width=1 /><p>After the picture.</p></article>", "Before.\nAfter the picture."),
+        ("<p>Eq <math/> one.</p><p>Rest of it.</p>", "Eq one.\nRest of it."),
+        ("<p>Eq <math><mi>x</mi></math> holds.</p>", "Eq x holds."),
+        ("<p>one<canvas id=c></p><p>two</p>", "one\ntwo"),
+        ("<p>İ <script>var a=1</script>tail text</p>", "İ tail text"),
+        ("<p>a<SCRIPT>if (x) '</scripts>'</SCRIPT >b</p>", "ab"),
+        ("<p>a <svg><path d='M0'/><text>drawn</text></svg>b</p>", "a b"),
+        ("<div><template><p>hidden</p></template><p>shown</p></div>", "shown"),
+        ("<p>x</p><object data=y><p>instead</p></object><p>z</p>", "x\nz"),
+        ("<p>x<textarea>typed <b></textarea>y</p>", "xy"),
+    ],
+)
+def test_no_text_is_lost_and_no_markup_gets_through(source, text):
+    assert everything(source) == text
+
+
+#: Layouts from nobody's generator here.
+FOREIGN = [
+    (
+        "<html><body><div id=hd><ul><li><a href=/>Start</a><li><a href=/n>News</a></ul></div><table><tr><td><p>" + "The council met on Monday, and the vote was close. " * 8
+        + "</p><p>" + "Nobody had expected it, least of all the mayor, who left early. " * 6 + "</p></td></tr></table><div class=footer><a href=/i>Imprint</a></div></body></html>",
+        ["The council met", "Nobody had expected"], ["Start", "Imprint"],
+    ),
+    (
+        "<body><header><h2>Site</h2><nav><a href=a>A</a> | <a href=b>B</a></nav></header><main><h1>On rivers</h1><p>" + "Rivers bend where the ground is soft, as anyone can see. " * 9
+        + "</p><svg viewBox='0 0 1 1'/><p>" + "They straighten in rock, and there they run fast. " * 9 + "</p></main><aside class=related><a href=c>More like this</a></aside></body>",
+        ["On rivers", "Rivers bend", "They straighten"], ["| B", "More like this"],
+    ),
+]
+
+
+@pytest.mark.parametrize("source, kept, gone", FOREIGN)
+def test_foreign_layouts(spark, model, source, kept, gone):
+    df = spark.createDataFrame([(1, "u", source, "", "")], PAGES)
+    text = he.main_texts(df, model).first()["text"]
+    assert all(k in text for k in kept) and not any(g in text for g in gone)
