@@ -89,3 +89,13 @@ def test_near_copies_between_80_and_85_go(spark):
     docs = [(i, text(i, 90)) for i in (10, 11)] + [(i, text(i, 88)) for i in (20, 21)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == [10, 20, 21]
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (1, " ".join(reversed(words))), (1, " ".join(words)), (2, " ".join(words)), (3, "quite another text than these"), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert left == sorted([rows[0], rows[1], rows[4], rows[5]], key=str)
