@@ -21,11 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates.
 
-    Of rows with one doc_id one stays. Rows without doc_id stay, one for each text.
+    Rows that repeat a doc_id and its text (null is empty) stay once; rows of one doc_id with different texts all stay if that id does, as
+    nothing tells which of them is meant. Rows without doc_id stay, one for each text.
     """
     ship_package(spark)
     kept = bayes_dedup.near_duplicates(docs, NEAR_PERCENT).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").withColumn("_kept_text", F.coalesce("text", F.lit("")))
+    known = known.dropDuplicates(["doc_id", "_kept_text"]).drop("_kept_text")
     return known.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
 
