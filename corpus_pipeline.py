@@ -26,7 +26,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     kept = bayes_dedup.near_duplicates(docs, NEAR_PERCENT).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").withColumn("_kept_text", F.coalesce("text", F.lit("")))
+    known = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").withColumn(
+        "_kept_text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    )
     known = known.dropDuplicates(["doc_id", "_kept_text"]).drop("_kept_text")
     return known.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
