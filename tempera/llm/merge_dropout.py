@@ -28,7 +28,7 @@ from tempera.llm.support import id_and_text
 DROPOUT = 0.1
 SEED = 17
 #: Chunks, and chunks with skips, that a worker remembers; further ones are merged anew. Changes no result.
-REMEMBERED = 450_000
+REMEMBERED = 700_000
 #: Skips of a chunk that are merged anew before further ones are remembered, so that rare words don't fill the memory.
 ASKED = 3
 
@@ -170,8 +170,9 @@ class Plain(dict):
             out = self[chunk] = Merged(self.pieces, chunk)
             self.once.discard(mark)
             return out
-        if len(self.once) < REMEMBERED:
-            self.once.add(mark)
+        if len(self.once) >= REMEMBERED:
+            self.once.clear()  # words that are as rare as that make room for others to be met again
+        self.once.add(mark)
         return None
 
     def skip(self, merged: Merged, place: int) -> Merged:
