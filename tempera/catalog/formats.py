@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tempera.catalog.binning import BINS, RANKED
 from tempera.catalog.registry import query, rounded, table
-from tempera.operators.binning import assign_bins, equal_count_bounds
+from tempera.operators.binning import assign_bins, equal_count_bins, equal_count_bounds
 from tempera.operators.store import SampleStore
 from tempera.plans.adapters import order_samples, vector_samples
 from tempera.plans.staging import materialize, staged_path
@@ -50,16 +50,34 @@ def text_record_roundtrip(spark, sf_dir):
     return _summary(read_records(spark, again))
 
 
-@query("posterior_draw_text", _SAMPLES.replace("vec_id AS id, ", ""))
+@query("posterior_draw_text", _SAMPLES.replace("vec_id AS id", "row_number() OVER (ORDER BY vec_id) - 1 AS id"))
 def posterior_draw_text(spark, sf_dir):
-    """Draws as 'log posterior, log likelihood, x...' lines, imported as samples."""
+    """Draws as 'log posterior, log likelihood, x...' lines, imported as samples numbered by line."""
     path = staged_path(spark, "posterior")
-    v = vector_samples(spark, sf_dir)
+    v = vector_samples(spark, sf_dir).orderBy("id")
     v.select(
         F.concat_ws(" ", F.col("weight").cast("string"), (F.col("weight") - 1.0).cast("string"),
                     F.transform("data", lambda x: x.cast("string"))).alias("value")
     ).write.text(path)
-    return _summary(text.read_posterior_draws(spark, path)).drop("id")
+    return _summary(text.read_posterior_draws(spark, path))
+
+
+@query(
+    "run_dump_text",
+    f"""WITH {RANKED} SELECT CAST(level AS BIGINT) AS level, CAST(bin AS BIGINT) AS bin, id, round(energy, 6) AS x, round(weight, 6) AS weight FROM binned""",
+)
+def run_dump_text(spark, sf_dir):
+    """A run dumped as one record file per level, bin and task, turned to text by level and bin, and read back."""
+    run, lines = staged_path(spark, "run"), staged_path(spark, "run-text")
+    binned = equal_count_bins(order_samples(spark, sf_dir), BINS)
+    write_records(
+        binned.select(F.array(-F.col("weight")).alias("data"), F.col("id").cast("int").alias("id"), "weight", F.lit(True).alias("calculated"), "level", "bin"), run
+    )
+    text.run_to_text(spark, run, lines)
+    back = text.from_lines(spark.read.text(lines), "level", "bin")
+    return back.select(
+        F.col("level").cast("long"), F.col("bin").cast("long"), F.col("id").cast("long"), rounded(F.col("data")[0]).alias("x"), rounded("weight").alias("weight")
+    )
 
 
 @query(

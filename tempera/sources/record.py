@@ -8,6 +8,9 @@ from the file's first record, and planning only lists names and sizes.
 ``read_records`` and ``write_records`` give a path the scheme that the session's default file system
 stands for. The data source itself takes paths with a scheme; one without is local.
 
+A file named ``<level>.<bin>.<dump>.<node>.record`` belongs to a level and bin: with the option ``placed`` these are
+columns of its samples (-1 for other names), and samples written with such columns go to files so named.
+
     spark.dataSource.register(SampleRecordSource)
     spark.read.format("sample_record").load("file:///tmp/run")
     df.write.format("sample_record").mode("append").save("s3a://bucket/run")
@@ -23,6 +26,7 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -31,12 +35,16 @@ from pyspark.sql.datasource import (
     InputPartition,
     WriterCommitMessage,
 )
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tempera.schema import SAMPLE
 
 SLICE_BYTES = 64 * 1024 * 1024
 BATCH_RECORDS = 10_000
 SUFFIX = ".record"
+# Fixed value: level, bin, dump and node of a run's record file.
+RUN_FILE = re.compile(r"(\d+)\.(\d+)\.\d+\.\d+\.record$")
+PLACED = StructType([*SAMPLE, StructField("level", IntegerType(), False), StructField("bin", IntegerType(), False)])
 
 
 def record_type(dim: int) -> np.dtype:
@@ -58,9 +66,9 @@ def qualified(spark: SparkSession, path: str) -> str:
     return system.makeQualified(folder).toString()
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
     spark.dataSource.register(SampleRecordSource)
-    return spark.read.format("sample_record").load(qualified(spark, path))
+    return spark.read.format("sample_record").option("placed", str(placed).lower()).load(qualified(spark, path))
 
 
 def write_records(samples: DataFrame, path: str, mode: str = "append") -> None:
@@ -104,9 +112,13 @@ def to_batch(records: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _is_placed(options: dict) -> bool:
+    return str(options.get("placed", "")).lower() == "true"
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.placed = options["path"], _is_placed(options)
 
     def partitions(self) -> list[InputPartition]:
         return [
@@ -132,7 +144,12 @@ class _Reader(DataSourceReader):
                 records = np.frombuffer(f.read(take * kind.itemsize), kind)
                 if (records["dim"] != dim).any():
                     raise ValueError(f"{partition.path}: records of different dimension")
-                yield to_batch(records)
+                batch = to_batch(records)
+                if self.placed:
+                    named = RUN_FILE.search(partition.path.rsplit("/", 1)[-1])
+                    for i, column in enumerate(("level", "bin"), 1):
+                        batch = batch.append_column(column, pa.array(np.full(take, int(named[i]) if named else -1, np.int32)))
+                yield batch
                 left -= take
 
 
@@ -145,30 +162,40 @@ class _Writer(DataSourceArrowWriter):
     """Tasks write aside; the commit moves their files into place."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.path, self.overwrite, self.dump = options["path"].rstrip("/"), overwrite, int(options.get("dump", 0))
         self.aside = f"{self.path}/_pending-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, aside = _open(self.aside)
-        system.create_dir(aside, recursive=True)
-        name = f"part-{uuid.uuid4().hex}{SUFFIX}"
-        out, dim = None, None
+        attempt = uuid.uuid4().hex
+        system.create_dir(f"{aside}/{attempt}", recursive=True)
+        open_files: dict[str, tuple] = {}
         for batch in iterator:
-            if batch.num_rows == 0:
-                continue
-            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            width = len(column["data"][0])
-            if dim is None:
-                dim, out = width, system.open_output_stream(f"{aside}/{name}")
-            records = np.zeros(batch.num_rows, record_type(dim))
-            records["dim"] = dim
-            records["data"] = column["data"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            for field in ("id", "weight", "calculated"):
-                records[field] = column[field].to_numpy(zero_copy_only=False)
-            out.write(records.tobytes())
-        if out is not None:
+            for name, rows in self._files(batch, attempt):
+                column = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+                if name not in open_files:
+                    open_files[name] = (len(column["data"][0]), system.open_output_stream(f"{aside}/{attempt}/{name}"))
+                dim, out = open_files[name]
+                records = np.zeros(rows.num_rows, record_type(dim))
+                records["dim"] = dim
+                records["data"] = column["data"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                for field in ("id", "weight", "calculated"):
+                    records[field] = column[field].to_numpy(zero_copy_only=False)
+                out.write(records.tobytes())
+        for _, out in open_files.values():
             out.close()
-        return _Written([name] if dim is not None else [])
+        return _Written([f"{attempt}/{name}" for name in open_files])
+
+    def _files(self, batch: pa.RecordBatch, attempt: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+        """A batch by the file its rows belong to."""
+        if batch.num_rows and "level" not in batch.schema.names:
+            yield f"part-{attempt}{SUFFIX}", batch
+        elif batch.num_rows:
+            level, bin_ = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("level", "bin"))
+            for place in sorted(set(zip(level.tolist(), bin_.tolist()))):
+                mine = (level == place[0]) & (bin_ == place[1])
+                name = f"{place[0]}.{place[1]}.{self.dump}.{TaskContext.get().partitionId()}{SUFFIX}"
+                yield name, batch.filter(pa.array(mine))
 
     def commit(self, messages: list) -> None:
         system, root = _open(self.path)
@@ -178,7 +205,7 @@ class _Writer(DataSourceArrowWriter):
                 system.delete_file(old.path)
         for message in messages:
             for name in message.names if message else []:
-                system.move(f"{aside}/{name}", f"{root}/{name}")
+                system.move(f"{aside}/{name}", f"{root}/{name.rsplit('/', 1)[-1]}")
         self._clean(system, aside)
 
     def abort(self, messages: list) -> None:
@@ -197,7 +224,7 @@ class SampleRecordSource(DataSource):
         return "sample_record"
 
     def schema(self):
-        return SAMPLE
+        return PLACED if _is_placed(self.options) else SAMPLE
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

@@ -69,6 +69,38 @@ def test_posterior_draw_lines(tmp_path, spark):
     assert short["data"] == [0.1, 0.2]
 
 
+def test_draw_ids_are_line_numbers(tmp_path, spark):
+    folder = tmp_path / "draws"
+    folder.mkdir()
+    (folder / "b.txt").write_text("".join(f"-{i} 0 {i}\n" for i in range(40, 70)))
+    (folder / "a.txt").write_text("".join(f"-{i} 0 {i}\n" + ("\n" if i % 3 == 0 else "") for i in range(40)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("64", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {r["id"]: r["data"] for r in text.read_posterior_draws(spark, str(folder)).collect()}
+            few = {r["id"]: r["data"] for r in text.read_posterior_draws(spark, str(folder), draws=45).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        assert got == {i: [float(i)] for i in range(70)} and few == {i: [float(i)] for i in range(45)}
+    with pytest.raises(ValueError, match="fewer than 71"):
+        text.read_posterior_draws(spark, str(folder), draws=71)
+
+
+def test_run_files_carry_level_and_bin(tmp_path, spark, samples):
+    placed = samples.select("*", (F.col("id") % 3).cast("int").alias("level"), (F.col("id") % 2).cast("int").alias("bin")).repartition(3)
+    record.write_records(placed, str(tmp_path / "run"))
+    names = sorted(p.name for p in (tmp_path / "run").iterdir())
+    assert len({n.split(".")[0] + "." + n.split(".")[1] for n in names}) == 6 and all(record.RUN_FILE.fullmatch(n) for n in names)
+    record.write_records(samples.limit(4), str(tmp_path / "run"))
+    back = record.read_records(spark, str(tmp_path / "run"), placed=True)
+    assert {(r["id"], r["level"], r["bin"]) for r in back.where("level >= 0").collect()} == {(i, i % 3, i % 2) for i in range(250)}
+    assert back.where("level = -1 AND bin = -1").count() == 4 and record.read_records(spark, str(tmp_path / "run")).count() == 254
+    text.run_to_text(spark, str(tmp_path / "run"), str(tmp_path / "lines"))
+    lines = text.from_lines(spark.read.text(str(tmp_path / "lines")), "level", "bin")
+    assert sorted((r["level"], r["bin"], r["id"]) for r in lines.where("level >= 0").collect()) == sorted((i % 3, i % 2, i) for i in range(250))
+
+
 SECTIONS = """//*** heading ***//
 //== switch ==//   // comment 12
 203
