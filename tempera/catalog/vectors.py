@@ -11,8 +11,9 @@ from tempera.catalog.binning import SAMPLES, uniforms
 from tempera.catalog.registry import query, rounded, table
 from tempera.functions import logmath
 from tempera.functions.logmath import HALF_LOG_2PI
-from tempera.operators import distribution, moments, selection, starters
+from tempera.operators import distribution, group_density, moments, selection, starters
 from tempera.plans.adapters import order_samples, vector_samples
+from tempera.plans.staging import materialize
 from tempera.schema import NEG_INF
 
 DIM = 64
@@ -77,6 +78,42 @@ def sample_covariance_and_mode(spark, sf_dir):
     )
 
 
+RIDGE, RADIUS = 0.05, 12.0
+
+
+def _group_density_sql() -> str:
+    """Covariances swept column by column: the inverse with its sign turned, and the pivots, whose logs sum to the log determinant."""
+    cell = """CASE WHEN i = k AND j = k THEN -1 / m[k][k] WHEN i = k THEN m[k][j] / m[k][k] WHEN j = k THEN m[i][k] / m[k][k]
+              ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END"""
+    constant = f"({-logmath.HALF_LOG_2PI * DIM!r}::DOUBLE - 0.5 * log_det)"
+    return f"""WITH RECURSIVE {_COV},
+    mu AS (SELECT label, list(mean ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS mean FROM e GROUP BY label, i) GROUP BY label),
+    r AS (SELECT label, i, list(cov + CASE WHEN i = j THEN {RIDGE} ELSE 0 END ORDER BY j) AS row FROM cov GROUP BY label, i),
+    sweep AS (
+      SELECT label, 1 AS k, list(row ORDER BY i) AS m, 0::DOUBLE AS log_det FROM r GROUP BY label
+      UNION ALL
+      SELECT label, k + 1, list_transform(range(1, {DIM + 1}), lambda i: list_transform(range(1, {DIM + 1}), lambda j: {cell})), log_det + ln(m[k][k])
+      FROM sweep WHERE k <= {DIM}),
+    a AS (SELECT label, m, log_det, mean FROM sweep JOIN mu USING (label) WHERE k = {DIM + 1}),
+    z AS (SELECT id, v.label, log_det, list_transform(range(1, {DIM + 1}), lambda i: data[i] - mean[i]) AS z, m FROM v JOIN a ON a.label = v.label),
+    q AS (SELECT id, label, log_det, -list_sum(list_transform(range(1, {DIM + 1}), lambda i: z[i] * list_inner_product(m[i], z))) AS q FROM z)
+    SELECT id, CAST(label AS BIGINT) AS label, round(q, 6) AS distance, round({constant} - 0.5 * q, 6) AS density,
+           CASE WHEN q > {RADIUS} THEN {NEG_INF!r}::DOUBLE ELSE round({constant} - {math.log(logmath.chi2_cdf(RADIUS, DIM))!r}::DOUBLE - 0.5 * q, 6) END AS truncated
+    FROM q"""
+
+
+@query("group_log_density", _group_density_sql())
+def group_log_density(spark, sf_dir):
+    """Density of every vector under the full covariance of its label, free and truncated."""
+    v = vector_samples(spark, sf_dir)
+    factors = materialize(
+        group_density.group_factors(moments.covariance(v, "label", DIM), moments.mean_vector(v, "label"), RIDGE), "group-factors"
+    )
+    out = group_density.group_log_density(v.select("id", F.col("label").cast("long").alias("grp"), "data"), factors, RADIUS)
+    truncated = F.when(F.col("truncated") == NEG_INF, F.lit(NEG_INF)).otherwise(rounded("truncated"))
+    return out.select("id", F.col("grp").alias("label"), rounded("distance").alias("distance"), rounded("density").alias("density"), truncated.alias("truncated"))
+
+
 def _dist(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, {DIM + 1}), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
 

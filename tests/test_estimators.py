@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempera.functions import counter_rng, logmath
-from tempera.operators import distribution, evidence, moments, starters
+from tempera.operators import distribution, evidence, group_density, moments, starters
+from tempera.schema import NEG_INF
 
 
 def test_column_and_numpy_generators_agree(spark):
@@ -206,3 +207,31 @@ def test_column_form_with_large_ids_and_counters(spark):
     df = spark.createDataFrame([(i,) for i in ids], "id long")
     got = [r.u for r in counter_rng.with_uniforms(df, F.col("id"), {"u": F.lit(2**41 + 3)}, 9).collect()]
     assert got == counter_rng.uniform(np.array(ids), 2**41 + 3, 9).tolist()
+
+
+@pytest.mark.parametrize("size", [20_000, 7])
+def test_group_densities_match_dense_algebra(spark, monkeypatch, size):
+    monkeypatch.setattr(group_density, "SLICE", size)
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for g, d in ((1, 3), (2, 5), (3, 1)):
+        x = rng.normal(size=(40, d)) @ rng.normal(size=(d, d)) + g
+        rows += [(100 * g + i, g, [float(v) for v in r]) for i, r in enumerate(x)]
+        cov, mean = np.cov(x.T, bias=True).reshape(d, d) + 0.1 * np.eye(d), x.mean(axis=0)
+        for i, r in enumerate(x):
+            q = float((r - mean) @ np.linalg.solve(cov, r - mean))
+            want[100 * g + i] = (q, -0.5 * (q + d * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1]))
+    df = spark.createDataFrame(rows, "id long, grp long, data array<double>")
+    parts = [(moments.covariance(df.where(f"grp = {g}"), "grp", d), moments.mean_vector(df.where(f"grp = {g}"), "grp")) for g, d in ((1, 3), (2, 5), (3, 1))]
+    cov, mean = (a.unionByName(b).unionByName(c) for a, b, c in zip(*parts))
+    odd = spark.createDataFrame([(900, 1, [1.0]), (901, 2, None), (902, 9, [1.0])], df.schema)
+    factors = group_density.group_factors(cov, mean, 0.1)
+    got = {r["id"]: r for r in group_density.group_log_density(df.unionByName(odd), factors, 2.0).collect()}
+    for i, (q, density) in want.items():
+        assert (got[i]["distance"], got[i]["density"]) == pytest.approx((q, density))
+        assert (got[i]["truncated"] == NEG_INF) == (q > 2.0) and got[i]["truncated"] != got[i]["density"]
+    assert got[900]["density"] is None and got[901]["density"] is None and 902 not in got
+    flat = spark.createDataFrame([(i, 1, [float(i), float(i)]) for i in range(5)], df.schema)
+    none = group_density.group_factors(moments.covariance(flat, "grp", 2).withColumn("cov", -F.col("cov")), moments.mean_vector(flat, "grp"))
+    assert none.first()["factor"] is None
+    assert all(r["density"] is None for r in group_density.group_log_density(flat, none).collect())
