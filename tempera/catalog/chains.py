@@ -38,7 +38,7 @@ def user_posteriors(spark, sf_dir):
         FROM events GROUP BY user_id HAVING stddev_pop(value) > 0),
     k AS (SELECT chain, t FROM p, range({STEPS}) r(t)),
     {uniforms('ua', 'k', 'chain', '2 * t', SEED, 'a')}, {uniforms('ub', 'ua', 'chain', '2 * t + 1', SEED, 'b')},
-    {uniforms('uc', 'ub', 'chain', 't', SEED + 1, 'c')},
+    {uniforms('uc', 'ub', 'chain', f't + {chains.ACCEPT}', SEED, 'c')},
     z AS (SELECT chain, t, sqrt(-2.0 * ln(a)) * cos({2 * math.pi!r}::DOUBLE * b) AS z, ln(c) AS lu FROM uc),
     w(chain, t, x) AS (SELECT chain, -1::BIGINT, mu + 2 * s FROM p
       UNION ALL
@@ -75,7 +75,7 @@ BLOCK_STEPS = 60
           FROM q GROUP BY chain HAVING min(s) > 0 AND count(*) = 2),
     k AS (SELECT chain, t FROM p, range({2 * BLOCK_STEPS}) r(t)),
     {uniforms('ua', 'k', 'chain', '2 * t', 43, 'a')}, {uniforms('ub', 'ua', 'chain', '2 * t + 1', 43, 'b')},
-    {uniforms('uc', 'ub', 'chain', 't', 44, 'c')},
+    {uniforms('uc', 'ub', 'chain', f't + {chains.ACCEPT}', 43, 'c')},
     z AS (SELECT chain, t, sqrt(-2.0 * ln(a)) * cos({2 * math.pi!r}::DOUBLE * b) * CASE WHEN t % 2 = 0 THEN 12.0 ELSE 9.0 END AS move, ln(c) AS lu FROM uc),
     w(chain, t, x0, x1, moved) AS (SELECT chain, -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, FALSE FROM p
       UNION ALL
@@ -150,7 +150,7 @@ def _tuning_sql() -> str:
     target, p0 = TUNE.target, TUNE.period
     draws = _nested_uniform("w", "chain", "2 * n", TUNE.seed, "a")
     draws = _nested_uniform(draws, "chain", "2 * n + 1", TUNE.seed, "b")
-    draws = _nested_uniform(draws, "chain", "n", TUNE.seed + 1, "c")
+    draws = _nested_uniform(draws, "chain", f"n + {chains.ACCEPT}", TUNE.seed, "c")
     return f"""WITH RECURSIVE p AS (SELECT user_id AS chain, avg(value) AS mu, stddev_pop(value) / sqrt(count(value)) AS s
         FROM events GROUP BY user_id HAVING stddev_pop(value) > 0),
     w(chain, n, mu, s, x, scale, best, ls, lr, hs, hr, per, due, since, acc, rate, live) AS (
@@ -253,8 +253,8 @@ def centred_density(x: np.ndarray, p: dict) -> np.ndarray:
 def _hybrid_sql() -> str:
     step = "w"
     for counter, name in (("3 * n", "g"), ("3 * n + 1", "k"), ("3 * n + 2", "l")):
-        step = _nested_uniform(step, "chain", counter, 83 + 2, name)
-    for counter, seed, name in (("2 * n", 83, "a"), ("2 * n + 1", 83, "b"), ("n", 84, "c")):
+        step = _nested_uniform(step, "chain", f"{counter} + {chains.JUMP}", 83, name)
+    for counter, seed, name in (("2 * n", 83, "a"), ("2 * n + 1", 83, "b"), (f"n + {chains.ACCEPT}", 83, "c")):
         step = _nested_uniform(step, "chain", counter, seed, name)
     energy = f"0.5 * ((x - {CENTRE}) / {WIDTH}) * ((x - {CENTRE}) / {WIDTH})"
     return f"""WITH RECURSIVE v AS (SELECT event_id AS id, value AS x FROM events),

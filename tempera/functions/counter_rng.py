@@ -1,6 +1,7 @@
 """Counter-based pseudo-random numbers: the Threefry cipher on two 32-bit lanes.
 
-The key is the 64-bit id of a row or chain; the block holds a 48-bit counter and a 16-bit seed. The
+The key is the 64-bit id of a row or chain; the block holds a 48-bit counter, the top 4 bits of which are the purpose, and
+a 16-bit seed. The
 cipher maps blocks of a key one to one, so no two (seed, counter) of a key give the same block, and
 keys are not offsets into a common cycle. A draw never depends on partitioning: a task that
 is run again after an executor loss repeats exactly the same numbers. The Column and the NumPy form agree bit for bit.
@@ -22,6 +23,7 @@ ROUNDS = 13
 
 MAX_SEED = 1 << 16
 MAX_COUNTER = 1 << 48
+PURPOSE_BITS = 44
 
 
 def _checked(seed: int) -> int:
@@ -30,6 +32,16 @@ def _checked(seed: int) -> int:
     return seed
 
 
+def purpose(number: int) -> int:
+    """What to add to the counters (below 2**44) of a purpose of its own under one seed, such as acceptance beside proposals.
+
+    The purpose is part of the block, so neither purposes of one seed nor neighbouring seeds share a number.
+    """
+    if not 0 <= number < MAX_COUNTER >> PURPOSE_BITS:
+        raise ValueError(f"a purpose lies between 0 and {(MAX_COUNTER >> PURPOSE_BITS) - 1}")
+    return number << PURPOSE_BITS
+
+
 def _low(c: Column) -> Column:
     return c.bitwiseAND(F.lit(MASK).cast("long"))
 

@@ -25,6 +25,8 @@ from tempera.schema import CHAIN_DRAW, NEG_INF
 LogDensity = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
 
 _EMIT_ROWS = 50_000
+#: Counters of acceptance and of jumps beside those of proposals.
+ACCEPT, JUMP = counter_rng.purpose(1), counter_rng.purpose(2)
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ class _Walkers:
             move = np.matmul(block, z[..., None])[..., 0]
             y = self.x + (move if scale is None else move * scale[:, i : i + 1])
             w = self.log_density(y)
-            u = counter_rng.uniform(self.keys, self.steps * len(self.blocks) + i, self.seed + 1)
+            u = counter_rng.uniform(self.keys, self.steps * len(self.blocks) + i + ACCEPT, self.seed)
             ok = (w - self.w) / self.temperature >= np.log(u)
             self.x[ok], self.w[ok], accepted[:, i] = y[ok], w[ok], ok
         self.steps += 1
@@ -93,7 +95,7 @@ class _Walkers:
 
     def jump(self, pool: JumpPool, p_no_jump: float) -> np.ndarray:
         """Swap in a sample of the level above from the same energy bin, where accepted."""
-        u = [counter_rng.uniform(self.keys, 3 * self.calls + c, self.seed + 2) for c in range(3)]
+        u = [counter_rng.uniform(self.keys, 3 * self.calls + c + JUMP, self.seed) for c in range(3)]
         self.calls += 1
         b = np.maximum(np.searchsorted(pool.lower, -self.w, side="right") - 1, 0)
         pick = pool.start[b] + np.floor(u[1] * pool.size[b]).astype(np.int64)

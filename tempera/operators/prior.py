@@ -178,7 +178,7 @@ def _gamma_draws(shape: float, keys: np.ndarray, lane: int, seed: int) -> np.nda
     while len(todo):
         counter = (lane << 20) + attempt
         z = counter_rng.normal(keys[todo], counter, seed)
-        u = counter_rng.uniform(keys[todo], counter, seed + 1)
+        u = counter_rng.uniform(keys[todo], counter + counter_rng.purpose(1), seed)
         v = (1.0 + c * z) ** 3
         with np.errstate(invalid="ignore", divide="ignore"):
             ok = (v > 0) & (np.log(u) < 0.5 * z * z + d - d * v + d * np.log(v))
@@ -186,7 +186,7 @@ def _gamma_draws(shape: float, keys: np.ndarray, lane: int, seed: int) -> np.nda
         todo = todo[~ok]
         attempt += 1
     if boost:
-        out *= counter_rng.uniform(keys, lane, seed + 2) ** (1.0 / shape)
+        out *= counter_rng.uniform(keys, lane + counter_rng.purpose(2), seed) ** (1.0 / shape)
     return out
 
 

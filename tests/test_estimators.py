@@ -184,6 +184,19 @@ def test_uniform_draws_cover_the_bin(spark):
     assert len(drawn) == 40 and drawn["count"].between(120, 290).all()
 
 
+def test_purposes_and_neighbouring_seeds_share_no_number():
+    keys, counters = np.arange(50), np.arange(40)
+    seen = {}
+    for seed in (7, 8, 9):
+        for number in range(4):
+            for c in counters:
+                for u in counter_rng.uniform(keys, int(c) + counter_rng.purpose(number), seed):
+                    assert seen.setdefault(u, (seed, number)) == (seed, number)
+    assert len(seen) == 3 * 4 * 50 * 40
+    with pytest.raises(ValueError):
+        counter_rng.purpose(16)
+
+
 def test_cipher_gives_the_published_answers():
     ones = 0xFFFFFFFF
     lanes = lambda *a: tuple(int(v) for v in counter_rng.cipher(*a))
