@@ -212,7 +212,7 @@ def _steady_sql() -> str:
     c AS (SELECT *, CASE WHEN variant = 'given_beta' THEN 1 - ({own}) - {ik} * {ky} ELSE {household} END AS ch,
             {land} * (1 - be * (1 + la * th)) / (be * al) AS phi FROM q)
     SELECT id, variant, {', '.join(f'round({expr}, 9) AS {name}' for name, expr in {
-        'beta': 'be', 'theta': 'th', 'by': 'by_', 'alpha': 'al', 'lambda_K': 'lk', 'delta': 'delta', 'iy': f'{ik} * {ky}', 'lambda_a': 'la',
+        'beta': 'be', 'theta': 'th', 'by': 'by_', 'alpha': 'al', 'lambda_K': 'lk', 'delta': 'delta', 'iy': f'({ik} * {ky})::DOUBLE', 'lambda_a': 'la',
         'phi': 'phi', 'lambda_z': 'pow(ls, 1 - (1 - phi) * al) * pow(lq, -(1 - phi) * al)', 'C_h': 'ch', 'C_e': f'1 - ch - {ik} * {ky}',
         'housing_weight': f'({house} / ch) * ls * (1 - ls / {r}) * (1 - gh / {r}) / (ls - gh)', 'mu_b_e': 'be * la / ls',
         'land_to_debt': f'{land} / by_', 'land_ratio': f'{house}::DOUBLE / {land}', 'L_e': f'1 / (1 + {house}::DOUBLE / {land})',
