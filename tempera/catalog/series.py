@@ -177,6 +177,30 @@ _PARAMS = f"""e AS (SELECT vec_id AS id, list_transform(range(1, {prior.n_free(C
             AND list_min(x[6:13]) >= 0 AND list_min(x[14:21]) > 0 AND ls < r - 1.4901161193847656e-08
             AND th < (1 - beta) / (beta * la) - 1.4901161193847656e-08 AND lz >= 1.4901161193847656e-08, FALSE) AS valid FROM h)"""
 
+NOISE_STATES, NOISE_SHOCKS, NOISE_TOTAL = 6, 8, 8
+
+
+@query(
+    "state_noise",
+    f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+    b AS (SELECT id, list_transform(range(48), lambda i: x[i + 1] * (0.1::DOUBLE + abs(x[49 + i % {NOISE_SHOCKS}]))) AS b FROM e)
+    SELECT id, i, j, CASE WHEN i < {NOISE_STATES} AND j < {NOISE_STATES} THEN
+        round(list_sum(list_transform(range({NOISE_SHOCKS}), lambda k: b[i * {NOISE_SHOCKS} + k + 1] * b[j * {NOISE_SHOCKS} + k + 1])), 9) ELSE 0 END AS v
+    FROM b, range({NOISE_TOTAL}) s(i), range({NOISE_TOTAL}) t(j)""",
+)
+def state_noise(spark, sf_dir):
+    """State noise of every embedding taken as impacts of eight shocks on six states and their sizes; two lagged states have none."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    rows = v.select(
+        F.col("vec_id").alias("id"), F.slice("x", 1, NOISE_STATES * NOISE_SHOCKS).alias("impact"),
+        F.transform(F.slice("x", 49, NOISE_SHOCKS), lambda s: 0.1 + F.abs(s)).alias("sigma"),
+    )
+    cells = timeseries.state_noise(rows, NOISE_STATES, NOISE_SHOCKS, NOISE_TOTAL).select("id", F.posexplode("noise").alias("cell", "v"))
+    return cells.select(
+        "id", F.floor(F.col("cell") / NOISE_TOTAL).alias("i"), (F.col("cell") % NOISE_TOTAL).cast("long").alias("j"), rounded("v", 9).alias("v")
+    )
+
+
 #: Values of every variant, as they are named in the result.
 STEADY = (
     "beta", "theta", "by", "alpha", "lambda_K", "delta", "iy", "lambda_a", "phi", "lambda_z", "C_h", "C_e", "housing_weight", "mu_b_e",

@@ -109,6 +109,42 @@ class StateSpace:
         return StateSpace(f, v, h, self.measure_noise, self.intercept, np.append(self.z0, np.zeros(k)), p)
 
 
+def state_noise(rows: DataFrame, states: int, shocks: int, total: int | None = None) -> DataFrame:
+    """Add ``noise``: the state noise covariance (impact diag(sigma)) (impact diag(sigma))' of every parameter row, row-major.
+
+    ``impact`` is states x shocks, row-major, and ``sigma`` holds the shock sizes of the row's regime; both change from row
+    to row, and a batch is multiplied at once. ``total`` states beyond those that shocks reach, such as appended lags, have none. A row
+    whose arrays are null, of another length or hold a null has a null covariance.
+    """
+    total = states if total is None else total
+    if total < states:
+        raise ValueError(f"{total} states cannot hold {states}")
+    sound = (F.size("impact") == states * shocks) & (F.size("sigma") == shocks)
+    sound = sound & F.forall("impact", lambda x: x.isNotNull()) & F.forall("sigma", lambda x: x.isNotNull())
+    narrow = rows.withColumn("_sound", F.coalesce(sound, F.lit(False)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    narrow = narrow.withColumns({
+        "_impact": F.when(F.col("_sound"), F.col("impact").cast("array<double>")).otherwise(zeros(states * shocks)),
+        "_sigma": F.when(F.col("_sound"), F.col("sigma").cast("array<double>")).otherwise(zeros(shocks)),
+    })
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            impact = batch["_impact"].flatten().to_numpy().reshape(n, states, shocks)
+            scaled = impact * batch["_sigma"].flatten().to_numpy().reshape(n, 1, shocks)
+            noise = np.zeros((n, total, total))
+            noise[:, :states, :states] = scaled @ _t(scaled)
+            known = batch["_sound"].to_numpy(zero_copy_only=False)
+            flat = pa.array(noise[known].ravel())
+            ends = np.concatenate([[0], np.cumsum(known) * total * total]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(~known))
+            kept = [i for i, name in enumerate(batch.schema.names) if name not in ("_impact", "_sigma", "_sound")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), lists], names=[*(batch.schema.names[i] for i in kept), "noise"])
+
+    return narrow.mapInArrow(multiply, rows.select("*", F.lit(None).cast("array<double>").alias("noise")).schema)
+
+
 def _t(m: np.ndarray) -> np.ndarray:
     return np.swapaxes(m, -1, -2)
 

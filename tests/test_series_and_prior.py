@@ -227,3 +227,21 @@ def test_missing_fixed_parameters_are_named(spark):
     got = {r["name"]: (r["value"], r["missing"]) for r in config.fixed_parameters(sections, spark.createDataFrame([("f", 205)], "file string, code int")).collect()}
     assert got["ky"] == (4.5, False) and got["Iql"] == (0.0, False) and got["Iqk"] == (1.0, False) and got["gtheta"] == (None, True)
     assert "R" not in got and "by" not in got
+
+
+def test_state_noise_by_row(spark):
+    rng = np.random.default_rng(3)
+    impact, sigma = rng.normal(size=(5, 6)), rng.uniform(0.1, 2, size=(5, 2))
+    rows = [(i, [float(v) for v in impact[i]], [float(v) for v in sigma[i]], "x") for i in range(5)]
+    rows += [(7, None, [1.0, 1.0], "x"), (8, [1.0] * 5, [1.0, 1.0], "x"), (9, [1.0] * 6, [1.0, None], "x")]
+    df = spark.createDataFrame(rows, "id int, impact array<double>, sigma array<double>, wide string")
+    got = {r["id"]: r["noise"] for r in timeseries.state_noise(df, 3, 2, 4).collect()}
+    for i in range(5):
+        b = impact[i].reshape(3, 2) * sigma[i]
+        want = np.zeros((4, 4))
+        want[:3, :3] = b @ b.T
+        assert np.array(got[i]).reshape(4, 4) == pytest.approx(want)
+    assert got[7] is None and got[8] is None and got[9] is None
+    assert timeseries.state_noise(df.limit(0), 3, 2).count() == 0
+    with pytest.raises(ValueError):
+        timeseries.state_noise(df, 3, 2, 2)
