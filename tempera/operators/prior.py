@@ -157,11 +157,11 @@ def evaluate(
 
 
 def log_posterior(priors: DataFrame, likelihoods: DataFrame, log_scale: float = 0.0) -> DataFrame:
-    """(id, log_posterior): likelihood plus prior plus the normaliser's scale; impossible if either part is.
+    """(id, log_posterior): likelihood plus prior plus the normaliser's scale; impossible if either part is, or is missing.
 
     ``priors`` is (id, valid, log_prior), ``likelihoods`` is (id, loglik).
     """
-    both = priors.select("id", "valid", "log_prior").join(likelihoods.select("id", "loglik"), "id")
+    both = priors.select("id", "valid", "log_prior").join(likelihoods.select("id", "loglik"), "id", "full")
     possible = F.col("valid") & (F.col("loglik") > NEG_INF / 10)
     total = F.col("loglik") + F.col("log_prior") + F.lit(float(log_scale))
     return both.select("id", F.when(possible, total).otherwise(F.lit(NEG_INF)).alias("log_posterior"))

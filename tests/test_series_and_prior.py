@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tempera.operators import steady_state as ss
 from tempera.operators import prior, target, timeseries
 from tempera.plans import starting
-from tempera.schema import SAMPLE
+from tempera.schema import NEG_INF, SAMPLE
 from tempera.sources import config
 from tempera.sources.record import SampleRecordSource
 
@@ -245,3 +245,10 @@ def test_state_noise_by_row(spark):
     assert timeseries.state_noise(df.limit(0), 3, 2).count() == 0
     with pytest.raises(ValueError):
         timeseries.state_noise(df, 3, 2, 2)
+
+
+def test_a_row_without_its_other_half_is_impossible(spark):
+    priors = spark.createDataFrame([(1, True, -2.0), (2, True, -3.0), (3, False, -1.0)], "id int, valid boolean, log_prior double")
+    likelihoods = spark.createDataFrame([(1, 5.0), (3, 4.0), (4, 6.0)], "id int, loglik double")
+    got = {r["id"]: r["log_posterior"] for r in prior.log_posterior(priors, likelihoods, 0.5).collect()}
+    assert got == {1: 3.5, 2: NEG_INF, 3: NEG_INF, 4: NEG_INF}
