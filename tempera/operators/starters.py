@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -150,36 +151,189 @@ def _as_frame(samples: DataFrame, rows: list) -> DataFrame:
     return samples.sparkSession.createDataFrame(ranked, "pick int, id long, weight double, data array<double>")
 
 
-def _lloyd_step(vectors: DataFrame, centres: dict[int, np.ndarray]) -> list:
-    """One scan for all runs: per run and centre the number, summed distance, hash and sum of the samples nearest to it.
+#: Vectors of one run that a task may hold while it goes on alone; the others are scanned where they lie. Changes no result.
+ACTIVE = 100_000
+#: Steps of the gap scale: a quarter of a power of two each, cut off at 2^-40 and 2^40.
+_GAPS, _LAST_GAP = 4, 160
 
-    A task hands on one row per run and centre; equal distances go to the first centre.
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the nearest centre (the first among equals) and how much farther the second nearest is.
+
+    Distances come from one matrix product; rows whose two nearest are level within its rounding are measured again,
+    coordinate by coordinate, so the answer doesn't depend on the rows beside it.
     """
+    if len(c) == 1:
+        return np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    norms, own = np.einsum("nd,nd->n", x, x), np.einsum("kd,kd->k", c, c)
+    far = x @ (-2.0 * c.T)
+    far += own
+    far += norms[:, None]
+    two = np.partition(far, 1, axis=1)[:, :2]
+    level = np.flatnonzero(two[:, 1] - two[:, 0] <= 1e-11 * (norms + own.max()))
+    if len(level):
+        far[level] = np.stack([((x[level] - row) ** 2).sum(axis=1) for row in c], axis=1)
+        two[level] = np.partition(far[level], 1, axis=1)[:, :2]
+    two = np.sqrt(np.maximum(two, 0.0))
+    return far.argmin(axis=1), two[:, 1] - two[:, 0]
+
+
+def _gap_steps(gap: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(_GAPS * np.log2(gap)), -_LAST_GAP, _LAST_GAP).astype(np.int64)
+
+
+def _rows_of(batch: pa.RecordBatch | pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    data = batch["data"].combine_chunks() if isinstance(batch, pa.Table) else batch["data"]
+    return np.asarray(data.flatten()).reshape(-1, dims), np.asarray(batch["who"])
+
+
+class _Sums:
+    """Number, summed hash and sum of the samples of each centre."""
+
+    def __init__(self, k: int, dims: int, n=None, who=None, sums=None):
+        self.n = np.zeros(k, np.int64) if n is None else n
+        self.who = np.zeros(k, np.int64) if who is None else who
+        self.sums = np.zeros((k, dims)) if sums is None else sums
+
+    def add(self, x: np.ndarray, who: np.ndarray, near: np.ndarray, times: int = 1) -> _Sums:
+        at = near == np.arange(len(self.n))[:, None]
+        self.n += times * at.sum(axis=1)
+        self.who += times * (at @ who)
+        self.sums += times * (at.astype(float) @ x)
+        return self
+
+    def copy(self) -> _Sums:
+        return _Sums(*self.sums.shape, self.n.copy(), self.who.copy(), self.sums.copy())
+
+    def members(self) -> list[tuple[int, int]]:
+        return list(zip(self.n.tolist(), self.who.tolist()))
+
+    def means(self, centres: np.ndarray) -> np.ndarray:
+        """Centres moved to the means of their samples; one without samples stays."""
+        return np.where(self.n[:, None] > 0, self.sums / np.maximum(self.n, 1)[:, None], centres)
+
+
+def _lloyd_step(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[_Sums, np.ndarray]]:
+    """One scan for all runs: per run the samples nearest to each centre, and how many there are of every gap step.
+
+    A task hands on as many numbers whatever its rows; equal distances go to the first centre.
+    """
+    width = 2 * _LAST_GAP + 1
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list] = {}
+        found = {r: (_Sums(*c.shape), np.zeros(width, np.int64)) for r, c in centres.items()}
         for batch in batches:
-            x = np.asarray(batch["data"].flatten()).reshape(batch.num_rows, -1)
-            for run, c in centres.items():
-                far = np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1)
-                near = far.argmin(axis=1)
-                for j in np.unique(near).tolist():
-                    mine = near == j
-                    part = [int(mine.sum()), float(far[mine, j].sum()), int(np.asarray(batch["who"])[mine].sum()), x[mine].sum(axis=0)]
-                    old = sums.get((run, j))
-                    sums[run, j] = part if old is None else [u + v for u, v in zip(old, part)]
-        keys = list(sums)
-        columns = zip(*(sums[k] for k in keys)) if keys else ([],) * 4
-        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array(list(c), t) for c, t in zip(columns, kinds)],
-            names=["run", "centre", "n", "cost", "who", "sums"],
-        )
-
-    found = vectors.mapInArrow(nearest, "run int, centre int, n long, cost double, who long, sums array<double>")
+            x, who = _rows_of(batch, next(iter(centres.values())).shape[1])
+            for r, c in centres.items() if len(x) else ():
+                near, gap = _nearest(x, c)
+                found[r][0].add(x, who, near)
+                found[r][1][:] += np.bincount(_gap_steps(gap) + _LAST_GAP, minlength=width)
+        for r, (sums, steps) in found.items():
+            whole, part = np.concatenate([sums.n, sums.who, steps]), sums.sums.ravel()
+            at = np.r_[np.flatnonzero(whole), np.arange(len(part)) + len(whole)]
+            whole, part = (np.concatenate(v)[at] for v in ((whole, np.zeros(len(part), np.int64)), (np.zeros(len(whole)), part)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), r), pa.int32()), pa.array(at, pa.int32()), pa.array(whole), pa.array(part)], names=["run", "at", "whole", "part"]
+            )
+
+    rows = vectors.mapInArrow(nearest, "run int, at int, whole long, part double").groupBy("run", "at")
+    rows = rows.agg(F.sum("whole").alias("whole"), F.sum("part").alias("part")).toArrow()
+    run, at, whole, part = (np.asarray(rows[c]) for c in ("run", "at", "whole", "part"))
+    out = {}
+    for r, c in centres.items():
+        k, mine = len(c), run == r
+        ints, sums = np.zeros(2 * k + width, np.int64), np.zeros(c.size)
+        head = mine & (at < len(ints))
+        ints[at[head]], sums[at[mine & ~head] - len(ints)] = whole[head], part[mine & ~head]
+        out[r] = _Sums(*c.shape, ints[:k], ints[k : 2 * k], sums.reshape(c.shape)), ints[2 * k :]
+    return out
+
+
+def _moved(now: np.ndarray, then: np.ndarray) -> float:
+    """How much nearer a centre can have come to any sample than another one, at most."""
+    return float(np.sort(np.sqrt(((now - then) ** 2).sum(axis=1)))[-2:].sum())
+
+
+class _Alone(NamedTuple):
+    """What a task needs to take further steps of a run with the few samples that may change their centre.
+
+    ``found`` are the samples of each centre at ``measured``; while the centres have moved by less than ``room`` from there,
+    samples of gap step ``cut`` and more keep their centre.
+    """
+
+    measured: np.ndarray
+    cut: int
+    room: float
+    found: _Sums
+    centres: np.ndarray
+
+
+def _few_active(steps: np.ndarray, measured: np.ndarray, found: _Sums, centres: np.ndarray) -> _Alone | None:
+    """Steps that a task can take alone: at most ``ACTIVE`` samples, and room for more than two steps like the last."""
+    cut = int(np.searchsorted(np.cumsum(steps), ACTIVE, side="right")) - _LAST_GAP
+    # One gap step less than the cut leaves room for rounding; the first gap step has no lower end.
+    room = math.inf if cut > _LAST_GAP else 2.0 ** ((cut - 1) / _GAPS) if cut > -_LAST_GAP else 0.0
+    return _Alone(measured, cut, room, found, centres) if 3.0 * _moved(centres, measured) <= room else None
+
+
+def _steps_alone(vectors: DataFrame, runs: dict[int, _Alone]) -> dict[int, tuple[np.ndarray, list]]:
+    """Further steps of each run, in one task a run: its centres and who was nearest to them one step before.
+
+    They are those of full scans: a task stops before a sample that it doesn't hold could change its centre.
+    """
+    dims = next(iter(runs.values())).centres.shape[1]
+
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, _ = _rows_of(batch, dims)
+            for run, a in runs.items() if len(x) else ():
+                mine = batch.take(pa.array(np.flatnonzero(_gap_steps(_nearest(x, a.measured)[1]) < a.cut)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(mine.num_rows, run), pa.int32()), mine["data"], mine["who"]], names=["run", "data", "who"]
+                )
+
+    def go_on(key: tuple, rows: pa.Table) -> pa.Table:
+        a = runs[key[0].as_py()]
+        (x, who), centres, held = _rows_of(rows, dims), a.centres, a.found.members()
+        measured, near, gap = a.measured, *_nearest(x, a.measured)
+        settled = a.found.copy().add(x, who, near, -1)
+        m = len(x)
+        while _moved(centres, a.measured) < a.room:
+            if 4 * m >= len(x):
+                measured, (near, gap) = centres, _nearest(x, centres)
+                order = np.argsort(gap, kind="stable")
+                x, who, near, gap = x[order], who[order], near[order], gap[order]
+                found = settled.copy().add(x, who, near)
+            # Those closest to changing their centre stand first; a fifth more than the centres moved leaves room for rounding.
+            m = int(np.searchsorted(gap, 1.2 * _moved(centres, measured), side="right"))
+            first = x[:m], who[:m]
+            now = found.copy().add(*first, near[:m], -1).add(*first, _nearest(x[:m], centres)[0])
+            if now.members() == held:
+                break
+            held, centres = now.members(), now.means(centres)
+        n, ids = zip(*held)
+        columns = key[0].as_py(), centres.ravel().tolist(), list(n), list(ids)
+        kinds = pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())
+        return pa.table([pa.array([v], t) for v, t in zip(columns, kinds)], names=["run", "centres", "n", "who"])
+
+    rows = vectors.select("data", "who").mapInArrow(active, "run int, data array<double>, who long").repartition(4 * len(runs), "run")
+    found = rows.groupBy("run").applyInArrow(go_on, "run int, centres array<double>, n array<long>, who array<long>").collect()
+    return {r["run"]: (np.array(r["centres"]).reshape(-1, dims), list(zip(r["n"], r["who"]))) for r in found}
+
+
+def _costs(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, float]:
+    """Summed squared distance of all samples to their nearest centre, per run."""
     dims = len(next(iter(centres.values()))[0])
-    total = [F.sum(n).alias(n) for n in ("n", "cost", "who")] + [F.sum(F.col("sums")[i]).alias(f"_{i}") for i in range(dims)]
-    return [(r["run"], r["centre"], r["n"], r["cost"], r["who"], np.array(r[5:])) for r in found.groupBy("run", "centre").agg(*total).collect()]
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, _ = _rows_of(batch, dims)
+            sums = [float(((x - c[_nearest(x, c)[0]]) ** 2).sum()) if len(x) else 0.0 for c in centres.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(centres), pa.int32()), pa.array(sums)], names=["run", "cost"])
+
+    found = vectors.mapInArrow(cost, "run int, cost double").groupBy("run").agg(F.sum("cost").alias("cost"))
+    return {r["run"]: r["cost"] for r in found.collect()}
 
 
 def kmeans_centres(samples: DataFrame, k: int, seed: int, restarts: int = 5) -> DataFrame:
@@ -188,26 +342,37 @@ def kmeans_centres(samples: DataFrame, k: int, seed: int, restarts: int = 5) ->
     A run starts from the ``k`` samples with the smallest uniforms of (id, run), so any engine with the generator finds
     the same; its centres move to the means of the samples nearest to them until no sample changes its centre. A centre
     without samples stays where it is. Fewer than ``k`` samples give as many centres; none give none.
+
+    A scan of all samples tells how far each is from changing its centre. As soon as few enough of them can within several
+    steps, one task a run takes those steps with these samples and the sums of all others; a run ends on a full scan.
     """
+    spark = samples.sparkSession
     who = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("who")
-    vectors = materialize(samples.select("id", "data", who), "kmeans-vectors")
+    # Every step scans the samples, so they are dealt evenly once.
+    vectors = materialize(samples.select("id", "data", who).repartition(spark.sparkContext.defaultParallelism), "kmeans-vectors")
     drawn = with_uniforms(vectors, F.col("id"), {f"_u{r}": r for r in range(restarts)}, seed)
     first = [drawn.orderBy(f"_u{r}", "id").limit(k).select("data").collect() for r in range(restarts)]
     centres = {r: np.array([x["data"] for x in rows]) for r, rows in enumerate(first) if rows}
     held: dict[int, list] = {}
-    done: dict[int, tuple[float, list]] = {}
-    while len(done) < len(centres):
-        found = _lloyd_step(vectors, {r: c for r, c in centres.items() if r not in done})
-        for r in [r for r in centres if r not in done]:
-            mine = sorted((x[1:] for x in found if x[0] == r), key=lambda x: x[0])
-            now = [(j, n, ids) for j, n, _, ids, _ in mine]
-            if now == held.get(r):
-                done[r] = (sum(x[2] for x in mine), centres[r].tolist())
-            held[r] = now
-            for j, n, _, _, total in mine:
-                centres[r][j] = total / n
-    best = min((done[r] for r in sorted(done)), key=lambda b: round(b[0], 9), default=(0.0, []))
-    return samples.sparkSession.createDataFrame([(i, c) for i, c in enumerate(sorted(best[1]))], "pick int, data array<double>")
+    going = set(centres)
+    while going:
+        alone = {}
+        for r, (now, steps) in _lloyd_step(vectors, {r: centres[r] for r in sorted(going)}).items():
+            if now.members() == held.get(r):
+                going.remove(r)
+                continue
+            held[r], measured = now.members(), centres[r]
+            centres[r] = now.means(measured)
+            few = _few_active(steps, measured, now, centres[r])
+            if few is not None:
+                alone[r] = few
+        if alone:
+            for r, (moved, members) in _steps_alone(vectors, alone).items():
+                centres[r], held[r] = moved, members
+    costs = _costs(vectors, centres) if centres else {}
+    best = min(sorted(costs), key=lambda r: round(costs[r], 9), default=None)
+    rows = [] if best is None else sorted(centres[best].tolist())
+    return spark.createDataFrame(list(enumerate(rows)), "pick int, data array<double>")
 
 
 def _bin_key(by: list[str]) -> Column:

@@ -178,6 +178,26 @@ def test_kmeans_finds_separated_centres(spark):
     assert got == pytest.approx([-3.0, 0.0, 3.0], abs=0.1)
 
 
+def test_kmeans_takes_most_steps_without_a_scan(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(3000, 3))
+    x[:200] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, data array<double>").repartition(3)
+    scan, scans, found = starters._lloyd_step, [], []
+    monkeypatch.setattr(starters, "_lloyd_step", lambda *a: scans.append(1) or scan(*a))
+    for active in (0, 600, 100_000):
+        monkeypatch.setattr(starters, "ACTIVE", active, raising=False)
+        before = len(scans)
+        centres = [r["data"] for r in starters.kmeans_centres(df, 4, 1, 2).orderBy("pick").collect()]
+        found.append((len(scans) - before, centres))
+    everywhere, some, alone = (n for n, _ in found)
+    assert alone == 2 < some < everywhere
+    for _, centres in found:
+        assert np.allclose(centres, found[0][1], atol=1e-12)
+        c = np.array(centres)
+        near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        assert np.allclose(c, [x[near == j].mean(axis=0) for j in range(4)], atol=1e-12)
+
+
 def test_uniform_draws_cover_the_bin(spark):
     df = spark.range(40).select((F.col("id") % 2).alias("bin"), "id", F.col("id").cast("double").alias("weight"))
     drawn = starters.draw_pool(df, 4000, 9).groupBy("bin", "id").count().toPandas()
