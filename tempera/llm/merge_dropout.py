@@ -1,11 +1,11 @@
 """SentencePiece BPE with seeded merge dropout, and lossless decoding.
 
 A text is cut before each run of spaces (no piece goes on from a letter into a space), and every
-chunk is merged by an agenda: best piece first, leftmost on ties. A candidate taken from
-the agenda is skipped if a keyed hash of (seed, document, position, place, piece) falls below the dropout
-share, so every occurrence of a word is segmented by draws of its own. What a chunk becomes depends only on which of its
-candidates are skipped, so a worker remembers, by chunk and skipped candidates, the ids and the candidates that come
-behind the last skip. All chunks of a document draw at once; those with a skip go on, again at once, from the first one.
+chunk is merged by an agenda: best piece first, leftmost on ties. A candidate is skipped if a keyed hash of
+(seed, document, position, place, piece) falls below the dropout share, so every occurrence of a word is segmented by draws
+of its own. As a draw is the same whenever it is made, a candidate draws when its two neighbours first meet and a skipped one
+is not put on the agenda. Chunks of many texts are merged side by side, in each step the best candidate of every one, so the
+cost of a chunk does not depend on whether it was met before.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import functools
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,12 @@ from tempera.llm.support import id_and_text
 
 DROPOUT = 0.1
 SEED = 17
-#: Chunks, and chunks with skips, that a worker remembers; further ones are merged anew. Changes no result.
-REMEMBERED = 700_000
-#: Skips of a chunk that are merged anew before further ones are remembered, so that rare words don't fill the memory.
-ASKED = 3
+#: Characters that a worker holds in arrays at once (the name is older; tests set it); longer texts go on piecewise. Changes no result.
+REMEMBERED = 1 << 20
+#: Longer chunks are merged one by one: a step looks at all places of a chunk.
+LONGEST = 64
+#: Chunks of about one length that are merged side by side.
+BESIDE = 4096
 
 # The space mark, and multipliers of a 64-bit mixing function.
 SPACE = "▁"
@@ -39,6 +41,7 @@ MARK = SPACE + "\0"
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _MASK = (1 << 64) - 1
 _CHUNK = re.compile(r" *[^ ]+| +")
+_START = re.compile(r"(?<=[^ ]) ")
 
 ENCODED = "doc_id long, ids array<int>"
 
@@ -79,38 +82,27 @@ class Pieces:
                 self.id[piece], self.rank[piece] = i, -model.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode("utf-8"))
 
-    def merge(self, chunk: str, skips: tuple[int, ...] = (), limit: int = 0, key: int = 0) -> tuple[list[str], list[tuple[int, int]]]:
-        """Pieces of a chunk whose spaces are plain, and the (place, piece id) of the candidates behind the last skip.
+    def segment(self, chunk: str, dropout: float = 0.0, key: int = 0) -> list[str]:
+        """Pieces of a chunk whose spaces are plain, with the candidates skipped whose draws under the key are below the share.
 
-        ``skips`` numbers the candidates to skip in the order in which the agenda hands them out; with a ``limit`` those are
-        skipped instead whose draw under the key is below it. A space mark in the chunk is a symbol of its own that never merges.
+        A space mark in the chunk is a symbol of its own that never merges.
         """
         symbols = [SPACE if c == " " else MARK if c == SPACE else c for c in chunk]
-        n, rank = len(symbols), self.rank
-        agenda, behind = [], []
+        n, rank, limit = len(symbols), self.rank, int(dropout * 2.0**64)
+        agenda = []
         for i in range(n - 1):
             piece = symbols[i] + symbols[i + 1]
             if piece in rank:
                 agenda.append((rank[piece], i, piece))
-        if not agenda:
-            return symbols, behind
         heapq.heapify(agenda)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        met, last = -1, skips[-1] if skips else -1
         while agenda:
             _, i, piece = heapq.heappop(agenda)
             own, j = symbols[i], right[i]
             if not own or j >= n or own + symbols[j] != piece:
                 continue
-            met += 1
-            if limit:
-                if _draw(key, i, self.id[piece]) < limit:
-                    continue
-            elif met <= last:
-                if met in skips:
-                    continue
-            else:
-                behind.append((i, self.id[piece]))
+            if limit and _draw(key, i, self.id[piece]) < limit:
+                continue
             symbols[i], symbols[j] = piece, ""
             k = right[i] = right[j]
             if k < n:
@@ -123,11 +115,7 @@ class Pieces:
                 wider = symbols[j] + piece
                 if wider in rank:
                     heapq.heappush(agenda, (rank[wider], j, wider))
-        return [s for s in symbols if s], behind
-
-    def segment(self, chunk: str, dropout: float = 0.0, key: int = 0) -> list[str]:
-        """Pieces of a chunk with candidates skipped by their draws under a key."""
-        return self.merge(chunk, (), int(dropout * 2.0**64), key)[0]
+        return [s for s in symbols if s]
 
     def ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -140,53 +128,139 @@ class Pieces:
         return out
 
 
-def _bytes_of(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
-
-
-class Merged:
-    """A chunk merged with certain skips: its ids, what the candidates behind the last skip add to a key, and their number."""
-
-    __slots__ = ("chunk", "skips", "ids", "adds", "count", "further", "asked")
-
-    def __init__(self, pieces: Pieces, chunk: str, skips: tuple[int, ...] = ()):
-        found, behind = pieces.merge(chunk, skips)
-        self.chunk, self.skips, self.ids, self.count = chunk, skips, _bytes_of(pieces.ids(found)), len(behind)
-        self.adds = np.asarray([(i * _MIX[0] + p * _MIX[1]) & _MASK for i, p in behind], np.uint64).tobytes()
-        self.further: dict[int, Merged] | None = None
-        self.asked = 0
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[1])
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(_MIX[2])
+    return h ^ (h >> np.uint64(31))
 
 
-class Plain(dict):
-    """Chunks met before, without skips, and from each on those with one skip more."""
+class Neighbours:
+    """Symbols as numbers (a piece is its id, other characters follow), and what two neighbouring ones merge into, as arrays."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.skipping, self.once = pieces, 0, set()
-
-    def again(self, chunk: str) -> Merged | None:
-        """A chunk to be remembered; none for one that is met for the first time, too long, or has no room."""
-        mark = hash(chunk)
-        if mark in self.once and len(self) < REMEMBERED and len(chunk) <= 64:
-            out = self[chunk] = Merged(self.pieces, chunk)
-            self.once.discard(mark)
-            return out
-        if len(self.once) >= REMEMBERED:
-            self.once.clear()  # words that are as rare as that make room for others to be met again
-        self.once.add(mark)
-        return None
-
-    def skip(self, merged: Merged, place: int) -> Merged:
-        """What becomes of a chunk if the candidate at ``place`` behind its last skip is skipped as well."""
-        out = merged.further.get(place) if merged.further else None
-        if out is None:
-            first = merged.skips[-1] + 1 if merged.skips else 0
-            out = Merged(self.pieces, merged.chunk, (*merged.skips, first + place))
-            merged.asked += 1
-            if merged.asked > ASKED and self.skipping < REMEMBERED and len(merged.chunk) <= 64:
-                self.skipping += 1
-                merged.further = merged.further or {}
-                merged.further[place] = out
-        return out
+        self.pieces, self.known = pieces, len(pieces.raw)
+        self.number = dict(pieces.id)
+        for c in sorted({c for piece in pieces.rank for c in piece}):
+            self.number.setdefault(c, len(self.number) + self.known)
+        #: Any other character, and what stands beyond the ends of a chunk: merges with nothing.
+        self.other = self.known + len(self.number)
+        self.of_code = np.full(0x110000, self.other, np.int32)
+        for symbol, n in self.number.items():
+            if len(symbol) == 1:
+                self.of_code[ord(symbol)] = n
+        self.of_code[ord(" ")], self.of_code[ord(SPACE)] = self.number.get(SPACE, self.other), self.other
+        order = np.zeros(self.known, np.int64)
+        order[list(pieces.id.values())] = np.unique([pieces.rank[p] for p in pieces.id], return_inverse=True)[1]
+        #: Smaller merges first; a place in the chunk is added to it.
+        self.order = order * LONGEST
+        pairs = [
+            (self.number[p[:i]] << 20 | self.number[p[i:]], n)
+            for p, n in pieces.id.items()
+            for i in range(1, len(p))
+            if p[:i] in self.number and p[i:] in self.number
+        ]
+        # A table with free slots: (left, right, piece) in the first slot from that of its hash on that no other pair has.
+        self.shift = 64 - max(4, (4 * len(pairs)).bit_length())
+        self.slots = np.full(1 << (64 - self.shift), -1, np.int64)
+        for pair, n in pairs:
+            at = ((pair * _MIX[0]) & _MASK) >> self.shift
+            while self.slots[at] >= 0:
+                at = (at + 1) % len(self.slots)
+            self.slots[at] = pair << 20 | n
+
+    def piece(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols merge into; negative if none."""
+        pair = (left << 20) | right
+        with np.errstate(over="ignore"):
+            at = ((pair.view(np.uint64) * np.uint64(_MIX[0])) >> np.uint64(self.shift)).view(np.int64)
+        entry = self.slots[at]
+        apart = np.flatnonzero((entry >= 0) & (entry >> 20 != pair))
+        while len(apart):
+            at[apart] = (at[apart] + 1) % len(self.slots)
+            entry[apart] = again = self.slots[at[apart]]
+            apart = apart[(again >= 0) & (again >> 20 != pair[apart])]
+        return np.where(entry >= 0, entry & 0xFFFFF, -1)
+
+    def merge(self, symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int) -> None:
+        """Merge all chunks in place: a merged symbol stands where it starts, places inside it become negative."""
+        for c in np.flatnonzero(lengths > LONGEST).tolist():
+            mine = slice(starts[c], starts[c] + lengths[c])
+            place, text = starts[c], codes[mine].tobytes().decode("utf-32-le")
+            symbols[mine] = -1
+            for s in self.pieces.segment(text, limit / 2.0**64, int(keys[c])):
+                symbols[place] = self.number.get(s, self.other)
+                place += 1 if s == MARK else len(s)
+        chunks = np.flatnonzero((lengths > 1) & (lengths <= LONGEST))
+        chunks = chunks[np.argsort(lengths[chunks].astype(np.uint8), kind="stable")]
+        sizes = lengths[chunks]
+        at = 0
+        while at < len(chunks):
+            # Few chunks of a length: longer ones join them, up to an eighth longer.
+            to = min(at + BESIDE, int(np.searchsorted(sizes, sizes[at] + sizes[at] // 8, "right")))
+            self._beside(symbols, starts[chunks[at:to]], sizes[at:to], keys[chunks[at:to]], limit)
+            at = to
+
+    def _beside(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int) -> None:
+        """Merge chunks side by side: a column each, a row for each place, and a row beyond either end."""
+        n, high = len(starts), int(lengths[-1])
+        places = starts + np.arange(high)[:, None]
+        inside = np.arange(high)[:, None] < lengths
+        own = np.full((high + 2, n), self.other, np.int64)
+        own[:high][inside] = symbols[places[inside]]
+        none = np.iinfo(np.int32).max
+        turn = np.full((high + 2, n), none, np.int32)
+        cells = np.arange((high + 2) * n)
+        right, left = cells + n, cells - n
+        left[:n] += (high + 2) * n  # the last row stands for what is before the first
+        piece = np.zeros((high + 2) * n, np.int64)
+        flat, due = own.ravel(), turn.ravel()
+
+        def meet(at: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> None:
+            """Put what the neighbours a and b merge into on the agenda, unless its draw is to skip it."""
+            new = self.piece(a, b)
+            due[at] = none
+            some = np.flatnonzero(new >= 0)
+            if limit and len(some):
+                with np.errstate(over="ignore"):
+                    draws = (at[some] // n).astype(np.uint64) * np.uint64(_MIX[0]) + new[some].astype(np.uint64) * np.uint64(_MIX[1])
+                    some = some[_mixed(keys[of[some]] + draws) >= np.uint64(min(limit, _MASK))] if limit <= _MASK else some[:0]
+            at, new = at[some], new[some]
+            piece[at] = new
+            due[at] = self.order[new] + at // n
+
+        first = cells[: (high - 1) * n]
+        meet(first, flat[first], flat[first + n], first % n)
+        while True:
+            best = turn[:high].min(axis=0)
+            column = np.flatnonzero(best < none)
+            if not len(column):
+                break
+            i = (best[column] % LONGEST) * n + column
+            j = right[i]
+            k, h, new = right[j], left[i], piece[i]
+            flat[i], flat[j], due[j] = new, -1, none
+            right[i], left[k] = k, i
+            before, behind = flat[h], flat[k]
+            meet(np.concatenate([i, h]), np.concatenate([new, before]), np.concatenate([behind, new]), np.concatenate([column, column]))
+        symbols[places[inside]] = own[:high][inside]
+
+    def ids(self, symbols: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of merged symbols, and how many of them come before each place (and in all)."""
+        width = (symbols >= 0).astype(np.int64)
+        bare = np.flatnonzero(symbols >= self.known)
+        chars, which = np.unique(codes[bare], return_inverse=True)
+        raw = [(SPACE if c == " " else c).encode("utf-8") for c in map(chr, chars.tolist())]
+        width[bare] = np.array([len(r) for r in raw], np.int64)[which] if raw else 0
+        before = np.r_[0, np.cumsum(width)]
+        out = np.zeros(before[-1], "<u4")
+        whole = np.flatnonzero((symbols >= 0) & (symbols < self.known))
+        out[before[whole]] = symbols[whole]
+        byte = np.array([[self.pieces.byte[b] for b in r.ljust(4, b"\0")] for r in raw], np.int64).reshape(-1, 4)
+        for b in range(4):
+            some = width[bare] > b
+            out[before[bare[some]] + b] = byte[which[some], b]
+        return out, before
 
 
 @functools.cache
@@ -195,51 +269,73 @@ def _pieces(path: str) -> Pieces:
 
 
 @functools.cache
-def _plain(path: str) -> Plain:
-    return Plain(_pieces(path))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[1])
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(_MIX[2])
-    return h ^ (h >> np.uint64(31))
+def _plain(path: str) -> Neighbours:
+    return Neighbours(_pieces(path))
 
 
 def chunk_keys(n: int, doc_id: int | None, seed: int) -> np.ndarray:
     """A key for each of the n chunks of a document."""
-    start = xxhash.xxh64_intdigest(str(doc_id).encode(), seed & _MASK)
+    return _keys(np.full(n, _start(doc_id, seed), np.uint64), np.arange(1, n + 1))
+
+
+def _start(doc_id: int | None, seed: int) -> int:
+    return xxhash.xxh64_intdigest(str(doc_id).encode(), seed & _MASK)
+
+
+def _keys(start: np.ndarray, number: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mixed(np.uint64(start) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_MIX[0]))
+        return _mixed(start + number.astype(np.uint64) * np.uint64(_MIX[0]))
+
+
+def _parts(texts: Sequence[str]) -> Iterator[list[tuple[int, str]]]:
+    """Lists of (number of a text, piece of it that starts with a chunk) of about REMEMBERED characters."""
+    held, room = [], REMEMBERED
+    for n, text in enumerate(texts):
+        text, at = " " + text if text else "", 0
+        while at < len(text):
+            cut = _START.search(text, at + max(1, room)) if len(text) - at > room else None
+            end = cut.start() if cut else len(text)
+            held.append((n, text[at:end]))
+            room -= end - at
+            at = end
+            if room <= 0:
+                yield held
+                held, room = [], REMEMBERED
+    if held:
+        yield held
+
+
+def encode_texts(texts: Sequence[str], doc_ids: Sequence[int | None], path: str, dropout: float = DROPOUT, seed: int = SEED) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit words; an empty text has none."""
+    known, limit = _plain(path), int(dropout * 2.0**64)
+    out: list[list[bytes]] = [[] for _ in texts]
+    chunks_before = [0] * len(texts)
+    for held in _parts(texts):
+        codes = np.frombuffer("".join([part for _, part in held]).encode("utf-32-le"), "<u4")
+        bounds = np.cumsum([0, *(len(part) for _, part in held)])
+        space = codes == 32
+        opens = space.copy()
+        opens[1:] &= ~space[:-1]
+        opens[bounds[:-1]] = True
+        starts = np.flatnonzero(opens)
+        lengths = np.diff(starts, append=len(codes))
+        first = np.searchsorted(starts, bounds)
+        counts = np.diff(first)
+        begun = np.array([chunks_before[n] for n, _ in held]) - first[:-1] + 1
+        key = np.array([_start(doc_ids[n], seed) for n, _ in held], np.uint64)
+        keys = _keys(np.repeat(key, counts), np.arange(len(starts)) + np.repeat(begun, counts))
+        symbols = known.of_code[codes]
+        known.merge(symbols, codes, starts, lengths, keys, limit)
+        ids, before = known.ids(symbols, codes)
+        for (n, _), a, b, count in zip(held, before[bounds[:-1]].tolist(), before[bounds[1:]].tolist(), counts.tolist()):
+            out[n].append(ids[a:b].tobytes())
+            chunks_before[n] += count
+    return [b"".join(x) for x in out]
 
 
 def encode_text(text: str, doc_id: int | None, path: str, dropout: float = DROPOUT, seed: int = SEED) -> bytes:
     """Ids of a text as little-endian 32-bit words; an empty text has none."""
-    if not text:
-        return b""
-    chunks = _CHUNK.findall(" " + text)
-    known, limit = _plain(path), int(dropout * 2.0**64)
-    found = [known.get(c) or known.again(c) for c in chunks]
-    keys = chunk_keys(len(chunks), doc_id, seed)
-    new = {
-        i: _bytes_of(known.pieces.ids(known.pieces.merge(chunks[i], (), limit, int(keys[i]))[0])) for i, m in enumerate(found) if m is None
-    }
-    going_on = np.array([i for i, m in enumerate(found) if m is not None and limit], dtype=np.int64)
-    while len(going_on):
-        merged = [found[i] for i in going_on.tolist()]
-        counts = np.array([m.count for m in merged])
-        owner = np.repeat(np.arange(len(merged)), counts)
-        with np.errstate(over="ignore"):
-            draws = _mixed(keys[going_on[owner]] + np.frombuffer(b"".join([m.adds for m in merged]), np.uint64))
-        at = np.arange(len(owner)) if limit > _MASK else np.flatnonzero(draws < np.uint64(limit))
-        # Only the first skip of a chunk counts: the candidates behind it are others once it is skipped.
-        first = np.flatnonzero(np.r_[True, owner[at][1:] != owner[at][:-1]]) if len(at) else at
-        mine = owner[at[first]]
-        places = at[first] - (np.cumsum(counts) - counts)[mine]
-        going_on = going_on[mine]
-        for i, m, place in zip(going_on.tolist(), mine.tolist(), places.tolist()):
-            found[i] = known.skip(merged[m], place)
-    return b"".join([new[i] if m is None else m.ids for i, m in enumerate(found)])
+    return encode_texts([text], [doc_id], path, dropout, seed)[0]
 
 
 def decode_ids(ids: bytes, path: str) -> str:
@@ -261,10 +357,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
-                ids = [
-                    encode_text(t.as_py(), d, path, dropout, seed)
-                    for d, t in zip(some.column(0).to_pylist(), some.column(1))
-                ]
+                ids = encode_texts(some.column(1).to_pylist(), some.column(0).to_pylist(), path, dropout, seed)
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -291,17 +384,16 @@ def round_trips(docs: DataFrame, model: str | None = None, dropout: float = DROP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, crcs, same = [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = t.as_py()
-                ids = encode_text(text, d, path, dropout, seed)
-                counts.append(len(ids) // 4)
-                crcs.append(zlib.crc32(ids))
-                same.append(decode_ids(ids, path) == text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())],
-                names=["doc_id", "n_pieces", "ids_crc32", "lossless"],
-            )
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                texts = some.column(1).to_pylist()
+                ids = encode_texts(texts, some.column(0).to_pylist(), path, dropout, seed)
+                counts, crcs = [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]
+                same = [decode_ids(x, path) == t for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())],
+                    names=["doc_id", "n_pieces", "ids_crc32", "lossless"],
+                )
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
 
