@@ -1,3 +1,4 @@
+import heapq
 import random
 
 import numpy as np
@@ -115,3 +116,15 @@ def test_ids_match_a_naive_agenda_whatever_is_remembered(monkeypatch):
                 want = [i for c, k in zip(chunks, keys) for i in pieces.ids(naive(pieces, c, dropout, k))]
                 assert np.frombuffer(md.encode_text(text, doc, path, dropout, 5), "<u4").tolist() == want
     md._plain.cache_clear()
+
+
+def test_new_words_are_not_merged_one_by_one(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 12))) for _ in range(3000))
+    pieces, keys = md._pieces(PATH), md.chunk_keys(3000, 6, 5).tolist()
+    want = [i for c, k in zip(md._CHUNK.findall(" " + text), keys) for i in pieces.ids(pieces.segment(c, 0.1, k))]
+    agendas, heapify = [], heapq.heapify
+    monkeypatch.setattr(heapq, "heapify", lambda agenda: agendas.append(1) or heapify(agenda))
+    md._plain.cache_clear()
+    assert _ids(text, doc_id=6, dropout=0.1, seed=5) == want
+    assert not agendas
